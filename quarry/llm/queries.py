@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language_id, line_dedup, oracles, quality_rules, source_mix, token_counts
+from quarry.llm import decontaminate, language_id, line_dedup, near_dedup, oracles, quality_rules, source_mix, token_counts
 from quarry.session import table
 
 TOKENIZER = os.environ.get("QUARRY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select(
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_dedup": oracles.OP1,
         "op2_quality_rules": oracles.OP2,
         "op3_line_dedup": oracles.OP3,
         "op7_decontaminate": oracles.OP7,

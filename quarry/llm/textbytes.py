@@ -117,7 +117,7 @@ def gram_hashes(codes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray
 
 def whole_hash(codes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """Hash of ``count`` codes from each start, unlike any gram hash of other length."""
-    h = np.full(len(starts), ORDER[63] * np.uint64(count), np.uint64)
+    h = np.full(len(starts), ORDER[63 - count], np.uint64)
     for j in range(count):
         h += codes[starts + j] * ORDER[j]
     return mix(h)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 ANCHOR = 5
-SET_LIMIT = 200_000
+SET_LIMIT = 50_000
 #: Contaminated when hits are at least one word in so many.
 SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,16 +88,18 @@ def scan(docs: DataFrame, by_length: dict[int, list[str]]) -> DataFrame:
     return _settle(out.withColumn("hits", F.when(F.col("touched"), F.expr(f"concat({', '.join(found)})")).otherwise(none)).drop("touched"))
 
 
+def _windows_of(length: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size("w") - (length - 1))
+    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, length), " "))
+
+
 def scan_by_join(docs: DataFrame, wins: DataFrame, lengths: list[int]) -> DataFrame:
     """The same columns for a benchmark too large for a literal set: hashed windows joined by a shuffle."""
     base = docs.withColumn("w", words()).withColumn("_row", F.monotonically_increasing_id())
     parts = []
     for length in lengths:
         w = base.where(F.size("w") >= length)
-        grams = w.select(
-            "_row",
-            F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (length - 1)), lambda i, n=length: F.array_join(F.slice("w", i, n), " "))).alias("p", "win"),
-        )
+        grams = w.select("_row", F.posexplode(_windows_of(length)).alias("p", "win"))
         known = wins.where(F.col("len") == length).select("win").distinct()
         parts.append(grams.join(known.hint("shuffle_hash"), "win").select("_row", F.struct((F.col("p") + 1).alias("pos"), F.lit(length).alias("len"), "win").alias("hit")))
     hits = parts[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language_id, line_dedup, near_dedup, oracles, pii, quality_rules, source_mix, token_counts
+from quarry.llm import decontaminate, language_id, line_dedup, near_dedup, oracles, pii, quality_model, quality_rules, source_mix, token_counts
 from quarry.session import table
 
 TOKENIZER = os.environ.get("QUARRY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
@@ -44,6 +44,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.source_mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 

@@ -30,18 +30,18 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 PUNCTUATION = "#*$%&|<>{}[]"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, quality weight in (0.5, 1] and the uniform draw u in (0, 1)."""
+def sized(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, source, size in words, quality weight in (0.5, 1] and the uniform draw u in (0, 1)."""
     text = F.coalesce("text", F.lit(""))
     clutter = F.length(text) - F.length(F.translate(text, PUNCTUATION, ""))
     hexed = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.md5(text))))
     return docs.select(
-        "doc_id",
+        key,
         "source",
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         clutter.cast("long").alias("clutter"),
         ((F.conv(F.substring(hexed, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))).alias("u"),
-    ).select("doc_id", "source", "size", quality().alias("quality"), "u")
+    ).select(key, "source", "size", quality().alias("quality"), "u")
 
 
 def quality() -> Column:
@@ -76,9 +76,12 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     return per.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def source_mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words taken, repeats counted)."""
-    rows = cut(sized(docs))  # a few numbers a document; the texts are read once
+def source_mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, source, size, source_size, target, taken (words taken, repeats counted).
+
+    The draws always come from doc_id; ``key`` is the column that names a row in the result.
+    """
+    rows = cut(sized(docs, key))  # a few numbers a document; the texts are read once
     # one small row per source, joined by a hash on the source; AQE splits a hot source
     goal = targets(rows).withColumns(
         {
@@ -102,10 +105,19 @@ def source_mix(docs: DataFrame) -> DataFrame:
     # the document that crosses the budget is taken when that ends nearer to the target
     extra = F.when((F.col("ahead") + F.col("upto") - F.col("size") / 2) <= F.col("rest"), F.col("size")).otherwise(0)
     return running.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken")
+        key, "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken")
     )
 
 
+def take(docs: DataFrame) -> DataFrame:
+    """The documents of the mix: every column of ``docs`` and ``copies``, how often the document is taken."""
+    names = [c for c in docs.columns if c != "copies"]
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_row")
+    mix = source_mix(docs.select("doc_id", "text", "source", key), "_row").where("taken > 0")
+    mix = mix.groupBy("_row").agg(F.first(F.expr("cast(taken / size as int)")).alias("_copies"))
+    return docs.select(*names, key).join(mix, "_row").select(*names, F.col("_copies").alias("copies"))
+
+
 def per_source(mix: DataFrame) -> DataFrame:
     """Report: taken against target by source."""
     return mix.groupBy("source").agg(

@@ -91,15 +91,15 @@ def source_mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal = goal.select(F.col("source").alias("_s"), "source_size", "target", "epochs", "rest", "bins")
-    key = -F.log(F.col("u")) / F.col("quality")
+    drawn = -F.log(F.col("u")) / F.col("quality")
     keyed = rows.join(goal, F.col("source").eqNullSafe(F.col("_s"))).withColumns(
         # 1 - exp(-key) grows with the key, and is uniform where every quality is 1
-        {"key": key, "bin": F.least(F.floor((1 - F.exp(-key)) * F.col("bins")), F.col("bins") - 1)}
+        {"drawn": drawn, "bin": F.least(F.floor((1 - F.exp(-drawn)) * F.col("bins")), F.col("bins") - 1)}
     )
     sums = keyed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_g"), F.col("bin").alias("_b"), F.coalesce(F.sum("bin_size").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "bin").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "bin").orderBy("drawn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     running = keyed.withColumn("upto", F.sum("size").over(inside))
     running = running.join(sums, F.col("source").eqNullSafe(F.col("_g")) & (F.col("bin") == F.col("_b")))
     # the document that crosses the budget is taken when that ends nearer to the target

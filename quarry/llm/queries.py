@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language_id, line_dedup, near_dedup, oracles, pii, quality_model, quality_rules, source_mix, token_counts
+from quarry.llm import decontaminate, language_id, line_dedup, near_dedup, oracles, pii, quality_model, quality_rules, source_mix, suffix_dedup, token_counts
 from quarry.session import table
 
 TOKENIZER = os.environ.get("QUARRY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
@@ -28,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents"))
 

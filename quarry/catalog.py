@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from quarry.plans.tables import with_tables
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -15,7 +17,10 @@ def query(name: str, oracle: str | None = None) -> Callable:
         assert name not in QUERIES, name
         QUERIES[name] = f
         if oracle is not None:
-            ORACLES[name] = oracle
+            ORACLES[name] = with_tables(oracle)
         return f
 
     return add
+
+
+from quarry.plans import facts, graphs, joins, stores, texts, usage, vectors  # noqa: E402, F401

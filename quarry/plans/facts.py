@@ -1 +1,358 @@
+"""Queries over filters, lineage and code facts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.catalog import query
+from quarry.functions.text import camel_tokens, confidence_rank, version_at_most
+from quarry.operators import facts as L
+from quarry.operators import filters as X
+from quarry.plans.tables import kb
+
+_RANK = "CASE confidence WHEN 'exact' THEN 3 WHEN 'resolved' THEN 2 WHEN 'derived' THEN 1 WHEN 'recovered' THEN 0 ELSE -1 END"
+
+
+@query("f01_branch", "SELECT id FROM docs WHERE status = 'stable' OR branches[1] = 'feature/3'")
+def f01(spark, d):
+    return X.for_branch(kb(spark, d, "docs"), "feature/3").select("id")
+
+
+@query("f01_branch_glob", "SELECT id FROM docs WHERE status = 'stable' OR branches[2] = 'rel-*'")
+def f01b(spark, d):
+    return X.for_branch(kb(spark, d, "docs"), "rel-7.2").select("id")
+
+
+@query("f02_feature", "SELECT id FROM docs WHERE contains(lower(feature), 'port') OR contains(lower(aliases[1]), 'port') OR contains(lower(aliases[2]), 'port')")
+def f02(spark, d):
+    return X.for_feature(kb(spark, d, "docs"), "PORT").select("id")
+
+
+@query("f03_role", "SELECT id FROM docs WHERE content_type <> 'de' OR (feature = 'Billing' AND source_name = 'src4')")
+def f03(spark, d):
+    docs = kb(spark, d, "docs").select("id", F.when(F.col("content_type") == "de", "audience_response").otherwise(F.col("content_type")).alias("content_type"), F.col("feature").alias("audience"), F.col("source_name").alias("fingerprint"))
+    return X.for_role(docs, "Billing", "src4").select("id")
+
+
+@query("f04_paths", "SELECT id FROM docs WHERE len(list_filter(files, lambda f: contains(f, 'src/src4/m1') OR contains('src/src4/m1', f))) > 0")
+def f04(spark, d):
+    return X.in_paths(kb(spark, d, "docs"), ["src/src4/m1"]).select("id")
+
+
+@query("f05_closure", "WITH RECURSIVE c(s) AS (SELECT 'n7' UNION SELECT depends_on FROM c JOIN relations ON source_name = s) SELECT s AS source FROM c")
+def f05(spark, d):
+    return spark.createDataFrame([(s,) for s in X.closure(kb(spark, d, "relations"), "n7")], "source string")
+
+
+@query("f05_reverse_closure", "WITH RECURSIVE c(s) AS (SELECT 'root' UNION SELECT source_name FROM c JOIN relations ON depends_on = s) SELECT s AS source FROM c")
+def f05r(spark, d):
+    return spark.createDataFrame([(s,) for s in X.closure(kb(spark, d, "relations"), "root")], "source string")
+
+
+_SCOPE = "('src1', 'src2', 'src5')"
+
+
+@query("f07_share_gate", f"""WITH n AS (SELECT cluster_id, count(*) AS total, count(*) FILTER (source_name IN {_SCOPE}) AS inside FROM theme_members JOIN docs ON docs.id = element_id GROUP BY 1)
+SELECT cluster_id FROM themes LEFT JOIN n USING (cluster_id) WHERE CASE WHEN association IS NOT NULL THEN len(list_filter(string_split(association, '|'), lambda s: s NOT IN {_SCOPE})) = 0
+ELSE coalesce(inside / total >= 0.1 AND NOT (inside = 1 AND inside / total < 0.5), false) END""")
+def f07(spark, d):
+    return X.admitted_themes(kb(spark, d, "themes"), kb(spark, d, "theme_members"), kb(spark, d, "docs"), ["src1", "src2", "src5"])
+
+
+@query("f06_admit", f"SELECT pos, id FROM (SELECT n % 300 AS pos, 'd' || (n * 3 % 700) AS id FROM docs WHERE n < 300) a WHERE id IN (SELECT id FROM docs WHERE source_name IN {_SCOPE})")
+def f06(spark, d):
+    docs = kb(spark, d, "docs")
+    ids = docs.where("n < 300").select((F.col("n") % 300).alias("pos"), F.concat(F.lit("d"), F.col("n") * 3 % 700).alias("id"))
+    return X.admit(ids, docs, kb(spark, d, "themes"), ["src1", "src2", "src5"])
+
+
+@query("f08_edges_in_scope", "SELECT e.* FROM sym_edges e WHERE caller IN (SELECT id FROM symbols WHERE source_name IN ('s0', 's1')) AND callee IN (SELECT id FROM symbols WHERE source_name IN ('s0', 's1'))")
+def f08(spark, d):
+    return X.edges_in_scope(kb(spark, d, "sym_edges"), kb(spark, d, "symbols"), ["s0", "s1"])
+
+
+@query("f09_floor", f"SELECT confidence, count(*) AS n FROM data_access WHERE {_RANK} >= 1 GROUP BY 1")
+def f09(spark, d):
+    return X.over_floor(kb(spark, d, "data_access"), "derived").groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f10_distinctive", """SELECT id, contains(title, ' ') OR contains(title, '_') OR regexp_matches(title, '[a-z].*[A-Z]|[A-Z].*[a-z].*[A-Z]') AS distinctive,
+CASE WHEN contains(title, ' ') THEN 'phrase' WHEN contains(title, '_') OR regexp_matches(title, '[.()]|[a-z][A-Z]') THEN 'api' ELSE 'product' END AS class FROM docs""")
+def f10(spark, d):
+    t = F.col("title")
+    return kb(spark, d, "docs").select("id", X.is_distinctive(t).alias("distinctive"), X.entity_class(t).alias("class"))
+
+
+@query("f11_surfaces", """SELECT id, array_to_string(list_filter(list_value(CASE WHEN regexp_matches(title, '(?i)(^|[^A-Za-z0-9])(in|on)') THEN 'inward' END, CASE WHEN regexp_matches(title, '(?i)(^|[^A-Za-z0-9])(the|th)') THEN 'thing' END), lambda x: x IS NOT NULL), ',') AS surfaces FROM docs""")
+def f11(spark, d):
+    return kb(spark, d, "docs").select("id", F.array_join(X.surfaces(F.col("title"), {"inward": ["in", "on"], "thing": ["the", "th"]}), ",").alias("surfaces"))
+
+
+@query("f12_tiers", "SELECT id, provenance = 'official' AND source_name IN ('src1', 'src2') AS tier2 FROM docs")
+def f12(spark, d):
+    return X.tiers(kb(spark, d, "docs"), ["src1", "src2"])
+
+
+@query("f13_expired", "SELECT id FROM docs WHERE n % 3 <> 0 AND updated_at < TIMESTAMP '2024-01-10 00:00:00'")
+def f13(spark, d):
+    docs = kb(spark, d, "docs").select("id", F.when(F.col("n") % 3 == 0, "not a date").otherwise(F.col("updated_at").cast("string")).alias("expires_at"))
+    return X.expired(docs, "2024-01-10 00:00:00").select("id")
+
+
+@query("f14_gotchas", "SELECT id, encounter_count FROM docs WHERE status <> 'deprecated' AND list_contains(files, 'lib/F_5.py')")
+def f14(spark, d):
+    return X.gotchas(kb(spark, d, "docs"), ["lib/F_5.py"]).select("id", "encounter_count")
+
+
+@query("f15_noise", """WITH f AS (SELECT 'a' || n || CASE WHEN n % 9 = 0 THEN '/vendor/x' WHEN n % 7 = 0 THEN '/u' || n || '.min.js' ELSE '/m' || (n % 30) || '.py' END AS file, CASE WHEN n % 9 = 0 THEN 'x' WHEN n % 7 = 0 THEN 'u' || n || '.min.js' ELSE 'm' || (n % 30) || '.py' END AS name FROM docs),
+c AS (SELECT name, count(*) AS k FROM f GROUP BY 1) SELECT file, regexp_matches(file, '(^|/)(node_modules|vendor|third_party|dist)/|[.]min[.](js|css)$') OR k > 20 AS noise FROM f JOIN c USING (name)""")
+def f15(spark, d):
+    n = F.col("n").cast("string")
+    tail = F.when(F.col("n") % 9 == 0, "/vendor/x").when(F.col("n") % 7 == 0, F.concat(F.lit("/u"), n, F.lit(".min.js"))).otherwise(F.concat(F.lit("/m"), (F.col("n") % 30).cast("string"), F.lit(".py")))
+    f = kb(spark, d, "docs").select(F.concat(F.lit("a"), n, tail).alias("file"))
+    return X.catalogue_noise(f.withColumn("name", F.element_at(F.split("file", "/"), -1)), 20)
+
+
+@query("f16_production", "SELECT file, NOT regexp_matches(file, '/(test|tests|benchmark|benchmarks|target|generated)/') AS production FROM (SELECT DISTINCT CASE n % 4 WHEN 0 THEN 'a/tests/' WHEN 1 THEN 'a/target/' ELSE 'a/src/' END || n AS file FROM docs)")
+def f16(spark, d):
+    f = kb(spark, d, "docs").select(F.concat(F.when(F.col("n") % 4 == 0, "a/tests/").when(F.col("n") % 4 == 1, "a/target/").otherwise("a/src/"), "n").alias("file")).distinct()
+    return f.select("file", X.is_production(F.col("file")).alias("production"))
+
+
+@query("n01_page_total", "SELECT id, content_type, (SELECT count(*) FROM docs WHERE content_type IN ('de', 'fr')) AS total FROM docs WHERE content_type IN ('de', 'fr') ORDER BY content_type, id LIMIT 10 OFFSET 20")
+def n01(spark, d):
+    return X.page(kb(spark, d, "docs").where("content_type in ('de', 'fr')").select("id", "content_type"), ["content_type", "id"], 10, 20)
+
+
+@query("n02_first_per_key", "SELECT source_name, arg_min(id, (updated_at, id)) AS id FROM docs GROUP BY 1")
+def n02(spark, d):
+    return X.keep_first(kb(spark, d, "docs"), ["source_name"], ["updated_at", "id"]).select("source_name", "id")
+
+
+@query("n03_lead", "SELECT event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events")
+def n03(spark, d):
+    from pyspark.sql import Window
+
+    from quarry.session import table
+
+    return table(spark, d, "events").select("event_id", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next_ts"))
+
+
+@query("n04_rank_scores", "SELECT id, round((count(*) OVER () - (row_number() OVER (ORDER BY length(content) DESC, id) - 1)) / count(*) OVER (), 6) AS rank_score FROM docs WHERE content_type = 'es'")
+def n04(spark, d):
+    return X.rank_scores(kb(spark, d, "docs").where("content_type = 'es'"), [F.desc(F.length("content")), F.col("id")]).select("id", "rank_score")
+
+
+@query("n05_keep_first", "SELECT file, line, callee FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY callee, caller, edge_type) AS r FROM sym_edges) WHERE r = 1")
+def n05(spark, d):
+    return X.keep_first(kb(spark, d, "sym_edges"), ["file", "line"], ["callee", "caller", "edge_type"]).select("file", "line", "callee")
+
+
+@query("n06_most_common", "SELECT feature, count(*) AS n FROM docs GROUP BY 1 ORDER BY n DESC, feature LIMIT 2")
+def n06(spark, d):
+    return kb(spark, d, "docs").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "feature").limit(2)
+
+
+@query("n08_union_distinct", "SELECT target_id AS id, weight FROM doc_graph WHERE source_id = 'd8' UNION SELECT source_id, weight FROM doc_graph WHERE target_id = 'd8'")
+def n08(spark, d):
+    g = kb(spark, d, "doc_graph")
+    return g.where("source_id = 'd8'").select(F.col("target_id").alias("id"), "weight").union(g.where("target_id = 'd8'").select("source_id", "weight")).distinct()
+
+
+@query("n09_union_all", "SELECT source_id AS id FROM doc_graph UNION ALL SELECT target_id FROM doc_graph")
+def n09(spark, d):
+    g = kb(spark, d, "doc_graph")
+    return g.select(F.col("source_id").alias("id")).union(g.select("target_id"))
+
+
+@query("n10_set_algebra", "(SELECT id FROM docs WHERE status = 'stable' INTERSECT SELECT id FROM docs WHERE content_type = 'en') EXCEPT SELECT 'd' || id FROM vecs")
+def n10(spark, d):
+    docs = kb(spark, d, "docs")
+    return docs.where("status = 'stable'").select("id").intersect(docs.where("content_type = 'en'").select("id")).subtract(kb(spark, d, "vecs").select(F.concat(F.lit("d"), "id")))
+
+
+# --- lineage --------------------------------------------------------------------------------------------------
+
+
+@query("l04_data_access", f"SELECT consumer, CASE WHEN role = 'writes' THEN 'writes' ELSE 'reads' END AS side, confidence FROM data_access WHERE schema_id = 'col7' AND {_RANK} >= 1")
+def l04(spark, d):
+    return L.access_for(kb(spark, d, "data_access"), "col7", "derived")
+
+
+@query("l05_touched_by", "SELECT DISTINCT schema_id, role FROM data_access WHERE consumer = 'o5'")
+def l05(spark, d):
+    return L.touched_by(kb(spark, d, "data_access"), "o5")
+
+
+@query("l06_accesses_to_table", "SELECT consumer, column_name, role, line FROM data_access JOIN schema_symbols s ON s.id = schema_id WHERE table_name = (SELECT min(table_name) FROM schema_symbols)")
+def l06(spark, d):
+    s = kb(spark, d, "schema_symbols")
+    return L.accesses_to_table(kb(spark, d, "data_access"), s, s.agg(F.min("table_name")).first()[0])
+
+
+@query("l07_schema_of_table", "SELECT column_name, column_type, is_nullable, is_primary_key FROM schema_symbols WHERE table_name = (SELECT min(table_name) FROM schema_symbols)")
+def l07(spark, d):
+    s = kb(spark, d, "schema_symbols")
+    return L.schema_of_table(s, s.agg(F.min("table_name")).first()[0])
+
+
+@query("l08_dead_columns", f"SELECT id, table_name, column_name FROM schema_symbols WHERE {_RANK} >= 2 AND id NOT IN (SELECT schema_id FROM data_access)")
+def l08(spark, d):
+    return L.dead_columns(kb(spark, d, "schema_symbols"), kb(spark, d, "data_access"), "resolved")
+
+
+@query("l09_model_gaps", "SELECT schema_id, count(*) AS sites FROM data_access WHERE schema_id NOT IN (SELECT id FROM schema_symbols WHERE is_primary_key) GROUP BY 1")
+def l09(spark, d):
+    return L.model_gaps(kb(spark, d, "data_access"), kb(spark, d, "schema_symbols").where("is_primary_key"))
+
+
+_SQL = ["select a.id, b.name from orders a join users b on a.uid = b.id", "insert into logs (ts, msg) values (1, 'x')", "update users set name = 'x', age = 3 where id = 1", "select * from users", "with c as (select id from orders) select c.id from c", "not a statement"]
+
+
+@query("l01_is_sql", "SELECT n AS id, n % 6 <> 5 AS is_sql FROM docs")
+def l01(spark, d):
+    from quarry.session import ship_package
+
+    ship_package(spark)
+    f = F.pandas_udf(lambda s: s.map(L.is_sql), "boolean")
+    texts = F.element_at(F.array(*map(F.lit, _SQL)), (F.col("n") % 6 + 1).cast("int"))
+    return kb(spark, d, "docs").select(F.col("n").alias("id"), f(texts).alias("is_sql"))
+
+
+@query("l03_sql_access")
+def l03(spark, d):
+    docs = kb(spark, d, "docs").where("n % 6 < 5")
+    lit = docs.select(F.col("id").alias("consumer"), F.element_at(F.array(*map(F.lit, _SQL)), (F.col("n") % 6 + 1).cast("int")).alias("text"))
+    cols = spark.createDataFrame([("users", "id"), ("users", "name"), ("users", "age"), ("orders", "id"), ("orders", "uid"), ("logs", "ts")], "table_name string, column_name string")
+    return L.access_from_sql(lit, cols)
+
+
+# --- extractors: the code files are generated, so that the expected rows are known -----------------------------
+
+
+def _code(spark, d, *parts):
+    return kb(spark, d, "docs").select(F.col("id").alias("file"), F.concat(*parts).alias("text"))
+
+
+def _n():
+    return F.col("n").cast("string")
+
+
+@query("l10_orm_columns", "SELECT id AS file, 2 AS line, 'c' || n AS column_name, 'Integer' AS column_type FROM docs UNION ALL SELECT id, 3, 'name', 'CharField' FROM docs")
+def l10(spark, d):
+    return L.orm_columns(_code(spark, d, F.lit("class A(Base):\n    c"), _n(), F.lit(" = Column(Integer)\n    name = models.CharField(max_length=3)")))
+
+
+@query("l11_http_routes", "SELECT id AS file, 1 AS line, 'GET' AS method, '/items/' || n AS path FROM docs UNION ALL SELECT id, 3, NULL, '/x' FROM docs")
+def l11(spark, d):
+    return L.http_routes(_code(spark, d, F.lit('@app.get("/items/'), _n(), F.lit("\")\ndef f(): pass\n@bp.route('/x')")))
+
+
+@query("l12_http_clients", "SELECT id AS file, 2 AS line, 'requests' AS sink, 'POST' AS method, 'http://h/' || n AS url FROM docs")
+def l12(spark, d):
+    return L.http_clients(_code(spark, d, F.lit('import requests\nr = requests.post("http://h/'), _n(), F.lit('", json=x)')))
+
+
+@query("l13_processes", "SELECT id AS file, 1 AS line, 'tool' || n AS target FROM docs UNION ALL SELECT id, 2, 'ls' FROM docs")
+def l13(spark, d):
+    return L.processes(_code(spark, d, F.lit('subprocess.run(["tool'), _n(), F.lit('", "-x"])\nos.system("ls -l")')))
+
+
+@query("l14_string_literals", "SELECT id AS file, 1 AS line, 5 AS col, 'abc' || n AS value FROM docs UNION ALL SELECT id, 2, 6, 'xyz' FROM docs")
+def l14(spark, d):
+    return L.string_literals(_code(spark, d, F.lit('a = "abc'), _n(), F.lit("\"\nbb = 'xyz'; c = 'q'"))).select("file", "line", "col", "value")
+
+
+@query("l16_config_usage", "SELECT id AS file, 1 AS line, 'read' AS how FROM docs WHERE n % 2 = 0 UNION ALL SELECT id, 1, 'literal' FROM docs WHERE n % 2 = 1 AND n % 3 = 0")
+def l16(spark, d):
+    docs = kb(spark, d, "docs").withColumn("line", F.lit(1))
+    reads = docs.where("n % 2 = 0").select(F.col("id").alias("file"), "line", F.lit("K").alias("key"))
+    return L.config_usage(reads, docs.where("n % 3 = 0").select(F.col("id").alias("file"), "line", F.lit("K").alias("value")), "K")
+
+
+@query("l17_version_facts", "SELECT id, 'since' AS fact, '1.' || (n % 20) AS version FROM docs UNION SELECT id, 'deprecated in', '2.0' FROM docs WHERE n % 2 = 0")
+def l17(spark, d):
+    text = F.concat(F.lit("Since: v1."), F.col("n") % 20, F.lit(" and since 1."), F.col("n") % 20, F.when(F.col("n") % 2 == 0, ". Deprecated in 2.0.").otherwise("."))
+    return L.version_facts(kb(spark, d, "docs").select("id", text.alias("text")))
+
+
+@query("l17_version_compare", "SELECT id, CASE WHEN n % 10 = 9 THEN NULL ELSE (n % 4, n % 10) <= (2, 5) END AS ok FROM docs")
+def l17v(spark, d):
+    v = F.when(F.col("n") % 10 == 9, "head").otherwise(F.concat(F.lit("v"), F.col("n") % 4, F.lit("."), F.col("n") % 10, F.lit("-rc")))
+    return kb(spark, d, "docs").select("id", version_at_most(v, F.lit("2.5")).alias("ok"))
+
+
+@query("l17_availability", "SELECT 'f' || (n % 30) AS name, '1.' || max(n) AS version, max(n) <= 900 AS available FROM docs GROUP BY n % 30")
+def l17a(spark, d):
+    f = kb(spark, d, "docs").select(F.concat(F.lit("f"), F.col("n") % 30).alias("name"), F.lit("since").alias("fact"), F.concat(F.lit("1."), "n").alias("version"), F.col("n").alias("id"))
+    return L.availability(f, F.lit("1.900"))
+
+
+@query("l19_dependencies", """WITH j AS (SELECT source_name, id AS file, 'src' || (n % 5) AS depends_on FROM docs WHERE source_name <> 'src' || (n % 5)), r AS (SELECT *, row_number() OVER (PARTITION BY source_name, depends_on ORDER BY file) AS r FROM j)
+SELECT source_name, depends_on, count(*) AS files, string_agg(CASE WHEN r <= 3 THEN file END, ',' ORDER BY file) AS evidence FROM r GROUP BY 1, 2""")
+def l19(spark, d):
+    docs = kb(spark, d, "docs")
+    f = docs.select("source_name", F.col("id").alias("file"), F.concat(F.lit("import os\nfrom src"), F.col("n") % 5, F.lit(".x import y")).alias("text"))
+    return L.dependencies(f, docs.select("source_name").distinct())
+
+
+@query("l20_guardrails", "SELECT true AS all_ok, false AS missing_ok, true AS any_ok")
+def l20(spark, d):
+    s = kb(spark, d, "symbols")
+    has, no = {"symbol_exists": "m.Order1"}, {"symbol_exists": "nope"}
+    row = (L.guardrail(s, {"all_of": [has, {"name_contains": "Order"}]}), L.guardrail(s, {"all_of": [has, no]}), L.guardrail(s, {"any_of": [no, has]}))
+    return spark.createDataFrame([row], "all_ok boolean, missing_ok boolean, any_ok boolean")
+
+
+@query("l21_element_body", "SELECT id, 'l' || (2 + n % 3) || chr(10) || 'l' || (3 + n % 3) AS body FROM docs")
+def l21(spark, d):
+    docs = kb(spark, d, "docs")
+    texts = spark.createDataFrame([("f", "\n".join(f"l{i}" for i in range(1, 9)))], "file string, text string")
+    e = docs.select("id", F.lit("f").alias("file"), (2 + F.col("n") % 3).cast("int").alias("line_start"), (3 + F.col("n") % 3).cast("int").alias("line_end"))
+    return L.element_body(e, texts)
+
+
+@query("s14_markdown", "SELECT id AS file, 1 AS line, 1 AS level, 'T' || n AS name FROM docs UNION ALL SELECT id, 3, 2, 'S' FROM docs")
+def s14m(spark, d):
+    return L.markdown_elements(_code(spark, d, F.lit("# T"), _n(), F.lit("\ntext\n## S\n#no")))
+
+
+@query("s14_python", "SELECT id AS file, 1 AS line, 0 AS depth, 'class' AS kind, 'A' || n AS name FROM docs UNION ALL SELECT id, 2, 4, 'def', 'f' FROM docs UNION ALL SELECT id, 3, 0, 'def', 'g' FROM docs")
+def s14p(spark, d):
+    return L.python_elements(_code(spark, d, F.lit("class A"), _n(), F.lit(":\n    def f(self): pass\nasync def g(): pass")))
+
+
+@query("s14_json", "SELECT id AS file, 0 AS pos, 'k' || n AS name FROM docs UNION ALL SELECT id, 1, 'z' FROM docs")
+def s14j(spark, d):
+    return L.json_elements(_code(spark, d, F.lit('{"k'), _n(), F.lit('": 1, "z": {"a": 2}}')))
+
+
+@query("s17_ini", "SELECT id AS file, 2 AS line, 'main' AS section, 'key' AS key, 'v' || n AS value FROM docs UNION ALL SELECT id, 4, 'main', 'B', 'q r' FROM docs")
+def s17(spark, d):
+    return L.ini_entries(_code(spark, d, F.lit("[main]\nkey = v"), _n(), F.lit('\n; note = x\nexport B="q r"')))
+
+
+@query("s17_dockerfile", "SELECT id AS file, 1 AS line, 'FROM' AS key, 'py:' || n AS value FROM docs UNION ALL SELECT id, 2, 'ENV', 'A=1' FROM docs")
+def s17d(spark, d):
+    return L.dockerfile_entries(_code(spark, d, F.lit("FROM py:"), _n(), F.lit("\nENV A=1 \n# RUN x")))
+
+
+@query("s16_openapi", "SELECT id AS file, '/i/{id}' AS path, 'GET' AS method, 'op' || n AS operation FROM docs UNION ALL SELECT id, '/i/{id}', 'POST', NULL FROM docs")
+def s16(spark, d):
+    return L.openapi_endpoints(_code(spark, d, F.lit('{"paths": {"/i/{id}": {"get": {"operationId": "op'), _n(), F.lit('"}, "post": {}}}}')))
+
+
+@query("s18_create_tables", """SELECT id AS file, 't' || n AS table_name, 0 AS pos, 'id' AS column_name, 'INT' AS column_type, true AS is_primary_key, true AS is_nullable FROM docs UNION ALL SELECT id, 't' || n, 1, 'price', 'DECIMAL', false, false FROM docs""")
+def s18(spark, d):
+    return L.create_tables(_code(spark, d, F.lit("CREATE TABLE IF NOT EXISTS T"), _n(), F.lit(" (\n id INT PRIMARY KEY,\n price DECIMAL(10, 2) NOT NULL,\n UNIQUE (price));")))
+
+
+@query("x29_camel_tokens", "SELECT id, 'get,user,name,' || n || ',http,item' AS tokens FROM docs")
+def x29(spark, d):
+    text = F.concat(F.lit("getUserName"), "n", F.lit("_HTTP items"))
+    return kb(spark, d, "docs").select("id", F.array_join(camel_tokens(text), ",").alias("tokens"))
+
+
+@query("x30_confidence_rank", f"SELECT id, {_RANK} AS rank FROM schema_symbols")
+def x30(spark, d):
+    return kb(spark, d, "schema_symbols").select("id", confidence_rank(F.col("confidence")).alias("rank"))

@@ -21,7 +21,7 @@ def listing(spark: SparkSession, root: str, exclude: list[str] = (), glob: str =
 
 def text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(file, text) of whole text files."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return df.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 

@@ -29,6 +29,7 @@ SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 NOT_WORD_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: str = "text") -> Column:
@@ -95,10 +96,11 @@ def _windows_of(length: int) -> Column:
 
 def scan_by_join(docs: DataFrame, wins: DataFrame, lengths: list[int]) -> DataFrame:
     """The same columns for a benchmark too large for a literal set: hashed windows joined by a shuffle."""
-    base = docs.withColumn("w", words()).withColumn("_row", F.monotonically_increasing_id())
+    base = docs.withColumn("w", words()).withColumn("_row", F.md5(F.coalesce("text", F.lit(""))))
+    once = base.select("_row", "w").dropDuplicates(["_row"])  # equal texts have equal hits
     parts = []
     for length in lengths:
-        w = base.where(F.size("w") >= length)
+        w = once.where(F.size("w") >= length)
         grams = w.select("_row", F.posexplode(_windows_of(length)).alias("p", "win"))
         known = wins.where(F.col("len") == length).select("win").distinct()
         parts.append(grams.join(known.hint("shuffle_hash"), "win").select("_row", F.struct((F.col("p") + 1).alias("pos"), F.lit(length).alias("len"), "win").alias("hit")))
@@ -173,16 +175,19 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, _ = flagged(safe, benchmark)
     rows = _settle(rows.withColumn("hit", hit_words()))
     rows = rows.where(~is_contaminated(F.size("hit"), F.size("w")))
-    inner = F.split("text", NOT_WORD_ANY_CASE)
+    touched = F.size("hit") > 0
+    rows = rows.withColumns({"inner": F.when(touched, F.split("text", NOT_WORD_ANY_CASE)), "gaps": F.when(touched, F.split("text", WORD_ANY_CASE))})
+    rows = _settle(rows.drop("w", "hits"))  # else both arrays would be made again for every word
+    inner, gaps = F.col("inner"), F.col("gaps")
     lead = F.when(F.element_at(inner, 1) == "", 1).otherwise(0)  # the text starts with a separator
-    gaps = F.split("text", "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+    n_words = F.size(gaps) - 1
     # gaps[i] stands before word i; hit words are numbered from 1
     rebuilt = F.array_join(
         F.transform(
-            F.sequence(F.lit(1), F.size("w")),
+            F.sequence(F.lit(1), n_words),
             lambda i: F.concat(F.element_at(gaps, i), F.when(F.array_contains("hit", i), "").otherwise(F.element_at(inner, i + lead))),
         ),
         "",
     )
-    text = F.when(F.size("hit") > 0, F.concat(rebuilt, F.element_at(gaps, -1))).otherwise(F.col("text"))
+    text = F.when(touched, F.concat(rebuilt, F.element_at(gaps, -1))).otherwise(F.col("text"))
     return rows.select(*((text if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import confidence_rank, glob_column
+from quarry.operators.ranking import positions
 
 
 def for_branch(docs: DataFrame, branch: str) -> DataFrame:
@@ -153,7 +154,7 @@ def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def rank_scores(df: DataFrame, order: list) -> DataFrame:
-    """(n - i) / n by position."""
-    i = F.row_number().over(Window.orderBy(*order)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn("rank_score", F.round((n - i) / n, 6))
+    """(n - i) / n by position in a total order; the whole table may be ranked."""
+    n = df.agg(F.count(F.lit(1)).alias("_total"))
+    ranked = positions(df, order, "_pos").crossJoin(F.broadcast(n))
+    return ranked.withColumn("rank_score", F.round((F.col("_total") - (F.col("_pos") - 1)) / F.col("_total"), 6)).drop("_pos", "_total")

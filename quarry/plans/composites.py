@@ -13,6 +13,7 @@ from quarry.operators import graph as G
 from quarry.operators import quality as Q
 from quarry.operators import store as S
 from quarry.operators import vector as V
+from quarry.operators.ranking import positions
 from quarry.plans.tables import kb
 from quarry.plans.vectors import _COS, _S, _meta, _vq
 from quarry.session import table
@@ -111,10 +112,8 @@ def a23(spark, d):
 
 @query("n07_multi_key_order", "SELECT row_number() OVER (ORDER BY role, line DESC, consumer, schema_id, confidence) AS pos, consumer, schema_id FROM data_access WHERE line < 50")
 def n07(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.orderBy("role", F.desc("line"), "consumer", "schema_id", "confidence")
-    return kb(spark, d, "data_access").where("line < 50").select(F.row_number().over(w).cast("long").alias("pos"), "consumer", "schema_id")
+    rows = kb(spark, d, "data_access").where("line < 50")
+    return positions(rows, ["role", F.desc("line"), "consumer", "schema_id", "confidence"], "pos").select("pos", "consumer", "schema_id")
 
 
 @query("i14_sync_state", "SELECT source_name, CASE WHEN source_name LIKE '%1' THEN 'new' ELSE 'old' END AS git_hash FROM (SELECT DISTINCT source_name FROM docs)")

@@ -11,8 +11,9 @@ one minimizer form a segment, and all occurrences of a repeated window lie in se
 3. The texts of the other distinct segments are fetched, dealt by minimizer, and put through the threshold-bounded
    interval expansion of ``bwt.py`` in blocks of about ``BLOCK_BYTES``.
 4. A minimizer with more than ``GROUP_LIMIT`` distinct segments (a hot passage in ever new surroundings) would
-   put an unbounded group into one task. Its windows are hashed and counted one by one instead, which is exact
-   as well, and partially aggregated before the shuffle.
+   put an unbounded group into one task. Its segments are cut into bands of starts, keyed by the core that all
+   windows of a band share, and go through the expansion by core. A core that is still hot has its windows hashed and
+   counted one by one, which is exact as well and partially aggregated before the shuffle.
 5. Repeated windows go back to every occurrence of their segment, and the bytes they cover are removed.
 
 Edge cases: texts are UTF-8 bytes; null is empty; texts shorter than LEAST bytes have no window and stay whole;
@@ -38,7 +39,8 @@ from quarry.session import arrow_map, cut
 LEAST = 200
 GRAM = 101
 SPAN = LEAST - GRAM + 1  # grams in a window
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+BAND = 25  # starts that share a core, where a minimizer is hot
 GROUP_LIMIT = 256
 
 
@@ -56,11 +58,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def window_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimizer: row, first start, number of starts, minimizer hash, segment hash."""
+def window_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: row, first start, number of starts, distance from the first start to the
+    minimizer, minimizer hash, segment hash."""
     none = np.zeros(0, np.int64)
     if len(data) < LEAST:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     pref = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(tb.BYTE_CODE[data] * tb.powers("up", len(data)), out=pref[1:])
     down = tb.powers("down", len(data) + 1)
@@ -72,7 +75,7 @@ def window_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     rows = np.repeat(np.arange(len(sizes)), n_win)
     starts = np.arange(int(n_win.sum())) - np.repeat(np.cumsum(n_win) - n_win, n_win) + offs[rows]
     if not len(starts):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     place = where[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])
@@ -80,21 +83,27 @@ def window_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     count = np.diff(np.append(first, len(starts)))
     s = starts[first]
     seg = tb.mix((pref[s + count + LEAST - 1] - pref[s]) * down[s] + count.astype(np.uint64))
-    return rows[first], s, count, grams[place[first]], seg
+    return rows[first], s, count, place[first] - s, grams[place[first]], seg
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """(dk, mh, sh, at): document, minimizer, segment digest, and start * 128 + number of windows."""
+    """(dk, mh, sh, at, reps): document, minimizer, segment digest, place (start, distance to the minimizer and number of
+    windows in one number), and how often the segment comes in a row: periodic text is one row, not one a period."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in tb.slices(batches, "text"):
-            r, s, count, mh, sh = window_runs(data, offs)
+            r, s, count, far, mh, sh = window_runs(data, offs)
+            head = np.ones(len(r), bool)
+            head[1:] = (sh[1:] != sh[:-1]) | (mh[1:] != mh[:-1]) | (r[1:] != r[:-1])
+            head = np.flatnonzero(head)
+            reps = np.diff(np.append(head, len(r)))
+            r, s, count, far, mh, sh = (x[head] for x in (r, s, count, far, mh, sh))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(r)), pa.array(mh.view(np.int64)), pa.array(sh.view(np.int64)), pa.array((s - offs[r]) * 128 + count)],
-                ["dk", "mh", "sh", "at"],
+                [rows.column(0).take(pa.array(r)), pa.array(mh.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(((s - offs[r]) * 128 + far) * 128 + count), pa.array(reps)],
+                ["dk", "mh", "sh", "at", "reps"],
             )
 
-    return arrow_map(docs.select(doc_key().alias("dk"), "text"), run, "dk long, mh long, sh long, at long")
+    return arrow_map(docs.select(doc_key().alias("dk"), "text"), run, "dk long, mh long, sh long, at long, reps long")
 
 
 def _spans_of(flags: np.ndarray) -> list[dict]:
@@ -116,15 +125,15 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             raw = data.tobytes()
             for base, segs in zip(offs.tolist(), rows.column(1).to_pylist(), strict=False):
                 for g in segs:
-                    a, n = base + (g["at"] >> 7), g["at"] & 127
-                    out.append((g["mh"], g["sh"], g["weight"], g["hot"], raw[a : a + n + LEAST - 1]))
+                    a, far, n = base + (g["at"] >> 14), g["at"] >> 7 & 127, g["at"] & 127
+                    out.append((g["mh"], g["sh"], g["weight"], far, g["hot"], raw[a : a + n + LEAST - 1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))],
-                ["mh", "sh", "weight", "hot", "seg"],
+                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))],
+                ["mh", "sh", "weight", "far", "hot", "seg"],
             )
 
     joined = docs.select(doc_key().alias("dk"), "text").join(lists, "dk").select("text", "segs")
-    return arrow_map(joined, run, "mh long, sh long, weight long, hot boolean, seg binary")
+    return arrow_map(joined, run, "mh long, sh long, weight long, far int, hot boolean, seg binary")
 
 
 def expand(segments: DataFrame) -> DataFrame:
@@ -185,13 +194,63 @@ def count_windows(segments: DataFrame) -> DataFrame:
                     ["mh", "sh", "weight", "k", "wh"],
                 )
 
-    # a document that stands twice in the table fetches its segments twice
-    once = segments.select("mh", "sh", "weight", "seg").dropDuplicates(["mh", "sh"])
-    each = arrow_map(once, run, "mh long, sh long, weight long, k int, wh long")
+    each = arrow_map(segments.select("mh", "sh", "weight", "seg"), run, "mh long, sh long, weight long, k int, wh long")
     twice = each.groupBy("wh").agg(F.sum("weight").alias("n")).where("n > 1").select("wh")
     return each.join(twice, "wh").groupBy("mh", "sh").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
 
 
+def bands(segments: DataFrame) -> DataFrame:
+    """Sub-segments of the segments of hot minimizers: (mh, sh, weight, k0, ch, wh, seg).
+
+    Starts are banded by their distance to the minimizer. All windows of a band share a core around it, so equal
+    windows lie in equal bands with equal cores: the hash of the core (``ch``) tells surroundings apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                segs = part.column(4).to_pylist()
+                data = np.frombuffer(b"".join(segs), np.uint8)
+                sizes = np.array([len(x) for x in segs], np.int64)
+                n, base, far = sizes - LEAST + 1, np.cumsum(sizes) - sizes, np.array(part.column(3).to_pylist(), np.int64)
+                low = (far - n + 1) // BAND
+                count = far // BAND - low + 1
+                at = np.repeat(np.arange(len(segs)), count)
+                b = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + low[at]
+                k0 = far[at] - np.minimum(far[at], b * BAND + BAND - 1)
+                k1 = far[at] - np.maximum(far[at] - n[at] + 1, b * BAND) + 1
+                s, e = base[at] + k0, base[at] + k1 + LEAST - 1
+                core = tb.span_hashes(data, base[at] + far[at] - b * BAND, base[at] + far[at] - b * BAND - BAND + 1 + LEAST)
+                core = tb.mix(core + b.astype(np.uint64))
+                whole = tb.mix(tb.span_hashes(data, s, e) + (k1 - k0).astype(np.uint64))
+                raw, take = data.tobytes(), pa.array(at)
+                cells = pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(take) for c in range(3)), pa.array(k0.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), cells],
+                    ["mh", "sh", "weight", "k0", "ch", "wh", "seg"],
+                )
+
+    # a document that stands twice in the table fetches its segments twice
+    once = segments.select("mh", "sh", "weight", "far", "seg").dropDuplicates(["mh", "sh"])
+    return arrow_map(once, run, "mh long, sh long, weight long, k0 int, ch long, wh long, seg binary")
+
+
+def split_hot(segments: DataFrame) -> DataFrame:
+    """Repeated starts of the segments of hot minimizers: bands of equal cores go through the expansion; only where
+    even one core has too many distinct sub-segments are its windows counted one by one."""
+    parts = cut(bands(segments))
+    distinct = parts.groupBy("ch", "wh").agg(F.sum("weight").alias("weight"), F.first("seg").alias("seg"))
+    kinds = parts.groupBy("ch", "wh").agg(F.sum("weight").alias("w")).groupBy("ch").agg(F.count(F.lit(1)).alias("kinds"), F.sum("w").alias("all"))
+    cores = distinct.join(kinds.where(F.col("all") > 1), "ch").select(F.col("ch").alias("mh"), F.col("wh").alias("sh"), "weight", "seg", "kinds")
+    cores = cut(cores)
+    hits = expand(cores.where(F.col("kinds") <= GROUP_LIMIT)).unionByName(count_windows(cores.where(F.col("kinds") > GROUP_LIMIT)))
+    hits = hits.where(F.size("spans") > 0).select(F.col("mh").alias("ch"), F.col("sh").alias("wh"), F.explode("spans").alias("x"))
+    placed = parts.select("mh", "sh", "k0", "ch", "wh").join(hits, ["ch", "wh"])
+    span = F.struct((F.col("k0") + F.col("x.a")).alias("a"), (F.col("k0") + F.col("x.b")).alias("b"))
+    return placed.groupBy("mh", "sh").agg(F.collect_list(span).alias("spans"))
+
+
 def release(spark) -> None:
     """Let Spark drop shuffle files of jobs that a checkpoint has cut off."""
     gc.collect()
@@ -202,10 +261,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(dk, start, end): byte ranges of documents that repeated strings cover; they may overlap."""
     spark = docs.sparkSession
     found = runs(docs)
-    often = found.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
+    # as a table of its own it leaves the join two plain shuffles, which AQE can split where a minimizer is hot
+    often = cut(found.groupBy("mh").agg(F.sum("reps").alias("n")).where("n > 1").select("mh"))
     again = cut(found.join(often, "mh"))
     release(spark)
-    distinct = again.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("dk", "at")).alias("rep"))
+    distinct = again.groupBy("mh", "sh").agg(F.sum("reps").alias("weight"), F.min(F.struct("dk", "at")).alias("rep"))
     groups = distinct.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds"))
     segs = cut(distinct.join(groups, "mh").select("mh", "sh", "weight", "rep.dk", "rep.at", "kinds", (F.col("kinds") > GROUP_LIMIT).alias("hot")))
     settled = segs.where("kinds = 1").select(
@@ -213,10 +273,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     )
     texts = cut(fetch(docs, segs.where("kinds > 1")))
     release(spark)
-    hits = settled.unionByName(expand(texts.where("not hot"))).unionByName(count_windows(texts.where("hot"))).where(F.size("spans") > 0)
-    return again.join(hits, ["mh", "sh"]).select("dk", F.shiftright("at", 7).alias("start"), F.explode("spans").alias("x")).select(
-        "dk", (F.col("start") + F.col("x.a")).alias("start"), (F.col("start") + F.col("x.b") + (LEAST - 1)).alias("end")
-    )
+    hits = settled.unionByName(expand(texts.where("not hot"))).unionByName(split_hot(texts.where("hot"))).where(F.size("spans") > 0)
+    placed = again.join(hits, ["mh", "sh"]).select("dk", F.shiftright("at", 14).alias("start"), F.col("at").bitwiseAND(127).alias("n"), "reps", F.explode("spans").alias("x"))
+    # a segment that comes several times in a row is repeated as a whole, so its span is (0, n)
+    return placed.select("dk", (F.col("start") + F.col("x.a")).alias("start"), (F.col("start") + (F.col("reps") - 1) * F.col("n") + F.col("x.b") + (LEAST - 1)).alias("end"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

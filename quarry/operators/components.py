@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if before[0] == 0:
             break
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # a table of its own: the join below then has two plain shuffles, which AQE can split at a hub
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # large star: every larger neighbour points to the smallest of the closed neighbourhood
         large = (
             both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()

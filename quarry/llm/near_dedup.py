@@ -145,7 +145,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 def candidate_components(classes: DataFrame) -> DataFrame:
     """(node, component) over classes that share band buckets."""
     banded = classes.select("uid", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).where("hub != top").drop("top")
+    # here and below: an aggregate that is joined back on its key is made a table first, so that the join has two
+    # plain shuffles, which AQE can split where a key is hot
+    hubs = cut(banded.groupBy("band").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).where("hub != top").drop("top"))
     return connected_components(banded.join(hubs, "band").where("uid != hub").select("uid", "hub").distinct(), "uid", "hub")
 
 
@@ -194,6 +196,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame) ->
     weight = members.join(classes.select("uid", "n_shingles"), members["node"] == classes["uid"]).groupBy("component").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
     )
+    weight = cut(weight)
     wanted = meta.join(weight, "component").select("text_row", "uid", "sketch", "component", "n_blocks")
     texts = docs.select(row_key().alias("text_row"), "text")
     dealt = (
@@ -263,7 +266,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     groups = connected_components(confirmed_links(docs, classes, members))
     linked = classes.select("uid", "first_doc").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
     linked = cut(linked.select("uid", "first_doc", F.coalesce("component", "uid").alias("component")))
-    firsts = linked.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    firsts = cut(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")))
     named = linked.join(firsts, "component").select("uid", "component_id")
     placed = some.select("doc_id", "n_shingles", "uid", "row_key").join(named, "uid").select("doc_id", "n_shingles", "component_id", "row_key")
     alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")

@@ -62,7 +62,7 @@ def j06(spark, d):
     return J.resolve_cascade(calls, side("lit", 3), side("sym", 6), side("cfg", 9))
 
 
-@query("j07_child_parent", "SELECT l_returnflag, o_orderpriority, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query("j07_child_parent", "SELECT l_returnflag, o_orderpriority, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def j07(spark, d):
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("l_returnflag", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("qty"))

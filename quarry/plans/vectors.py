@@ -119,7 +119,7 @@ def v14g(spark, d):
 @query("v15_anchored_rank", f"""WITH s AS (SELECT id, {_S} AS score FROM vecs WHERE id > 0), p AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE id % 2 = 0),
 g AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE id % 2 = 1),
 u AS (SELECT id, CASE WHEN r <= 4 THEN 0 ELSE 2 END AS part, r FROM p WHERE r <= 12 UNION ALL SELECT id, 1, r FROM g WHERE r <= 12)
-SELECT id, row_number() OVER (ORDER BY part, r, id) AS position FROM u ORDER BY position LIMIT 12""")
+SELECT id, row_number() OVER (ORDER BY part, r, id)::INTEGER AS position FROM u ORDER BY position LIMIT 12""")
 def v15(spark, d):
     vecs, q = _vq(spark, d)
     s = V.with_scores(vecs.where("id > 0"), q, True).select("id", "score")
@@ -167,7 +167,7 @@ def v20(spark, d):
 @query("v21_select_docs", f"""WITH s AS (SELECT id, {_S} AS score FROM vecs WHERE id > 0), e AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE id % 5 = 0 QUALIFY r <= 8),
 m AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE score >= 0.1 AND id NOT IN (SELECT id FROM e WHERE r <= 4) QUALIFY r <= 8),
 u AS (SELECT id, CASE WHEN r <= 4 THEN 0 ELSE 2 END AS part, r FROM e UNION ALL SELECT id, 1, r FROM m), o AS (SELECT id, min(part * 1000 + r) AS k FROM u GROUP BY id)
-SELECT id, row_number() OVER (ORDER BY k, id) AS position FROM o ORDER BY position LIMIT 8""")
+SELECT id, row_number() OVER (ORDER BY k, id)::INTEGER AS position FROM o ORDER BY position LIMIT 8""")
 def v21(spark, d):
     vecs, q = _vq(spark, d)
     s = V.with_scores(vecs.where("id > 0"), q, True).select("id", "score")

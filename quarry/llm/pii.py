@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.boosting import Boosted, boost
 from quarry.llm.decontaminate import _settle
+from quarry.llm.sampling import smallest_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 4000
@@ -135,7 +136,7 @@ def _described() -> Column:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> tuple[Boosted, dict[int, float]] | None:
     """Trees and the threshold of each kind; None where the sample has not both classes."""
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit("pii")), "doc_id").limit(sample_docs).collect()]
+    ids = [r[0] for r in smallest_hashes(docs.select("doc_id").where("doc_id is not null"), "doc_id", "pii", sample_docs)]
     if not ids:
         return None
     rows = with_spans(docs.select("doc_id", "text").where(F.col("doc_id").isin(ids))).withColumn("seen", _described())

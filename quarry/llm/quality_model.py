@@ -25,12 +25,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm import textbytes as tb
 from quarry.llm.language_id import held_out
+from quarry.llm.sampling import smallest_hashes
 from quarry.session import arrow_map
 
 PASSAGE_WORDS = 64
 MAX_LABELLED = 4000
 CUTOFF = 0.3
-HIDDEN, GATE, STEPS, RATE, DECAY = 24, 12, 400, 0.02, 1e-4
+HIDDEN, GATE, STEPS, BATCH, RATE, DECAY = 24, 12, 600, 256, 0.01, 1e-4
 
 _CLASSES = np.zeros((8, 256), bool)
 _CLASSES[0, 65:91] = True  # upper case
@@ -117,14 +118,21 @@ class GatedAttention:
             return cls(None, mean, scale, prior)
         x = np.clip((x - mean) / scale, -8, 8)
         rng = np.random.default_rng(seed)
+        # documents in a fixed random order; every step takes the next BATCH of them
+        mixed = rng.permutation(len(y))
+        x = x[np.concatenate([np.arange(at[i], at[i + 1]) for i in mixed])]
+        at, y = np.concatenate([[0], np.cumsum(np.diff(at)[mixed])]), y[mixed]
         shape = {"W": (N_FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": ()}
         w = {k: rng.normal(0, 1 / np.sqrt(max(1, v[0] if v else 1)), v) for k, v in shape.items()}
         w["b"] *= 0
         w["d"] = np.array(np.log(prior / (1 - prior)))
         m, v = ({k: np.zeros_like(x_) for k, x_ in w.items()} for _ in range(2))
         for step in range(1, STEPS + 1):
-            f = cls.forward(w, x, at)
-            dl = (f["p"] - y) / len(y)
+            lo = (step - 1) * BATCH % len(y)
+            hi = min(lo + BATCH, len(y))
+            xs, some = x[at[lo] : at[hi]], y[lo:hi]
+            f = cls.forward(w, xs, at[lo : hi + 1] - at[lo])
+            dl = (f["p"] - some) / len(some)
             dz = dl[:, None] * w["c"]
             dzk = dz[f["bag"]]
             da = (f["h"] * dzk).sum(axis=1)
@@ -132,7 +140,7 @@ class GatedAttention:
             dg = de[:, None] * w["w"]
             dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
             dh = (f["a"][:, None] * dzk + dt @ w["V"].T + ds @ w["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dl, "d": dl.sum()}
+            grad = {"W": xs.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dl, "d": dl.sum()}
             for k in w:
                 g = grad[k] + DECAY * w[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -148,7 +156,7 @@ class GatedAttention:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> GatedAttention:
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    picked = usable.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "quality").limit(most).collect()
+    picked = smallest_hashes(usable, "doc_id", "quality", most)
     label: dict[int, int] = {}
     for r in picked:
         label.setdefault(r["doc_id"], int(r["quality"] > 0))

@@ -62,6 +62,78 @@ def blocked_pairs(queries: DataFrame, vecs: DataFrame, floor: float, k: int | No
     return arrow_map(dealt, run, "a long, b long, sim double")
 
 
+def bucketed_pairs(vecs: DataFrame, floor: float, k: int | None = None, tables: int = 16, bits: int = 8, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """Approximate similarity self-join for tables too large for every pair of blocks.
+
+    ``tables`` times, the signs of ``bits`` random projections name a bucket, and only rows of one bucket are compared.
+    A bucket of more than ``block`` rows is dealt into blocks and its pairs of blocks are compared one by one, so a hot
+    bucket spreads over tasks. Two unit vectors at the angle t share a bucket of one table with probability (1 - t / pi) ** bits.
+    Gives directed pairs (a, b, sim), each once; ``k`` keeps the best k of a row in each block.
+    """
+    import pyarrow as pa
+
+    def name_buckets(batches):
+        planes = None
+        for batch in batches:
+            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v]
+            if not rows:
+                continue
+            m = np.array([v for _, v in rows], float)
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(m.shape[1], tables * bits))
+            code = ((m @ planes > 0).reshape(len(rows), tables, bits) * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.float64())), pa.array(code.tolist(), pa.list_(pa.int64()))], ["id", "v", "buckets"])
+
+    named = arrow_map(vecs.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), name_buckets, "id long, v array<double>, buckets array<long>")
+    each = named.select("id", "v", F.explode("buckets").alias("bucket"))
+    size = cut(each.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    dealt = (
+        each.join(size, "bucket")
+        .withColumn("side", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id", "v")
+        .repartition("bucket", "p", "q")
+        .sortWithinPartitions("bucket", "p", "q", "side", "id")
+    )
+
+    def compare(batches):
+        held, key = [], None
+
+        def flush():
+            ids, sides = np.array([h[0] for h in held]), np.array([h[2] for h in held])
+            m = np.array([h[1] for h in held], float)
+            held.clear()
+            sim = m @ m.T
+            ok = (sim >= floor) & (ids[:, None] != ids[None, :])
+            if (sides != sides[0]).any():
+                ok &= sides[:, None] != sides[None, :]
+            if k is not None and len(ids) > k:
+                lowest = -np.partition(np.where(ok, -sim, np.inf), k - 1, axis=1)[:, k - 1]
+                ok &= sim >= lowest[:, None]
+            i, j = np.nonzero(ok)
+            return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(sim[i, j])], ["a", "b", "sim"])
+
+        for batch in batches:
+            for *now, side, id_, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if len(held) > 1:
+                        yield flush()
+                    held.clear()
+                    key = now
+                held.append((id_, vec, side))
+        if len(held) > 1:
+            yield flush()
+
+    return arrow_map(dealt, compare, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
+def knn_edges_bucketed(vecs: DataFrame, k: int = 5, floor: float = 0.6, **buckets: int) -> DataFrame:
+    """K01 on buckets instead of all pairs of blocks: the same edges but for neighbours that share no bucket."""
+    pairs = bucketed_pairs(vecs, floor, k, **buckets).withColumn("sim", F.round("sim", 6))
+    top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k)
+    return top.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
+
+
 def knn_edges(queries: DataFrame, vecs: DataFrame, k: int = 5, floor: float = 0.6) -> DataFrame:
     """The k nearest others of every query, as canonical pairs with the larger similarity."""
     pairs = blocked_pairs(queries, vecs, floor, k).withColumn("sim", F.round("sim", 6))

@@ -67,6 +67,20 @@ def test_knn_blocks_equal_one_block(spark):
     assert one == many and one
 
 
+def test_bucketed_pairs_recall_and_hot_bucket(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 32))
+    rows = [(i, (c := centres[i % 8] + 0.25 * rng.normal(size=32)) / np.linalg.norm(c)) for i in range(400)]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "id long, v array<double>")
+    exact = {(r["a"], r["b"]) for r in cluster.blocked_pairs(v, v, 0.8).collect()}
+    for block in (1024, 16):
+        got = {(r["a"], r["b"]) for r in cluster.bucketed_pairs(v, 0.8, block=block).collect()}
+        assert got <= exact and len(got) >= 0.9 * len(exact)
+    assert cluster.bucketed_pairs(v.limit(0), 0.8).count() == 0
+
+
 def test_related_bounded_cost(spark):
     g = df(spark, [("a", "b", "x", 1.0), ("b", "c", "x", 0.5), ("a", "c", "x", 0.1), ("c", "d", "x", 0.0)], "source_id string, target_id string, edge_type string, weight double")
     ids = df(spark, [("a",)], "id string")

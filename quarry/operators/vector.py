@@ -332,7 +332,7 @@ def rank_symbols(symbols: DataFrame, name: str, floor: float = 0.7) -> DataFrame
     s = (
         F.when(n == q, 1.0).when(F.lower(n) == ql, 0.95).when(F.lower(last) == ql, 0.9).when(F.lower(n).startswith(ql), 0.8).when(F.lower(n).contains(ql), 0.7).otherwise(0.69 * ratio)
     )
-    return symbols.select("name", F.round(s, 6).alias("score")).where((F.col("score") >= floor) | (F.col("score") >= 0.69 * floor)).distinct()
+    return symbols.select("name", F.round(s, 6).alias("score")).where(F.col("score") >= 0.69 * floor).distinct()
 
 
 def resolve_symbol(symbols: DataFrame, name: str) -> DataFrame:

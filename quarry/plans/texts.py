@@ -86,7 +86,7 @@ def t09(spark, d):
     return T.explain(_md(spark, d), "lib/F_3.py", 10, 5)
 
 
-@query("t10_summaries")
+@query("t10_summaries", f"""WITH md AS {_MD} SELECT id, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda p: trim(p)), lambda p: length(p) > 50 AND NOT starts_with(p, '#') AND NOT starts_with(p, '```'))[1] AS summary FROM md""")
 def t10(spark, d):
     return T.summaries(_md(spark, d))
 

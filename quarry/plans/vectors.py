@@ -260,7 +260,8 @@ def v33(spark, d):
     return V.text_search(kb(spark, d, "docs"), "ing station", 25)
 
 
-@query("v34_rank_symbols")
+@query("v34_rank_symbols", """WITH s AS (SELECT DISTINCT name, round(CASE WHEN name = 'Order12' THEN 1.0 WHEN lower(name) = 'order12' THEN 0.95 WHEN lower(string_split(name, '.')[-1]) = 'order12' THEN 0.9 WHEN starts_with(lower(name), 'order12') THEN 0.8
+WHEN contains(lower(name), 'order12') THEN 0.7 ELSE 0.69::DOUBLE * (1 - levenshtein(lower(name), 'order12') / greatest(length(name), 7)) END, 6)::DOUBLE AS score FROM symbols) SELECT * FROM s WHERE score >= 0.69::DOUBLE * 0.7::DOUBLE""")
 def v34(spark, d):
     return V.rank_symbols(kb(spark, d, "symbols").select("name"), "Order12")
 

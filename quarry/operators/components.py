@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from quarry.session import cut
 
 
+SALTS = 4
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")
@@ -38,12 +41,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if before[0] == 0:
             break
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # a table of its own: the join below then has two plain shuffles, which AQE can split at a hub
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        # large star: every larger neighbour points to the smallest of the closed neighbourhood
-        large = (
-            both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        )
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # large star: every larger neighbour points to the smallest of the closed neighbourhood. The salt deals a hub's
+        # edges to several tasks, and gives the join two plain shuffles, which AQE can split further
+        salted = low.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        spread = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = spread.join(salted, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # small star: smaller neighbours and the node itself point to the smallest neighbour
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")

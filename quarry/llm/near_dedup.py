@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textbytes as tb
+from quarry.llm.suffix_dedup import release
 from quarry.operators.components import connected_components
 from quarry.session import arrow_map, cut
 
@@ -262,8 +263,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             F.first("sketch").alias("sketch"),
         )
     )
+    release(docs.sparkSession)
     members = candidate_components(classes)
+    release(docs.sparkSession)
     groups = connected_components(confirmed_links(docs, classes, members))
+    release(docs.sparkSession)
     linked = classes.select("uid", "first_doc").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
     linked = cut(linked.select("uid", "first_doc", F.coalesce("component", "uid").alias("component")))
     firsts = cut(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")))

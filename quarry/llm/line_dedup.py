@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textbytes as tb
-from quarry.session import arrow_map
+from quarry.session import arrow_map, cut
 
 UNIT_SCHEMA = "doc_id long, text_key long, unit int, start int, end int, h long, n_words int, n_bytes int"
 MIN_WORDS = 5
@@ -86,6 +86,7 @@ def removals(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) ->
         .where(F.col("keeper") != F.col("top"))
         .drop("top")
     )
+    repeated = cut(repeated)  # a table of its own: AQE can then split the join where a line is very common
     return (
         every.join(repeated, digest, "left")
         .groupBy("doc_id", "text_key")

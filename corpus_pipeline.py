@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 Parquet in the shared checkpoint folder and rereads it, so a lost executor never costs more than one stage.
 
 1. language ID: documents whose language is undetermined or too close to call go.
-2. near-dedup: the document with the smallest id of each group stays.
+2. near-dedup: the document with the smallest id of each group stays; a Jaccard similarity of 0.80 links (op1: 0.85).
 3. decontamination: contaminated documents go; single benchmark passages are cut out of the others.
 4. personal data: spans are replaced by their kind.
 5. mixing: documents are taken to the target weights of their sources, with the number of copies.

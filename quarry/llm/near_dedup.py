@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
 1. One pass over the texts gives each document the hash of its shingle set, ``SAMPLES`` MinHash samples
-   banded into ``BANDS`` keys, and an odd sketch: the samples folded into a parity bitmap.
+   banded into ``n_bands`` keys, and an odd sketch: the samples folded into a parity bitmap.
 2. Documents with equal sets form a class; from here on only classes count, however many copies they have.
 3. Each band bucket links its classes to its smallest one. The components of these links hold every pair
    that shares a bucket, so any two classes in different components are no candidates.
@@ -12,9 +12,10 @@
    pairs.
 5. The components of the confirmed links are the groups.
 
-A pair at the threshold of 0.85 shares no band with probability 5e-7, and its odd sketch lies beyond the
-limit (``sketch_limit``) with probability below 1e-6; both fall fast above the threshold. There is no cap on
-buckets, partners or candidates.
+The threshold is a parameter: op1 passes ``THRESHOLD``, the pipeline's stage takes ``OPEN_THRESHOLD``. The number of
+bands follows it: a pair at the threshold shares no band with probability 5e-7 at most, and its odd sketch lies
+beyond the limit (``sketch_limit``) with probability below 1e-6; both fall fast above the threshold. There is no
+cap on buckets, partners or candidates.
 
 Edge cases: words are lower-cased (A-Z) runs of non-blanks; a text with 1 to 4 words is one shingle; a null,
 empty or blank text has none, links with nothing and is kept; repeated rows are copies; a null id never
@@ -39,10 +40,11 @@ from quarry.operators.components import connected_components
 from quarry.session import arrow_map, cut
 
 SHINGLE = 5
-ROWS, BANDS = 5, 25
+ROWS, BANDS = 5, 25  # as many bands as THRESHOLD needs
 SAMPLES = 192
 SKETCH_BITS = 1024
-THRESHOLD = 85  # per cent
+THRESHOLD = 85  # per cent, of op1
+OPEN_THRESHOLD = 80  # per cent, where no contract names one
 BLOCK_DOCS = 64
 BLOCK_SHINGLES = 400_000
 
@@ -70,6 +72,14 @@ def sketch_limit(threshold: float = THRESHOLD / 100, deviations: float = 5.0) ->
     return math.ceil(bits + 2)
 
 
+def n_bands(threshold: int = THRESHOLD) -> int:
+    """Bands of which a pair at the threshold shares none with probability 5e-7 at most."""
+    bands = math.ceil(math.log(5e-7) / math.log(1 - (threshold / 100) ** ROWS))
+    if ROWS * bands > SAMPLES:
+        raise ValueError(f"a threshold of {threshold} % takes more than {SAMPLES} samples")
+    return bands
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes sorted by (row, hash), and the offset of each row's first."""
     n = len(offs) - 1
@@ -96,23 +106,23 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int64)
 
 
-def signatures_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set hash, band keys (rows x BANDS) and odd sketch (rows x bytes) of non-empty sets."""
+def signatures_of(h: np.ndarray, at: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set hash, band keys (rows x bands) and odd sketch (rows x bytes) of non-empty sets."""
     starts = at[:-1]
     uid = tb.mix(np.add.reduceat(tb.mix(h ^ np.uint64(0xA5A5A5A5)), starts) + np.diff(at).astype(np.uint64))
     n = len(starts)
-    keys = np.zeros((n, BANDS), np.uint64)
+    keys = np.zeros((n, bands), np.uint64)
     bits = np.zeros((n, SKETCH_BITS), np.uint8)
     every = np.arange(n)
     for j in range(SAMPLES):
         low = np.minimum.reduceat((h ^ _FLIP[j]) * _SPREAD[j], starts)
-        if j < ROWS * BANDS:
+        if j < ROWS * bands:
             keys[:, j // ROWS] += tb.mix(low + np.uint64(j)) * tb.ORDER[j % ROWS]
         bits[every, (tb.mix(low ^ _SPREAD[j]) % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= 1
-    return uid, tb.mix(keys + np.arange(BANDS, dtype=np.uint64)), np.packbits(bits, axis=1)
+    return uid, tb.mix(keys + np.arange(bands, dtype=np.uint64)), np.packbits(bits, axis=1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     width = SKETCH_BITS // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +132,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(sizes)
             n = len(sizes)
             uid = np.zeros(n, np.uint64)
-            band_at = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
+            band_at = np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32)
             sketch_at = np.concatenate([[0], np.cumsum((sizes > 0) * width)]).astype(np.int32)
-            keys, sketch = np.zeros((0, BANDS), np.uint64), np.zeros((0, width), np.uint8)
+            keys, sketch = np.zeros((0, bands), np.uint64), np.zeros((0, width), np.uint8)
             if len(full):
-                uid[full], keys, sketch = signatures_of(h, np.append(at[full], at[-1]))
+                uid[full], keys, sketch = signatures_of(h, np.append(at[full], at[-1]), bands)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
@@ -191,7 +201,7 @@ def link_blocks(
     return found
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Edges (a, b) over class ids that span every group of confirmed links."""
     meta = members.join(classes.select("uid", "n_shingles", "text_row", "sketch"), members["node"] == classes["uid"])
     weight = members.join(classes.select("uid", "n_shingles"), members["node"] == classes["uid"]).groupBy("component").agg(
@@ -208,7 +218,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame) ->
         .repartition("component", "p", "q")
         .sortWithinPartitions("component", "p", "q", "side", "uid")
     )
-    limit = sketch_limit()
+    limit = sketch_limit(threshold / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -223,7 +233,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame) ->
                 sets = [r[3] for r in once]
                 out.extend(
                     link_blocks(
-                        np.array([r[0] for r in once]), np.array([r[1] for r in once]), np.array([len(x) for x in sets]), sketches, sets, limit
+                        np.array([r[0] for r in once]), np.array([r[1] for r in once]), np.array([len(x) for x in sets]), sketches, sets, limit, threshold
                     )
                 )
             rows.clear()
@@ -250,9 +260,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame) ->
     return arrow_map(dealt, run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row_key."""
-    sig = cut(signatures(docs))
+def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, row_key; pairs of at least ``threshold`` per cent are linked."""
+    sig = cut(signatures(docs, n_bands(threshold)))
     some = sig.where("n_shingles > 0")
     classes = cut(
         some.groupBy("uid").agg(
@@ -266,7 +276,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     members = candidate_components(classes)
     release(docs.sparkSession)
-    groups = connected_components(confirmed_links(docs, classes, members))
+    groups = connected_components(confirmed_links(docs, classes, members, threshold))
     release(docs.sparkSession)
     linked = classes.select("uid", "first_doc").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
     linked = cut(linked.select("uid", "first_doc", F.coalesce("component", "uid").alias("component")))
@@ -277,8 +287,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return placed.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
     """The documents that stay, one of each group, with the columns of ``docs``."""
-    kept = near_dedup(docs).where("kept").select(F.col("row_key").alias("_kept_row")).distinct()
+    kept = near_dedup(docs, threshold).where("kept").select(F.col("row_key").alias("_kept_row")).distinct()
     keyed = docs.select(*docs.columns, row_key().alias("_kept_row"))
     return keyed.join(kept, "_kept_row", "left_semi").dropDuplicates(["_kept_row"]).select(*docs.columns)

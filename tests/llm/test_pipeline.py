@@ -35,3 +35,20 @@ def test_stages(spark):
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies"] and out.count() > 50
+
+
+def test_near_dedup_stage_links_from_80_per_cent(spark):
+    texts = {}
+    for group in range(24):
+        n, changed = [(45, 1), (90, 2), (296, 6), (296, 5), (296, 7), (46, 1)][group % 6]
+        words = [f"g{group}w{i}" for i in range(n + 4)]
+        texts[2 * group] = list(words)
+        for k in range(changed):
+            words[10 + 12 * k] = f"other{k}"
+        texts[2 * group + 1] = words
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    share = {i: 100 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 48, 2)}
+    assert sum(80 <= x < 85 for x in share.values()) == 20 and 80.0 in share.values() and min(share.values()) < 80
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"] for r in P.stage_near_dedup(spark, docs, SF).collect()}
+    assert got == set(range(0, 48, 2)) | {i + 1 for i, x in share.items() if x < 80}

@@ -312,11 +312,6 @@ def k01(spark, d):
     return _knn(spark, d)
 
 
-@query("k01_knn_edges_bucketed")
-def k01b(spark, d):
-    return K.knn_edges_bucketed(kb(spark, d, "vecs").select("id", "v"), 5, 0.2)
-
-
 @query("k02_update_edges", f"WITH {_KNN.replace('x.id <> y.id', 'x.id <> y.id AND x.id % 10 = 0')} SELECT * FROM e")
 def k02(spark, d):
     vecs = kb(spark, d, "vecs").select("id", "v")

@@ -81,6 +81,21 @@ def test_bucketed_pairs_recall_and_hot_bucket(spark):
     assert cluster.bucketed_pairs(v.limit(0), 0.8).count() == 0
 
 
+def test_every_knn_query_gives_the_exact_edges(spark):
+    from quarry.catalog import QUERIES
+    from quarry.plans.tables import kb
+
+    sf = "/root/testdata/sf0.001"
+    rows = kb(spark, sf, "vecs").select("id", "v").collect()
+    v = {r["id"]: r["v"] for r in rows}
+    want = set()
+    for a in v:
+        near = sorted((-round(sum(x * y for x, y in zip(v[a], v[b], strict=True)), 6), b) for b in v if b != a)
+        want |= {(min(a, b), max(a, b)) for s, b in near[:5] if -s >= 0.2}
+    for name in (n for n in QUERIES if n.startswith("k01_")):
+        assert {(r["a"], r["b"]) for r in QUERIES[name](spark, sf).collect()} == want, name
+
+
 def test_related_bounded_cost(spark):
     g = df(spark, [("a", "b", "x", 1.0), ("b", "c", "x", 0.5), ("a", "c", "x", 0.1), ("c", "d", "x", 0.0)], "source_id string, target_id string, edge_type string, weight double")
     ids = df(spark, [("a",)], "id string")

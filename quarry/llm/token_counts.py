@@ -32,7 +32,6 @@ MARK = "▁"
 RANK_OFFSET = 2.7
 BYTE_SCORE = -16.0
 REMEMBERED_WORDS = 400_000
-MAX_PIECE_BYTES = 24
 
 
 def load_vocabulary(model_path: str) -> dict[bytes, float]:
@@ -46,9 +45,7 @@ def load_vocabulary(model_path: str) -> dict[bytes, float]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
             continue
         rank += 1
-        piece = model.id_to_piece(i).encode()
-        if len(piece) <= MAX_PIECE_BYTES:
-            pieces[piece] = -math.log(rank + RANK_OFFSET)
+        pieces[model.id_to_piece(i).encode()] = -math.log(rank + RANK_OFFSET)
     return pieces
 
 

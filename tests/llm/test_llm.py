@@ -414,6 +414,33 @@ def test_token_counts(docs):
     assert bag((r["doc_id"], r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(some, queries.TOKENIZER).collect()) == want
 
 
+def test_token_counts_uses_pieces_of_any_length(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
+    own = [model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    scores = {p: -np.log(rank + token_counts.RANK_OFFSET) for rank, p in enumerate(own, 1)}
+    longest = max(map(len, scores))
+    mark = token_counts.MARK.encode()
+    words = [p.removeprefix(mark).decode() for p in scores if len(p) > 24]
+    words = [w for w in words if w and WORD.fullmatch(w) and token_counts.MARK not in w]
+    assert longest > 24 and words
+
+    def brute(word):
+        w = mark + word.encode()
+        best = [(0.0, 0)]
+        for i in range(1, len(w) + 1):
+            options = [(best[i - 1][0] + token_counts.BYTE_SCORE, best[i - 1][1] - 1)]
+            options += [(best[i - k][0] + scores[w[i - k : i]], best[i - k][1] - 1) for k in range(1, min(longest, i) + 1) if w[i - k : i] in scores]
+            best.append(max(options))
+        return -best[-1][1]
+
+    some = [*words, *(f"pre{w}post" for w in words), "ordinary"]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, queries.TOKENIZER).collect()}
+    assert got == {i: brute(w) for i, w in enumerate(some)}
+
+
 # --- empty tables ---------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,9 @@ cutting into blocks keeps a long text from becoming its own dictionary, so its e
 When the best and the second total are closer than ``MARGIN``, the answer is rejected.
 
 The sample is ``DOCS_PER_LANG`` documents a language with the smallest hash of (doc_id, seed), chosen by
-a ranked window that Spark limits on the map side; its texts fill a dictionary of ``DICT_BYTES``.
+a ranked window that Spark limits on the map side. The ``DICT_BYTES`` of a dictionary are shared among all of
+them: what short texts leave goes to the longer ones, and a text longer than its share gives ``PIECES`` slices
+spread over its whole length.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 (and rejected); with no labelled
 text at all every document is ``und``; one learned language always wins, with score 1; equal totals go to
@@ -29,6 +31,7 @@ from quarry.session import arrow_map
 
 DOCS_PER_LANG = 128
 DICT_BYTES = 128 << 10
+PIECES = 8
 BLOCK_BYTES = 512
 LEVEL = 3
 #: Rejected when the second best total is less than this share larger than the best.
@@ -47,6 +50,24 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_TO_SPACE).split())
 
 
+def spread(data: bytes, room: int) -> bytes:
+    """All of ``data``, or ``room`` bytes of it in slices from its start to its end."""
+    if len(data) <= room:
+        return data
+    n = max(1, min(PIECES, room // 16))
+    width = (room - n + 1) // n
+    return b" ".join(data[at : at + width] for at in ((len(data) - width) * k // max(1, n - 1) for k in range(n)))
+
+
+def shares(sizes: list[int], total: int) -> list[int]:
+    """What each text may give: ``total`` in equal parts, with what short ones leave dealt to the longer ones."""
+    out = [0] * len(sizes)
+    for left, k in zip(range(len(sizes), 0, -1), sorted(range(len(sizes)), key=lambda k: (sizes[k], k)), strict=True):
+        out[k] = min(sizes[k], total // left)
+        total -= out[k]
+    return out
+
+
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary content by language, learned from rows that aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -54,15 +75,20 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int =
     ids = [r[0] for r in labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang).select("doc_id").distinct().collect()]
     if not ids:
         return {}
-    # each text gives at most twice its fair share of the dictionary
-    most = 2 * dict_bytes // docs_per_lang + 256
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, 8 * most).alias("text")).collect()
+    # a long text comes to the driver as slices spread over its length, each of twice a fair share of the dictionary
+    width = 2 * dict_bytes // docs_per_lang + 256
+    n = F.length("text")
+    slices = [F.substring("text", F.floor((n - width) * k / (PIECES - 1)).cast("int") + 1, F.lit(width)) for k in range(PIECES)]
+    text = F.when(n <= PIECES * width, F.col("text")).otherwise(F.concat_ws(" ", *slices))
+    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", F.xxhash64("doc_id", F.lit("lang-id")), "doc_id", text).collect()
+    found: dict[str, list[bytes]] = {}
+    for lang, _, _, some in sorted(rows):
+        found.setdefault(lang, []).append(normalised(some))
     out: dict[str, bytes] = {}
-    for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        have = out.get(lang, b"")
-        if len(have) < dict_bytes:
-            out[lang] = (have + b" " + normalised(text)[:most])[:dict_bytes]
-    return {k: v for k, v in sorted(out.items()) if v.strip()}
+    for lang, parts in sorted(found.items()):
+        room = shares([len(p) + 1 for p in parts], dict_bytes)
+        out[lang] = b" ".join(spread(p, r - 1) for p, r in zip(parts, room, strict=True) if r > 1)
+    return {k: v for k, v in out.items() if v.strip()}
 
 
 class Classifier:

@@ -283,6 +283,15 @@ def test_language_id_brute_force(spark, docs):
     assert model.predict("alpha beta")[0] == "aa" and language_id.Classifier({}).predict("x")[0] == "und"
 
 
+def test_language_id_learns_from_every_sampled_text(spark):
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5][:128]
+    name = {i: "".join(chr(97 + int(c)) for c in f"{i:04d}") for i in ids}
+    docs = spark.createDataFrame([(i, " ".join(f"{name[i]}{part} " * 3000 for part in ("head", "body", "tail")), "xx") for i in ids], "doc_id long, text string, lang string")
+    learned = language_id.learn(docs)["xx"]
+    assert len(learned) <= language_id.DICT_BYTES
+    assert all(f"{name[i]}{part}".encode() in learned for i in ids for part in ("head", "body", "tail"))
+
+
 # --- op7 ------------------------------------------------------------------------------------------------------
 
 NORMAL = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

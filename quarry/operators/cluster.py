@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.components import connected_components
-from quarry.operators.vector import dot
 from quarry.session import arrow_map, cut
 
 BLOCK = 1024
@@ -325,8 +324,7 @@ def duplicate_groups(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b")
 
 
-
-def nested_loop_pairs(vecs: DataFrame, floor: float) -> DataFrame:
-    """The plain theta join a < b; only for small tables and tests, ``similar_pairs`` is the blocked form."""
-    a, b = vecs.select(F.col("id").alias("a"), F.col("v").alias("va")), vecs.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("sim")).where(F.col("sim") >= floor)
+def theta_pairs(vecs: DataFrame, floor: float) -> DataFrame:
+    """The self theta join a < b over a similarity floor, by pairs of blocks."""
+    near = blocked_pairs(vecs, vecs, floor - 1e-6).where("a < b")
+    return near.select("a", "b", F.round("sim", 6).alias("sim")).where(F.col("sim") >= floor)

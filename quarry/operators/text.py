@@ -66,7 +66,7 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
 
 def sections(docs: DataFrame) -> DataFrame:
     """Parts before each ``## `` heading (not ``###``), stripped, empty ones dropped."""
-    parts = F.filter(F.transform(F.split("content", r"(?m)^(?=## (?!#))"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("content", r"(?dm)^(?=## (?!#))"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
     heading = F.trim(F.regexp_extract("part", r"^## ([^\n]*)", 1))
     return docs.select("id", F.posexplode(parts).alias("idx", "part")).select("id", "idx", heading.alias("heading"), F.length("part").alias("chars"))
 
@@ -101,7 +101,7 @@ def oversized(docs: DataFrame, most: int = 15000) -> DataFrame:
 
 def shrink_suggestions(docs: DataFrame, most: int = 12000, headers: int = 3, shown: int = 6) -> DataFrame:
     """Long documents with enough ``## `` headers, the first few of them."""
-    h = F.regexp_extract_all("content", F.lit(r"(?m)^## ([^\n]+)"), F.lit(1))
+    h = F.regexp_extract_all("content", F.lit(r"(?dm)^## ([^\n]+)"), F.lit(1))
     return docs.where(F.length("content") > most).select("id", h.alias("h")).where(F.size("h") >= headers).select("id", F.size("h").alias("n"), F.array_join(F.slice("h", 1, shown), " | ").alias("headers"))
 
 
@@ -114,12 +114,12 @@ def rechunk(pieces: DataFrame, worst: int = 20) -> DataFrame:
 
 def decisions(docs: DataFrame, chars: int = 300) -> DataFrame:
     """``###`` parts of sections whose heading speaks of design decisions."""
-    s = docs.select("id", F.explode(F.split("content", r"(?m)^(?=## (?!#))")).alias("s")).where(F.lower(F.regexp_extract("s", r"^## ([^\n]*)", 1)).rlike("(?=.*design)(?=.*decision)"))
-    sub = s.select("id", F.posexplode(F.split("s", r"(?m)^(?=### )")).alias("pos", "p")).where("p like '### %'")
+    s = docs.select("id", F.explode(F.split("content", r"(?dm)^(?=## (?!#))")).alias("s")).where(F.lower(F.regexp_extract("s", r"^## ([^\n]*)", 1)).rlike("(?=.*design)(?=.*decision)"))
+    sub = s.select("id", F.posexplode(F.split("s", r"(?dm)^(?=### )")).alias("pos", "p")).where("p like '### %'")
     return sub.select("id", "pos", F.trim(F.regexp_extract("p", r"^### ([^\n]*)", 1)).alias("title"), F.substring(F.trim(F.regexp_replace("p", r"^### [^\n]*\n?", "")), 1, chars).alias("text"))
 
 
-WARNINGS = "(?i)\\b(warning|caution|beware|gotcha|careful|never|must not)\\b"
+WARNINGS = "(?i)(?<![A-Za-z0-9_])(warning|caution|beware|gotcha|careful|never|must not)(?![A-Za-z0-9_])"
 
 
 def warning_lines(docs: DataFrame, pattern: str = WARNINGS, least: int = 20, limit: int = 20) -> DataFrame:
@@ -134,7 +134,7 @@ def explain(docs: DataFrame, file: str, limit: int, offset: int) -> DataFrame:
     d = docs.where(F.array_contains("files", file))
     total = d.agg(F.count(F.lit(1)).alias("total"))
     return d.orderBy("content_type", "id").offset(offset).limit(limit).crossJoin(F.broadcast(total)).select(
-        "id", "content_type", F.size(F.regexp_extract_all("content", F.lit("(?m)^#+ [^\n]+"), F.lit(0))).alias("headings"), "total", F.when(F.lit(offset + limit) < F.col("total"), offset + limit).alias("next_offset")
+        "id", "content_type", F.size(F.regexp_extract_all("content", F.lit("(?dm)^#+ [^\n]+"), F.lit(0))).alias("headings"), "total", F.when(F.lit(offset + limit) < F.col("total"), offset + limit).alias("next_offset")
     )
 
 
@@ -204,10 +204,10 @@ def source_spans(seeds: DataFrame, texts: DataFrame, before: int, after: int) ->
 
 def validate(docs: DataFrame, least: int = 200) -> DataFrame:
     """Content rules: length, a heading, closed fences, artefacts."""
-    fences = F.size(F.regexp_extract_all("content", F.lit("(?m)^```"), F.lit(0)))
+    fences = F.size(F.regexp_extract_all("content", F.lit("(?dm)^```"), F.lit(0)))
     found = F.array_compact(
         F.array(
-            F.when(F.length("content") < least, "short"), F.when(~F.col("content").rlike("(?m)^#+ "), "no_heading"),
+            F.when(F.length("content") < least, "short"), F.when(~F.col("content").rlike("(?dm)^#+ "), "no_heading"),
             F.when(fences % 2 == 1, "open_fence"), F.when(F.col("content").rlike("(?i)as an ai|lorem ipsum"), "artefact"),
         )
     )

@@ -59,10 +59,10 @@ def f07(spark, d):
     return X.admitted_themes(kb(spark, d, "themes"), kb(spark, d, "theme_members"), kb(spark, d, "docs"), ["src1", "src2", "src5"])
 
 
-@query("f06_admit", f"SELECT pos, id FROM (SELECT n % 300 AS pos, 'd' || (n * 3 % 700) AS id FROM docs WHERE n < 300) a WHERE id IN (SELECT id FROM docs WHERE source_name IN {_SCOPE})")
+@query("f06_admit", f"SELECT pos, id FROM (SELECT n AS pos, 'd' || (n * 3 + 1) AS id FROM docs) a WHERE id IN (SELECT id FROM docs WHERE source_name IN {_SCOPE})")
 def f06(spark, d):
     docs = kb(spark, d, "docs")
-    ids = docs.where("n < 300").select((F.col("n") % 300).alias("pos"), F.concat(F.lit("d"), F.col("n") * 3 % 700).alias("id"))
+    ids = docs.select(F.col("n").alias("pos"), F.concat(F.lit("d"), F.col("n") * 3 + 1).alias("id"))
     return X.admit(ids, docs, kb(spark, d, "themes"), ["src1", "src2", "src5"])
 
 

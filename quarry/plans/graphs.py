@@ -281,19 +281,19 @@ def g37(spark, d):
     return G.weak_components(e.unionByName(docs.where("n % 30 < 18 and n % 6 = 1").select(F.col("id").alias("a"), F.concat(F.lit("d"), F.col("n") + 6).alias("b"))))
 
 
-@query("g38_document_routes", """WITH ro AS (SELECT 'r' || n AS route, files[2] AS file, n % 7 AS depth FROM docs WHERE n < 60), j AS (SELECT DISTINCT id AS doc, route, depth FROM (SELECT id, unnest(files) AS file FROM docs WHERE n % 4 = 0) JOIN ro USING (file))
+@query("g38_document_routes", """WITH ro AS (SELECT 'r' || n AS route, files[2] AS file, n % 7 AS depth FROM docs), j AS (SELECT DISTINCT id AS doc, route, depth FROM (SELECT id, unnest(files) AS file FROM docs) JOIN ro USING (file))
 SELECT doc, route, depth, r FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY depth, route)::INTEGER AS r FROM j) WHERE r <= 3""")
 def g38(spark, d):
     docs = kb(spark, d, "docs")
-    routes = docs.where("n < 60").select(F.concat(F.lit("r"), "n").alias("route"), F.element_at("files", 2).alias("file"), (F.col("n") % 7).alias("depth"))
-    return G.document_routes(docs.where("n % 4 = 0"), routes, 3)
+    routes = docs.select(F.concat(F.lit("r"), "n").alias("route"), F.element_at("files", 2).alias("file"), (F.col("n") % 7).alias("depth"))
+    return G.document_routes(docs, routes, 3)
 
 
-@query("g39_bundle", """WITH h AS (SELECT 'h' || (n % 20) AS hop, files[2] AS file FROM docs WHERE n < 100), f AS (SELECT id, unnest(files) AS file FROM docs)
+@query("g39_bundle", """WITH h AS (SELECT 'h' || (n % 20) AS hop, files[2] AS file FROM docs), f AS (SELECT id, unnest(files) AS file FROM docs)
 SELECT cluster_id, count(DISTINCT hop) AS hops, count(DISTINCT f.id) AS docs FROM h LEFT JOIN f USING (file) LEFT JOIN theme_members t ON t.element_id = f.id GROUP BY cluster_id""")
 def g39(spark, d):
     docs = kb(spark, d, "docs")
-    hops = docs.where("n < 100").select(F.concat(F.lit("h"), F.col("n") % 20).alias("hop"), F.element_at("files", 2).alias("file"))
+    hops = docs.select(F.concat(F.lit("h"), F.col("n") % 20).alias("hop"), F.element_at("files", 2).alias("file"))
     return G.bundle(hops, docs, kb(spark, d, "theme_members"))
 
 

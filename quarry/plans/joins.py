@@ -48,10 +48,12 @@ def j04(spark, d):
     return J.match_templates(table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.lit(None).cast("string").alias("method")), t)
 
 
-@query("j05_unique_match", "SELECT 'line' || (n % 9) AS name, docs.id AS doc, o.id FROM docs LEFT JOIN (SELECT name, min(id) AS id FROM symbols WHERE line_start < 100 GROUP BY name HAVING count(*) = 1) o ON o.name = 'line' || (n % 9)")
+@query("j05_unique_match", """WITH s AS (SELECT CASE WHEN kind = 'class' THEN qname ELSE name END AS name, id FROM symbols), l AS (SELECT CASE WHEN n % 2 = 0 THEN 'line' || (n % 9) ELSE 'm.Order' || n END AS name, id AS doc FROM docs)
+SELECT l.name, doc, o.id FROM l LEFT JOIN (SELECT name, min(id) AS id FROM s GROUP BY name HAVING count(*) = 1) o USING (name)""")
 def j05(spark, d):
-    left = kb(spark, d, "docs").select(F.concat(F.lit("line"), F.col("n") % 9).alias("name"), F.col("id").alias("doc"))
-    return J.unique_match(left, kb(spark, d, "symbols").where("line_start < 100").select("name", "id"), "name", "id")
+    name = F.when(F.col("n") % 2 == 0, F.concat(F.lit("line"), F.col("n") % 9)).otherwise(F.concat(F.lit("m.Order"), "n"))
+    right = kb(spark, d, "symbols").select(F.when(F.col("kind") == "class", F.col("qname")).otherwise(F.col("name")).alias("name"), "id")
+    return J.unique_match(kb(spark, d, "docs").select(name.alias("name"), F.col("id").alias("doc")), right, "name", "id")
 
 
 @query("j06_resolve_cascade", """SELECT n AS call, CASE WHEN n % 12 < 3 THEN 'lit' || n % 12 WHEN n % 12 < 6 THEN 'sym' || n % 12 WHEN n % 12 < 9 THEN 'cfg' || n % 12 END AS value,

@@ -10,8 +10,9 @@ from quarry.operators import text as T
 from quarry.plans.tables import kb
 from quarry.session import table
 
-#: A Markdown corpus made of the documents: two headed sections, a fence now and then, references and warnings.
-_MD = """(SELECT id, n, files, updated_at, content_type, 'Intro ' || title || chr(10) || chr(10) || '## Overview ' || n || chr(10) || substr(content, 1, 200) || chr(10) || '### Part' || chr(10) || 'x ' || n || chr(10)
+#: A Markdown corpus made of the whole documents: headed sections around each text, a fence now and then, references and warnings.
+#: A null text makes no Markdown.
+_MD = """(SELECT id, n, files, updated_at, content_type, 'Intro ' || title || chr(10) || chr(10) || '## Overview ' || n || chr(10) || content || chr(10) || '### Part' || chr(10) || 'x ' || n || chr(10)
 || '## Design decision' || chr(10) || '### Choice ' || n || chr(10) || 'We took (d' || (n + 1) || '.md) because warning: this is never cheap to undo ' || (n % 9) || chr(10)
 || CASE WHEN n % 5 = 0 THEN '```py' || chr(10) ELSE '' END || '## End' || chr(10) || 'Done.' AS content FROM docs)"""
 
@@ -20,7 +21,7 @@ def _md(spark, d):
     docs = kb(spark, d, "docs")
     n = F.col("n").cast("string")
     body = F.concat(
-        F.lit("Intro "), "title", F.lit("\n\n## Overview "), n, F.lit("\n"), F.substring("content", 1, 200), F.lit("\n### Part\nx "), n, F.lit("\n## Design decision\n### Choice "), n, F.lit("\nWe took (d"), (F.col("n") + 1).cast("string"),
+        F.lit("Intro "), "title", F.lit("\n\n## Overview "), n, F.lit("\n"), "content", F.lit("\n### Part\nx "), n, F.lit("\n## Design decision\n### Choice "), n, F.lit("\nWe took (d"), (F.col("n") + 1).cast("string"),
         F.lit(".md) because warning: this is never cheap to undo "), (F.col("n") % 9).cast("string"), F.lit("\n"), F.when(F.col("n") % 5 == 0, "```py\n").otherwise(""), F.lit("## End\nDone."),
     )
     return docs.select("id", "n", "files", "updated_at", "content_type", body.alias("content"))
@@ -31,7 +32,7 @@ def t01(spark, d):
     return T.chunks(kb(spark, d, "docs").select("id", "content"))
 
 
-@query("t02_sections", f"""WITH md AS {_MD}, l AS (SELECT id, i, ls[i] AS x, sum(CASE WHEN starts_with(ls[i], '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS s FROM (SELECT id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT id, string_split(content, chr(10)) AS ls FROM md))),
+@query("t02_sections", f"""WITH md AS {_MD}, l AS (SELECT id, i, ls[i] AS x, sum(CASE WHEN starts_with(ls[i], '## ') AND NOT starts_with(ls[i], '## #') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS s FROM (SELECT id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT id, string_split(content, chr(10)) AS ls FROM md))),
 p AS (SELECT id, s, regexp_replace(string_agg(x, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS part FROM l GROUP BY id, s)
 SELECT id, (row_number() OVER (PARTITION BY id ORDER BY s) - 1)::INTEGER AS idx, trim(regexp_extract(part, '^## ([^\\n]*)', 1)) AS heading, length(part)::INTEGER AS chars FROM p WHERE part <> ''""")
 def t02(spark, d):
@@ -58,7 +59,8 @@ def t05(spark, d):
     return T.oversized(kb(spark, d, "docs"))
 
 
-@query("t05_shrink", f"WITH md AS {_MD} SELECT id, 3 AS n, 'Overview ' || n || ' | Design decision | End' AS headers FROM md WHERE length(content) > 400".replace("3 AS n", "3::INTEGER AS n"))
+@query("t05_shrink", f"""WITH md AS {_MD}, h AS (SELECT id, regexp_extract_all(content, '(?m)^## ([^\\n]+)', 1) AS h FROM md WHERE length(content) > 400)
+SELECT id, len(h)::INTEGER AS n, array_to_string(h[1:6], ' | ') AS headers FROM h WHERE len(h) >= 3""")
 def t05b(spark, d):
     return T.shrink_suggestions(_md(spark, d), most=400)
 
@@ -69,7 +71,12 @@ def t06(spark, d):
     return T.rechunk(kb(spark, d, "sections").select(F.col("document_id").alias("id"), "content"))
 
 
-@query("t07_decisions", f"WITH md AS {_MD} SELECT id, 1::INTEGER AS pos, 'Choice ' || n AS title, substr(trim('We took (d' || (n + 1) || '.md) because warning: this is never cheap to undo ' || (n % 9) || chr(10) || CASE WHEN n % 5 = 0 THEN '```py' || chr(10) ELSE '' END), 1, 300) AS text FROM md")
+@query("t07_decisions", f"""WITH md AS {_MD}, l AS (SELECT id, i, ls[i] AS x, sum(CASE WHEN starts_with(ls[i], '## ') AND NOT starts_with(ls[i], '## #') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS s, sum(CASE WHEN starts_with(ls[i], '### ') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS k
+FROM (SELECT id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT id, string_split(content, chr(10)) AS ls FROM md))),
+g AS (SELECT id, s, k, arg_min(x, i) AS title, string_agg(x, chr(10) ORDER BY i) AS t, arg_max(i, i) AS last FROM l GROUP BY 1, 2, 3),
+m AS (SELECT id, s, arg_min(title, k) AS head, min(k) AS k0, max(starts_with(title, '### ')::INT) FILTER (k = 0) AS d FROM g GROUP BY 1, 2), e AS (SELECT id, max(i) AS n FROM l GROUP BY 1)
+SELECT g.id, (k - k0)::INTEGER AS pos, trim(substr(title, 5)) AS title, substr(trim(CASE WHEN contains(t, chr(10)) THEN substr(t, strpos(t, chr(10)) + 1) ELSE '' END || CASE WHEN last < n AND contains(t, chr(10)) THEN chr(10) ELSE '' END), 1, 300) AS text
+FROM g JOIN m ON m.id = g.id AND m.s = g.s JOIN e ON e.id = g.id WHERE starts_with(title, '### ') AND contains(lower(head), 'design') AND contains(lower(head), 'decision') AND starts_with(head, '## ')""")
 def t07(spark, d):
     return T.decisions(_md(spark, d))
 

@@ -457,6 +457,6 @@ def k19(spark, d):
     return K.inject_references(docs, refs, docs.select("id", "title")).select("id", F.sha2("content", 256).alias("h"))
 
 
-@query("j11_theta_pairs", f"SELECT x.id AS a, y.id AS b, round({_PAIR}, 6) AS sim FROM vecs x JOIN vecs y ON x.id < y.id WHERE x.label = 1 AND y.label = 1 AND round({_PAIR}, 6) >= 0.1")
+@query("j11_theta_pairs", f"SELECT x.id AS a, y.id AS b, round({_PAIR}, 6) AS sim FROM vecs x JOIN vecs y ON x.id < y.id WHERE round({_PAIR}, 6) >= 0.1")
 def j11(spark, d):
-    return K.nested_loop_pairs(kb(spark, d, "vecs").where("label = 1").select("id", "v"), 0.1)
+    return K.theta_pairs(kb(spark, d, "vecs").select("id", "v"), 0.1)

@@ -1,8 +1,11 @@
-"""Connected components by alternating star contraction.
+"""Connected components by randomised contraction.
 
-Every round is a min-aggregate (partial on the map side) and a join on the node, so no task ever
-gathers the neighbours of one hub, and nothing about the graph reaches the driver but two numbers
-per round for the convergence test.
+Every round maps each node to the node of its closed neighbourhood that comes first in a random order of that round, and
+puts the edges between these representatives. The number of nodes falls by a constant share a round whatever the shape
+of the graph, and edges inside a group vanish, so rounds get cheaper. A round is a min-aggregate (partial on the map
+side) and two joins whose sides are tables of their own, which AQE can split where a node is a hub; no task gathers the
+neighbours of one node. When at most ``FINISH_EDGES`` edges are left, one task joins them up by union-find. Nothing
+about the graph reaches the driver but one count a round.
 """
 
 from __future__ import annotations
@@ -10,53 +13,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut
+from quarry.session import arrow_map, cut
 
+FINISH_EDGES = 1 << 14
+MAX_ROUNDS = 200
 
-SALTS = 4
 
+def _finish(edges: DataFrame, kind: str) -> DataFrame:
+    """(v, rep) over at most ``FINISH_EDGES`` edges, in one task."""
 
-def _fingerprint(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")
-    ).first()
-    return int(row["n"]), int(row["h"])
+    def run(batches):
+        import pyarrow as pa
 
+        parent: dict = {}
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        if nodes:
+            values = pa.array([*nodes, *map(root, nodes)])
+            yield pa.RecordBatch.from_arrays([values[: len(nodes)], values[len(nodes) :]], ["v", "rep"])
+
+    return arrow_map(edges.select("a", "b").coalesce(1), run, f"v {kind}, rep {kind}")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish_edges: int = FINISH_EDGES) -> DataFrame:
     """Return ``(node, component)`` for every node on an edge; ``component`` is its smallest node.
 
     Nulls in either column and self-loops carry no link and are left out; repeated edges are harmless;
     an empty edge table gives an empty result.
     """
-    star = (
-        edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    star = cut(star)
-    before = _fingerprint(star)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
-        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: every larger neighbour points to the smallest of the closed neighbourhood. The salt deals a hub's
-        # edges to several tasks, and gives the join two plain shuffles, which AQE can split further
-        salted = low.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        spread = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        large = spread.join(salted, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # small star: smaller neighbours and the node itself point to the smallest neighbour
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        star = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        after = _fingerprint(star)
-        if after == before:
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    kind = pairs.schema["a"].dataType.simpleString()
+    now = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    maps: list[DataFrame] = []
+    for k in range(MAX_ROUNDS):
+        if now.count() <= finish_edges:
             break
-        before = after
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
+        # both ends of an edge get its first end; a node also counts itself
+        both = now.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
+        first = both.groupBy("v").agg(F.min(order("w")).alias("m")).select("v", F.least("m", order("v"))["n"].alias("rep"))
+        first = cut(first)
+        maps.append(first)
+        left = now.join(first.withColumnsRenamed({"v": "a", "rep": "x"}), "a").select("b", "x")
+        right = left.join(first.withColumnsRenamed({"v": "b", "rep": "y"}), "b").where("x <> y")
+        now = cut(right.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return star.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        star.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    found = _finish(now, kind)
+    for first in reversed(maps):
+        up = cut(found).withColumnsRenamed({"v": "rep", "rep": "top"})
+        found = first.join(up, "rep", "left").select("v", F.coalesce("top", "rep").alias("rep"))
+    found = cut(found)
+    if not maps:  # union-find names a group by its smallest node
+        return found.select(F.col("v").alias("node"), F.col("rep").alias("component"))
+    least = cut(found.groupBy("rep").agg(F.min("v").alias("component")))
+    return found.join(least, "rep").select(F.col("v").alias("node"), "component")

@@ -3,14 +3,15 @@
 1. One pass over the texts gives each document the hash of its shingle set, ``SAMPLES`` MinHash samples
    banded into ``n_bands`` keys, and an odd sketch: the samples folded into a parity bitmap.
 2. Documents with equal sets form a class; from here on only classes count, however many copies they have.
-3. Each band bucket links its classes to its smallest one. The components of these links hold every pair
-   that shares a bucket, so any two classes in different components are no candidates.
-4. Inside a component, candidates are checked: classes are dealt into blocks, every pair of blocks is one
-   piece of work for some task, the XOR population count of two odd sketches estimates their similarity,
-   and pairs that may reach the threshold are confirmed on the full shingle sets, most similar first. Pairs
-   already joined through others are skipped, and each piece of work returns a spanning forest, never all
-   pairs.
-5. The components of the confirmed links are the groups.
+3. Two classes are candidates when they share a band bucket and the XOR population count of their odd sketches allows
+   the threshold. Sketches travel to the buckets; texts are fetched only for candidates, and confirm or refuse them on
+   the full shingle sets.
+4. First each class is tried against the smallest class of its buckets (the stars). The components of these links settle
+   groups of near copies of any size with one text a class and hub.
+5. Then the remaining candidates, pairs of one bucket in different components, are tried: a bucket is dealt into blocks,
+   sketches are compared by pairs of blocks, and only classes with a candidate in a pair of finer blocks bring their
+   texts there. Every piece of work returns a spanning forest of confirmed links, never all pairs.
+6. The components of all confirmed links are the groups.
 
 The threshold is a parameter: op1 passes ``THRESHOLD``, the pipeline's stage takes ``OPEN_THRESHOLD``. The number of
 bands follows it: a pair at the threshold shares no band with probability 5e-7 at most, and its odd sketch lies
@@ -20,14 +21,15 @@ cap on buckets, partners or candidates.
 Edge cases: words are lower-cased (A-Z) runs of non-blanks; a text with 1 to 4 words is one shingle; a null,
 empty or blank text has none, links with nothing and is kept; repeated rows are copies; a null id never
 becomes a component's id while the component has another, and its row is kept only if all its ids are null;
-an empty table gives an empty result; other columns are not read. Classes are told apart by a 64-bit hash
-of their sets.
+an empty table gives an empty result; other columns are not read. Classes are told apart by 128 bits of hash
+over their sets and by their size; a link counts only if the sets of words themselves confirm it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +48,20 @@ SKETCH_BITS = 1024
 THRESHOLD = 85  # per cent, of op1
 OPEN_THRESHOLD = 80  # per cent, where no contract names one
 BLOCK_DOCS = 64
+FINE = 8  # blocks in a big block, inside which and between which sketches are compared
 BLOCK_SHINGLES = 400_000
 
 _rng = np.random.Generator(np.random.PCG64(0x0DD))
 _FLIP = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNATURE = "doc_id long, row_key long, n_shingles long, uid long, bands array<long>, sketch binary"
+WIDTH = SKETCH_BITS // 8
 
 
-def row_key() -> Column:
-    """One number for rows equal in id and text."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def row_keys() -> list[Column]:
+    """Two numbers, together the same only for rows equal in id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit("row"), "doc_id", text).alias("k2")]
 
 
 def sketch_limit(threshold: float = THRESHOLD / 100, deviations: float = 5.0) -> int:
@@ -106,10 +110,15 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int64)
 
 
-def signatures_of(h: np.ndarray, at: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set hash, band keys (rows x bands) and odd sketch (rows x bytes) of non-empty sets."""
+def set_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of non-empty sets."""
+    size = np.diff(at).astype(np.uint64)
+    return tuple(tb.mix(np.add.reduceat(tb.mix(h ^ np.uint64(salt)), at[:-1]) + size) for salt in (0xA5A5A5A5, 0x3C3C3C3C3C))
+
+
+def signatures_of(h: np.ndarray, at: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (rows x bands) and odd sketch (rows x bytes) of non-empty sets."""
     starts = at[:-1]
-    uid = tb.mix(np.add.reduceat(tb.mix(h ^ np.uint64(0xA5A5A5A5)), starts) + np.diff(at).astype(np.uint64))
     n = len(starts)
     keys = np.zeros((n, bands), np.uint64)
     bits = np.zeros((n, SKETCH_BITS), np.uint8)
@@ -119,11 +128,11 @@ def signatures_of(h: np.ndarray, at: np.ndarray, bands: int = BANDS) -> tuple[np
         if j < ROWS * bands:
             keys[:, j // ROWS] += tb.mix(low + np.uint64(j)) * tb.ORDER[j % ROWS]
         bits[every, (tb.mix(low ^ _SPREAD[j]) % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= 1
-    return uid, tb.mix(keys + np.arange(bands, dtype=np.uint64)), np.packbits(bits, axis=1)
+    return tb.mix(keys + np.arange(bands, dtype=np.uint64)), np.packbits(bits, axis=1)
 
 
 def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
-    width = SKETCH_BITS // 8
+    """doc_id, k1, k2, n_shingles, u1, u2 (set hashes), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in tb.slices(batches, "text", tb.SLICE_BYTES // 2):
@@ -131,53 +140,175 @@ def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
             sizes = np.diff(at)
             full = np.flatnonzero(sizes)
             n = len(sizes)
-            uid = np.zeros(n, np.uint64)
+            u1, u2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             band_at = np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32)
-            sketch_at = np.concatenate([[0], np.cumsum((sizes > 0) * width)]).astype(np.int32)
-            keys, sketch = np.zeros((0, bands), np.uint64), np.zeros((0, width), np.uint8)
+            sketch_at = np.concatenate([[0], np.cumsum((sizes > 0) * WIDTH)]).astype(np.int32)
+            keys, sketch = np.zeros((0, bands), np.uint64), np.zeros((0, WIDTH), np.uint8)
             if len(full):
-                uid[full], keys, sketch = signatures_of(h, np.append(at[full], at[-1]), bands)
+                some = np.append(at[full], at[-1])
+                u1[full], u2[full] = set_hashes(h, some)
+                keys, sketch = signatures_of(h, some, bands)
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column(0),
-                    rows.column(1),
+                    *rows.columns[:3],
                     pa.array(sizes.astype(np.int64)),
-                    pa.array(uid.view(np.int64)),
+                    pa.array(u1.view(np.int64)),
+                    pa.array(u2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(band_at), pa.array(keys.reshape(-1).view(np.int64))),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(sketch_at.tobytes()), pa.py_buffer(sketch.tobytes())]),
                 ],
-                ["doc_id", "row_key", "n_shingles", "uid", "bands", "sketch"],
+                ["doc_id", "k1", "k2", "n_shingles", "u1", "u2", "bands", "sketch"],
             )
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return arrow_map(keyed, run, SIGNATURE)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", *row_keys(), "text")
+    return arrow_map(keyed, run, f"doc_id {kind}, k1 long, k2 long, n_shingles long, u1 long, u2 long, bands array<long>, sketch binary")
+
 
+def may_link(differ: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether differing sketch bits and set sizes allow the threshold."""
+    return (differ <= sketch_limit(threshold / 100)) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
 
-def candidate_components(classes: DataFrame) -> DataFrame:
-    """(node, component) over classes that share band buckets."""
-    banded = classes.select("uid", F.explode("bands").alias("band"))
+
+def star_candidates(classes: DataFrame, threshold: int) -> DataFrame:
+    """(cid, hub): each class with the smallest classes of its buckets, where the sketches allow a link."""
+    banded = classes.select("cid", F.explode("bands").alias("band"))
     # here and below: an aggregate that is joined back on its key is made a table first, so that the join has two
     # plain shuffles, which AQE can split where a key is hot
-    hubs = cut(banded.groupBy("band").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).where("hub != top").drop("top"))
-    return connected_components(banded.join(hubs, "band").where("uid != hub").select("uid", "hub").distinct(), "uid", "hub")
+    hubs = cut(banded.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub <> top").select("band", "hub"))
+    star = banded.join(hubs, "band").where("cid <> hub").select("cid", "hub").distinct()
+    side = lambda k, n: classes.select(F.col("cid").alias(k), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
+    both = star.join(side("cid", 1), "cid").join(side("hub", 2), "hub").select("cid", "hub", "n1", "n2", "s1", "s2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDTH // 8) for c in (4, 5))
+            n1, n2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(may_link(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), n1, n2, threshold)))
+
+    return arrow_map(both, run, "cid long, hub long")
+
+
+def _blocks(members: Column | str = "n_shingles") -> Column:
+    """How many blocks keep both the number of classes and their shingles in bounds."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(members) / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+
+
+def star_groups(stars: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, p, q, side, cid, label): the work of ``confirmed``: a hub (side -1) meets its members, dealt into blocks."""
+    sized = stars.join(classes.select("cid", "n_shingles"), "cid")
+    blocks = cut(sized.groupBy("hub").agg(_blocks()))
+    q = F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")
+    members = stars.join(blocks, "hub").select(F.col("hub").alias("g"), F.lit(-1).alias("p"), q.alias("q"), q.alias("side"), "cid")
+    hubs = blocks.select(F.col("hub").alias("g"), F.lit(-1).alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("q"), F.lit(-1).alias("side"), F.col("hub").alias("cid"))
+    return members.unionByName(hubs).withColumn("label", F.col("cid"))
+
 
+def rest_groups(classes: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """The same for candidates whose labels differ: of each bucket, the classes with one in a pair of fine blocks.
+
+    A pair is taken up only in the first bucket that it shares.
+    """
+    known = classes.join(labels, "cid", "left").select("cid", "n_shingles", "sketch", "bands", F.coalesce("label", "cid").alias("label"))
+    known = cut(known)
+    banded = known.select("cid", "n_shingles", "label", F.explode("bands").alias("g"))
+    mixed = banded.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), _blocks()).where("lo <> hi").select("g", "n_blocks")
+    mixed = cut(mixed)
+    rows = (
+        banded.join(mixed, "g")
+        .select("g", "cid", "n_blocks", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("n_blocks")).cast("int").alias("side"))
+        .join(known, "cid")
+        .withColumn("big", F.floor(F.col("side") / FINE).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_blocks") - 1) / FINE).cast("int"))))
+        .select("g", F.least("big", "other").alias("p"), F.greatest("big", "other").alias("q"), "big", "side", "cid", "label", "n_shingles", "sketch", "bands")
+        .repartition("g", "p", "q")
+        .sortWithinPartitions("g", "p", "q", "big", "cid")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: list[tuple] = []
+        out: set[tuple] = set()
+
+        def flush() -> None:
+            if len(held) > 1:
+                for x in candidates_of_bucket(now[0], held, threshold):
+                    out.add(x)
+            held.clear()
+
+        def emit() -> pa.RecordBatch:
+            rows = sorted(out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_DEALT_ARROW)], ["g", "p", "q", "side", "cid", "label"])
 
-def link_blocks(
-    uids: np.ndarray, sides: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], limit: int, threshold: int = THRESHOLD
-) -> list[tuple[int, int]]:
-    """Spanning forest of the confirmed links inside one block (one side) or between two blocks."""
-    n = len(uids)
+        for batch in batches:
+            for g, p, q, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, p, q) != now:
+                    flush()
+                    now = (g, p, q)
+                held.append(tuple(row))
+            if len(out) > 10_000:
+                yield emit()
+        flush()
+        yield emit()
+
+    return arrow_map(rows, run, "g long, p int, q int, side int, cid long, label long")
+
+
+_DEALT_ARROW = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+
+def candidates_of_bucket(bucket: int, rows: list[tuple], threshold: int) -> set[tuple]:
+    """(bucket, p, q, side, cid, label) of rows (big block, fine block, cid, label, size, sketch, bands) of one pair of big
+    blocks: both ends of each candidate."""
+    big = np.array([r[0] for r in rows])
+    fine, cid, label, size = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+    sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+    bands = np.array([r[6] for r in rows])
+    two = bool((big != big[0]).any())
+    right = np.flatnonzero(big != big[0]) if two else np.arange(len(rows))
+    out: set[tuple] = set()
+    for x in np.flatnonzero(big == big[0]).tolist():
+        y = right if two else right[right > x]
+        y = y[label[y] != label[x]]
+        y = y[may_link(np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64), size[y], size[x], threshold)]
+        if len(y):
+            y = y[bands[x][np.argmax(bands[y] == bands[x], axis=1)] == bucket]
+        for z in y.tolist():
+            p, q = sorted((int(fine[x]), int(fine[z])))
+            for end in (x, z):
+                out.add((bucket, p, q, int(fine[end]), int(cid[end]), int(label[end])))
+    return out
+
+
+def word_set(text: bytes) -> frozenset:
+    """The shingles of a text as strings of words."""
+    w = text.translate(_LOWER_BYTES).split()
+    return frozenset(b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))) if w else frozenset()
+
+
+_LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def agree(x: frozenset, y: frozenset, threshold: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def link_blocks(cids: list[int], sides: np.ndarray, labels: list[int], sketches: np.ndarray, sets: list[np.ndarray], texts: list[bytes], threshold: int) -> list[tuple[int, int]]:
+    """Spanning forest, over labels, of the confirmed links inside one block (one side) or between two blocks."""
+    n = len(cids)
     two = bool((sides != sides[0]).any()) if n else False
     left = np.flatnonzero(sides == sides[0]) if two else np.arange(n)
     right = np.flatnonzero(sides != sides[0]) if two else np.arange(n)
+    sizes = np.array([len(x) for x in sets], np.int64)
     differ = np.bitwise_count(sketches[left][:, None, :] ^ sketches[right][None, :, :]).sum(axis=2, dtype=np.int64)
-    a, b = sizes[left][:, None], sizes[right][None, :]
-    ok = (differ <= limit) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
+    ok = may_link(differ, sizes[left][:, None], sizes[right][None, :], threshold)
     if not two:
         ok &= np.arange(n)[:, None] < np.arange(n)[None, :]
     i, j = np.nonzero(ok)
     order = np.argsort(differ[i, j], kind="stable")
-    parent = list(range(n))
+    parent = {x: x for x in labels}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -185,40 +316,39 @@ def link_blocks(
             x = parent[x]
         return x
 
-    hashed: dict[int, frozenset] = {}
+    exact = lru_cache(16)(lambda k: word_set(texts[k]))
     found = []
     for x, y in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
-        rx, ry = root(x), root(y)
+        rx, ry = root(labels[x]), root(labels[y])
         if rx == ry:
             continue
-        for k in (x, y):
-            if k not in hashed:
-                hashed[k] = frozenset(sets[k].tolist())
-        both = len(hashed[x] & hashed[y])
-        if 100 * both >= threshold * (int(sizes[x]) + int(sizes[y]) - both):
+        # the hashed sets refuse most pairs at once; what they let pass, the words have to confirm
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * both < threshold * (int(sizes[x]) + int(sizes[y]) - both):
+            continue
+        if agree(exact(x), exact(y), threshold):
             parent[rx] = ry
-            found.append((int(uids[x]), int(uids[y])))
+            found.append((labels[x], labels[y]))
     return found
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Edges (a, b) over class ids that span every group of confirmed links."""
-    meta = members.join(classes.select("uid", "n_shingles", "text_row", "sketch"), members["node"] == classes["uid"])
-    weight = members.join(classes.select("uid", "n_shingles"), members["node"] == classes["uid"]).groupBy("component").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
-    )
-    weight = cut(weight)
-    wanted = meta.join(weight, "component").select("text_row", "uid", "sketch", "component", "n_blocks")
-    texts = docs.select(row_key().alias("text_row"), "text")
+def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, u1, u2, sketch, text): one text of every class that shares a bucket with another."""
+    banded = classes.select("cid", F.explode("bands").alias("band"))
+    shared = cut(banded.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("band"))
+    wanted = classes.join(banded.join(shared, "band").select("cid").distinct(), "cid", "left_semi")
+    texts = docs.select(*row_keys(), "text").select(F.col("k1").alias("text_row"), "text")
+    return texts.join(wanted.select("text_row", "cid", "u1", "u2", "sketch"), "text_row").select("cid", "u1", "u2", "sketch", "text").dropDuplicates(["cid"])
+
+
+def confirmed(work: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) over labels that span every group of confirmed links of the work (g, p, q, side, cid, label)."""
     dealt = (
-        texts.join(wanted, "text_row")
-        .withColumn("side", F.pmod(F.xxhash64("uid", F.lit("block")), F.col("n_blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("component", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "uid", "sketch", "text")
-        .repartition("component", "p", "q")
-        .sortWithinPartitions("component", "p", "q", "side", "uid")
+        work.join(texts, "cid")
+        .select("g", "p", "q", "side", "cid", "label", "u1", "u2", "sketch", "text")
+        .repartition("g", "p", "q")
+        .sortWithinPartitions("g", "p", "q", "side", "cid")
     )
-    limit = sketch_limit(threshold / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -229,13 +359,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, thr
             seen: set[int] = set()
             once = [r for r in rows if not (r[0] in seen or seen.add(r[0]))]
             if len(once) > 1:
-                sketches = np.frombuffer(b"".join(r[2] for r in once), np.uint64).reshape(len(once), -1)
-                sets = [r[3] for r in once]
-                out.extend(
-                    link_blocks(
-                        np.array([r[0] for r in once]), np.array([r[1] for r in once]), np.array([len(x) for x in sets]), sketches, sets, limit, threshold
-                    )
-                )
+                sketches = np.frombuffer(b"".join(r[3] for r in once), np.uint64).reshape(len(once), -1)
+                out.extend(link_blocks([r[0] for r in once], np.array([r[1] for r in once]), [r[2] for r in once], sketches, [r[4] for r in once], [r[5] for r in once], threshold))
             rows.clear()
 
         def emit() -> pa.RecordBatch:
@@ -245,13 +370,17 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, thr
 
         for part, data, offs in tb.slices(batches, "text"):
             h, at = shingle_sets(data, offs)
-            keys = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
-            sides, uids, sketches = (part.column(c).to_pylist() for c in (3, 4, 5))
+            u1, u2 = set_hashes(h, at) if len(h) else (np.zeros(0), np.zeros(0))
+            raw = data.tobytes()
+            keys = zip(*(part.column(c).to_pylist() for c in (0, 1, 2)), strict=True)
+            sides, cids, labels, w1, w2, sketches = (part.column(c).to_pylist() for c in range(3, 9))
             for k, key in enumerate(keys):
                 if key != now:
                     flush()
                     now = key
-                rows.append((uids[k], sides[k], sketches[k], h[at[k] : at[k + 1]].copy()))
+                # a row that only shares the key of the wanted text has another set
+                if at[k + 1] > at[k] and int(u1[k].view(np.int64)) == w1[k] and int(u2[k].view(np.int64)) == w2[k]:
+                    rows.append((cids[k], sides[k], labels[k], sketches[k], h[at[k] : at[k + 1]].copy(), raw[offs[k] : offs[k + 1]]))
             if len(out) > 10_000:
                 yield emit()
         flush()
@@ -261,34 +390,34 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, thr
 
 
 def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row_key; pairs of at least ``threshold`` per cent are linked."""
+    """doc_id, n_shingles, component_id, kept, k1, k2; pairs of at least ``threshold`` per cent are linked."""
+    spark = docs.sparkSession
     sig = cut(signatures(docs, n_bands(threshold)))
     some = sig.where("n_shingles > 0")
-    classes = cut(
-        some.groupBy("uid").agg(
-            F.min("doc_id").alias("first_doc"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.min("row_key").alias("text_row"),
-            F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        )
+    classes = some.groupBy("u1", "u2", "n_shingles").agg(
+        F.min("doc_id").alias("first_doc"), F.min("k1").alias("text_row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
-    release(docs.sparkSession)
-    members = candidate_components(classes)
-    release(docs.sparkSession)
-    groups = connected_components(confirmed_links(docs, classes, members, threshold))
-    release(docs.sparkSession)
-    linked = classes.select("uid", "first_doc").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
-    linked = cut(linked.select("uid", "first_doc", F.coalesce("component", "uid").alias("component")))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    texts = cut(texts_of(docs, classes))
+    release(spark)
+    stars = cut(star_candidates(classes, threshold))
+    first = connected_components(confirmed(star_groups(stars, classes), texts, threshold)).withColumnsRenamed({"node": "cid", "component": "label"})
+    release(spark)
+    shared = classes.join(texts.select("cid").distinct(), "cid", "left_semi")
+    rest = cut(rest_groups(shared, first, threshold))
+    second = connected_components(confirmed(rest, texts, threshold)).withColumnsRenamed({"node": "label", "component": "top"})
+    release(spark)
+    linked = classes.select("cid", "u1", "u2", "n_shingles", "first_doc").join(first, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    linked = cut(linked.join(second, "label", "left").select("u1", "u2", "n_shingles", "first_doc", F.coalesce("top", "label").alias("component")))
     firsts = cut(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")))
-    named = linked.join(firsts, "component").select("uid", "component_id")
-    placed = some.select("doc_id", "n_shingles", "uid", "row_key").join(named, "uid").select("doc_id", "n_shingles", "component_id", "row_key")
-    alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")
-    return placed.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
+    named = linked.join(firsts, "component").select("u1", "u2", "n_shingles", "component_id")
+    placed = some.select("doc_id", "n_shingles", "u1", "u2", "k1", "k2").join(named, ["u1", "u2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "k1", "k2")
+    alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k1", "k2")
+    return placed.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "k1", "k2")
 
 
 def keep_one(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
     """The documents that stay, one of each group, with the columns of ``docs``."""
-    kept = near_dedup(docs, threshold).where("kept").select(F.col("row_key").alias("_kept_row")).distinct()
-    keyed = docs.select(*docs.columns, row_key().alias("_kept_row"))
-    return keyed.join(kept, "_kept_row", "left_semi").dropDuplicates(["_kept_row"]).select(*docs.columns)
+    kept = near_dedup(docs, threshold).where("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    keyed = docs.select(*docs.columns, *(k.alias(f"_k{i}") for i, k in enumerate(row_keys(), 1)))
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)

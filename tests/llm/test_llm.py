@@ -86,33 +86,90 @@ def test_keep_one(docs):
     assert got[1] == 1 and got[2] == got[3] == got[8] == 0 and got[4] == got[5] == got[6] == got[7] == 1
 
 
+def _groups(n, pairs):
+    p = list(range(n))
+
+    def root(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in pairs:
+        p[root(a)] = root(b)
+    low = {}
+    for i in range(n):
+        low.setdefault(root(i), i)
+    return [low[root(i)] for i in range(n)]
+
+
+def _near_copies(n, words=300, step=4, rounds=8, seed=1):
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        w = [f"w{i}" for i in range(words)]
+        for i in rng.choice(words, (k % rounds) * step, replace=False):
+            w[i] = f"new{k}x{i}"
+        out.append(" ".join(w))
+    return out
+
+
 def test_link_blocks_spans_groups():
-    rng = np.random.default_rng(1)
-    base = np.sort(rng.choice(10**9, 300, replace=False)).astype(np.uint64)
-    sets = []
-    for k in range(40):
-        s = base.copy()
-        s[rng.choice(300, int(k % 8) * 4, replace=False)] += np.uint64(10**10 + k)
-        sets.append(np.sort(s))
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    _, _, sketch = near_dedup.signatures_of(near_dedup.tb.mix(np.concatenate(sets)), at)
-    sizes = np.array([len(s) for s in sets])
-    got = near_dedup.link_blocks(np.arange(40), np.zeros(40, int), sizes, np.ascontiguousarray(sketch).view(np.uint64), sets, near_dedup.sketch_limit())
-
-    def groups(pairs):
-        p = list(range(40))
-
-        def root(x):
-            while p[x] != x:
-                x = p[x]
-            return x
-
-        for a, b in pairs:
-            p[root(a)] = root(b)
-        return [min(j for j in range(40) if root(j) == root(i)) for i in range(40)]
-
-    exact = [(a, b) for a in range(40) for b in range(a) if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))]
-    assert groups(got) == groups(exact) and len(got) < 40
+    some = _near_copies(40, step=1)
+    data = np.frombuffer("".join(some).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in some])])
+    h, at = near_dedup.shingle_sets(data, offs)
+    _, sketch = near_dedup.signatures_of(h, at)
+    sketches = np.ascontiguousarray(sketch).view(np.uint64)
+    raw = [t.encode() for t in some]
+    sets = [h[at[k] : at[k + 1]] for k in range(40)]
+    assert [len(near_dedup.word_set(t)) for t in raw] == [len(s) for s in sets]
+    exact = [(a, b) for a in range(40) for b in range(a) if near_dedup.agree(shingles(some[a]), shingles(some[b]), 85)]
+    assert 1 < len(set(_groups(40, exact))) < 40
+    for sides in (np.zeros(40, int), np.arange(40) // 20):
+        got = near_dedup.link_blocks(list(range(40)), sides, list(range(40)), sketches, sets, raw, 85)
+        want = exact if not sides.any() else [(a, b) for a, b in exact if sides[a] != sides[b]]
+        assert _groups(40, got) == _groups(40, want) and len(got) < 40
+
+
+def test_hot_buckets_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(near_dedup, "FINE", 2)
+    some = _near_copies(120, words=60, step=1, rounds=5, seed=3) + [" ".join(f"chain{i}" for i in range(k, k + 60)) for k in range(0, 90, 3)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id int, text string")
+    exact = [(a, b) for a in range(len(some)) for b in range(a) if near_dedup.agree(shingles(some[a]), shingles(some[b]), 85)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, 85).collect()}
+    assert [got[i] for i in range(len(some))] == _groups(len(some), exact)
+
+
+def test_bands_lose_no_link(spark):
+    """Recall of the candidate search: pairs just over the threshold, measured against the exact answer."""
+    rng = np.random.default_rng(11)
+    rows, want = [], 0
+    for k in range(400):
+        w = [f"p{k}w{i}" for i in range(130)]
+        v = list(w)
+        for i in (20, 70):
+            v[i + int(rng.integers(0, 20))] += "x"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        want += near_dedup.agree(shingles(rows[-1][1]), shingles(rows[-2][1]), 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.near_dedup(docs, 85).where("kept").count()
+    assert want > 390 and kept == 800 - want
+
+
+def test_one_coarse_component_stays_linear(spark):
+    """10,000 texts whose neighbours in a chain share bands but no link: what is fetched stays within twice the input."""
+    some = [" ".join(f"c{i}" for i in range(k, k + 60)) for k in range(0, 120_000, 12)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(8)
+    sig = near_dedup.cut(near_dedup.signatures(docs, near_dedup.n_bands(85)))
+    classes = sig.select("n_shingles", "u1", "u2", F.col("k1").alias("text_row"), "bands", "sketch", F.monotonically_increasing_id().alias("cid"))
+    classes = near_dedup.cut(classes)
+    texts = near_dedup.cut(near_dedup.texts_of(docs, classes))
+    stars = near_dedup.cut(near_dedup.star_candidates(classes, 85))
+    rest = near_dedup.cut(near_dedup.rest_groups(classes, stars.limit(0).select("cid", F.col("hub").alias("label")), 85))
+    assert texts.count() > 5000  # the chain does share buckets
+    assert near_dedup.star_groups(stars, classes).count() + rest.count() < 2 * len(some)
+    assert near_dedup.near_dedup(docs, 85).where("kept").count() == len(some)
 
 
 # --- op2 ------------------------------------------------------------------------------------------------------
@@ -321,15 +378,32 @@ def leaks(docs, benchmark):
 COLS7 = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
-@pytest.mark.parametrize("limit", [decontaminate.SET_LIMIT, 1])
-def test_decontaminate(docs, benchmark, monkeypatch, limit):
-    rows, wins = decontaminate.flagged(docs.select("doc_id", "text"), benchmark, set_limit=limit)
-    monkeypatch.setattr(decontaminate, "flagged", lambda *a, **k: (rows, wins))
-    assert bag(tuple(r[c] for c in COLS7) for r in decontaminate.decontaminate(docs, benchmark).collect()) == leaks(docs, benchmark)
-
-
-def test_remove_contaminated(docs, benchmark):
-    out = decontaminate.remove_contaminated(docs, benchmark)
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 1])
+def test_decontaminate(docs, benchmark, limit):
+    got = decontaminate.decontaminate(docs, benchmark, limit)
+    assert bag(tuple(r[c] for c in COLS7) for r in got.collect()) == leaks(docs, benchmark)
+    assert decontaminate.decontaminate(docs, benchmark.limit(0), limit).where("n_hit > 0 or n_items > 0").count() == 0
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 1 << 20])
+def test_a_benchmark_of_60_000_windows(spark, limit):
+    rng = np.random.default_rng(5)
+    names = [f"v{i}" for i in range(3000)]
+    text = lambda n: " ".join(names[i] for i in rng.integers(0, len(names), n))
+    items = [(k, text(112)) for k in range(600)] + [(600 + k, text(1 + k % 12)) for k in range(60)]
+    rows = []
+    for k in range(60):
+        w = items[k * 10][1].split()
+        rows.append((k, f"{text(60)} {' '.join(w[k : k + 10 + k % 9])} {text(80)}"))
+    many = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert decontaminate.windows(many).count() >= 60_000
+    assert bag(tuple(r[c] for c in COLS7) for r in decontaminate.decontaminate(docs, many, limit).collect()) == leaks(docs, many)
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 1])
+def test_remove_contaminated(docs, benchmark, limit):
+    out = decontaminate.remove_contaminated(docs, benchmark, limit)
     assert out.columns == docs.columns
     got = {r["doc_id"]: r for r in out.collect()}
     assert 11 not in got and got[12]["w"] == 1 and got[12]["hit"] == 2

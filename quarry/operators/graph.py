@@ -201,24 +201,22 @@ def trace_flow(tiers: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
 
 
 def activation_spans(messages: DataFrame) -> DataFrame:
-    """Call and return messages (flow, pos, kind, target) to nested intervals by a stack; unreturned ones end with the flow.
+    """Call and return messages (flow, pos, kind, target) to nested intervals; unreturned ones end with the flow.
 
-    One flow is one bounded trace, so a flow is the unit of work.
+    The depth is the running balance of calls over returns, returns without a call left out; at one depth, calls and
+    their returns alternate. One flow is one bounded trace.
     """
-    import pandas as pd
-
-    def run(pdf):
-        open_, out, last = [], [], int(pdf["pos"].max()) if len(pdf) else 0
-        for r in pdf.sort_values(["pos"]).itertuples():
-            if r.kind == "call":
-                open_.append((r.target, r.pos))
-            elif open_:
-                t, p = open_.pop()
-                out.append((r.flow, t, p, r.pos))
-        out += [(pdf["flow"].iloc[0], t, p, last) for t, p in open_]
-        return pd.DataFrame(out, columns=["flow", "target", "start", "end"])
-
-    return messages.groupBy("flow").applyInPandas(run, "flow long, target string, start long, end long")
+    flow = Window.partitionBy("flow").orderBy("pos")
+    upto = flow.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = messages.withColumn("s", F.sum(F.when(F.col("kind") == "call", 1).otherwise(-1)).over(upto))
+    low = F.least(F.lit(0), F.min("s").over(upto))
+    before = F.least(F.lit(0), F.coalesce(F.min("s").over(flow.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    m = m.select("flow", "pos", "kind", "target", "s", low.alias("low"), before.alias("before"), F.max("pos").over(Window.partitionBy("flow")).alias("last"))
+    m = m.where((F.col("kind") == "call") | (F.col("s") >= F.col("before")))
+    level = F.col("s") - F.col("low") + F.when(F.col("kind") == "call", 0).otherwise(1)
+    m = m.withColumn("level", level)
+    m = m.withColumn("next", F.lead("pos").over(Window.partitionBy("flow", "level").orderBy("pos")))
+    return m.where("kind = 'call'").select("flow", "target", F.col("pos").alias("start"), F.coalesce("next", "last").alias("end"))
 
 
 def data_layer(edges: DataFrame, access: DataFrame, floor: Column, budget: int = 1_000_000) -> DataFrame:

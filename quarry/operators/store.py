@@ -190,9 +190,14 @@ def dot_graph(edges: DataFrame, limit: int = 500) -> str:
     return "digraph g {\n" + "".join(f'  "{r[0]}" -> "{r[1]}";\n' for r in rows) + "}\n"
 
 
+def row_digest(columns: list[str]) -> Column:
+    """48 bits of a row's SHA-256, as a number that sums can gather in any order."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+
+
 def pack_manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and an order-free checksum of each packed table."""
-    parts = [df.agg(F.lit(k).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("checksum")) for k, df in tables.items()]
+    parts = [df.agg(F.lit(k).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(row_digest(df.columns)).alias("checksum")) for k, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -67,7 +67,7 @@ def g07(spark, d):
     return G.related(kb(spark, d, "doc_graph"), docs.where("content_type = 'de'").select("id"), docs, 1)
 
 
-@query("j09_endpoint_calls", "SELECT a.id AS caller, b.id AS callee, e.line FROM sym_edges e JOIN symbols a ON a.id = e.caller JOIN symbols b ON b.id = e.callee WHERE edge_type = 'call' AND a.source_name <> b.source_name")
+@query("j09_endpoint_calls", "WITH s AS MATERIALIZED (SELECT id, source_name FROM symbols), e AS MATERIALIZED (SELECT caller, callee, line FROM sym_edges WHERE edge_type = 'call') SELECT caller, callee, line FROM e JOIN s a ON a.id = e.caller JOIN s b ON b.id = e.callee WHERE a.source_name <> b.source_name")
 def j09(spark, d):
     s, e = kb(spark, d, "symbols"), kb(spark, d, "sym_edges").where("edge_type = 'call'")
     j = e.join(s.select(F.col("id").alias("caller"), F.col("source_name").alias("_a")), "caller").join(s.select(F.col("id").alias("callee"), F.col("source_name").alias("_b")), "callee")

@@ -66,7 +66,7 @@ def f06(spark, d):
     return X.admit(ids, docs, kb(spark, d, "themes"), ["src1", "src2", "src5"])
 
 
-@query("f08_edges_in_scope", "SELECT e.* FROM sym_edges e WHERE caller IN (SELECT id FROM symbols WHERE source_name IN ('s0', 's1')) AND callee IN (SELECT id FROM symbols WHERE source_name IN ('s0', 's1'))")
+@query("f08_edges_in_scope", "WITH s AS MATERIALIZED (SELECT DISTINCT id FROM symbols WHERE source_name IN ('s0', 's1')) SELECT e.* FROM sym_edges e SEMI JOIN s a ON a.id = e.caller SEMI JOIN s b ON b.id = e.callee")
 def f08(spark, d):
     return X.edges_in_scope(kb(spark, d, "sym_edges"), kb(spark, d, "symbols"), ["s0", "s1"])
 

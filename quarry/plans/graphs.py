@@ -100,7 +100,7 @@ def g11(spark, d):
     return G.resolve_external(e, kb(spark, d, "symbols"))
 
 
-@query("g12_loaded", "SELECT * FROM sym_edges WHERE caller IN (SELECT id FROM symbols) AND callee IN (SELECT id FROM symbols)")
+@query("g12_loaded", "WITH s AS MATERIALIZED (SELECT DISTINCT id FROM symbols) SELECT e.* FROM sym_edges e SEMI JOIN s a ON a.id = e.caller SEMI JOIN s b ON b.id = e.callee")
 def g12(spark, d):
     return G.loaded(kb(spark, d, "sym_edges"), kb(spark, d, "symbols"))
 
@@ -173,7 +173,9 @@ def g21(spark, d):
     return G.trace_flow(tiers, spark.createDataFrame([("o5",)], "id string"), 4)
 
 
-@query("g22_activation_spans")
+@query("g22_activation_spans", """WITH m AS (SELECT id % 50 AS flow, id AS pos, CASE WHEN id % 3 = 0 THEN 'return' ELSE 'call' END AS kind, tool_name AS target FROM usage),
+s AS (SELECT *, sum(CASE kind WHEN 'call' THEN 1 ELSE -1 END) OVER (PARTITION BY flow ORDER BY pos) AS s FROM m), d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY flow ORDER BY pos)) AS depth FROM s)
+SELECT flow, target, pos AS start, coalesce((SELECT min(b.pos) FROM d b WHERE b.flow = a.flow AND b.pos > a.pos AND b.depth < a.depth), (SELECT max(pos) FROM d b WHERE b.flow = a.flow)) AS "end" FROM d a WHERE kind = 'call'""")
 def g22(spark, d):
     m = kb(spark, d, "usage").select((F.col("id") % 50).alias("flow"), F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, "return").otherwise("call").alias("kind"), F.col("tool_name").alias("target"))
     return G.activation_spans(m)
@@ -259,7 +261,13 @@ def g34(spark, d):
     return G.reference_bridges(kb(spark, d, "sym_edges"))
 
 
-@query("g35_obligation_closure")
+_LEVEL = """SELECT obligation, "to" AS id, {k}::INTEGER AS level, r FROM (SELECT *, row_number() OVER (PARTITION BY obligation ORDER BY kind, site, "to")::INTEGER AS r
+FROM (SELECT obligation, "to", kind, min(site) AS site FROM (SELECT DISTINCT obligation, id FROM {f}) f JOIN b ON b.node = f.id GROUP BY 1, 2, 3)) WHERE r <= 5"""
+
+
+@query("g35_obligation_closure", f"""WITH x AS (SELECT caller AS node, callee AS "to", edge_type, file, line FROM sym_edges WHERE edge_type IN ('call', 'type_ref')),
+b AS MATERIALIZED (SELECT node, "to", min((file, line)) AS site, CASE edge_type WHEN 'call' THEN 0 ELSE 1 END AS kind FROM (SELECT * FROM x UNION ALL SELECT "to", node, edge_type, file, line FROM x) GROUP BY node, "to", edge_type),
+s AS (SELECT name AS obligation, id FROM symbols WHERE name IN ('Order25', 'Order5') AND kind = 'class'), l1 AS MATERIALIZED ({_LEVEL.format(k=1, f='s')}) SELECT * FROM l1 UNION ALL {_LEVEL.format(k=2, f='l1')}""")
 def g35(spark, d):
     seeds = kb(spark, d, "symbols").where("name in ('Order25', 'Order5') and kind = 'class'").select(F.col("name").alias("obligation"), "id")
     return G.obligation_closure(kb(spark, d, "sym_edges"), seeds)

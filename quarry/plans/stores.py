@@ -96,12 +96,14 @@ def w02(spark, d):
     return S.graph_export(kb(spark, d, "doc_graph"), kb(spark, d, "docs"))
 
 
-@query("w03_dot_graph")
+@query("w03_dot_graph", """WITH e AS (SELECT DISTINCT source_id, target_id FROM doc_graph ORDER BY source_id, target_id LIMIT 50)
+SELECT 'digraph g {' || chr(10) || string_agg('  "' || source_id || '" -> "' || target_id || '";' || chr(10), '' ORDER BY source_id, target_id) || '}' || chr(10) AS dot FROM e""")
 def w03(spark, d):
     return spark.createDataFrame([(S.dot_graph(kb(spark, d, "doc_graph"), 50),)], "dot string")
 
 
-@query("w04_pack_manifest")
+@query("w04_pack_manifest", """SELECT 'docs' AS "table", count(*) AS rows, sum(('0x' || substr(sha256(concat_ws('|', id, title, source_name)), 1, 12))::BIGINT)::DECIMAL(38,0) AS checksum FROM docs
+UNION ALL SELECT 'graph', count(*), sum(('0x' || substr(sha256(concat_ws('|', source_id, target_id, edge_type, weight)), 1, 12))::BIGINT)::DECIMAL(38,0) FROM doc_graph""")
 def w04(spark, d):
     return S.pack_manifest({"docs": kb(spark, d, "docs").select("id", "title", "source_name"), "graph": kb(spark, d, "doc_graph")})
 

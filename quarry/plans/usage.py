@@ -109,6 +109,9 @@ def a21(spark, d):
     return U.mean_tokens(kb(spark, d, "usage"), ["tool_name", "outcome"], "score")
 
 
-@query("a24_snapshot")
+@query("a24_snapshot", """WITH t AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'hit') AS h, count(*) FILTER (outcome = 'miss') AS m FROM usage),
+d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (outcome = 'hit') AS h, count(*) FILTER (outcome = 'miss') AS m FROM usage GROUP BY 1 ORDER BY day DESC LIMIT 90),
+j AS (SELECT string_agg('{"day":"' || day || '","calls":' || n || ',"hits":' || h || ',"misses":' || m || '}', ',' ORDER BY day) AS by_day FROM d)
+SELECT '{"total":' || n || ',"hits":' || h || ',"misses":' || m || ',"by_day":[' || by_day || ']}' AS report FROM t, j""")
 def a24(spark, d):
     return U.snapshot(kb(spark, d, "usage"))

@@ -174,7 +174,8 @@ def v21(spark, d):
     return V.select_documents(s.where("id % 5 = 0"), s, 8, floor=0.1)
 
 
-@query("v22_candidate_terms")
+@query("v22_candidate_terms", """WITH t AS (SELECT id AS qid, regexp_extract_all(title, '[A-Za-z0-9_.]+') AS w FROM docs), g AS (SELECT qid, n, p, w[p + 1 : p + n] AS g FROM (SELECT qid, w, n, unnest(generate_series(0, len(w) - n)) AS p FROM t, range(1, 4) r(n) WHERE len(w) >= n))
+SELECT qid, p::INTEGER AS pos, n::INTEGER AS n, array_to_string(g, ' ') AS term FROM g WHERE lower(g[1]) NOT IN ('the', 'of', 'is', 'a', 'in') AND lower(g[-1]) NOT IN ('the', 'of', 'is', 'a', 'in')""")
 def v22(spark, d):
     q = kb(spark, d, "docs").select(F.col("id").alias("qid"), F.col("title").alias("question"))
     return V.candidate_terms(q, ["the", "of", "is", "a", "in"])
@@ -220,12 +221,20 @@ def v27(spark, d):
     return V.nearest_per_key(vecs.where("id > 0"), "label", q, 6, floor=0.1)
 
 
-@query("v28_idf_overlap")
+_CAMEL = "list_distinct(list_transform(regexp_extract_all(regexp_replace({t}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda w: regexp_replace(lower(w), '^(.{{3,}})s$', '\\1')))"
+
+
+@query("v28_idf_overlap", f"""WITH q AS (SELECT unnest({_CAMEL.format(t="'The thing inOrder of theStation'")}) AS tok), d AS (SELECT id, unnest({_CAMEL.format(t="title")}) AS tok FROM docs), h AS (SELECT * FROM d WHERE tok IN (SELECT tok FROM q)),
+f AS (SELECT tok, count(*) AS df FROM h GROUP BY tok), w AS (SELECT tok, 1 + ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (coalesce(df, 0) + 1)) AS w FROM q LEFT JOIN f USING (tok))
+SELECT id, round(sum(w) / (SELECT sum(w) FROM w), 6) AS score FROM h JOIN w USING (tok) GROUP BY id""")
 def v28(spark, d):
     return V.idf_overlap(kb(spark, d, "docs").select("id", F.col("title").alias("text")), "The thing inOrder of theStation")
 
 
-@query("v29_pseudo_semantic")
+@query("v29_pseudo_semantic", f"""WITH s AS (SELECT id, v, {_COS} AS score FROM vecs WHERE label = 1 ORDER BY score DESC, id LIMIT 6), c AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, sum(v[i]::DOUBLE * score) / sum(score) AS x FROM s, range(1, 65) r(i) GROUP BY i)),
+n AS (SELECT id, round(list_dot_product(m, CAST(v AS DOUBLE[])) / sqrt(list_dot_product(m, m)) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 6) AS score FROM vecs, c ORDER BY score DESC, id LIMIT 12),
+u AS (SELECT id, 0 AS part, score FROM s UNION ALL SELECT id, 1, score FROM n WHERE id NOT IN (SELECT id FROM s))
+SELECT id, row_number() OVER (ORDER BY part, score DESC, id)::INTEGER AS position FROM u QUALIFY position <= 6""")
 def v29(spark, d):
     vecs, q = _vq(spark, d)
     return V.pseudo_semantic(spark, vecs.select("id", "v"), V.with_scores(vecs.where("label = 1"), q).select("id", "score"), 6)
@@ -330,7 +339,7 @@ def k03b(spark, d):
     return K.edges_touching(kb(spark, d, "doc_graph"), kb(spark, d, "docs").where("content_type = 'en'"), both=True)
 
 
-@query("k04_index_stamp")
+@query("k04_index_stamp", "SELECT count(*) AS n, sum(('0x' || substr(sha256(id || '|' || CAST(updated_at AS VARCHAR)), 1, 12))::BIGINT)::DECIMAL(38,0) AS stamp FROM docs")
 def k04(spark, d):
     return K.index_stamp(kb(spark, d, "docs").select("id", F.col("updated_at").cast("string").alias("updated_at")))
 
@@ -380,7 +389,10 @@ def k09(spark, d):
     return K.overlaps(_members(spark, d), old)
 
 
-@query("k09_stable_ids")
+@query("k09_stable_ids", f"""WITH {_MEM}, o AS (SELECT * FROM m WHERE id LIKE '%1%' OR id LIKE '%2%'), nn AS (SELECT cluster AS new, count(*) AS n_new, substr(sha256(min(id)), 1, 12) AS fresh FROM m GROUP BY 1), no AS (SELECT cluster AS old, count(*) AS n_old FROM o GROUP BY 1),
+v AS (SELECT new, old, n_new, round(c / (n_new + n_old - c), 6) AS overlap FROM (SELECT m.cluster AS new, o.cluster AS old, count(*) AS c FROM m JOIN o USING (id) GROUP BY 1, 2) JOIN nn USING (new) JOIN no USING (old)),
+a AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY overlap DESC, old) AS r FROM v WHERE overlap >= 0.5), b AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY n_new DESC, overlap DESC, new) AS q FROM a WHERE r = 1)
+SELECT nn.new AS cluster, coalesce(b.old, fresh) AS stable_id FROM nn LEFT JOIN b ON b.new = nn.new AND q = 1""")
 def k09s(spark, d):
     return K.stable_ids(_members(spark, d), _members(spark, d).where("id like '%1%' or id like '%2%'"))
 
@@ -412,7 +424,7 @@ def k13(spark, d):
     return K.changed_elements(docs.select("id", F.md5("title").alias("hash")), synced)
 
 
-@query("k14_summary_hash")
+@query("k14_summary_hash", f"""WITH {_MEM} SELECT cluster, sha256(sum(('0x' || substr(sha256(id), 1, 12))::BIGINT)::VARCHAR || '|' || count(*) || '|s') AS summary_hash FROM m GROUP BY cluster""")
 def k14(spark, d):
     return K.summary_hash(_members(spark, d), _members(spark, d).groupBy("cluster").agg(F.lit("s").alias("summary")))
 

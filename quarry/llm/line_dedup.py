@@ -1,13 +1,18 @@
 """Substring dedup by line or paragraph hashing.
 
-Texts are cut into units (lines, or paragraphs split by blank lines). A unit's digest is that of its
+Texts are cut into units: lines, paragraphs split by blank lines, or (the default) the sentences of lines, so that a
+passage pasted into the middle of a longer line still consists of units of its own. A unit's digest is that of its
 lower-cased (A-Z) words in order, so case and white space do not matter. Digests are grouped globally;
 the occurrence with the smallest (doc_id, unit number) stays and the others are removed. What is removed
 is reported as code-point spans of the original text.
 
+``MIN_WORDS`` is what tells a passage from the short phrases (greetings, license lines, one-word lines) that many
+documents have in common without being copies: units below it always stay.
+
 Edge cases: null and empty texts have no units; a unit with fewer than ``min_words`` words is never
 removed; rows that agree in id and text are one document and get the same spans; a null id ranks last;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are not read. Digests have 128 bits, beside the unit's numbers of
+words and bytes.
 """
 
 from __future__ import annotations
@@ -22,12 +27,17 @@ from pyspark.sql import functions as F
 from quarry.llm import textbytes as tb
 from quarry.session import arrow_map, cut
 
-UNIT_SCHEMA = "doc_id long, text_key long, unit int, start int, end int, h long, n_words int, n_bytes int"
-MIN_WORDS = 5
+MIN_WORDS = 14
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
 
 
 def _units(data: np.ndarray, offs: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    s, e, rows = tb.runs(data != 10, offs)
+    inside = data != 10
+    if kind == "sentence":  # the blank after a full stop, question or exclamation mark ends a unit as a line feed does
+        inside[1:] &= ~(_STOP[data[:-1]] & (data[1:] == 32))
+        inside[offs[:-1][np.diff(offs) > 0]] = data[offs[:-1][np.diff(offs) > 0]] != 10
+    s, e, rows = tb.runs(inside, offs)
     if kind == "paragraph" and len(s):
         # lines that follow each other without a blank line between belong together
         joins = np.zeros(len(s), bool)
@@ -38,97 +48,93 @@ def _units(data: np.ndarray, offs: np.ndarray, kind: str) -> tuple[np.ndarray, n
     return s, e, rows
 
 
-def units(docs: DataFrame, kind: str = "line") -> DataFrame:
+def _spoken(data: np.ndarray, offs: np.ndarray, kind: str) -> tuple[np.ndarray, ...]:
+    """Units with a word: start, end, row, first word and word after the last; then the words' starts and ends."""
+    s, e, r = _units(data, offs, kind)
+    ws, we, _ = tb.words(data, offs)
+    a, b = np.searchsorted(ws, s), np.searchsorted(ws, e)
+    keep = b > a
+    return s[keep], e[keep], r[keep], a[keep], b[keep], ws, we
+
+
+def units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    """Units of ``min_words`` or more, with their place, number among the units with a word, and digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in tb.slices(batches, "text"):
-            s, e, r = _units(data, offs, kind)
-            ws, we, _ = tb.words(data, offs)
+            s, e, r, a, b, ws, we = _spoken(data, offs, kind)
+            number = np.arange(len(r)) - np.searchsorted(r, r)
+            keep = b - a >= min_words
+            s, e, r, a, b, number = (x[keep] for x in (s, e, r, a, b, number))
             codes = tb.span_hashes(tb.lowered(data), ws, we)
-            a, b = np.searchsorted(ws, s), np.searchsorted(ws, e)
-            keep = b > a
-            s, e, r, a, b = s[keep], e[keep], r[keep], a[keep], b[keep]
-            pref = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(codes * tb.powers("up", len(codes)), out=pref[1:])
-            h = tb.mix((pref[b] - pref[a]) * tb.powers("down", len(codes) + 1)[a])
+            digests = []
+            for of_word in (codes, tb.mix(codes ^ tb.STEP)):
+                pref = np.zeros(len(codes) + 1, np.uint64)
+                np.cumsum(of_word * tb.powers("up", len(codes)), out=pref[1:])
+                digests.append(tb.mix((pref[b] - pref[a]) * tb.powers("down", len(codes) + 1)[a]))
             size = np.zeros(len(ws) + 1, np.int64)
             np.cumsum(we - ws, out=size[1:])
             chars = np.zeros(len(data) + 1, np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
             base = chars[offs[:-1]][r]
-            first = np.searchsorted(r, np.arange(len(offs) - 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0).take(pa.array(r)),
                     rows.column(1).take(pa.array(r)),
-                    pa.array((np.arange(len(r)) - first[r]).astype(np.int32)),
+                    pa.array(number.astype(np.int32)),
                     pa.array((chars[s] - base).astype(np.int32)),
                     pa.array((chars[e] - base).astype(np.int32)),
-                    pa.array(h.view(np.int64)),
+                    *(pa.array(h.view(np.int64)) for h in digests),
                     pa.array((b - a).astype(np.int32)),
                     pa.array((size[b] - size[a]).astype(np.int32)),
                 ],
-                ["doc_id", "text_key", "unit", "start", "end", "h", "n_words", "n_bytes"],
+                ["doc_id", "text_key", "unit", "start", "end", "h1", "h2", "n_words", "n_bytes"],
             )
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return arrow_map(keyed, run, UNIT_SCHEMA)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
+    return arrow_map(keyed, run, f"doc_id {kind_of_id}, text_key long, unit int, start int, end int, h1 long, h2 long, n_words int, n_bytes int")
 
 
-def removals(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document with units: (doc_id, text_key, n_units, removed array<struct<start,end>>)."""
-    every = units(docs, kind)
-    digest = ["h", "n_words", "n_bytes"]
+def removals(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    """Per document that loses something: (doc_id, text_key, removed array<struct<start,end>>)."""
+    every = units(docs, kind, max(1, min_words))
+    digest = ["h1", "h2", "n_words", "n_bytes"]
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "unit")
-    repeated = (
-        every.where(F.col("n_words") >= min_words)
-        .groupBy(*digest)
-        .agg(F.min(rank).alias("keeper"), F.max(rank).alias("top"))
-        .where(F.col("keeper") != F.col("top"))
-        .drop("top")
-    )
+    repeated = every.groupBy(*digest).agg(F.min(rank).alias("keeper"), F.max(rank).alias("top")).where(F.col("keeper") != F.col("top")).drop("top")
     repeated = cut(repeated)  # a table of its own: AQE can then split the join where a line is very common
-    return (
-        every.join(repeated, digest, "left")
-        .groupBy("doc_id", "text_key")
-        .agg(
-            F.countDistinct("unit").alias("n_units"),
-            F.array_sort(
-                F.collect_set(F.when(F.col("keeper").isNotNull() & (F.col("keeper") != rank), F.struct("start", "end")))
-            ).alias("removed"),
-        )
-    )
+    gone = every.join(repeated, digest).where(F.col("keeper") != rank)
+    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """Documents with ``kept_text`` and the removed spans of the original text.
 
     Columns: doc_id, text, n_units, removed (array of start, end in code points), kept_text.
     """
-    found = removals(docs, kind, min_words).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "n_units", "removed")
-    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    found = removals(docs, kind, min_words).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "removed")
+    left = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     joined = left.join(found, (F.col("text_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(
-        "doc_id",
-        "text",
-        F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"),
-        F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("removed"),
+        "doc_id", "text", F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("removed")
     )
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [cut_spans(t or "", spans) for t, spans in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string())], [*batch.schema.names, "kept_text"])
+        for rows, data, offs in tb.slices(batches, "text"):
+            r = _spoken(data, offs, kind)[2]
+            kept = [cut_spans(t or "", spans) for t, spans in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)]
+            counts = pa.array(np.bincount(r, minlength=rows.num_rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), counts, rows.column(2), pa.array(kept, pa.string())], ["doc_id", "text", "n_units", "removed", "kept_text"])
 
-    return arrow_map(joined, cut_out, "doc_id long, text string, n_units long, removed array<struct<start:int,end:int>>, kept_text string")
+    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
+    return arrow_map(joined, cut_out, f"doc_id {kind_of_id}, text string, n_units long, removed array<struct<start:int,end:int>>, kept_text string")
 
 
 def cut_spans(text: str, spans: list[dict]) -> str:
-    """The text without the spans; a line feed right after a removed unit goes with it."""
+    """The text without the spans; the separator right after a removed unit goes with it."""
     out, at = [], 0
     for span in spans:
         out.append(text[at : span["start"]])
-        at = span["end"]
-        if text[at : at + 1] == "\n":
-            at += 1
+        at = span["end"] + 1
     out.append(text[at:])
     return "".join(out)
 

@@ -31,21 +31,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 OP3 = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH d AS (  -- pieces of a text: a unit and the separator after it (a blank that ends a unit becomes U+E000 first)
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(regexp_replace(coalesce(text, ''), '([.!?]) ', '\1' || chr(57344), 'g'), '[^\n' || chr(57344) || ']*[\n' || chr(57344) || ']?') AS ls FROM documents),
 u AS (
-  SELECT doc_id, text, i, ls[i] AS l, regexp_extract_all(translate(ls[i],
+  SELECT doc_id, i, ls[i] AS p, rtrim(ls[i], chr(10) || chr(57344)) AS l, regexp_extract_all(translate(rtrim(ls[i], chr(10) || chr(57344)),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
-         (sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(ls[i]) - 1) AS s
-  FROM (SELECT doc_id, text, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
+         (sum(length(ls[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(ls[i])) AS s
+  FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
 k AS (SELECT *, list_aggregate(w, 'string_agg', ' ') AS norm FROM u WHERE len(w) > 0),
-r AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM k),
+r AS (SELECT *, len(w) >= 14 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM k),
 x AS (
   SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
          string_agg(CASE WHEN gone THEN s || ':' || (s + length(l)) END, ',' ORDER BY s) AS spans FROM r GROUP BY doc_id),
 z AS (
-  SELECT u.doc_id, string_agg(u.l || CASE WHEN u.i < n.n THEN chr(10) ELSE '' END, '' ORDER BY u.i) AS kept
-  FROM u JOIN (SELECT doc_id, len(ls) AS n FROM d) n USING (doc_id)
-  LEFT JOIN r ON r.doc_id = u.doc_id AND r.i = u.i AND r.gone WHERE r.i IS NULL GROUP BY u.doc_id)
+  SELECT u.doc_id, string_agg(replace(u.p, chr(57344), ' '), '' ORDER BY u.i) AS kept
+  FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.i = u.i AND r.gone WHERE r.i IS NULL GROUP BY u.doc_id)
 SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
        coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)
@@ -103,7 +104,7 @@ k AS (
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS epochs,
          -ln(u) / (0.5::DOUBLE + 0.5::DOUBLE * (size + 1) / (size + 1 + clutter)) AS key
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM k)
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k)
 SELECT doc_id, source, size, source_size, target,
        (epochs * size + CASE WHEN upto - size / 2::DOUBLE <= target - epochs * source_size THEN size ELSE 0 END)::BIGINT AS taken
 FROM c

@@ -1,35 +1,48 @@
 """Personal data by candidate gradient boosting. DataFrame and SQL functions only on the main path.
 
 Base rules (e-mail, IP, card, phone) find spans that always stay. High-recall generators, looser or
-tighter than the base rules, propose further spans that may overlap them: a card inside a longer run of
-digits, a phone number followed by other digits, an obfuscated address. Boosted trees score each proposal
-from its format and its context, and a proposal is added when its score reaches the calibrated threshold of
-its kind and it overlaps no base span and no added span of a higher score.
-
-The trees are trained on the driver from the proposals of at most ``SAMPLE_DOCS`` documents (smallest hash of
-the id). Nobody has labelled spans here, so the base rules label them: a proposal that a base span confirms
-is positive, and one that fails its kind's check is negative. Half of the sample fits the trees, the other
-half sets the thresholds: the lowest score at which ``PRECISION`` holds. The model then becomes one SQL
-expression, so scoring stays in the JVM, inside the row of the document: no shuffle.
+tighter than the base rules, propose further spans that may overlap them and each other: a card inside a longer run of
+digits or written with dots, a phone number without its plus sign, an obfuscated or defanged address. Boosted trees
+score each proposal from its format and its context, and a proposal is added when its score reaches the calibrated
+threshold of its kind and it overlaps no base span and no added span of a higher score.
+
+The trees are trained on the driver, from at most ``SAMPLE_PROPOSALS`` proposals, ``TEXT_PROPOSALS`` of a text, in
+about ``SAMPLE_DOCS`` documents (smallest hash of the id). Nobody has labelled spans here, and labels from the base rules alone would only teach the
+rules again. So every sampled text gets some made-up items planted between its words: personal data in forms that the
+base rules miss, and look-alikes (order numbers, versions, dates, decimals, failed checksums) that are none. A proposal
+is positive if it is exactly a planted item of its kind or a base span, negative if it touches a planted look-alike,
+cuts a planted item short, or fails its kind's check. Half of the documents fit the trees, the other half sets the
+thresholds: the lowest score at which ``PRECISION`` holds. Scoring stays in the JVM, inside the row of the document: no
+shuffle.
 
 Edge cases: null and empty texts have no spans; a sample without both classes adds nothing (base spans only);
 ties between overlapping proposals go to the earlier start, then the kind in the order listed; repeated
-rows and null ids are scored like any other; an empty table gives an empty result; other columns are not read.
+rows and null ids are scored like any other; an empty table gives an empty result; other columns are not read. All
+passes over the matches of a text are linear but the one that settles overlaps between proposals over the threshold.
 """
 
 from __future__ import annotations
 
+import json
+import random
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.arrays import empty, running
 from quarry.llm.boosting import Boosted, boost
 from quarry.llm.decontaminate import _settle
-from quarry.llm.sampling import smallest_hashes
+from quarry.llm.sampling import under_cover, uncovered
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 4000
+SAMPLE_PROPOSALS = 20_000
+TEXT_PROPOSALS = 50  # of one sampled text
 PRECISION = 0.99
+PLANTED_ITEMS = 600  # made-up items to draw from, of either class
+PLANTED_EACH = 3  # in a sampled text
 
 #: The base rules, written so that a match can only begin where a run of its characters begins (or the last match
 #: ended) and never gives characters back: the same leftmost matches, in linear time.
@@ -39,31 +52,29 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?)[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}+)(?![0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+#: (kind, pattern): several patterns may propose spans of one kind.
+GENERATORS = [
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]{1,63}+){1,8}+"),
+    ("ip", r"(?<![0-9])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9])"),
+    ("ip", r"(?<![0-9])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\.) ?[0-9]{1,3}+){3}(?![0-9])"),
+    ("card", r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}+|[0-9]{4}([ ./-])[0-9]{6}\2[0-9]{5})(?![0-9])"),
+    ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"),
+    ("phone", r"(?<![0-9A-Za-z+(./-])(?:00[0-9]{1,3}[ ./-]?)?(?:\([0-9]{3,5}\)|[0-9]{3,5})[ ./-]{1,2}[0-9]{3,4}[ ./-]?[0-9]{3,5}(?![0-9])"),
+]
+BEFORE, AFTER = 24, 8  # characters of context
+_HINTS = {
+    "email": "mail|contact|write|send|reach",
+    "ip": "ip|host|addr|server|login|from",
+    "card": "card|visa|credit|pay|debit",
+    "phone": "tel|phone|call|fax|mobile|ring",
+    "other": "order|version|ref|invoice|number|no[.]|id|total|on|isbn|release|v$",
 }
 FEATURES = [
-    "kind", "n_digits", "n_chars", "n_other", "luhn", "octets", "n_groups", "before_word", "after_word", "before_digit", "after_digit", "before_quote", "dots",
+    "kind", "generator", "n_digits", "n_chars", "n_other", "luhn", "octets", "n_groups", "before_word", "after_word", "before_digit", "after_digit", "before_quote", "dots", "has_at", "has_word_at", "has_bracket",
+    "has_plus", "last_group", "hint_email", "hint_ip", "hint_card", "hint_phone", "hint_other",
 ]
-
-
-def _matches(kind_index: int, pattern: str) -> Column:
-    """array<struct<s, k, e, m>>: leftmost matches with code-point offsets."""
-    lit = F.lit(pattern)
-    gaps, found = F.split(F.col("t"), pattern, -1), F.regexp_extract_all(F.col("t"), lit, F.lit(0))
-    empty = F.expr("cast(array() as array<struct<s:int,k:int,e:int,m:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["m"])
-        hit = F.struct(start.alias("s"), F.lit(kind_index).alias("k"), end.alias("e"), pair["m"].alias("m"))
-        return F.struct(end.alias("at"), F.when(pair["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
-
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("m")), zero, step, lambda acc: acc["out"])
+_MATCH = "struct<s:int,k:int,e:int,m:string,b:string,a:string,j:int>"
+_SPAN = "struct<s:int,k:int,e:int>"
 
 
 def _digits(m: Column) -> Column:
@@ -83,7 +94,7 @@ def _luhn(m: Column) -> Column:
 
 
 def _octets(m: Column) -> Column:
-    return F.forall(F.split(m, "[.]"), lambda x: x.cast("double") <= 255)
+    return F.forall(F.split(m, "[^0-9]+"), lambda x: x.cast("double") <= 255)
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -91,69 +102,189 @@ def _passes(kind: str, m: Column) -> Column:
     return {"email": F.lit(True), "ip": _octets(m), "card": n.between(14, 19) & _luhn(m), "phone": n.between(10, 15)}[kind]
 
 
-def _checked(kind_index: int, kind: str) -> Column:
-    return F.filter(_matches(kind_index, BASE[kind]), lambda x: _passes(kind, x["m"]))
+def with_spans(docs: DataFrame) -> DataFrame:
+    """Adds t (text), base spans and proposals, in order; each is made only where its first character occurs.
+
+    A match carries its text and what stands around it, so that nothing is cut out of the whole text again.
+    """
+    rows = docs.withColumn("t", F.coalesce("text", F.lit("")))
+    digit, at = F.col("t").rlike("[0-9]"), F.contains("t", F.lit("@"))
+    has = {"email": at, "ip": digit, "card": digit, "phone": F.contains("t", F.lit("+"))}
+    near = {"email": at | F.col("t").rlike(r"at[\])]|[ \[(]dot[ \])]"), "ip": digit, "card": digit, "phone": digit}
+    jobs = [(i, BASE[k], has[k], -1) for i, k in enumerate(KINDS)] + [(KINDS.index(k), rx, near[k], j) for j, (k, rx) in enumerate(GENERATORS)]
+    zipped = {}
+    for c, (_, rx, some, _) in enumerate(jobs):
+        gaps, found = F.split("t", rx, -1), F.regexp_extract_all("t", F.lit(rx), F.lit(0))
+        zipped[f"z{c}"] = F.when(some, F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m"), F.slice(gaps, 2, F.size(gaps)).alias("x")), lambda z: z["m"].isNotNull())).otherwise(empty("struct<g:string,m:string,x:string>"))
+    rows = _settle(rows.withColumns(zipped))
+    rows = _settle(rows.withColumns({f"m{c}": _placed(f"z{c}", k, j) for c, (k, _, _, j) in enumerate(jobs)}).drop(*zipped))
+    base = F.concat(*(_checked(f"m{i}", k) for i, k in enumerate(KINDS)))
+    more = F.concat(*(F.col(f"m{c}") for c in range(len(KINDS), len(jobs))))
+    return _settle(rows.withColumns({"base": F.array_sort(base), "proposed": F.array_sort(more)}).drop(*(f"m{c}" for c in range(len(jobs)))))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """Adds t (text), base spans and proposals; each array is made only where its first character occurs."""
-    rows = _settle(docs.withColumn("t", F.coalesce("text", F.lit(""))))
-    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,m:string>>)")
-    has = {"email": F.contains("t", F.lit("@")), "ip": F.col("t").rlike("[0-9]"), "card": F.col("t").rlike("[0-9]"), "phone": F.contains("t", F.lit("+"))}
-    near = {**has, "email": has["email"] | F.contains("t", F.lit("at]")) | F.contains("t", F.lit("at)"))}
-    base = [F.when(has[k], _checked(i, k)).otherwise(none) for i, k in enumerate(KINDS)]
-    wide = [F.when(near[k], _matches(i, GENERATORS[k])).otherwise(none) for i, k in enumerate(KINDS)]
-    return _settle(rows.withColumns({"base": F.array_sort(F.concat(*base)), "proposed": F.concat(*wide)}))
+def _checked(matches: str, kind: str) -> Column:
+    return F.filter(matches, lambda x: _passes(kind, x["m"]))
+
+
+def _placed(zipped: str, kind: int, generator: int) -> Column:
+    end = lambda at, z: at + F.length(z["g"]) + F.length(z["m"])
 
+    def match(at: Column, z: Column) -> Column:
+        return F.struct(
+            (at + F.length(z["g"])).alias("s"), F.lit(kind).alias("k"), end(at, z).alias("e"), z["m"].alias("m"),
+            F.substring(z["g"], -BEFORE, BEFORE).alias("b"), F.substring(z["x"], 1, AFTER).alias("a"), F.lit(generator).alias("j"),
+        )
 
-def _described() -> Column:
-    """Proposals with their features."""
+    return running(zipped, F.lit(0), end, match, _MATCH)
+
+
+def described(proposals: str) -> Column:
+    """Proposals as (s, k, e, m, x): with their features."""
 
     def one(p: Column) -> Column:
-        before = F.substring(F.col("t"), F.greatest(p["s"], F.lit(1)), F.when(p["s"] > 0, 1).otherwise(0))
-        after = F.substring(F.col("t"), p["e"] + 1, F.lit(1))
-        flag = lambda c: c.cast("double")
-        m = p["m"]
+        m, before, after = p["m"], p["b"], p["a"]
+        last, first = F.substring(before, -1, 1), F.substring(after, 1, 1)
+        groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
         values = {
             "kind": p["k"],
+            "generator": p["j"],
             "n_digits": F.length(_digits(m)),
             "n_chars": F.length(m),
             "n_other": F.length(m) - F.length(_digits(m)),
             "luhn": _luhn(m),
             "octets": F.when(p["k"] == 1, _octets(m)).otherwise(F.lit(False)),
-            "n_groups": F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))),
-            "before_word": before.rlike("[A-Za-z]"),
-            "after_word": after.rlike("[A-Za-z]"),
-            "before_digit": before.rlike("[0-9]"),
-            "after_digit": after.rlike("[0-9]"),
-            "before_quote": before.rlike("[\"'=]"),
+            "n_groups": F.size(groups),
+            "before_word": last.rlike("[A-Za-z]"),
+            "after_word": first.rlike("[A-Za-z]"),
+            "before_digit": before.rlike("[0-9][ .-]?$"),
+            "after_digit": after.rlike("^[ .-]?[0-9]"),
+            "before_quote": last.rlike("[\"'=]"),
             "dots": F.length(m) - F.length(F.replace(m, F.lit("."), F.lit(""))),
+            "has_at": F.contains(m, F.lit("@")),
+            "has_word_at": m.rlike(" at "),
+            "has_bracket": m.rlike(r"[\[(]"),
+            "has_plus": m.startswith("+"),
+            "last_group": F.coalesce(F.length(F.try_element_at(groups, F.lit(-1))), F.lit(0)),
+            **{f"hint_{k}": F.lower(before).rlike(rx) for k, rx in _HINTS.items()},
         }
-        return F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e"), m.alias("m"), *(flag(values[f]).alias(f) for f in FEATURES))
-
-    return F.transform("proposed", one)
-
-
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> tuple[Boosted, dict[int, float]] | None:
+        x = F.array(*(F.coalesce(values[f].cast("double"), F.lit(0.0)) for f in FEATURES))
+        return F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e"), m.alias("m"), x.alias("x"))
+
+    return F.transform(proposals, one)
+
+
+def made_up(seed: int = 5, n: int = PLANTED_ITEMS) -> list[dict]:
+    """Items to plant: what leads to them, the item, what follows, and the kind (-1: a look-alike)."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9)))
+    octet = lambda: str(rng.randint(0, 255))
+
+    def card(valid: bool) -> str:
+        body = rng.choice(["4", "51", "52", "37", "6011"])
+        body += digits((14 if body == "37" else 15) - len(body))
+        total = sum(int(c) if k % 2 else (2 * int(c) - 9 * (int(c) > 4)) for k, c in enumerate(reversed(body)))
+        check = (10 - total % 10) % 10
+        return body + str(check if valid else (check + rng.randint(1, 9)) % 10)
+
+    def fours(d: str, sep: str) -> str:
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4)) if len(d) == 16 else sep.join((d[:4], d[4:10], d[10:]))
+
+    def email() -> tuple[str, str, str]:
+        a, b, tld = name(), name(), rng.choice(["com", "org", "net", "example", "de", "co"])
+        at, dot = rng.choice([("[at]", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), (" at ", " dot "), (" @ ", "."), ("@ ", "."), ("[at]", "[dot]")])
+        return rng.choice(["mail", "contact", "write to", "", "e-mail:"]), f"{a}{at}{b}{dot}{tld}", rng.choice(["", "for more", "today"])
+
+    def ip() -> tuple[str, str, str]:
+        sep = rng.choice(["[.]", "(.)", " . ", "[.]"])
+        return rng.choice(["host", "ip", "from", "server", ""]), sep.join(octet() for _ in range(4)), rng.choice(["", "port 22", "failed"])
+
+    def paid() -> tuple[str, str, str]:
+        d = card(True)
+        return rng.choice(["card", "visa", "pay with", ""]), rng.choice([fours(d, "."), fours(d, "/"), d]), rng.choice(["", card(True), "exp 12/27"])
+
+    def phone() -> tuple[str, str, str]:
+        a, b, c = digits(3), digits(3), digits(4)
+        form = rng.choice(["({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "{a} {b} {c}", "0044 {a} {b} {c}", "0{a}/{b}{c}"])
+        return rng.choice(["call", "tel", "phone:", "fax", ""]), form.format(a=a, b=b, c=c), rng.choice(["", "now", "ext 5"])
+
+    def none() -> tuple[str, str, str]:
+        what = rng.randrange(9)
+        if what == 0:
+            return "order", digits(rng.randint(13, 19)), ""
+        if what == 1:
+            return "ref", fours(card(False), rng.choice([" ", ".", "-"])), ""
+        if what == 2:
+            return rng.choice(["version", "release", "v"]), ".".join(str(rng.randint(256, 999)) for _ in range(4)), ""
+        if what == 3:
+            return "on", rng.choice([f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}"]), "at noon"
+        if what == 4:
+            return rng.choice(["look at", "we met at", "it was at", "sold at"]), f"{name()}.{name()}", name()
+        if what == 5:
+            return "total", f"{digits(3)}.{digits(3)}.{digits(3)}", rng.choice(["", "units"])
+        if what == 6:
+            return rng.choice(["invoice", "id", "number"]), f"{digits(4)}-{digits(4)}-{digits(rng.randint(3, 6))}", ""
+        if what == 7:
+            return "isbn", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", ""
+        return "no.", f"{digits(3)} {digits(3)} {digits(5)}", ""
+
+    makers = [email, ip, paid, phone]
+    out = []
+    for i in range(n):
+        kind = i % 8 if i % 8 < 4 else -1
+        lead, item, tail = makers[kind]() if kind >= 0 else none()
+        out.append({"lead": f" {lead} " if lead else " ", "item": item, "tail": f" {tail} " if tail else " ", "kind": kind})
+    return out
+
+
+def planted(docs: DataFrame, salt: int) -> DataFrame:
+    """Sampled texts with one made-up item at a word's end: doc_id, text, from_, to_, kind."""
+    items = F.from_json(F.lit(json.dumps(made_up())), "array<struct<lead:string,item:string,tail:string,kind:int>>")
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(f"item{salt}")), F.lit(PLANTED_ITEMS)).cast("int")
+    rows = docs.withColumn("i", F.get(items, drawn)).withColumn("w", F.split("text", " "))
+    at = F.pmod(F.xxhash64("doc_id", "text", F.lit(f"place{salt}")), F.size("w") + 1).cast("int")
+    rows = _settle(rows.withColumn("at", at))
+    head = F.concat(F.array_join(F.slice("w", F.lit(1), F.col("at")), " "), F.col("i.lead"))
+    rows = _settle(rows.select("doc_id", head.alias("head"), F.array_join(F.slice("w", F.col("at") + 1, F.size("w")), " ").alias("rest"), "i"))
+    text = F.concat("head", "i.item", "i.tail", "rest")
+    return rows.select("doc_id", text.alias("text"), F.length("head").alias("from_"), (F.length("head") + F.length("i.item")).alias("to_"), "i.kind")
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION, most: int = SAMPLE_PROPOSALS) -> tuple[Boosted, dict[int, float]] | None:
     """Trees and the threshold of each kind; None where the sample has not both classes."""
-    ids = [r[0] for r in smallest_hashes(docs.select("doc_id").where("doc_id is not null"), "doc_id", "pii", sample_docs)]
-    if not ids:
+    usable = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    n = usable.count()
+    if not n:
         return None
-    rows = with_spans(docs.select("doc_id", "text").where(F.col("doc_id").isin(ids))).withColumn("seen", _described())
-    each = rows.select("doc_id", "base", F.explode("seen").alias("p"))
-    same = F.exists("base", lambda b: (b["s"] == F.col("p.s")) & (b["e"] == F.col("p.e")) & (b["k"] == F.col("p.k")))
-    checked = F.coalesce(*(F.when(F.col("p.k") == i, _passes(k, F.col("p.m"))) for i, k in enumerate(KINDS)))
-    # a proposal whose check holds but that no base span confirms (it sits inside a longer run) teaches nothing
-    found = each.select("doc_id", *(F.col(f"p.{f}").alias(f) for f in FEATURES), same.alias("y"), checked.alias("ok")).where("y or not ok").collect()
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 40))
+    sample = usable.where(hashed < min(1 << 40, (1 << 40) * sample_docs // n))
+    plants = [planted(sample, k) for k in range(PLANTED_EACH)]
+    plain = sample.select("doc_id", "text", F.lit(0).alias("from_"), F.lit(0).alias("to_"), F.lit(-2).alias("kind"))
+    for p in plants:
+        plain = plain.unionByName(p)
+    some = F.array_sort(F.transform("proposed", lambda p: F.struct(F.xxhash64("doc_id", "kind", p["s"], p["e"], p["j"]).alias("h"), p.alias("p"))))
+    rows = _settle(with_spans(plain).withColumn("proposed", F.transform(F.slice(some, 1, TEXT_PROPOSALS), lambda x: x["p"])))
+    rows = _settle(rows.withColumn("seen", described("proposed")))
+    confirmed = lambda p: F.exists("base", lambda b: (b["s"] == p["s"]) & (b["e"] == p["e"]) & (b["k"] == p["k"]))
+    rows = _settle(rows.select("doc_id", "from_", "to_", "kind", F.transform("seen", lambda p: F.struct(p.alias("p"), confirmed(p).alias("same"))).alias("seen")))
+    each = rows.select("doc_id", "from_", "to_", "kind", F.explode("seen").alias("q")).select("doc_id", "from_", "to_", "kind", "q.p", "q.same")
+    same = F.col("same")
+    ok = F.coalesce(*(F.when(F.col("p.k") == i, _passes(k, F.col("p.m"))) for i, k in enumerate(KINDS)))
+    touches = (F.col("p.s") < F.col("to_")) & (F.col("from_") < F.col("p.e"))
+    exact = (F.col("p.s") == F.col("from_")) & (F.col("p.e") == F.col("to_")) & (F.col("p.k") == F.col("kind"))
+    # where nothing is planted, a proposal whose check holds but that no base span confirms teaches nothing
+    y = F.when(touches, exact | ((F.col("kind") >= 0) & same)).when(same, True).when(~ok, False)
+    found = each.select("doc_id", "p.s", F.col("p.k").alias("k"), F.col("p.x").alias("x"), y.alias("y"), "kind").where("y is not null")
+    found = found.orderBy(F.xxhash64("doc_id", "s", "k", "kind"), "doc_id", "s", "k", "kind", "y", "x").limit(most).collect()
     if len({r["y"] for r in found}) < 2:
         return None
-    found.sort(key=lambda r: tuple(r))
-    x = np.array([[r[f] for f in FEATURES] for r in found])
+    x = np.array([r["x"] for r in found], float)
     y = np.array([float(r["y"]) for r in found])
-    fit = np.array([i % 2 == 0 for i in range(len(found))])
+    fit = np.array([zlib.crc32(f"half{r['doc_id']}".encode()) % 2 == 0 for r in found])
     if len(set(y[fit])) < 2:
         return None
-    model = boost(x[fit], y[fit], FEATURES)
+    model = boost(x[fit], y[fit])
     p, held = 1 / (1 + np.exp(-model.raw(x))), ~fit
     thresholds = {}
     for i in range(len(KINDS)):
@@ -164,23 +295,46 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PR
     return model, thresholds
 
 
+def _bare(spans: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Leaves of ``proposed`` what overlaps no base span: two sweeps over both in order of their starts."""
+    mark = "struct<s:int,t:int,e:int,i:int,hit:boolean>"
+
+    def marked(spans: str, t: int) -> Column:
+        return F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), F.lit(t).alias("t"), x["e"].alias("e"), i.alias("i"), F.lit(False).alias("hit")))
+
+    def again(x: Column, hit: Column) -> Column:
+        return F.struct(x["s"].alias("s"), x["t"].alias("t"), x["e"].alias("e"), x["i"].alias("i"), (x["hit"] | hit).alias("hit"))
+
+    both = (F.size("base") > 0) & (F.size("proposed") > 0)
+    rows = _settle(rows.withColumn("marks", F.when(both, F.array_sort(F.concat(marked("base", 0), marked("proposed", 1)))).otherwise(empty(mark))))
+    ends = lambda at, x: F.when(x["t"] == 0, F.greatest(at, x["e"])).otherwise(at)
+    starts = lambda at, x: F.when(x["t"] == 0, x["s"]).otherwise(at)
+    rows = _settle(rows.withColumn("marks", F.reverse(running("marks", F.lit(-1), ends, lambda at, x: again(x, at > x["s"]), mark))))
+    rows = _settle(rows.withColumn("marks", running("marks", F.lit(2147483647), starts, lambda at, x: again(x, at < x["e"]), mark)))
+    free = F.transform(F.filter("marks", lambda x: (x["t"] == 1) & ~x["hit"]), lambda x: F.get("proposed", x["i"]))
+    return _settle(rows.withColumn("proposed", F.when(both, free).otherwise(F.col("proposed"))).drop("marks"))
+
+
 def detect(docs: DataFrame, model: tuple[Boosted, dict[int, float]] | None) -> DataFrame:
     """Adds ``base`` and ``spans`` (arrays of s, k, e) to the documents, and the text as ``t``."""
     rows = with_spans(docs)
-    bare = "transform({}, x -> struct(x.s as s, x.k as k, x.e as e))"
     if model is None:
-        return rows.withColumn("spans", F.expr(bare.format("base"))).withColumn("base", F.expr(bare.format("base"))).drop("proposed")
+        return rows.withColumns({"base": _bare("base"), "spans": _bare("base")}).drop("proposed")
     trees, thresholds = model
-    limit = "case x.k " + " ".join(f"when {k} then {v!r}D" for k, v in thresholds.items()) + " else 2D end"
-    rows = _settle(rows.withColumn("seen", F.when(F.size("proposed") > 0, _described())))
-    rows = _settle(rows.withColumn("scored", F.expr(f"transform(seen, x -> struct(x.s as s, x.k as k, x.e as e, {trees.sql('x')} as p))")).drop("seen", "proposed"))
-    rows = rows.withColumn("good", F.expr(f"filter(scored, x -> x.p >= {limit} and not exists(base, b -> b.s < x.e and x.s < b.e))"))
-    rows = _settle(rows.drop("scored"))
-    wins = "(y.p > x.p or (y.p = x.p and (y.s < x.s or (y.s = x.s and y.k < x.k))))"
-    added = f"transform(filter(good, x -> not exists(good, y -> y.s < x.e and x.s < y.e and {wins})), x -> struct(x.s as s, x.k as k, x.e as e))"
-    rows = rows.withColumn("base", F.expr(bare.format("base")))
-    none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
-    return _settle(rows.withColumn("spans", F.expr(f"array_sort(concat(base, coalesce({added}, {none})))")).drop("good"))
+    rows = _apart(rows)
+    rows = _settle(rows.withColumn("seen", F.when(F.size("proposed") > 0, described("proposed"))).drop("proposed"))
+    limit = lambda k: F.coalesce(*(F.when(k == i, F.lit(v)) for i, v in thresholds.items()))
+    scored = F.transform("seen", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), trees.column(x["x"]).alias("p")))
+    rows = _settle(rows.withColumn("scored", scored).drop("seen"))
+    rows = _settle(rows.withColumn("good", F.array_distinct(F.filter("scored", lambda x: x["p"] >= limit(x["k"])))).drop("scored"))
+    wins = "(y.p > x.p or (y.p = x.p and (y.s < x.s or (y.s = x.s and (y.k < x.k or (y.k = x.k and y.e > x.e))))))"
+    added = F.expr(f"transform(filter(good, x -> not exists(good, y -> y.s < x.e and x.s < y.e and {wins})), x -> struct(x.s as s, x.k as k, x.e as e))")
+    rows = rows.withColumn("base", _bare("base"))
+    return _settle(rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(added, empty(_SPAN))))).drop("good"))
 
 
 def _written(spans: str) -> Column:
@@ -195,21 +349,27 @@ def pii(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
 
 
+BLOCK = 512
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one mark."""
-    names = docs.columns
-    safe = docs.select(*(F.col(c).alias("text" if c == "text" else f"_c{i}") for i, c in enumerate(names)))
+    safe, names = under_cover(docs)
     found = detect(safe, train(docs.select("doc_id", "text")))
+    some = F.size("spans") > 0
+    # pieces are put together from blocks of the text, so that none is searched from the start again
+    found = _settle(found.withColumn("blocks", F.when(some, F.regexp_extract_all("t", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    t = F.col("t")
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(t, acc["at"] + 1, x["s"] - acc["at"])
-        fresh = F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, F.element_at(marks, x["k"] + 1)).alias("out"))
-        over = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["s"] >= acc["at"], fresh).otherwise(over)
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    text = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    return found.select(*((text if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)))
+
+    def piece(a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        held = F.array_join(F.slice("blocks", first + 1, F.floor(b / BLOCK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(held, a - first * BLOCK + 1, b - a)).otherwise(F.lit(""))
+
+    def written(at: Column, x: Column) -> Column:
+        return F.when(x["s"] >= at, F.concat(piece(at, x["s"]), F.element_at(marks, x["k"] + 1))).otherwise(F.lit(""))
+
+    parts = running("spans", F.lit(0), lambda at, x: F.greatest(at, x["e"]), written, "string")
+    done = F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform("spans", lambda x: x["e"])), F.length("t")))
+    found = found.withColumn("text", F.when(some, done).otherwise(F.col("text")))
+    return uncovered(found, docs, names)

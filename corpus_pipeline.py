@@ -2,12 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage but the last as
 Parquet in the shared checkpoint folder and rereads it, so a lost executor never costs more than one stage.
+A stage's files go when the next one has been written; the last ones go when the application ends.
 
 1. language ID: documents whose language is undetermined or too close to call go.
 2. near-dedup: the document with the smallest id of each group stays; a Jaccard similarity of 0.80 links (op1: 0.85).
 3. decontamination: contaminated documents go; single benchmark passages are cut out of the others.
 4. personal data: spans are replaced by their kind.
 5. mixing: documents are taken to the target weights of their sources, with the number of copies.
+
+Edge cases: columns beside ``doc_id``, ``text``, ``lang`` and ``source`` are carried through whatever their names (the
+number of copies is called ``mix_copies`` where a column ``copies`` exists); an ``n_chars`` column follows the text.
+Null, empty and letterless texts have no language and go in stage 1, and so does everything where no document has a
+label to learn from. A null id or source is a value like any other. Rows equal in id and text are copies of each other:
+one stays. Empty tables give empty results; without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -26,8 +33,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.learn(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    return language_id.keep_determined(docs)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +65,18 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k == 0:
+                fs.deleteOnExit(path(folder))
+            else:
+                fs.delete(path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}"), True)
     return docs

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.sampling import under_cover, uncovered
 from quarry.session import arrow_map
 
 DOCS_PER_LANG = 128
@@ -141,6 +142,13 @@ def identify(docs: DataFrame, content: dict[str, bytes], margin: float = MARGIN)
     return arrow_map(docs.select(*keep), run, schema)
 
 
+def keep_determined(docs: DataFrame) -> DataFrame:
+    """The documents whose language is determined, with the columns of ``docs`` as they are."""
+    safe, names = under_cover(docs)
+    found = identify(safe, learn(docs.select("doc_id", "text", "lang")))
+    return uncovered(found.where(~F.col("rejected")), docs, names)
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected."""
     found = identify(docs.select("doc_id", "text"), learn(docs))

@@ -6,11 +6,13 @@
 3. Two classes are candidates when they share a band bucket and the XOR population count of their odd sketches allows
    the threshold. Sketches travel to the buckets; texts are fetched only for candidates, and confirm or refuse them on
    the full shingle sets.
-4. First each class is tried against the smallest class of its buckets (the stars). The components of these links settle
-   groups of near copies of any size with one text a class and hub.
+4. First come ``STAR_ROUNDS`` rounds of stars: each class is tried against the ``HUBS`` classes, out of one hub a bucket,
+   with which it shares most buckets. The components of these links settle groups of near copies of any size with a few
+   texts a class.
 5. Then the remaining candidates, pairs of one bucket in different components, are tried: a bucket is dealt into blocks,
-   sketches are compared by pairs of blocks, and only classes with a candidate in a pair of finer blocks bring their
-   texts there. Every piece of work returns a spanning forest of confirmed links, never all pairs.
+   those of a large component being its own, sketches are compared by pairs of blocks (of one component: not at all), and
+   only classes with a candidate in a pair of finer blocks bring their texts there. Every piece of work returns a spanning
+   forest of confirmed links, never all pairs.
 6. The components of all confirmed links are the groups.
 
 The threshold is a parameter: op1 passes ``THRESHOLD``, the pipeline's stage takes ``OPEN_THRESHOLD``. The number of
@@ -33,10 +35,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import textbytes as tb
+from quarry.llm.sampling import row_keys
 from quarry.llm.suffix_dedup import release
 from quarry.operators.components import connected_components
 from quarry.session import arrow_map, cut
@@ -48,7 +51,8 @@ SKETCH_BITS = 1024
 THRESHOLD = 85  # per cent, of op1
 OPEN_THRESHOLD = 80  # per cent, where no contract names one
 BLOCK_DOCS = 64
-FINE = 8  # blocks in a big block, inside which and between which sketches are compared
+FINE = 8  # at least so many of them in a block of sketches
+STAR_ROUNDS, HUBS = 2, 3
 BLOCK_SHINGLES = 400_000
 
 _rng = np.random.Generator(np.random.PCG64(0x0DD))
@@ -58,12 +62,6 @@ _SPREAD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.
 WIDTH = SKETCH_BITS // 8
 
 
-def row_keys() -> list[Column]:
-    """Two numbers, together the same only for rows equal in id and text."""
-    text = F.coalesce("text", F.lit(""))
-    return [F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit("row"), "doc_id", text).alias("k2")]
-
-
 def sketch_limit(threshold: float = THRESHOLD / 100, deviations: float = 5.0) -> int:
     """Largest XOR population count that a pair at the threshold is expected to show, with a margin.
 
@@ -170,59 +168,86 @@ def may_link(differ: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -
     return (differ <= sketch_limit(threshold / 100)) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
 
 
-def star_candidates(classes: DataFrame, threshold: int) -> DataFrame:
-    """(cid, hub): each class with the smallest classes of its buckets, where the sketches allow a link."""
-    banded = classes.select("cid", F.explode("bands").alias("band"))
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(g, cid): the buckets that hold two classes or more."""
+    banded = classes.select(F.explode("bands").alias("g"), "cid")
     # here and below: an aggregate that is joined back on its key is made a table first, so that the join has two
     # plain shuffles, which AQE can split where a key is hot
-    hubs = cut(banded.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub <> top").select("band", "hub"))
-    star = banded.join(hubs, "band").where("cid <> hub").select("cid", "hub").distinct()
-    side = lambda k, n: classes.select(F.col("cid").alias(k), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
-    both = star.join(side("cid", 1), "cid").join(side("hub", 2), "hub").select("cid", "hub", "n1", "n2", "s1", "s2")
+    often = cut(banded.groupBy("g").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("g"))
+    return banded.join(often, "g")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDTH // 8) for c in (4, 5))
-            n1, n2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(may_link(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), n1, n2, threshold)))
 
-    return arrow_map(both, run, "cid long, hub long")
+def star_candidates(known: DataFrame, shared: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """(cid, hub, label, hub_label): each class with hubs of other labels, where the sketches allow a link.
 
+    A bucket's hub is its first class in the order of the turn (of cid in the first).
+    """
+    rows = shared.join(known.select("cid", "label"), "cid")
+    order = F.struct((F.col("cid") if turn == 0 else F.xxhash64("cid", F.lit(turn))).alias("o"), "cid", "label")
+    hubs = cut(rows.groupBy("g").agg(F.min(order).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g", F.col("h.cid").alias("hub"), F.col("h.label").alias("hub_label")))
+    met = rows.join(hubs, "g").where("label <> hub_label").groupBy("cid", "label", "hub", "hub_label").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("cid").orderBy(F.desc("n"), "hub")  # as many rows as the class has bands, at most
+    star = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS).select("cid", "label", "hub", "hub_label")
+    side = lambda k, n: known.select(F.col("cid").alias(k), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
+    both = star.join(side("cid", 1), "cid").join(side("hub", 2), "hub").select("cid", "hub", "label", "hub_label", "n1", "n2", "s1", "s2")
 
-def _blocks(members: Column | str = "n_shingles") -> Column:
-    """How many blocks keep both the number of classes and their shingles in bounds."""
-    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(members) / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDTH // 8) for c in (6, 7))
+            n1, n2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(may_link(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), n1, n2, threshold)))
+
+    return arrow_map(both, run, "cid long, hub long, label long, hub_label long")
 
 
-def star_groups(stars: DataFrame, classes: DataFrame) -> DataFrame:
+def star_groups(stars: DataFrame, known: DataFrame) -> DataFrame:
     """(g, p, q, side, cid, label): the work of ``confirmed``: a hub (side -1) meets its members, dealt into blocks."""
-    sized = stars.join(classes.select("cid", "n_shingles"), "cid")
-    blocks = cut(sized.groupBy("hub").agg(_blocks()))
+    sized = stars.join(known.select("cid", "n_shingles"), "cid")
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = cut(sized.groupBy("hub").agg(n_blocks.alias("n_blocks"), F.first("hub_label").alias("hub_label")))
     q = F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")
-    members = stars.join(blocks, "hub").select(F.col("hub").alias("g"), F.lit(-1).alias("p"), q.alias("q"), q.alias("side"), "cid")
-    hubs = blocks.select(F.col("hub").alias("g"), F.lit(-1).alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("q"), F.lit(-1).alias("side"), F.col("hub").alias("cid"))
-    return members.unionByName(hubs).withColumn("label", F.col("cid"))
+    members = stars.drop("hub_label").join(blocks, "hub").select(F.col("hub").alias("g"), F.lit(-1).alias("p"), q.alias("q"), q.alias("side"), "cid", "label")
+    hubs = blocks.select(F.col("hub").alias("g"), F.lit(-1).alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("q"), F.lit(-1).alias("side"), F.col("hub").alias("cid"), F.col("hub_label").alias("label"))
+    return members.unionByName(hubs)
 
 
-def rest_groups(classes: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """The same for candidates whose labels differ: of each bucket, the classes with one in a pair of fine blocks.
+def blocks_of_buckets(rows: DataFrame) -> DataFrame:
+    """(g, cid, label, b, fine, others) of (g, cid, label, n_shingles), for buckets with several labels.
 
-    A pair is taken up only in the first bucket that it shares.
+    Labels with more classes in a bucket than a block holds have blocks of their own, the others share some; ``others``
+    are the blocks that b is to be compared with: all but those of the same large label.
     """
-    known = classes.join(labels, "cid", "left").select("cid", "n_shingles", "sketch", "bands", F.coalesce("label", "cid").alias("label"))
-    known = cut(known)
-    banded = known.select("cid", "n_shingles", "label", F.explode("bands").alias("g"))
-    mixed = banded.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), _blocks()).where("lo <> hi").select("g", "n_blocks")
-    mixed = cut(mixed)
+    most = BLOCK_DOCS * FINE
+    cells = cut(rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w")))
+    whole = cells.groupBy("g").agg(
+        F.count(F.lit(1)).alias("labels"),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("c") <= most, F.col("c"))), F.lit(0)) / most).cast("int").alias("pool"),
+        F.coalesce(F.sum(F.when(F.col("c") > most, F.ceil(F.col("c") / most))), F.lit(0)).cast("int").alias("own_all"),
+        F.greatest(F.lit(FINE), F.ceil(most * F.sum("w") / F.sum("c") / BLOCK_SHINGLES)).cast("int").alias("parts"),
+    )
+    whole = cut(whole.where("labels > 1").select("g", "pool", (F.col("pool") + F.col("own_all")).alias("blocks"), "parts"))
+    large = cells.where(F.col("c") > most).withColumn("own", F.ceil(F.col("c") / most).cast("int"))
+    before = F.sum("own").over(Window.partitionBy("g").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
+    large = cut(large.select("g", "label", "own", F.coalesce(before, F.lit(0)).cast("int").alias("before")))
+    dealt = rows.join(whole, "g").join(large, ["g", "label"], "left")
+    first = F.col("pool") + F.col("before")
+    h = F.xxhash64("cid", F.lit("block"))
+    block = F.when(F.col("own").isNull(), F.pmod(h, F.col("pool"))).otherwise(first + F.pmod(h, F.col("own"))).cast("int")
+    apart = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.col("own").isNull() | (o < first) | (o >= first + F.col("own")))
+    fine = F.pmod(F.xxhash64("cid", F.lit("fine")), F.col("parts")).cast("int")
+    return dealt.select("g", "cid", "label", block.alias("b"), fine.alias("fine"), F.col("parts"), apart.alias("others"))
+
+
+def rest_groups(known: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
+    """The same as ``star_groups`` for all candidates whose labels differ: of each bucket, the classes with one in a
+    pair of fine blocks. A pair is taken up only in the first bucket that it shares."""
+    dealt = blocks_of_buckets(shared.join(known.select("cid", "label", "n_shingles"), "cid"))
     rows = (
-        banded.join(mixed, "g")
-        .select("g", "cid", "n_blocks", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("n_blocks")).cast("int").alias("side"))
-        .join(known, "cid")
-        .withColumn("big", F.floor(F.col("side") / FINE).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_blocks") - 1) / FINE).cast("int"))))
-        .select("g", F.least("big", "other").alias("p"), F.greatest("big", "other").alias("q"), "big", "side", "cid", "label", "n_shingles", "sketch", "bands")
+        dealt.join(known.drop("label"), "cid")
+        .withColumn("o", F.explode("others"))
+        .select("g", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", (F.col("b") * F.col("parts") + F.col("fine")).alias("side"), "cid", "label", "n_shingles", "sketch", "bands")
         .repartition("g", "p", "q")
-        .sortWithinPartitions("g", "p", "q", "big", "cid")
+        .sortWithinPartitions("g", "p", "q", "b", "cid")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +257,7 @@ def rest_groups(classes: DataFrame, labels: DataFrame, threshold: int) -> DataFr
 
         def flush() -> None:
             if len(held) > 1:
-                for x in candidates_of_bucket(now[0], held, threshold):
-                    out.add(x)
+                out.update(candidates_of_bucket(now, held, threshold))
             held.clear()
 
         def emit() -> pa.RecordBatch:
@@ -258,17 +282,18 @@ def rest_groups(classes: DataFrame, labels: DataFrame, threshold: int) -> DataFr
 _DEALT_ARROW = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
 
-def candidates_of_bucket(bucket: int, rows: list[tuple], threshold: int) -> set[tuple]:
-    """(bucket, p, q, side, cid, label) of rows (big block, fine block, cid, label, size, sketch, bands) of one pair of big
-    blocks: both ends of each candidate."""
-    big = np.array([r[0] for r in rows])
+def candidates_of_bucket(pair: tuple, rows: list[tuple], threshold: int) -> set[tuple]:
+    """(bucket, p, q, side, cid, label) of both ends of each candidate, from the rows (block, fine block, cid, label, size,
+    sketch, bands) of a pair (bucket, block, block)."""
+    bucket, one, other = pair
+    block = np.array([r[0] for r in rows])
     fine, cid, label, size = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
     sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
     bands = np.array([r[6] for r in rows])
-    two = bool((big != big[0]).any())
-    right = np.flatnonzero(big != big[0]) if two else np.arange(len(rows))
+    two = one != other
+    right = np.flatnonzero(block == other)
     out: set[tuple] = set()
-    for x in np.flatnonzero(big == big[0]).tolist():
+    for x in np.flatnonzero(block == one).tolist():
         y = right if two else right[right > x]
         y = y[label[y] != label[x]]
         y = y[may_link(np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64), size[y], size[x], threshold)]
@@ -332,12 +357,11 @@ def link_blocks(cids: list[int], sides: np.ndarray, labels: list[int], sketches:
     return found
 
 
-def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
     """(cid, u1, u2, sketch, text): one text of every class that shares a bucket with another."""
-    banded = classes.select("cid", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("band"))
-    wanted = classes.join(banded.join(shared, "band").select("cid").distinct(), "cid", "left_semi")
+    wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
     texts = docs.select(*row_keys(), "text").select(F.col("k1").alias("text_row"), "text")
+    # rows equal in id and text all come
     return texts.join(wanted.select("text_row", "cid", "u1", "u2", "sketch"), "text_row").select("cid", "u1", "u2", "sketch", "text").dropDuplicates(["cid"])
 
 
@@ -389,6 +413,12 @@ def confirmed(work: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return arrow_map(dealt, run, "a long, b long")
 
 
+def relabelled(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with the labels that the links join made one."""
+    found = connected_components(links).withColumnsRenamed({"node": "label", "component": "top"})
+    return cut(known.join(found, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top"))
+
+
 def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, k1, k2; pairs of at least ``threshold`` per cent are linked."""
     spark = docs.sparkSession
@@ -398,17 +428,18 @@ def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
         F.min("doc_id").alias("first_doc"), F.min("k1").alias("text_row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-    texts = cut(texts_of(docs, classes))
+    shared = cut(shared_buckets(classes))
+    texts = cut(texts_of(docs, classes, shared))
     release(spark)
-    stars = cut(star_candidates(classes, threshold))
-    first = connected_components(confirmed(star_groups(stars, classes), texts, threshold)).withColumnsRenamed({"node": "cid", "component": "label"})
+    known = cut(classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("cid").alias("label"), "n_shingles", "sketch", "bands"))
+    for turn in range(STAR_ROUNDS):
+        stars = cut(star_candidates(known, shared, turn, threshold))
+        known = relabelled(known, confirmed(star_groups(stars, known), texts, threshold))
     release(spark)
-    shared = classes.join(texts.select("cid").distinct(), "cid", "left_semi")
-    rest = cut(rest_groups(shared, first, threshold))
-    second = connected_components(confirmed(rest, texts, threshold)).withColumnsRenamed({"node": "label", "component": "top"})
+    known = relabelled(known, confirmed(cut(rest_groups(known, shared, threshold)), texts, threshold))
     release(spark)
-    linked = classes.select("cid", "u1", "u2", "n_shingles", "first_doc").join(first, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    linked = cut(linked.join(second, "label", "left").select("u1", "u2", "n_shingles", "first_doc", F.coalesce("top", "label").alias("component")))
+    linked = classes.select("cid", "u1", "u2", "n_shingles", "first_doc").join(known.select("cid", "label"), "cid", "left")
+    linked = cut(linked.select("u1", "u2", "n_shingles", "first_doc", F.coalesce("label", "cid").alias("component")))
     firsts = cut(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")))
     named = linked.join(firsts, "component").select("u1", "u2", "n_shingles", "component_id")
     placed = some.select("doc_id", "n_shingles", "u1", "u2", "k1", "k2").join(named, ["u1", "u2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "k1", "k2")

@@ -37,6 +37,42 @@ def test_run(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies"] and out.count() > 50
 
 
+def _through(spark, docs, folder):
+    for k, (_, stage) in enumerate(P.STAGES):
+        names = docs.columns
+        docs = stage(spark, docs, folder)
+        if k < len(P.STAGES) - 1:
+            assert docs.columns == names
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score string, rejected int, lang_pred string, copies int, k1 string, hits int, w string, t int, base int, spans string, label int, cid int, size int, taken int, _c0 int, _row int"
+
+
+def test_awkward_rows_and_names(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns through all five stages."""
+    real = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    awkward = [(9001, None, None, None), (9002, "", "en", "src1"), (9003, " \n ", "en", None), (None, real[1][1] + " and some more words here", "en", "src1"), (9004, "!!! 123", None, "src2"), (9005, "word " * 60_000 + real[0][1], "en", "src3")]
+    rows = [(*r, len(r[1] or ""), "s", 1, "p", 7, "k", 2, "w", 3, 4, "x", 5, 6, 8, 9, 10, 11) for r in [*real, *awkward, *real[:20]]]
+    docs = spark.createDataFrame(rows, CLASH)
+    spark.createDataFrame([(1, "some benchmark item of a few words that no document holds at all"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = _through(spark, docs, str(tmp_path)).cache()
+    assert out.columns == [*docs.columns, "mix_copies"] and out.count() > 50
+    assert {tuple(r)[4:] for r in out.select(*docs.columns).drop("n_chars").distinct().collect()} == {("s", 1, "p", 7, "k", 2, "w", 3, 4, "x", 5, 6, 8, 9, 10, 11)}
+    assert out.where("n_chars <> length(text)").count() == 0 and not {r["doc_id"] for r in out.collect()} & {9001, 9002, 9003, 9004}
+    assert out.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none = spark.createDataFrame([], CLASH)
+    assert _through(spark, none, str(tmp_path)).count() == 0
+    unlabelled = spark.createDataFrame([(1, "no language is known here", None, "a")], "doc_id long, text string, lang string, source string")
+    assert P.stage_language(spark, unlabelled, "").count() == 0
+
+
 def test_near_dedup_stage_links_from_80_per_cent(spark):
     texts = {}
     for group in range(24):

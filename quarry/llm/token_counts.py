@@ -6,12 +6,15 @@ a slice of documents form a byte trie, built level by level, and the unigram for
 a common prefix. The node where a word ends stores its token count; a document's count is a sum over its
 words. A worker remembers finished words up to a fixed number.
 
+A word of more than ``TRIE_DEPTH`` bytes (a base64 run, say) would be one lonely path of as many levels. Its pieces are
+looked up for all places at once instead, and one pass over the matches gives the same forward scores.
+
 Scores: the vocabulary file gives pieces in order of rank; a piece's score is the log probability of its
 rank under Zipf's law, ``-ln(rank + RANK_OFFSET)``. A byte that no piece spells costs one token of score
 ``BYTE_SCORE``. Equal scores go to the segmentation with fewer tokens.
 
 Edge cases: null, empty and blank texts have 0 tokens; null ids and repeated rows are counted each; an
-empty table gives an empty result; other columns are not read; a very long word is one path of the trie.
+empty table gives an empty result; other columns are not read; words may be of any length.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ MARK = "▁"
 RANK_OFFSET = 2.7
 BYTE_SCORE = -16.0
 REMEMBERED_WORDS = 400_000
+TRIE_DEPTH = 512
 
 
 def load_vocabulary(model_path: str) -> dict[bytes, float]:
@@ -63,13 +67,51 @@ class TrieCounter:
         self.keys = np.array(sorted(by_hash), np.uint64)
         self.scores = np.array([by_hash[int(k)] for k in self.keys])
         self.lengths = sorted({len(p) for p in pieces})
+        self._length_set = frozenset(self.lengths)
+
+    def _found(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.minimum(np.searchsorted(self.keys, piece), len(self.keys) - 1)
+        return self.keys[i] == piece, self.scores[i]
+
+    def long_count(self, word: np.ndarray) -> int:
+        """Token count of one word, without a trie."""
+        n = len(word)
+        pref = np.zeros(n + 1, np.uint64)
+        np.cumsum(tb.BYTE_CODE[word] * tb.powers("down", n), out=pref[1:])
+        pref[1:] *= tb.powers("up", n)
+        ends, lengths, scores = [], [], []
+        for k in self.lengths:
+            if k > n:
+                break
+            ok, score = self._found(pref[k:] - pref[: n + 1 - k] * np.uint64(pow(int(tb.STEP), k, 2**64)))
+            at = np.flatnonzero(ok)
+            ends.append(at + k)
+            lengths.append(np.full(len(at), k))
+            scores.append(score[at])
+        end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        order = np.argsort(end, kind="stable")
+        first = np.searchsorted(end[order], np.arange(n + 2)).tolist()
+        length, score = np.concatenate(lengths)[order].tolist() if ends else [], np.concatenate(scores)[order].tolist() if ends else []
+        best, cnt = [0.0] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            s, k = best[i - 1] + BYTE_SCORE, cnt[i - 1] + 1
+            for m in range(first[i], first[i + 1]):
+                j = i - length[m]
+                now = best[j] + score[m]
+                if now > s or (now == s and cnt[j] + 1 < k):
+                    s, k = now, cnt[j] + 1
+            best[i], cnt[i] = s, k
+        return cnt[n]
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Token count of data[start:end] for each span."""
         n = len(starts)
         out = np.zeros(n, np.int64)
-        live = np.arange(n)  # words that go on at this level
-        node = np.zeros(n, np.int64)  # their node in the level above
+        long = ends - starts > TRIE_DEPTH
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.long_count(data[starts[i] : ends[i]])
+        live = np.flatnonzero(~long)  # words that go on at this level
+        node = np.zeros(len(live), np.int64)  # their node in the level above
         # for each depth back: score, count and prefix hash by node, kept for the longest piece only
         best, cnt, pref = [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)]
         up: list[np.ndarray] = []  # parent links between those levels
@@ -97,9 +139,8 @@ class TrieCounter:
                 if back not in self._length_set:
                     continue
                 piece = h - pref[-back][at] * np.uint64(power[back])
-                i = np.minimum(np.searchsorted(self.keys, piece), len(self.keys) - 1)
-                ok = self.keys[i] == piece
-                score = best[-back][at] + np.where(ok, self.scores[i], -np.inf)
+                ok, score = self._found(piece)
+                score = best[-back][at] + np.where(ok, score, -np.inf)
                 count = cnt[-back][at] + 1
                 better = (score > s) | ((score == s) & (count < k))
                 s, k = np.where(better, score, s), np.where(better, count, k)
@@ -111,10 +152,6 @@ class TrieCounter:
             node = child
             depth += 1
 
-    @property
-    def _length_set(self) -> frozenset[int]:
-        return frozenset(self.lengths)
-
 
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens."""
@@ -149,10 +186,8 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
                 count[new] = trie.counts(laid, begins, ends)
                 if len(known_h) + int(new.sum()) > REMEMBERED_WORDS:
                     known_h, known_c = known_h[:0], known_c[:0]
-                known_h = np.concatenate([known_h, uniq[new]])
-                known_c = np.concatenate([known_c, count[new]])
-                order = np.argsort(known_h, kind="stable")
-                known_h, known_c = known_h[order], known_c[order]
+                place = np.searchsorted(known_h, uniq[new])
+                known_h, known_c = np.insert(known_h, place, uniq[new]), np.insert(known_c, place, count[new])
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),

@@ -1,14 +1,15 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words. Every passage of the whole text is described by
-surface measurements (character classes, word lengths, repetition inside it and of earlier passages) and
-encoded by a hidden layer; gated attention weighs the passages; the weighted sum is scored. Encoder,
-attention and scorer are trained together from document labels alone, on the driver, from at most
-``MAX_LABELLED`` labelled documents (smallest hash of the id). The weights are a few kilobytes and go to
-the executors with the function that scores every document.
+its words and pairs of words, hashed with signs into ``N_HASHED`` numbers, and by surface measurements (character
+classes, word lengths, repetition inside it and of earlier passages), and is encoded by a hidden layer; gated attention
+weighs the passages; the weighted sum is scored. Encoder, attention and scorer are trained together from document labels
+alone, on the driver, from at most ``MAX_LABELLED`` labelled documents (smallest hash of the id), of which a longer one
+gives ``TRAIN_PASSAGES`` passages spread over its whole text. The weights are a few kilobytes and go to
+the executors with the function that scores every document, by all its passages.
 
 Edge cases: null and empty texts are one passage of zeros; labels that are null count as no label, and of
-several labels for one id the smallest wins; without labels of both classes every score is the share of
+several labels for one id the smallest wins, of several rows for one labelled id one is learned from; without labels of both classes every score is the share of
 label 1 (0.5 with none); null ids count as held out; repeated rows are scored alike; an empty table gives
 an empty result; other columns are not read.
 """
@@ -30,6 +31,7 @@ from quarry.session import arrow_map
 
 PASSAGE_WORDS = 64
 MAX_LABELLED = 4000
+TRAIN_PASSAGES = 64
 CUTOFF = 0.3
 HIDDEN, GATE, STEPS, BATCH, RATE, DECAY = 24, 12, 600, 256, 0.01, 1e-4
 
@@ -42,7 +44,8 @@ _CLASSES[4, [ord(c) for c in ".,;:!?\"'()-"]] = True  # punctuation
 _CLASSES[5, 192:] = True  # first bytes of other characters
 _CLASSES[6, 33] = True  # exclamation marks
 _CLASSES[7, 10] = True  # line feeds
-N_FEATURES = 18
+N_SURFACE, N_HASHED = 18, 192
+N_FEATURES = N_SURFACE + N_HASHED
 
 
 def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +91,12 @@ def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     short = length <= 1
     out[here, 16] = np.add.reduceat(short.astype(np.float64), first) / count
     out[here, 17] = 1
+    pairs, pair_at = tb.gram_hashes(codes, rows, 2)
+    h, of = tb.mix(np.concatenate([codes, pairs])), p[np.concatenate([np.arange(len(codes)), pair_at])]
+    cell = (h % np.uint64(N_HASHED)).astype(np.int64)
+    sign = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+    bags = np.bincount(of * N_HASHED + cell, weights=sign, minlength=len(out) * N_HASHED).reshape(len(out), N_HASHED)
+    out[here, N_SURFACE:] = bags[here] / np.sqrt(count)[:, None]
     return out, at
 
 
@@ -154,6 +163,11 @@ class GatedAttention:
         return self.forward(self.weights, np.clip((x - self.mean) / self.scale, -8, 8), at)["p"]
 
 
+def spread(a: int, b: int) -> np.ndarray:
+    """At most ``TRAIN_PASSAGES`` of the numbers a to b, from the first to the last."""
+    return a + np.arange(min(b - a, TRAIN_PASSAGES)) * max(1, b - a - 1) // max(1, min(b - a, TRAIN_PASSAGES) - 1)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> GatedAttention:
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     picked = smallest_hashes(usable, "doc_id", "quality", most)
@@ -166,11 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Gated
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in tb.slices(batches, "text"):
             x, at = passages(data, offs)
-            cells = [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            cells = [x[spread(a, b)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cells, pa.binary())], ["doc_id", "x"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isin(list(label)))
-    found = sorted(arrow_map(sample, run, "doc_id long, x binary").collect(), key=lambda r: (r[0], bytes(r[1])))
+    found = arrow_map(sample, run, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    found.sort(key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in found]
     at = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, N_FEATURES))

@@ -390,11 +390,30 @@ def test_language_id_edges(docs):
 
 
 def test_language_id_brute_force(spark, docs):
-    content = {"aa": b"alpha beta gamma " * 20, "bb": b"delta epsilon zeta " * 20}
-    model = language_id.Classifier(content)
-    got = bag((r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs.select("doc_id", "text"), content).collect())
-    assert got == bag((i, model.predict(t)[0]) for i, t in texts(docs))
-    assert model.predict("alpha beta")[0] == "aa" and language_id.Classifier({}).predict("x")[0] == "und"
+    """Normalisation, blocks, compressed sizes and margins again, with nothing of the operator but the dictionaries."""
+    import zstandard
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    content = language_id.learn(real)
+    assert sorted(content) == ["de", "en", "es", "fr"]
+    coders = {k: zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in content.items()}
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0, True
+        data = " ".join("".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower()).split()).encode() or text.encode()
+        total = {}
+        for k, d in coders.items():
+            coder = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total[k] = sum(len(coder.compress(data[i : i + 512])) for i in range(0, len(data), 512))
+        (best, k), (second, _) = sorted((v, k) for k, v in total.items())[:2]
+        return k, min(1.0, 0.5 + 2.5 * (second - best) / second), (second - best) / second < 0.002
+
+    some = docs.select("doc_id", "text").unionByName(real.where("doc_id < 300").select("doc_id", "text"))
+    got = bag((r["doc_id"], r["lang_pred"], round(r["score"], 9), r["rejected"]) for r in language_id.identify(some, content).collect())
+    want = bag((i, k, round(score, 9), rejected) for i, t in texts(some) for k, score, rejected in [plain(t)])
+    assert got == want
+    assert language_id.Classifier({}).predict("x")[0] == "und" and language_id.Classifier({"b": b"same words", "a": b"same words"}).predict("same words")[0] == "a"
 
 
 def test_language_id_learns_from_every_sampled_text(spark):
@@ -547,6 +566,62 @@ def test_quality_model_edges(spark, docs):
     assert {r["score"] for r in none.collect()} == {0.5}
 
 
+def _plain_passages(text, mix, code):
+    """Features of the passages of a text, word by word."""
+    data = (text or "").encode()
+    w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    out = []
+    words_ = [data[a:b] for a, b in w]
+    classes = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&|<>{}[]~^_=\\/", b".,;:!?\"'()-", bytes(range(192, 256)), b"!", b"\n"]
+    for at in range(0, max(1, len(w)), 64):
+        x = [0.0] * quality_model.N_FEATURES
+        part = range(at, min(at + 64, len(w)))
+        if len(part):
+            body = data[w[part[0]][0] : w[part[-1]][1]]
+            for c, members in enumerate(classes):
+                x[c] = sum(b in members for b in body) / len(body)
+            sizes = [len(words_[i]) for i in part]
+            x[8], x[9], x[10], x[11] = np.mean(sizes), np.std(sizes), np.log1p(len(part)), max(sizes)
+            x[12] = sum(i > 0 and words_[i] == words_[i - 1] for i in part) / len(part)
+            x[13] = sum(words_[i] in words_[:i] for i in part) / len(part)
+            tri = [tuple(words_[i : i + 3]) for i in range(len(w) - 2)]
+            x[14] = sum(i < len(tri) and tri[i] in tri[:i] for i in part) / len(part)
+            x[15], x[16], x[17] = np.log1p(len(w)), sum(k <= 1 for k in sizes) / len(part), 1
+            for i in part:
+                for h in [code(words_[i])] + ([code(words_[i], words_[i + 1])] if i + 1 < len(w) else []):
+                    h = int(mix(np.array([h]))[0])
+                    x[18 + h % quality_model.N_HASHED] += (1 if h >> 40 & 1 else -1) / len(part) ** 0.5
+        out.append(x)
+    return np.array(out)
+
+
+def test_quality_scores_by_brute_force(spark, docs):
+    """Features and the forward pass once more in plain loops."""
+    tb = near_dedup.tb
+
+    def code(*some):
+        one = [tb.span_hashes(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0] for s in some]
+        return one[0] if len(one) == 1 else tb.gram_hashes(np.array(one), np.zeros(2, int), 2)[0][0]
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_model.train(real, labels)
+    w = model.weights
+    some = docs.where("doc_id is null or doc_id <> 20").select("doc_id", "text").unionByName(real.where("doc_id < 20"))
+    for _, t in texts(some):
+        x = _plain_passages(t, tb.mix, code)
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        fast, _ = quality_model.passages(data, np.array([0, len(data)]))
+        assert np.allclose(fast, x, rtol=1e-4, atol=1e-5)
+        x = np.clip((x - model.mean) / model.scale, -8, 8)
+        h = [np.tanh(p @ w["W"] + w["b"]) for p in x]
+        e = [float((np.tanh(p @ w["V"]) / (1 + np.exp(-(p @ w["U"])))) @ w["w"]) for p in h]
+        a = [np.exp(v - max(e)) for v in e]
+        z = sum(v / sum(a) * p for v, p in zip(a, h, strict=True))
+        want = 1 / (1 + np.exp(-(z @ w["c"] + w["d"])))
+        assert abs(model.score(fast.astype(float), np.array([0, len(fast)]))[0] - want) < 1e-4
+
+
 def test_attention_gradient_descends():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, quality_model.N_FEATURES))
@@ -559,48 +634,58 @@ def test_attention_gradient_descends():
 # --- op10 -----------------------------------------------------------------------------------------------------
 
 
+def own_pieces():
+    """The vocabulary and its rank scores, read without the operator's help."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
+    own = [model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    return {p: -np.log(rank + token_counts.RANK_OFFSET) for rank, p in enumerate(own, 1)}
+
+
 def brute_tokens(pieces, word):
     w = (token_counts.MARK + word).encode()
+    longest = max(map(len, pieces))
     best = [(0.0, 0)]
     for i in range(1, len(w) + 1):
         options = [(best[i - 1][0] + token_counts.BYTE_SCORE, best[i - 1][1] - 1)]
-        options += [(best[i - k][0] + pieces[w[i - k : i]], best[i - k][1] - 1) for k in range(1, min(24, i) + 1) if w[i - k : i] in pieces]
+        options += [(best[i - k][0] + pieces[w[i - k : i]], best[i - k][1] - 1) for k in range(1, min(longest, i) + 1) if w[i - k : i] in pieces]
         best.append(max(options))
     return -best[-1][1]
 
 
 def test_token_counts(docs):
-    pieces = token_counts.load_vocabulary(queries.TOKENIZER)
-    some = docs.where("doc_id is null or doc_id not in (19, 20)")
-    want = bag((i, len(WORD.findall(t or "")), sum(brute_tokens(pieces, w) for w in WORD.findall(t or ""))) for i, t in texts(some))
-    assert bag((r["doc_id"], r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(some, queries.TOKENIZER).collect()) == want
+    pieces = own_pieces()
+    want = bag((i, len(WORD.findall(t or "")), sum(brute_tokens(pieces, w) for w in WORD.findall(t or ""))) for i, t in texts(docs))
+    assert bag((r["doc_id"], r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(docs, queries.TOKENIZER).collect()) == want
 
 
-def test_token_counts_uses_pieces_of_any_length(spark):
-    import sentencepiece
+def test_token_counts_of_long_words(spark):
+    import base64
+    import time
 
-    model = sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
-    own = [model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    scores = {p: -np.log(rank + token_counts.RANK_OFFSET) for rank, p in enumerate(own, 1)}
+    rng = np.random.default_rng(4)
+    run = base64.b64encode(rng.bytes(40_000)).decode()
+    docs = spark.createDataFrame([(1, run), (2, "the" * 400 + " " + run[:700]), (3, run[:512] + " " + run[:509] + " " + run[:513])], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, queries.TOKENIZER).collect()}
+    assert time.perf_counter() - start < 20
+    pieces = own_pieces()
+    assert got == {r["doc_id"]: sum(brute_tokens(pieces, w) for w in r["text"].split()) for r in docs.collect()}
+
+
+def test_token_counts_uses_pieces_of_any_length(spark):
+    scores = own_pieces()
     longest = max(map(len, scores))
     mark = token_counts.MARK.encode()
     words = [p.removeprefix(mark).decode() for p in scores if len(p) > 24]
     words = [w for w in words if w and WORD.fullmatch(w) and token_counts.MARK not in w]
     assert longest > 24 and words
 
-    def brute(word):
-        w = mark + word.encode()
-        best = [(0.0, 0)]
-        for i in range(1, len(w) + 1):
-            options = [(best[i - 1][0] + token_counts.BYTE_SCORE, best[i - 1][1] - 1)]
-            options += [(best[i - k][0] + scores[w[i - k : i]], best[i - k][1] - 1) for k in range(1, min(longest, i) + 1) if w[i - k : i] in scores]
-            best.append(max(options))
-        return -best[-1][1]
-
     some = [*words, *(f"pre{w}post" for w in words), "ordinary"]
     docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, queries.TOKENIZER).collect()}
-    assert got == {i: brute(w) for i, w in enumerate(some)}
+    assert got == {i: brute_tokens(scores, w) for i, w in enumerate(some)}
 
 
 # --- empty tables ---------------------------------------------------------------------------------------------

@@ -2,109 +2,56 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from quarry.functions import sqltext
 from quarry.functions.text import confidence_rank, version_at_most
+from quarry.session import arrow_map
 
 # --- SQL text -------------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"""--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|"[^"]+"|`[^`]+`|[A-Za-z_][\w$]*|\d+(?:\.\d+)?|[(),.;*=<>!+/%-]|\S""", re.S)
-_START = ("select", "insert", "update", "delete", "create", "alter", "drop", "with", "merge", "truncate")
-_NOT_ALIAS = set("on using where group order having limit join inner left right full cross outer set values union select as natural".split())
-
-
-def sql_tokens(text: str) -> list[str]:
-    return [t for t in _TOKEN.findall(text or "") if not t.startswith(("--", "/*"))]
-
-
-def is_sql(text: str | None) -> bool:
-    """Begins with a statement word and has the clause that the statement needs (own tokenizer, no dialects)."""
-    t = [x.lower() for x in sql_tokens(text or "")]
-    if not t or t[0] not in _START:
-        return False
-    need = {"select": {"from"}, "insert": {"into"}, "update": {"set"}, "delete": {"from"}, "create": {"table", "view", "index"}, "with": {"select"}, "merge": {"into"}}
-    return t[0] not in need or bool(need[t[0]] & set(t))
-
-
-def sql_triples(text: str | None) -> list[tuple[str, str, str]]:
-    """(table, column, role) of one statement; ``*`` for all columns; aliases resolved; CTE names left out."""
-    raw = sql_tokens(text or "")
-    low = [t.lower() for t in raw]
-    if not is_sql(text):
-        return []
-    clean = lambda t: t.strip('"`').lower()
-    tables: dict[str, str] = {}
-    roles: dict[str, str] = {}
-    ctes = {clean(raw[i - 1]) for i in range(1, len(low)) if low[i] == "as" and i + 1 < len(low) and low[i + 1] == "(" and re.match(r"[A-Za-z_]", low[i - 1])}
-    for i, t in enumerate(low[:-1]):
-        write = t == "into" or (t == "update" and i == 0) or (t == "table" and low[0] in ("create", "alter", "drop", "truncate"))
-        if not (write or t in ("from", "join")):
-            continue
-        j = i + 1
-        while j < len(low) and low[j] in ("if", "not", "exists"):
-            j += 1
-        if j >= len(low) or not re.match(r'[A-Za-z_"`]', low[j]):
-            continue
-        name = clean(raw[j])
-        while j + 2 < len(low) and low[j + 1] == ".":
-            name, j = clean(raw[j + 2]), j + 2
-        if name in ctes:
-            continue
-        role = "writes" if write or (t == "from" and low[0] == "delete") else "reads"
-        roles[name] = "writes" if "writes" in (role, roles.get(name)) else "reads"
-        tables[name] = name
-        k = j + 1
-        if k < len(low) and low[k] == "as":
-            k += 1
-        if k < len(low) and re.match(r"[a-z_]", low[k]) and low[k] not in _NOT_ALIAS:
-            tables[clean(raw[k])] = name
-    out: dict[tuple[str, str, str], None] = {}
-    for i in range(len(low) - 2):
-        if low[i + 1] == "." and clean(raw[i]) in tables and re.match(r'[A-Za-z_"`*]', low[i + 2]):
-            table = tables[clean(raw[i])]
-            out[(table, clean(raw[i + 2]), roles[table])] = None
-    only = set(tables.values())
-    if len(only) == 1:
-        table = next(iter(only))
-        if low[0] == "insert" and "(" in low:
-            a = low.index("(")
-            b = low.index(")", a) if ")" in low[a:] else len(low)
-            if "values" not in low[:a] and "select" not in low[:a]:
-                out |= {(table, clean(c), "writes"): None for c in raw[a + 1 : b] if re.match(r'[A-Za-z_"`]', c)}
-        if low[0] == "update" and "set" in low:
-            out |= {(table, clean(raw[i - 1]), "writes"): None for i in range(low.index("set") + 1, len(low)) if low[i] == "=" and low[i - 2] in ("set", ",")}
-        if low[0] == "select" and "from" in low:
-            cols = raw[1 : low.index("from")]
-            out |= {(table, clean(c), "reads"): None for c in cols if c == "*" or (re.match(r'[A-Za-z_"`]', c) and c.lower() not in ("distinct", "as"))}
-    for t in only - {k[0] for k in out}:
-        out[(t, "*", roles[t])] = None
-    return sorted(out)
+
+def sql_flags(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``is_sql``: whether the text is a SQL statement. Equal texts of a batch are read once."""
+    at = texts.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            codes = batch.column(at).dictionary_encode()
+            known = pa.array([sqltext.is_sql(t) for t in codes.dictionary.to_pylist()] + [False], pa.bool_())
+            flags = known.take(codes.indices.fill_null(len(known) - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, flags], [*batch.schema.names, "is_sql"])
+
+    return arrow_map(texts, run, StructType([*texts.schema.fields, StructField("is_sql", BooleanType())]))
 
 
 def access_from_sql(literals: DataFrame, columns: DataFrame) -> DataFrame:
-    """Triples of SQL literals; ``*`` becomes the known columns; what binds to nothing is a gap."""
-
-    @F.udtf(returnType="table_name: string, column_name: string, role: string")
-    class Triples:
-        def eval(self, text: str):
-            from quarry.operators.facts import sql_triples as triples
-
-            yield from triples(text)
-
-    from quarry.session import ship_package
-
-    spark = literals.sparkSession
-    ship_package(spark)
-    spark.udtf.register("quarry_sql_triples", Triples)
-    literals.createOrReplaceTempView("_quarry_sql_literals")
-    t = spark.sql("SELECT l.consumer, t.* FROM _quarry_sql_literals l, LATERAL quarry_sql_triples(l.text) t")
-    c = columns.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("_c"))
-    star = t.where("column_name = '*'").drop("column_name").join(c, "table_name", "left").select("consumer", "table_name", F.col("_c").alias("column_name"), "role", F.col("_c").isNotNull().alias("bound"))
-    named = t.where("column_name <> '*'").join(c, (t["table_name"] == c["table_name"]) & (t["column_name"] == c["_c"]), "left").select("consumer", t["table_name"], "column_name", "role", F.col("_c").isNotNull().alias("bound"))
-    return star.unionByName(named)
+    """(consumer, table_name, column_name, role, bound) of the statements among (consumer, text).
+
+    ``*`` becomes the known columns (table_name, column_name) of its table. A statement that binds nothing, has no consumer
+    or reads all columns of an unknown table is a gap: one row that is not bound.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = {t: sqltext.triples(t) for t in set(batch.column(1).to_pylist())}
+            rows = []
+            for consumer, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found[text] is not None:
+                    rows += [(consumer, *t) for t in found[text]] if consumer is not None and found[text] else [(consumer, None, None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["consumer", "table_name", "column_name", "role"])
+
+    t = arrow_map(literals.select(F.col("consumer").cast("string").alias("consumer"), "text"), run, "consumer string, table_name string, column_name string, role string")
+    known = columns.select("table_name", F.col("column_name").alias("_c")).distinct()
+    star = t.where("column_name = '*'").join(known, "table_name", "left").select("consumer", "table_name", F.col("_c").alias("column_name"), F.when(F.col("_c").isNotNull(), F.col("role")).alias("role"))
+    named = t.where("column_name <> '*' or column_name is null").select("consumer", "table_name", "column_name", "role")
+    return star.unionByName(named).withColumn("bound", F.col("column_name").isNotNull()).distinct()
 
 
 # --- lineage views --------------------------------------------------------------------------------------------

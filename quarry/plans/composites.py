@@ -122,10 +122,12 @@ def i14(spark, d):
     return S.upsert(s.withColumn("git_hash", F.lit("old")), s.where("source_name like '%1'").withColumn("git_hash", F.lit("new")), ["source_name"])
 
 
-@query("l02_sql_triples", """SELECT consumer, t AS table_name, c AS column_name, r AS role FROM (SELECT id AS consumer, n FROM docs WHERE n % 2 = 0), (VALUES ('orders', 'uid', 'reads'), ('users', 'name', 'reads'), ('users', 'id', 'reads')) v(t, c, r)
-UNION ALL SELECT id, 'users', c, 'writes' FROM docs, (VALUES ('name'), ('age')) v(c) WHERE n % 2 = 1""")
+@query("l02_sql_triples", """SELECT id AS consumer, t AS table_name, c AS column_name, r AS role FROM docs JOIN (VALUES (0, 'orders', 'uid', 'filter'), (0, 'users', 'name', 'project'), (0, 'users', 'id', 'filter'), (1, 'users', 'name', 'write'), (1, 'users', 'age', 'write'), (1, 'users', 'id', 'project'),
+(2, 'logs', 'ts', 'filter'), (3, 'Order Item', 'Unit Price', 'project'), (3, 'Order Item', 'qty', 'order')) v(k, t, c, r) ON n % 4 = k""")
 def l02(spark, d):
-    text = F.when(F.col("n") % 2 == 0, "select b.name from orders a join users b on a.uid = b.id").otherwise("update users set name = 'x', age = 3")
+    n = F.col("n") % 4
+    text = F.when(n == 0, "select b.name from orders a join users b on a.uid = b.id").when(n == 1, "update users set name = 'x; select 1', age = 3 returning id")
+    text = text.when(n == 2, "DELETE FROM logs WHERE ts < {limit} /* where msg = 1 */").otherwise('select "Unit Price" from "Order Item" order by qty desc')
     cols = spark.createDataFrame([], "table_name string, column_name string")
     lit = kb(spark, d, "docs").select(F.col("id").alias("consumer"), text.alias("text"))
     return L.access_from_sql(lit, cols).select("consumer", "table_name", "column_name", "role")

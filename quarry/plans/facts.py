@@ -206,25 +206,42 @@ def l09(spark, d):
     return L.model_gaps(kb(spark, d, "data_access"), kb(spark, d, "schema_symbols").where("is_primary_key"))
 
 
-_SQL = ["select a.id, b.name from orders a join users b on a.uid = b.id", "insert into logs (ts, msg) values (1, 'x')", "update users set name = 'x', age = 3 where id = 1", "select * from users", "with c as (select id from orders) select c.id from c", "not a statement"]
-
-
-@query("l01_is_sql", "SELECT n AS id, n % 6 <> 5 AS is_sql FROM docs")
+#: Literals of many shapes with what they touch: (literal, is SQL, (table, column, role)...); * stands for the known columns.
+_LITERALS = [
+    ("select a.id, b.name from orders a join users b on a.uid = b.id", True, [("orders", "id", "project"), ("users", "name", "project"), ("orders", "uid", "filter"), ("users", "id", "filter")]),
+    ("insert into logs (ts, msg) values (1, 'x')", True, [("logs", "ts", "write"), ("logs", "msg", "write")]),
+    ("UPDATE users SET name = 'x', age = 3 WHERE id = 1", True, [("users", "name", "write"), ("users", "age", "write"), ("users", "id", "filter")]),
+    ("select * from users", True, [("users", "id", "project"), ("users", "name", "project"), ("users", "age", "project")]),
+    ("with c as (select id from orders) select c.id from c", True, [("c", "id", "project")]),
+    ("select the best one for me", False, []),
+    ("SELECT u.name -- from nobody\r\nFROM users u\r\nWHERE u.id IN (SELECT o.uid FROM orders o WHERE o.id > 3) ORDER BY u.age", True, [("users", "name", "project"), ("users", "id", "filter"), ("orders", "uid", "filter"), ("orders", "id", "filter"), ("users", "age", "order")]),
+    ("create table logs (ts int, msg text, primary key (ts))", True, [("logs", "ts", "ddl"), ("logs", "msg", "ddl")]),
+    ("select * from nowhere", True, [("nowhere", None, None)]),
+    ("select id from users, orders", True, [(None, None, None)]),
+    ("config.json", False, []),
+]
+_COLUMNS = [("users", "id"), ("users", "name"), ("users", "age"), ("orders", "id"), ("orders", "uid"), ("logs", "ts")]
+
+
+def _expected(found: list) -> str:
+    cell = lambda v: "NULL" if v is None else f"'{v}'"
+    return ", ".join(f"({k}, {', '.join(map(cell, t))})" for k, t in found)
+
+
+def _literals(spark, d):
+    pick = F.element_at(F.array(*(F.lit(t) for t, _, _ in _LITERALS)), (F.col("n") % len(_LITERALS) + 1).cast("int"))
+    return kb(spark, d, "docs").select(F.col("id").alias("consumer"), "n", pick.alias("text"))
+
+
+@query("l01_is_sql", f"SELECT n AS id, n % {len(_LITERALS)} NOT IN ({', '.join(str(k) for k, x in enumerate(_LITERALS) if not x[1])}) AS is_sql FROM docs")
 def l01(spark, d):
-    from quarry.session import ship_package
-
-    ship_package(spark)
-    f = F.pandas_udf(lambda s: s.map(L.is_sql), "boolean")
-    texts = F.element_at(F.array(*map(F.lit, _SQL)), (F.col("n") % 6 + 1).cast("int"))
-    return kb(spark, d, "docs").select(F.col("n").alias("id"), f(texts).alias("is_sql"))
+    return L.sql_flags(_literals(spark, d)).select(F.col("n").alias("id"), "is_sql")
 
 
-@query("l03_sql_access")
+@query("l03_sql_access", f"""SELECT id AS consumer, t AS table_name, c AS column_name, r AS role, c IS NOT NULL AS bound FROM docs
+JOIN (VALUES {_expected([(k, t) for k, x in enumerate(_LITERALS) for t in x[2]])}) v(k, t, c, r) ON k = n % {len(_LITERALS)}""")
 def l03(spark, d):
-    docs = kb(spark, d, "docs").where("n % 6 < 5")
-    lit = docs.select(F.col("id").alias("consumer"), F.element_at(F.array(*map(F.lit, _SQL)), (F.col("n") % 6 + 1).cast("int")).alias("text"))
-    cols = spark.createDataFrame([("users", "id"), ("users", "name"), ("users", "age"), ("orders", "id"), ("orders", "uid"), ("logs", "ts")], "table_name string, column_name string")
-    return L.access_from_sql(lit, cols)
+    return L.access_from_sql(_literals(spark, d), spark.createDataFrame(_COLUMNS, "table_name string, column_name string"))
 
 
 # --- extractors: the code files are generated, so that the expected rows are known -----------------------------

@@ -171,12 +171,6 @@ def test_chunks():
     assert all(len(c) <= 100 for c in long) and long[0].endswith(".")
 
 
-def test_sql_tokens():
-    assert facts.sql_triples("SELECT a.x, b.* FROM t1 a JOIN s.t2 AS b ON a.i = b.j") == [("t1", "i", "reads"), ("t1", "x", "reads"), ("t2", "*", "reads"), ("t2", "j", "reads")]
-    assert facts.sql_triples("insert into t (a, b) values (1, 'from x')") == [("t", "a", "writes"), ("t", "b", "writes")]
-    assert facts.sql_triples("update t set a = 1, b = 2 where c = 3")[0][2] == "writes"
-    assert facts.sql_triples("hello world") == [] and not facts.is_sql(None) and not facts.is_sql("select your meal")
-
 
 def test_globs_and_versions(spark):
     import re

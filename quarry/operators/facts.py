@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from quarry.functions import elements as found
 from quarry.functions import sqltext
 from quarry.functions.text import confidence_rank, version_at_most
 from quarry.session import arrow_map
@@ -179,20 +180,22 @@ def element_body(elements: DataFrame, texts: DataFrame) -> DataFrame:
     return elements.join(texts, "file").select("id", F.array_join(F.slice(F.split("text", "\n"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n").alias("body"))
 
 
-def markdown_elements(files: DataFrame) -> DataFrame:
-    """Headings with level and line."""
-    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "l")).where(F.col("l").rlike("^#{1,6} "))
-    return lines.select("file", (F.col("line") + 1).alias("line"), F.length(F.regexp_extract("l", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("l", "^#+ (.*)$", 1)).alias("name"))
+ELEMENT = "file string, language string, subtype string, qualified_name string, signature string, line_start int, line_end int, parent string, body_sha string"
 
 
-def python_elements(files: DataFrame) -> DataFrame:
-    """Classes and functions with their line."""
-    return _found(files, r"^(\s*)(class|def|async def)\s+(\w+)", ["indent", "kind", "name"]).select("file", "line", F.length("indent").alias("depth"), F.replace("kind", F.lit("async "), F.lit("")).alias("kind"), "name")
+def elements(files: DataFrame) -> DataFrame:
+    """The structural elements of (file, text) in the language of the file's name; unknown languages have none."""
 
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["file", *found.Element._fields]
+        kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()] * 2
+        for batch in batches:
+            rows = [(f, *e) for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if f is not None for e in found.elements_of(f, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-def json_elements(files: DataFrame) -> DataFrame:
-    """Top-level keys of JSON objects, by position."""
-    return files.select("file", F.posexplode(F.json_object_keys("text")).alias("pos", "name"))
+    return arrow_map(files.select("file", "text"), run, ELEMENT)
 
 
 def ini_entries(files: DataFrame) -> DataFrame:

@@ -329,19 +329,29 @@ def l21(spark, d):
     return L.element_body(e, texts)
 
 
-@query("s14_markdown", "SELECT id AS file, 1 AS line, 1 AS level, 'T' || n AS name FROM docs UNION ALL SELECT id, 3, 2, 'S' FROM docs")
-def s14m(spark, d):
-    return L.markdown_elements(_code(spark, d, F.lit("# T"), _n(), F.lit("\ntext\n## S\n#no")))
+#: Generated files of several shapes; @ stands for the document's number: (name, text, (subtype, name, first, last line)...).
+_FILES = [
+    ("a@.py", 'class A@:\n    """def no(): pass"""\n    size = 1\n    async def f(self): pass  # class B: pass\ndef g():\n    def h(): return "class C:"\n', [("class", "A@", 1, 4), ("variable", "A@.size", 3, 3), ("method", "A@.f", 4, 4), ("function", "g", 5, 6), ("function", "h", 6, 6)]),
+    ("a@.ts", "// function no() {}\r\nexport const k@ = `${ { a: 1 }.a } class No {`;\r\nfunction go() {\r\n  return /[{]/.test('}');\r\n}\r\nclass S { m() {} }\r\n", [("js_export", "k@", 2, 2), ("js_function", "go", 3, 5), ("js_class", "S", 6, 6)]),
+    ("a@.md", "# T@\n```\n# no\n```\n## S\n#no\n## S\n", [("md_section", "t@", 1, 7), ("md_section", "s", 5, 6), ("md_section", "s_2", 7, 7)]),
+    ("a@.json", '{"k@": {"z": [1, "}"]},\n "y": "a: {"}', [("json_key", "k@", 1, 1), ("json_key", "y", 2, 2)]),
+    ("a@.yaml", "k@: 1\nlist:\n  - a: 1\ntext: |\n  no: 1\n# end: 1\n", [("yaml_key", "k@", 1, 1), ("yaml_key", "list", 2, 3), ("yaml_key", "text", 4, 5)]),
+    ("a@.rst", "Title @\n=======\n\nPart\n----\n", [("rst_section", "title_@", 1, 3), ("rst_section", "part", 4, 5)]),
+    ("a@.conf", "s@ {\n  port = 8 # no = 1\n  l = [{ no = 1 }]\n}\n", [("hocon_key", "s@", 1, 4), ("hocon_key", "s@.port", 2, 2), ("hocon_key", "s@.l", 3, 3)]),
+    ("a@.txt", "class A@: pass", []),
+]
 
 
-@query("s14_python", "SELECT id AS file, 1 AS line, 0 AS depth, 'class' AS kind, 'A' || n AS name FROM docs UNION ALL SELECT id, 2, 4, 'def', 'f' FROM docs UNION ALL SELECT id, 3, 0, 'def', 'g' FROM docs")
-def s14p(spark, d):
-    return L.python_elements(_code(spark, d, F.lit("class A"), _n(), F.lit(":\n    def f(self): pass\nasync def g(): pass")))
+def _rows_of_files() -> str:
+    return ", ".join(f"({k}, '{kind}', '{name}', {a}, {b})" for k, (_, _, want) in enumerate(_FILES) for kind, name, a, b in want)
 
 
-@query("s14_json", "SELECT id AS file, 0 AS pos, 'k' || n AS name FROM docs UNION ALL SELECT id, 1, 'z' FROM docs")
-def s14j(spark, d):
-    return L.json_elements(_code(spark, d, F.lit('{"k'), _n(), F.lit('": 1, "z": {"a": 2}}')))
+@query("s14_elements", f"""SELECT replace(f, '@', n::VARCHAR) AS file, kind AS subtype, 'a' || n || '.' || replace(name, '@', n::VARCHAR) AS qualified_name, a::INTEGER AS line_start, b::INTEGER AS line_end
+FROM docs JOIN (VALUES {_rows_of_files()}) v(k, kind, name, a, b) ON k = n % {len(_FILES)} JOIN (VALUES {', '.join(f"({k}, '{f}')" for k, (f, _, _) in enumerate(_FILES))}) w(k, f) USING (k)""")
+def s14(spark, d):
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in _FILES)), (F.col("n") % len(_FILES) + 1).cast("int"))
+    files = kb(spark, d, "docs").select(*(F.replace(pick(i), F.lit("@"), F.col("n").cast("string")).alias(k) for i, k in enumerate(("file", "text"))))
+    return L.elements(files).select("file", "subtype", "qualified_name", "line_start", "line_end")
 
 
 @query("s17_ini", "SELECT id AS file, 2 AS line, 'main' AS section, 'key' AS key, 'v' || n AS value FROM docs UNION ALL SELECT id, 4, 'main', 'B', 'q r' FROM docs")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from quarry.functions import codefacts
 from quarry.functions import elements as found
 from quarry.functions import sqltext
 from quarry.functions.text import confidence_rank, version_at_most
@@ -100,15 +101,37 @@ def _found(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
     return lines.select("file", (F.col("line") + 1).alias("line"), *(F.regexp_extract("l", pattern, i + 1).alias(n) for i, n in enumerate(names)))
 
 
+def _each_file(files: DataFrame, read, columns: str) -> DataFrame:
+    """Rows of ``read(file, text)`` behind the file's name, for (file, text)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(f, *r) for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if f is not None for r in read(f, t)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+
+    kinds = {"string": "string", "int": "int32", "boolean": "bool"}
+    import pyarrow as pa
+
+    names = ["file", *(c.split()[0] for c in columns.split(", "))]
+    schema = pa.schema([("file", pa.string()), *((c.split()[0], pa.type_for_alias(kinds[c.split()[1]])) for c in columns.split(", "))])
+    return arrow_map(files.select("file", "text"), run, f"file string, {columns}")
+
+
 def orm_columns(code: DataFrame) -> DataFrame:
-    """``name = Column(Type`` and ``name = models.TypeField(`` lines."""
-    return _found(code, r"^\s+(\w+)\s*=\s*(?:db[.])?(?:Column|mapped_column|models[.])\(?(\w+)", ["column_name", "column_type"])
+    """Columns of SQLAlchemy and Django models and Slick tables."""
+    return _each_file(code, codefacts.mapped_columns, "line int, table_name string, column_name string, column_type string")
+
+
+def migration_columns(code: DataFrame) -> DataFrame:
+    """Columns that Django and Alembic migrations create; what a migration does not say is null."""
+    return _each_file(code, codefacts.migrated_columns, "line int, table_name string, column_name string, column_type string, is_nullable boolean, is_primary_key boolean")
 
 
 def http_routes(code: DataFrame) -> DataFrame:
-    """Decorator and router calls with a path."""
-    rx = r"""[@.]\s*(?:app|router|bp|api)?[.]?(get|post|put|delete|patch|route)\(\s*["']([^"']+)["']"""
-    return _found(code, rx, ["method", "path"]).withColumn("method", F.when(F.col("method") != "route", F.upper("method")))
+    """Routes of Flask, FastAPI, Express, Go and Akka files, with {names} for what a path matches."""
+    return _each_file(code, codefacts.routes, "line int, method string, path string")
 
 
 def http_clients(code: DataFrame) -> DataFrame:
@@ -123,11 +146,8 @@ def processes(code: DataFrame) -> DataFrame:
 
 
 def string_literals(code: DataFrame, least: int = 3) -> DataFrame:
-    """Quoted strings with line and column."""
-    lines = code.select("file", F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    rx = r"""(?<![\w'"])["']([^"'\n]*)["']"""
-    hit = lines.select("file", (F.col("line") + 1).alias("line"), "l", F.explode(F.regexp_extract_all("l", F.lit(rx), F.lit(1))).alias("value"))
-    return hit.where(F.length("value") >= least).select("file", "line", (F.instr("l", F.col("value")) - 1).alias("col"), "value")
+    """String literals with line and column; interpolated ones (f-strings, templates) with {} for their holes."""
+    return _each_file(code, lambda f, t: codefacts.literals(f, t, least), "line int, col int, value string")
 
 
 def literal_lookup(literals: DataFrame, value: str) -> DataFrame:

@@ -255,14 +255,46 @@ def _n():
     return F.col("n").cast("string")
 
 
-@query("l10_orm_columns", "SELECT id AS file, 2 AS line, 'c' || n AS column_name, 'Integer' AS column_type FROM docs UNION ALL SELECT id, 3, 'name', 'CharField' FROM docs")
+def _files(spark, d, shapes):
+    """A file of one of the shapes (name, text) for each document; ¤ stands for its number."""
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in shapes)), (F.col("n") % len(shapes) + 1).cast("int"))
+    return kb(spark, d, "docs").select(*(F.replace(pick(i), F.lit("¤"), F.col("n").cast("string")).alias(k) for i, k in enumerate(("file", "text"))))
+
+
+def _expect(shapes, names):
+    """SQL for the rows (names...) that each shape is known to give."""
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, bool | int) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {cell(f)}, {', '.join(map(cell, r))})" for k, (f, _, want) in enumerate(shapes) for r in want)
+    put = lambda n, v: f"replace({n}, '¤', n::VARCHAR) AS {n}" if isinstance(v, str) else f"{n}::INTEGER AS {n}" if not isinstance(v, bool) else n
+    first = next(want[0] for _, _, want in shapes if want)
+    return f"SELECT replace(file, '¤', n::VARCHAR) AS file, {', '.join(put(n, v) for n, v in zip(names, first, strict=True))} FROM docs JOIN (VALUES {rows}) v(k, file, {', '.join(names)}) ON k = n % {len(shapes)}"
+
+
+_MODELS = [
+    ("m¤.py", 'class A(Base):\n    __tablename__ = "t¤"\n    # z = Column(Integer)\n    c¤ = Column(Integer)\n    b = Column("bb", String(5))\n    r = relationship("B")\n', [(4, "t¤", "c¤", "Integer"), (5, "t¤", "bb", "String")]),
+    ("shop/m¤.py", "class L(models.Model):\r\n    n¤ = models.IntegerField()\r\n    o = models.ForeignKey(A, 1)\r\n    class Meta:\r\n        ordering = ['n']\r\n", [(2, "shop_l", "n¤", "IntegerField"), (3, "shop_l", "o_id", "ForeignKey")]),
+    ("M¤.scala", 'class U(tag: Tag) extends Table[(Int)](tag, "u¤") {\n  def id = column[Int]("id") // column[Int]("no")\n}\n', [(2, "u¤", "id", "Int")]),
+    ("n¤.py", '"""\nclass A(Base):\n    x = Column(Integer)\n"""\n', []),
+]
+
+
+@query("l10_orm_columns", _expect(_MODELS, ["line", "table_name", "column_name", "column_type"]))
 def l10(spark, d):
-    return L.orm_columns(_code(spark, d, F.lit("class A(Base):\n    c"), _n(), F.lit(" = Column(Integer)\n    name = models.CharField(max_length=3)")))
+    return L.orm_columns(_files(spark, d, _MODELS))
 
 
-@query("l11_http_routes", "SELECT id AS file, 1 AS line, 'GET' AS method, '/items/' || n AS path FROM docs UNION ALL SELECT id, 3, NULL, '/x' FROM docs")
+_ROUTES = [
+    ("r¤.py", '@app.get("/items/¤")\ndef f(): pass\n# @app.get("/no")\n@bp.route("/x/<int:id>", methods=["PUT", "GET"])\ndef g(id): pass\n', [(1, "GET", "/items/¤"), (4, "PUT", "/x/{id}"), (4, "GET", "/x/{id}")]),
+    ("r¤.js", "const app = express(), m = new Map();\napp.get('/a/:id', (q, s) => { m.get('/no', 1); });\n/* app.get('/no', h) */ router.post('/b¤', h);\napp.get('setting');\n", [(2, "GET", "/a/{id}"), (3, "POST", "/b¤")]),
+    ("r¤.go", 'func main() {\n\tr.GET("/g/:id", h) // r.GET("/no", h)\n\tmux.HandleFunc("POST /h¤", h)\n}\n', [(2, "GET", "/g/{id}"), (3, "POST", "/h¤")]),
+    ("r¤.scala", 'path("s¤" / Segment) { s =>\n  get { complete(s) }\n}\n', [(2, "GET", "/s¤/{arg0}")]),
+    ("r¤.txt", "@app.get('/no')", []),
+]
+
+
+@query("l11_http_routes", _expect(_ROUTES, ["line", "method", "path"]))
 def l11(spark, d):
-    return L.http_routes(_code(spark, d, F.lit('@app.get("/items/'), _n(), F.lit("\")\ndef f(): pass\n@bp.route('/x')")))
+    return L.http_routes(_files(spark, d, _ROUTES))
 
 
 @query("l12_http_clients", "SELECT id AS file, 2 AS line, 'requests' AS sink, 'POST' AS method, 'http://h/' || n AS url FROM docs")
@@ -275,9 +307,18 @@ def l13(spark, d):
     return L.processes(_code(spark, d, F.lit('subprocess.run(["tool'), _n(), F.lit('", "-x"])\nos.system("ls -l")')))
 
 
-@query("l14_string_literals", "SELECT id AS file, 1 AS line, 5 AS col, 'abc' || n AS value FROM docs UNION ALL SELECT id, 2, 6, 'xyz' FROM docs")
+_TEXTS = [
+    ("l¤.py", 'x = "abc¤"  # "no"\ny = f"select {x} from t¤"\nz = "ab"\n', [(1, 4, "abc¤"), (2, 4, "select {} from t¤")]),
+    ("l¤.js", "const a = 'one¤'; // 'no'\nconst b = `two ${f('six')} ¤`;\n", [(1, 10, "one¤"), (2, 10, "two {} ¤")]),
+    ("l¤.py", '"""doc"""\r\ndef f():\r\n    return [\'q¤q\', "é¤é"]\r\n', [(3, 12, "q¤q"), (3, None, "é¤é")]),
+]
+# the column of the last one follows the number's digits
+_TEXT_SQL = _expect(_TEXTS, ["line", "col", "value"]).replace("col::INTEGER AS col", "coalesce(col, 18 + length(n::VARCHAR))::INTEGER AS col")
+
+
+@query("l14_string_literals", _TEXT_SQL)
 def l14(spark, d):
-    return L.string_literals(_code(spark, d, F.lit('a = "abc'), _n(), F.lit("\"\nbb = 'xyz'; c = 'q'"))).select("file", "line", "col", "value")
+    return L.string_literals(_files(spark, d, _TEXTS))
 
 
 @query("l16_config_usage", "SELECT id AS file, 1 AS line, 'read' AS how FROM docs WHERE n % 2 = 0 UNION ALL SELECT id, 1, 'literal' FROM docs WHERE n % 2 = 1 AND n % 3 = 0")
@@ -329,29 +370,33 @@ def l21(spark, d):
     return L.element_body(e, texts)
 
 
-#: Generated files of several shapes; @ stands for the document's number: (name, text, (subtype, name, first, last line)...).
+#: Generated files of several shapes; ¤ stands for the document's number: (name, text, (subtype, name, first, last line)...).
 _FILES = [
-    ("a@.py", 'class A@:\n    """def no(): pass"""\n    size = 1\n    async def f(self): pass  # class B: pass\ndef g():\n    def h(): return "class C:"\n', [("class", "A@", 1, 4), ("variable", "A@.size", 3, 3), ("method", "A@.f", 4, 4), ("function", "g", 5, 6), ("function", "h", 6, 6)]),
-    ("a@.ts", "// function no() {}\r\nexport const k@ = `${ { a: 1 }.a } class No {`;\r\nfunction go() {\r\n  return /[{]/.test('}');\r\n}\r\nclass S { m() {} }\r\n", [("js_export", "k@", 2, 2), ("js_function", "go", 3, 5), ("js_class", "S", 6, 6)]),
-    ("a@.md", "# T@\n```\n# no\n```\n## S\n#no\n## S\n", [("md_section", "t@", 1, 7), ("md_section", "s", 5, 6), ("md_section", "s_2", 7, 7)]),
-    ("a@.json", '{"k@": {"z": [1, "}"]},\n "y": "a: {"}', [("json_key", "k@", 1, 1), ("json_key", "y", 2, 2)]),
-    ("a@.yaml", "k@: 1\nlist:\n  - a: 1\ntext: |\n  no: 1\n# end: 1\n", [("yaml_key", "k@", 1, 1), ("yaml_key", "list", 2, 3), ("yaml_key", "text", 4, 5)]),
-    ("a@.rst", "Title @\n=======\n\nPart\n----\n", [("rst_section", "title_@", 1, 3), ("rst_section", "part", 4, 5)]),
-    ("a@.conf", "s@ {\n  port = 8 # no = 1\n  l = [{ no = 1 }]\n}\n", [("hocon_key", "s@", 1, 4), ("hocon_key", "s@.port", 2, 2), ("hocon_key", "s@.l", 3, 3)]),
-    ("a@.txt", "class A@: pass", []),
+    ("a¤.py", 'class A¤:\n    """def no(): pass"""\n    size = 1\n    async def f(self): pass  # class B: pass\ndef g():\n    def h(): return "class C:"\n', [("class", "A¤", 1, 4), ("variable", "A¤.size", 3, 3), ("method", "A¤.f", 4, 4), ("function", "g", 5, 6), ("function", "h", 6, 6)]),
+    ("a¤.ts", "// function no() {}\r\nexport const k¤ = `${ { a: 1 }.a } class No {`;\r\nfunction go() {\r\n  return /[{]/.test('}');\r\n}\r\nclass S { m() {} }\r\n", [("js_export", "k¤", 2, 2), ("js_function", "go", 3, 5), ("js_class", "S", 6, 6)]),
+    ("a¤.md", "# T¤\n```\n# no\n```\n## S\n#no\n## S\n", [("md_section", "t¤", 1, 7), ("md_section", "s", 5, 6), ("md_section", "s_2", 7, 7)]),
+    ("a¤.json", '{"k¤": {"z": [1, "}"]},\n "y": "a: {"}', [("json_key", "k¤", 1, 1), ("json_key", "y", 2, 2)]),
+    ("a¤.yaml", "k¤: 1\nlist:\n  - a: 1\ntext: |\n  no: 1\n# end: 1\n", [("yaml_key", "k¤", 1, 1), ("yaml_key", "list", 2, 3), ("yaml_key", "text", 4, 5)]),
+    ("a¤.rst", "Title ¤\n=======\n\nPart\n----\n", [("rst_section", "title_¤", 1, 3), ("rst_section", "part", 4, 5)]),
+    ("a¤.conf", "s¤ {\n  port = 8 # no = 1\n  l = [{ no = 1 }]\n}\n", [("hocon_key", "s¤", 1, 4), ("hocon_key", "s¤.port", 2, 2), ("hocon_key", "s¤.l", 3, 3)]),
+    ("a¤.txt", "class A¤: pass", []),
 ]
 
 
-def _rows_of_files() -> str:
-    return ", ".join(f"({k}, '{kind}', '{name}', {a}, {b})" for k, (_, _, want) in enumerate(_FILES) for kind, name, a, b in want)
+@query("s14_elements", f"SELECT file, subtype, 'a' || regexp_extract(file, '[0-9]+') || '.' || qualified_name AS qualified_name, line_start, line_end FROM ({_expect(_FILES, ['subtype', 'qualified_name', 'line_start', 'line_end'])})")
+def s14(spark, d):
+    return L.elements(_files(spark, d, _FILES)).select("file", "subtype", "qualified_name", "line_start", "line_end")
 
 
-@query("s14_elements", f"""SELECT replace(f, '@', n::VARCHAR) AS file, kind AS subtype, 'a' || n || '.' || replace(name, '@', n::VARCHAR) AS qualified_name, a::INTEGER AS line_start, b::INTEGER AS line_end
-FROM docs JOIN (VALUES {_rows_of_files()}) v(k, kind, name, a, b) ON k = n % {len(_FILES)} JOIN (VALUES {', '.join(f"({k}, '{f}')" for k, (f, _, _) in enumerate(_FILES))}) w(k, f) USING (k)""")
-def s14(spark, d):
-    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in _FILES)), (F.col("n") % len(_FILES) + 1).cast("int"))
-    files = kb(spark, d, "docs").select(*(F.replace(pick(i), F.lit("@"), F.col("n").cast("string")).alias(k) for i, k in enumerate(("file", "text"))))
-    return L.elements(files).select("file", "subtype", "qualified_name", "line_start", "line_end")
+_MIGRATIONS = [
+    ("shop/migrations/¤.py", 'operations = [migrations.CreateModel(name="O¤", fields=[\n    ("id", models.AutoField()), ("u", models.ForeignKey("U", 1)),\n])]\n', [(2, "shop_o¤", "id", "AutoField", None, None), (2, "shop_o¤", "u_id", "ForeignKey", None, None)]),
+    ("versions/¤.py", 'def upgrade():\n    op.create_table("t¤", sa.Column("id", sa.Integer(), nullable=False, primary_key=True),\n        sa.Column("n", sa.String(3)))\n    # op.add_column("t", sa.Column("no", sa.Integer()))\n', [(2, "t¤", "id", "Integer", False, True), (3, "t¤", "n", "String", None, None)]),
+]
+
+
+@query("s18_migrations", _expect(_MIGRATIONS, ["line", "table_name", "column_name", "column_type", "is_nullable", "is_primary_key"]).replace("is_nullable::INTEGER AS is_nullable", "is_nullable").replace("is_primary_key::INTEGER AS is_primary_key", "is_primary_key"))
+def s18m(spark, d):
+    return L.migration_columns(_files(spark, d, _MIGRATIONS))
 
 
 @query("s17_ini", "SELECT id AS file, 2 AS line, 'main' AS section, 'key' AS key, 'v' || n AS value FROM docs UNION ALL SELECT id, 4, 'main', 'B', 'q r' FROM docs")

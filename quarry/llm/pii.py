@@ -108,16 +108,26 @@ def with_spans(docs: DataFrame) -> DataFrame:
     A match carries its text and what stands around it, so that nothing is cut out of the whole text again.
     """
     rows = docs.withColumn("t", F.coalesce("text", F.lit("")))
-    digit, at = F.col("t").rlike("[0-9]"), F.contains("t", F.lit("@"))
-    has = {"email": at, "ip": digit, "card": digit, "phone": F.contains("t", F.lit("+"))}
-    near = {"email": at | F.col("t").rlike(r"at[\])]|[ \[(]dot[ \])]"), "ip": digit, "card": digit, "phone": digit}
+    # what a text must hold for any match, looked for once
+    gates = {
+        "at": F.contains("t", F.lit("@")),
+        "word_at": F.col("t").rlike(r"at[\])]|[ \[(]dot[ \])]| at "),
+        "plus": F.contains("t", F.lit("+")),
+        "octets": F.col("t").rlike(r"[0-9] ?[\[(]?\.[\])]? ?[0-9]"),
+        "digits": F.col("t").rlike(r"[0-9][ ./)-]?[0-9][ ./)-]?[0-9]"),
+    }
+    rows = _settle(rows.withColumns({f"has_{k}": v for k, v in gates.items()}))
+    at, octets, digits = F.col("has_at"), F.col("has_octets"), F.col("has_digits")
+    has = {"email": at, "ip": octets, "card": digits, "phone": F.col("has_plus")}
+    near = {"email": at | F.col("has_word_at"), "ip": octets, "card": digits, "phone": digits}
     jobs = [(i, BASE[k], has[k], -1) for i, k in enumerate(KINDS)] + [(KINDS.index(k), rx, near[k], j) for j, (k, rx) in enumerate(GENERATORS)]
     zipped = {}
     for c, (_, rx, some, _) in enumerate(jobs):
         gaps, found = F.split("t", rx, -1), F.regexp_extract_all("t", F.lit(rx), F.lit(0))
-        zipped[f"z{c}"] = F.when(some, F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m"), F.slice(gaps, 2, F.size(gaps)).alias("x")), lambda z: z["m"].isNotNull())).otherwise(empty("struct<g:string,m:string,x:string>"))
+        placed = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m"), F.slice(gaps, 2, F.size(gaps)).alias("x")), lambda z: z["m"].isNotNull())
+        zipped[f"z{c}"] = F.when(some & F.col("t").rlike(rx), placed).otherwise(empty("struct<g:string,m:string,x:string>"))
     rows = _settle(rows.withColumns(zipped))
-    rows = _settle(rows.withColumns({f"m{c}": _placed(f"z{c}", k, j) for c, (k, _, _, j) in enumerate(jobs)}).drop(*zipped))
+    rows = _settle(rows.withColumns({f"m{c}": _placed(f"z{c}", k, j) for c, (k, _, _, j) in enumerate(jobs)}).drop(*zipped, *(f"has_{k}" for k in gates)))
     base = F.concat(*(_checked(f"m{i}", k) for i, k in enumerate(KINDS)))
     more = F.concat(*(F.col(f"m{c}") for c in range(len(KINDS), len(jobs))))
     return _settle(rows.withColumns({"base": F.array_sort(base), "proposed": F.array_sort(more)}).drop(*(f"m{c}" for c in range(len(jobs)))))

@@ -177,10 +177,11 @@ def parse_front_matter(texts: DataFrame) -> DataFrame:
 
 
 def graph_export(graph: DataFrame, docs: DataFrame) -> DataFrame:
-    """Nodes with type and the number of documents that name them."""
+    """Nodes with type (that of the document, topic for documents marked so, else file) and the number of documents
+    that name them."""
     nodes = graph.select(F.col("source_id").alias("id")).union(graph.select("target_id")).distinct()
     n = docs.select(F.explode("files").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("doc_count"))
-    j = nodes.join(docs.select("id", "content_type"), "id", "left").join(n, "id", "left")
+    j = nodes.join(docs.select("id", F.when(F.col("topic"), "topic").otherwise(F.col("content_type")).alias("content_type")), "id", "left").join(n, "id", "left")
     return j.select("id", F.coalesce("content_type", F.lit("file")).alias("type"), F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
 
 

@@ -236,9 +236,10 @@ def claim_coverage(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 def select_bodies(rows: DataFrame, soft_cap: int, reserve: int) -> DataFrame:
     """Distinct symbols in order; a reserve for each group first, then the others up to the cap."""
     once = rows.groupBy("grp", "symbol").agg(F.min("pos").alias("pos"))
+    order = [(F.col("r") > reserve).cast("int"), "pos", "grp", "symbol"]
     r = once.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("pos", "symbol")))
-    ranked = r.withColumn("k", F.row_number().over(Window.orderBy((F.col("r") > reserve).cast("int"), "pos", "grp", "symbol")))
-    return ranked.where(F.col("k") <= soft_cap).select("grp", "symbol", "k")
+    first = r.orderBy(*order).limit(soft_cap)  # only these few rows are numbered in one place
+    return first.withColumn("k", F.row_number().over(Window.orderBy(*order))).select("grp", "symbol", "k")
 
 
 def html_text(pages: DataFrame) -> DataFrame:

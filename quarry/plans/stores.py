@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.catalog import query
 from quarry.operators import filters as X
 from quarry.operators import store as S
 from quarry.plans.tables import kb
-from quarry.session import table
+from quarry.session import shared_folder, table
+from quarry.sources.files import usage_log
 
 
 @query("s01_list_documents", "SELECT id, content_type, title FROM docs WHERE content_type = 'de' ORDER BY updated_at DESC, id LIMIT 20")
@@ -91,9 +94,20 @@ def w01(spark, d):
 
 
 @query("w02_graph_export", """WITH n AS (SELECT source_id AS id FROM doc_graph UNION SELECT target_id FROM doc_graph), c AS (SELECT f AS id, count(*) AS k FROM (SELECT unnest(files) AS f FROM docs) GROUP BY 1)
-SELECT n.id, coalesce(content_type, 'file') AS type, coalesce(k, 0) AS doc_count FROM n LEFT JOIN docs ON docs.id = n.id LEFT JOIN c ON c.id = n.id""")
+SELECT n.id, CASE WHEN docs.n % 10 = 0 THEN 'topic' ELSE coalesce(content_type, 'file') END AS type, coalesce(k, 0) AS doc_count FROM n LEFT JOIN docs ON docs.id = n.id LEFT JOIN c ON c.id = n.id""")
 def w02(spark, d):
-    return S.graph_export(kb(spark, d, "doc_graph"), kb(spark, d, "docs"))
+    return S.graph_export(kb(spark, d, "doc_graph"), kb(spark, d, "docs").withColumn("topic", F.col("n") % 10 == 0))
+
+
+@query("s19_usage_log", "SELECT CAST(event_id AS VARCHAR) AS ts, CAST(user_id AS VARCHAR) AS actor, event_type AS name, CASE WHEN event_id % 2 = 0 THEN 'hit' END AS outcome, (event_id % 11)::INTEGER AS score FROM events WHERE event_id % 7 <> 0")
+def s19(spark, d):
+    folder = f"{shared_folder(spark)}/usage-log-{uuid.uuid4().hex}"
+    e = F.col("event_id")
+    row = F.struct(e.cast("string").alias("ts"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("name"), F.when(e % 2 == 0, "hit").alias("outcome"), (e % 11).alias("score"))
+    line = F.to_json(row)
+    broken = F.when(e % 21 == 0, F.substring(line, 1, 12)).otherwise(F.concat(F.lit("not json "), line))
+    table(spark, d, "events").select(F.when(e % 7 == 0, broken).otherwise(line).alias("value")).write.text(folder)
+    return usage_log(spark, folder)
 
 
 @query("w03_dot_graph", """WITH e AS (SELECT DISTINCT source_id, target_id FROM doc_graph ORDER BY source_id, target_id LIMIT 50)

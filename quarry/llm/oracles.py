@@ -30,6 +30,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM f
 """
 
+#: The ledger once more, and each rule's documents counted on it.
+ABLATION = f"""
+WITH ledger AS ({OP2}), rules(bit, rule) AS (VALUES (0, 'too_few_words'), (1, 'repeated_words'), (2, 'symbol_heavy'), (3, 'repeated_lines'), (4, 'short_words'), (5, 'long_words'))
+SELECT bit::INTEGER AS bit, rule, count(*) FILTER ((fail_bits >> bit) & 1 = 1) AS failed, count(*) FILTER (fail_bits = 1::BIGINT << bit) AS failed_by_this_alone
+FROM rules, ledger GROUP BY bit, rule HAVING count(*) FILTER ((fail_bits >> bit) & 1 = 1) > 0 OR (SELECT count(*) FROM ledger) > 0
+"""
+
 OP3 = r"""
 WITH d AS (  -- pieces of a text: a unit and the separator after it (a blank that ends a unit becomes U+E000 first)
   SELECT doc_id, coalesce(text, '') AS text,

@@ -56,9 +56,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy keeps out, and what only it does, from op2's ledger."""
+    led = quality_rules.ledger(quality_rules.measurements(table(spark, sf_dir, "documents")))
+    return quality_rules.ablation(led, quality_rules.PRODUCTION_POLICY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))) | {"quality_ablation": quality_ablation}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -68,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": oracles.OP3,
         "op7_decontaminate": oracles.OP7,
         "op8_source_mix": oracles.OP8,
+        "quality_ablation": oracles.ABLATION,
     }

@@ -10,7 +10,25 @@ from pyspark.sql import functions as F
 from quarry.operators.components import connected_components
 from quarry.session import arrow_map, cut
 
-BLOCK = 1024
+BLOCK = 8192
+CHUNK = 512  # rows of a block that are multiplied at once
+
+
+def best_of(left, right, floor: float, k: int | None):
+    """Arrow batches (a, b, sim) of the pairs of two blocks of (id, vector, ...) over the floor, the best k of each left row
+    (and its ties) where k is given."""
+    import pyarrow as pa
+
+    x, y = (np.array([r[1] for r in side], float) for side in (left, right))
+    li, ri = (np.array([r[0] for r in side]) for side in (left, right))
+    for lo in range(0, len(x), CHUNK):
+        m, ids = x[lo : lo + CHUNK] @ y.T, li[lo : lo + CHUNK]
+        ok = (m >= floor) & (ids[:, None] != ri[None, :])
+        if k is not None and m.shape[1] > k:
+            lowest = -np.partition(np.where(ok, -m, np.inf), k - 1, axis=1)[:, k - 1]
+            ok &= m >= lowest[:, None]
+        i, j = np.nonzero(ok)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ri[j], pa.int64()), pa.array(m[i, j])], ["a", "b", "sim"])
 
 
 def blocked_pairs(queries: DataFrame, vecs: DataFrame, floor: float, k: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -28,103 +46,116 @@ def blocked_pairs(queries: DataFrame, vecs: DataFrame, floor: float, k: int | No
     dealt = both.repartition(max(1, min(n_q * n_v, 4000)), "qb", "vb").sortWithinPartitions("qb", "vb", "side", "id")
 
     def run(batches):
-        import pyarrow as pa
-
         held, key = [], None
 
         def flush():
             left, right = [x for x in held if x[2] == 0], [x for x in held if x[2] == 1]
             held.clear()
-            if not left or not right:
-                return None
-            m = np.array([x[1] for x in left], float) @ np.array([x[1] for x in right], float).T
-            li, ri = np.array([x[0] for x in left]), np.array([x[0] for x in right])
-            ok = (m >= floor) & (li[:, None] != ri[None, :])
-            if k is not None and m.shape[1] > k:
-                lowest = -np.partition(np.where(ok, -m, np.inf), k - 1, axis=1)[:, k - 1]
-                ok &= m >= lowest[:, None]
-            i, j = np.nonzero(ok)
-            return pa.RecordBatch.from_arrays([pa.array(li[i], pa.int64()), pa.array(ri[j], pa.int64()), pa.array(m[i, j])], ["a", "b", "sim"])
+            if left and right:
+                yield from best_of(left, right, floor, k)
 
         for batch in batches:
             for qb, vb, id_, vec, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (qb, vb) != key:
-                    out = flush()
+                    yield from flush()
                     key = (qb, vb)
-                    if out is not None:
-                        yield out
                 held.append((id_, vec, side))
-        out = flush()
-        if out is not None:
-            yield out
+        yield from flush()
 
     return arrow_map(dealt, run, "a long, b long, sim double")
 
 
-def bucketed_pairs(vecs: DataFrame, floor: float, k: int | None = None, tables: int = 16, bits: int = 8, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """Approximate similarity self-join for tables too large for every pair of blocks.
+LISTS, FIT_ROWS, FIT_QUERIES = 64, 20_000, 400
+RECALL = 0.95  # aimed at on the sample
+
 
-    ``tables`` times, the signs of ``bits`` random projections name a bucket, and only rows of one bucket are compared.
-    A bucket of more than ``block`` rows is dealt into blocks and its pairs of blocks are compared one by one, so a hot
-    bucket spreads over tasks. Two unit vectors at the angle t share a bucket of one table with probability (1 - t / pi) ** bits,
-    so pairs below a similarity of about 0.8 are often lost and no query is registered on it.
-    Gives directed pairs (a, b, sim), each once; ``k`` keeps the best k of a row in each block.
+def fit_lists(vecs: DataFrame, k: int, lists: int = LISTS, rows: int = FIT_ROWS, rounds: int = 10, seed: int = 3) -> tuple[np.ndarray, int]:
+    """Unit centroids of the index's lists, by spherical k-means, and how many lists a query has to look into.
+
+    Both come from about ``rows`` rows of the table (smallest hashes of the id) on the driver, the one bounded sample of the
+    index. The second is the least number of lists that holds ``RECALL`` of the true k nearest of some sampled rows: few
+    where vectors cluster, most of them where they do not.
     """
+    n = vecs.count()
+    hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+    usable = vecs.where(F.col("v").isNotNull() & (F.size("v") > 0) & (hashed < min(1 << 40, (1 << 40) * rows // max(1, n))))
+    some = usable.orderBy(hashed, "id").limit(rows).select("v").collect()
+    if not some:
+        return np.zeros((0, 1)), 1
+    raw = np.array([r["v"] for r in some], float)
+    x = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
+    c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        at = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, x)
+        full = np.bincount(at, minlength=len(c)) > 0
+        c = np.where(full[:, None], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), c)
+    at = (raw @ c.T).argmax(axis=1)
+    asked = np.arange(min(len(raw), FIT_QUERIES))
+    sims = raw[asked] @ raw.T
+    sims[asked, asked] = -np.inf
+    near = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, len(raw) - 1)]
+    rank = np.argsort(np.argsort(-(raw[asked] @ c.T), axis=1, kind="stable"), axis=1)
+    ranks = np.sort(rank[asked[:, None], at[near]].reshape(-1))
+    return c, int(ranks[min(len(ranks) - 1, int(RECALL * len(ranks)))]) + 1 if len(ranks) else 1
+
+
+def listed(vecs: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
+    """Every row with its ``n`` nearest lists: (id, v, list)."""
     import pyarrow as pa
 
-    def name_buckets(batches):
-        planes = None
+    def run(batches):
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v]
-            if not rows:
+            ids, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(i, v) for i, v in zip(ids, cells, strict=True) if v]
+            if not rows or not len(centroids):
                 continue
-            m = np.array([v for _, v in rows], float)
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(m.shape[1], tables * bits))
-            code = ((m @ planes > 0).reshape(len(rows), tables, bits) * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.float64())), pa.array(code.tolist(), pa.list_(pa.int64()))], ["id", "v", "buckets"])
-
-    named = arrow_map(vecs.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), name_buckets, "id long, v array<double>, buckets array<long>")
-    each = named.select("id", "v", F.explode("buckets").alias("bucket"))
-    size = cut(each.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    dealt = (
-        each.join(size, "bucket")
-        .withColumn("side", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id", "v")
-        .repartition("bucket", "p", "q")
-        .sortWithinPartitions("bucket", "p", "q", "side", "id")
+            near = np.argsort(-(np.array([v for _, v in rows], float) @ centroids.T), axis=1, kind="stable")[:, :n]
+            flat = [(i, v, int(c)) for (i, v), cs in zip(rows, near, strict=True) for c in cs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.list_(pa.float64())), pa.array([r[2] for r in flat], pa.int32())], ["id", "v", "list"])
+
+    return arrow_map(vecs.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), run, "id long, v array<double>, list int")
+
+
+def ann_search(queries: DataFrame, vecs: DataFrame, k: int = 10, floor: float = -1.0, block: int = BLOCK) -> DataFrame:
+    """About the k nearest others of every query, from an index of inverted lists: (a, b, sim).
+
+    Every row of ``vecs`` is in one list and every query looks into as many of them as the sample asks for. A list longer than ``block`` is dealt
+    into blocks, and so are its queries, so that no task holds a whole hot list.
+    """
+    centroids, probes = fit_lists(vecs, k)
+    index = cut(listed(vecs, centroids, 1))
+    asked = cut(listed(queries, centroids, probes))
+    size = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = cut(size(index, "nv").join(size(asked, "nq"), "list"))
+    deal = lambda df, own, other, side: (
+        df.join(sizes, "list").select("list", "id", "v", F.pmod(F.xxhash64("id", F.lit(side)), F.col(own)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"), F.lit(side).alias("side"))
     )
+    q = deal(asked, "nq", "nv", 0).select("list", F.col("mine").alias("qb"), F.col("theirs").alias("vb"), "id", "v", "side")
+    v = deal(index, "nv", "nq", 1).select("list", F.col("theirs").alias("qb"), F.col("mine").alias("vb"), "id", "v", "side")
+    dealt = q.unionByName(v).repartition("list", "qb", "vb").sortWithinPartitions("list", "qb", "vb", "side", "id")
 
-    def compare(batches):
+    def run(batches):
         held, key = [], None
 
         def flush():
-            ids, sides = np.array([h[0] for h in held]), np.array([h[2] for h in held])
-            m = np.array([h[1] for h in held], float)
+            left, right = [x for x in held if x[2] == 0], [x for x in held if x[2] == 1]
             held.clear()
-            sim = m @ m.T
-            ok = (sim >= floor) & (ids[:, None] != ids[None, :])
-            if (sides != sides[0]).any():
-                ok &= sides[:, None] != sides[None, :]
-            if k is not None and len(ids) > k:
-                lowest = -np.partition(np.where(ok, -sim, np.inf), k - 1, axis=1)[:, k - 1]
-                ok &= sim >= lowest[:, None]
-            i, j = np.nonzero(ok)
-            return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(sim[i, j])], ["a", "b", "sim"])
+            if left and right:
+                yield from best_of(left, right, floor, k)
 
         for batch in batches:
-            for *now, side, id_, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *now, id_, vec, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
-                    if len(held) > 1:
-                        yield flush()
-                    held.clear()
+                    yield from flush()
                     key = now
                 held.append((id_, vec, side))
-        if len(held) > 1:
-            yield flush()
+        yield from flush()
 
-    return arrow_map(dealt, compare, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    found = arrow_map(dealt, run, "a long, b long, sim double").withColumn("sim", F.round("sim", 6))
+    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def knn_edges(queries: DataFrame, vecs: DataFrame, k: int = 5, floor: float = 0.6) -> DataFrame:

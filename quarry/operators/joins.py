@@ -85,11 +85,18 @@ def member_join(lists: DataFrame, column: str, right: DataFrame, key: str) -> Da
     return lists.select(*[c for c in lists.columns if c != column], F.explode(column).alias(key)).join(right, key)
 
 
-def containing_files(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges whose target holds a name. The needles are few; a hash of the basename would miss inner matches."""
-    from quarry.operators.vector import bounded_broadcast
+def containing_files(edges: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+    """Edges whose target holds a name.
 
-    return edges.join(bounded_broadcast(names), F.contains(edges["target_id"], names["name"])).select("source_id", "target_id", "name")
+    An equi-join on short strings and a check behind it: a target that holds a name holds the name's first ``gram``
+    characters (all of it, where it is shorter). Null names match nothing, an empty name matches every target.
+    """
+    n = names.select("name").where("name is not null").withColumn("g", F.substring("name", 1, gram))
+    t = edges.select("source_id", "target_id").where("target_id is not null")
+    sizes = F.sequence(F.lit(0), F.lit(gram))
+    grams = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("target_id") - k + 1, F.lit(1))), lambda i: F.substring("target_id", i, k)))))
+    hit = t.withColumn("g", F.explode(grams)).join(n, "g").where(F.contains("target_id", F.col("name")))
+    return hit.select("source_id", "target_id", "name")
 
 
 def component_fallback(requests: DataFrame, versions: DataFrame) -> DataFrame:

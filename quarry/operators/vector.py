@@ -121,10 +121,16 @@ def rank_with_gate(primary: DataFrame, second: DataFrame, k: int) -> DataFrame:
 def gate_candidates(ground: DataFrame, anchors: DataFrame, q: list[float] | None, w_query: float, w_anchor: float, gate: float) -> DataFrame:
     """V14, first half: combined = (w_q q.v + w_a max anchor.v) weight, kept over the gate.
 
-    The anchors are a handful of selected rows; their number is checked before they are broadcast.
+    The anchors are a handful of selected rows, which are broadcast; if there should be many of them, both sides are
+    compared by pairs of blocks.
     """
-    a = bounded_broadcast(anchors.select(F.col("v").alias("av")))
-    best = ground.crossJoin(a).groupBy("id").agg(F.max(dot(F.col("v"), F.col("av"))).alias("near"))
+    if anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        best = ground.crossJoin(F.broadcast(anchors.select(F.col("v").alias("av")))).groupBy("id").agg(F.max(dot(F.col("v"), F.col("av"))).alias("near"))
+    else:
+        from quarry.operators.cluster import blocked_pairs
+
+        apart = anchors.select((-1 - F.col("id")).alias("id"), "v")
+        best = blocked_pairs(ground.select("id", "v"), apart, -np.inf, 1).groupBy(F.col("a").alias("id")).agg(F.max("sim").alias("near"))
     j = with_scores(ground, q, True).withColumnRenamed("score", "sim") if q else ground.withColumn("sim", F.lit(0.0))
     j = j.join(best, "id").withColumn("score", w_query * F.col("sim") + w_anchor * F.col("near"))
     return j.where(F.col("score") >= gate).select("id", "v", "score")

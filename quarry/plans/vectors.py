@@ -344,6 +344,13 @@ def k04(spark, d):
     return K.index_stamp(kb(spark, d, "docs").select("id", F.col("updated_at").cast("string").alias("updated_at")))
 
 
+@query("k04_ann_search")
+def k04s(spark, d):
+    """Rows whose id is divisible by 20 as queries against all rows; tests hold its recall against brute force."""
+    vecs = kb(spark, d, "vecs").select("id", "v")
+    return K.ann_search(vecs.where("id % 20 = 0"), vecs, 10)
+
+
 @query("k05_similar_pairs", f"SELECT x.id AS a, y.id AS b, round({_PAIR}, 4) AS sim FROM vecs x JOIN vecs y ON x.id < y.id WHERE {_PAIR} >= 0.35 ORDER BY sim DESC, a, b LIMIT 50")
 def k05(spark, d):
     return K.similar_pairs(kb(spark, d, "vecs").select("id", "v"), 0.35)

@@ -67,18 +67,51 @@ def test_knn_blocks_equal_one_block(spark):
     assert one == many and one
 
 
-def test_bucketed_pairs_recall_and_hot_bucket(spark):
+def _recall(got, exact):
+    best = {}
+    for r in exact.collect():
+        best.setdefault(r["a"], []).append((-r["sim"], r["b"]))
+    want = {(a, b) for a, rows in best.items() for _, b in sorted(rows)[:10]}
+    return len({(r["a"], r["b"]) for r in got.collect()} & want) / len(want)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_search_recall(spark, sf):
+    """The registered query against brute force: at least nine in ten of the true ten nearest."""
+    from quarry.catalog import QUERIES
+    from quarry.plans.tables import kb
+
+    d = f"/root/testdata/{sf}"
+    v = kb(spark, d, "vecs").select("id", "v")
+    exact = cluster.blocked_pairs(v.where("id % 20 = 0"), v, -1.0, 10)
+    assert _recall(QUERIES["k04_ann_search"](spark, d), exact) >= 0.9
+
+
+def test_ann_search_deals_a_hot_list(spark):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(8, 32))
-    rows = [(i, (c := centres[i % 8] + 0.25 * rng.normal(size=32)) / np.linalg.norm(c)) for i in range(400)]
-    v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "id long, v array<double>")
-    exact = {(r["a"], r["b"]) for r in cluster.blocked_pairs(v, v, 0.8).collect()}
-    for block in (1024, 16):
-        got = {(r["a"], r["b"]) for r in cluster.bucketed_pairs(v, 0.8, block=block).collect()}
-        assert got <= exact and len(got) >= 0.9 * len(exact)
-    assert cluster.bucketed_pairs(v.limit(0), 0.8).count() == 0
+    one = rng.normal(size=16)
+    v = spark.createDataFrame([(i, (one + 0.1 * rng.normal(size=16)).tolist() if i % 3 else rng.normal(size=16).tolist()) for i in range(600)] + [(600, None), (601, [])], "id long, v array<double>")
+    full = v.where("id < 600")
+    exact = cluster.blocked_pairs(full.where("id % 20 = 0"), full, -10.0, 10)
+    one_block, many = (cluster.ann_search(full.where("id % 20 = 0"), v, floor=-10.0, block=n) for n in (8192, 16))
+    assert {tuple(r) for r in one_block.collect()} == {tuple(r) for r in many.collect()} and _recall(many, exact) >= 0.9
+    assert cluster.ann_search(full, v.limit(0)).count() == 0 and cluster.ann_search(v.limit(0), v).count() == 0
+
+
+def test_containing_files_by_grams(spark):
+    edges = df(spark, [("a", "src/main.py"), ("b", "lib/Fa.py"), ("c", None), ("d", "x"), ("e", "")], "source_id string, target_id string")
+    names = [("main",), ("F",), ("py",), (None,), ("",), ("x",), ("nothing",), ("src/main.pyx",)]
+    got = {(r["source_id"], r["name"]) for r in joins.containing_files(edges, df(spark, names, "name string")).collect()}
+    assert got == {(a, n) for a, t in [("a", "src/main.py"), ("b", "lib/Fa.py"), ("d", "x"), ("e", "")] for (n,) in names if n is not None and n in t}
+
+
+def test_gate_with_many_anchors(spark, monkeypatch):
+    v = spark.range(50).select("id", F.array(*(F.sin(F.col("id") * k + k) for k in range(1, 6))).alias("v"))
+    one = {tuple(r)[::2] for r in vector.gate_candidates(v.where("id > 9"), v.where("id < 10"), [1.0, 0, 0, 0, 0], 0.5, 0.5, -9.0).select("id", F.lit(0), F.round("score", 6)).collect()}
+    monkeypatch.setattr(vector, "BROADCAST_ROWS", 3)
+    assert one == {tuple(r)[::2] for r in vector.gate_candidates(v.where("id > 9"), v.where("id < 10"), [1.0, 0, 0, 0, 0], 0.5, 0.5, -9.0).select("id", F.lit(0), F.round("score", 6)).collect()}
 
 
 def test_every_knn_query_gives_the_exact_edges(spark):

@@ -19,7 +19,7 @@ one minimizer form a segment, and all occurrences of a repeated window lie in se
 Edge cases: texts are UTF-8 bytes; null is empty; texts shorter than LEAST bytes have no window and stay whole;
 matches never cross documents; overlapping occurrences count; rows equal in id and text are two documents and
 repeat each other; null ids are documents like others; an empty table gives an empty result; other columns
-are not read. Grams, segments and windows are compared by 64-bit hashes outside the expansion.
+are not read. Outside the expansion, segments and windows are equal if their 64-bit hash and that of their minimizer are.
 """
 
 from __future__ import annotations
@@ -195,8 +195,9 @@ def count_windows(segments: DataFrame) -> DataFrame:
                 )
 
     each = arrow_map(segments.select("mh", "sh", "weight", "seg"), run, "mh long, sh long, weight long, k int, wh long")
-    twice = each.groupBy("wh").agg(F.sum("weight").alias("n")).where("n > 1").select("wh")
-    return each.join(twice, "wh").groupBy("mh", "sh").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
+    # equal windows have equal minimizers, so both hashes have to agree
+    twice = each.groupBy("mh", "wh").agg(F.sum("weight").alias("n")).where("n > 1").select("mh", "wh")
+    return each.join(twice, ["mh", "wh"]).groupBy("mh", "sh").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
 
 
 def bands(segments: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ blanked out, so that code inside them is no code, while literals are cut out of
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Iterator
 
@@ -266,6 +267,63 @@ def migrated_columns(file: str, text: str | None) -> list[tuple[int, str, str, s
     return out
 
 
+# --- API specifications ---------------------------------------------------------------------------------------
+
+#: Keys of a path that are operations.
+_OPERATIONS = {"get", "put", "post", "delete", "options", "head", "patch", "trace"}
+_KEY = re.compile(r"""(?P<key>"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#&*!|>'"%@`\[\]{},?-][^#]*?)\s*:(?:\s+(?P<value>.*))?$""")
+
+
+def yaml_mappings(text: str) -> dict:
+    """Nested block mappings of a YAML text with their plain values as strings; lists, flow values and block texts stay out."""
+    root: dict = {}
+    stack: list[tuple[int, dict]] = [(-1, root)]
+    skip: int | None = None  # lines deeper than this belong to a list or a block text
+    for raw in text.splitlines():
+        line = raw.rstrip()
+        if not line.strip() or line.lstrip().startswith("#") or line.startswith(("---", "%")):
+            continue
+        depth = len(line) - len(line.lstrip())
+        if skip is not None and depth > skip:
+            continue
+        skip = None
+        m = _KEY.match(line.strip())
+        if line.lstrip().startswith("- ") or line.strip() == "-" or not m:
+            skip = depth
+            continue
+        while stack[-1][0] >= depth:
+            stack.pop()
+        key, value = m.group("key"), (m.group("value") or "").strip()
+        key = key[1:-1] if key[:1] in "'\"" else key
+        value = re.sub(r"\s+#.*$", "", value) if value[:1] not in "'\"" else value
+        if value[:1] in ("|", ">"):
+            skip = depth
+        elif value and not value.startswith(("&", "#")):
+            stack[-1][1][key] = value[1:-1] if value[:1] in "'\"" and value[-1:] == value[:1] else value
+        else:
+            inner: dict = {}
+            stack[-1][1][key] = inner
+            stack.append((depth, inner))
+    return root
+
+
+def endpoints(file: str, text: str | None) -> list[tuple[str, str, str | None, str]]:
+    """(path, method, operation, summary) of a Swagger or OpenAPI file, JSON by its suffix, else YAML."""
+    if not text:
+        return []
+    try:
+        spec = json.loads(text) if file.lower().endswith(".json") else yaml_mappings(text)
+    except ValueError:
+        return []
+    paths = spec.get("paths") if isinstance(spec, dict) else None
+    out = []
+    for path, operations in (paths if isinstance(paths, dict) else {}).items():
+        for method, op in (operations if isinstance(operations, dict) else {}).items():
+            if method.lower() in _OPERATIONS and isinstance(op, dict):
+                out.append((path, method.upper(), op.get("operationId"), op.get("summary") or ""))
+    return out
+
+
 # --- string literals ------------------------------------------------------------------------------------------
 
 

@@ -234,10 +234,8 @@ def dockerfile_entries(files: DataFrame) -> DataFrame:
 
 
 def openapi_endpoints(specs: DataFrame) -> DataFrame:
-    """(path, method, operation) of OpenAPI JSON."""
-    kind = "struct<paths:map<string,map<string,struct<operationId:string>>>>"
-    p = specs.select("file", F.explode(F.from_json("text", kind)["paths"]).alias("path", "ops"))
-    return p.select("file", "path", F.explode("ops").alias("method", "op")).select("file", "path", F.upper("method").alias("method"), F.col("op.operationId").alias("operation"))
+    """(path, method, operation, summary) of Swagger and OpenAPI files in JSON and YAML."""
+    return _each_file(specs, codefacts.endpoints, "path string, method string, operation string, summary string")
 
 
 def create_tables(files: DataFrame) -> DataFrame:

@@ -409,9 +409,44 @@ def s17d(spark, d):
     return L.dockerfile_entries(_code(spark, d, F.lit("FROM py:"), _n(), F.lit("\nENV A=1 \n# RUN x")))
 
 
-@query("s16_openapi", "SELECT id AS file, '/i/{id}' AS path, 'GET' AS method, 'op' || n AS operation FROM docs UNION ALL SELECT id, '/i/{id}', 'POST', NULL FROM docs")
+_SPECS = [
+    ("s¤.json", '{"paths": {"/i/{id}": {"get": {"operationId": "op¤"}, "parameters": [], "post": {"summary": "make"}}}}', [("/i/{id}", "GET", "op¤", ""), ("/i/{id}", "POST", None, "make")]),
+    ("s¤.yaml", "info:\n  text: |\n    paths:\n      /no:\n        get: {}\npaths:\n  /y¤:\n    parameters:\n      - get: no\n    put:\n      operationId: 'op: ¤'\n      tags: [a]\n", [("/y¤", "PUT", "op: ¤", "")]),
+    ("t¤.json", '{"paths": {', []),
+]
+
+
+@query("s16_openapi", _expect(_SPECS, ["path", "method", "operation", "summary"]))
 def s16(spark, d):
-    return L.openapi_endpoints(_code(spark, d, F.lit('{"paths": {"/i/{id}": {"get": {"operationId": "op'), _n(), F.lit('"}, "post": {}}}}')))
+    return L.openapi_endpoints(_files(spark, d, _SPECS))
+
+
+@query("s15_code_index", """SELECT 'i' || n || '.scip' AS "index", 'm' || n || '.py' AS file, 'python' AS language, 'py m f' || n || '().' AS symbol, n::INTEGER AS line, 4 AS col, n::INTEGER AS end_line, 9 AS end_col, true AS is_definition FROM docs
+UNION ALL SELECT 'i' || n || '.scip', 'm' || n || '.py', 'python', 'local ' || n % 9, (n + 1)::INTEGER, 0, (n + 200)::INTEGER, 300, false FROM docs""")
+def s15(spark, d):
+    from quarry.sources import code_index
+
+    def number(v: int) -> bytes:
+        return number_tail(v) if v > 127 else bytes([v])
+
+    def number_tail(v: int) -> bytes:
+        return bytes([v & 127 | 128]) + number(v >> 7)
+
+    def part(field: int, data: bytes) -> bytes:
+        return number(field << 3 | 2) + number(len(data)) + data
+
+    def encoded(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for n in batch.column(0).to_pylist():
+                own = part(1, number(n) + number(4) + number(9)) + part(2, f"py m f{n}().".encode()) + number(3 << 3) + number(1)
+                use = part(1, number(n + 1) + number(0) + number(n + 200) + number(300)) + part(2, f"local {n % 9}".encode())
+                out.append(part(1, b"tool") + part(2, part(1, f"m{n}.py".encode()) + part(2, own) + part(2, use) + part(4, b"python")))
+            yield pa.RecordBatch.from_arrays([pa.array([f"i{n}.scip" for n in batch.column(0).to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
+
+    return code_index.decoded(kb(spark, d, "docs").select("n").mapInArrow(encoded, "path string, content binary"))
 
 
 @query("s18_create_tables", """SELECT id AS file, 't' || n AS table_name, 0 AS pos, 'id' AS column_name, 'INT' AS column_type, true AS is_primary_key, true AS is_nullable FROM docs UNION ALL SELECT id, 't' || n, 1, 'price', 'DECIMAL', false, false FROM docs""")

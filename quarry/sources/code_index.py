@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.session import ship_package
+from quarry.session import arrow_map
 
 
 class CorruptIndex(ValueError):
@@ -87,17 +87,22 @@ def occurrences(data: bytes) -> Iterator[tuple]:
 SCHEMA = "index string, file string, language string, symbol string, line int, col int, end_line int, end_col int, is_definition boolean"
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Occurrences of every index file below a path; a missing path or a corrupt file is an error."""
-    import pandas as pd
-
-    ship_package(spark)
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+def decoded(files: DataFrame) -> DataFrame:
+    """Occurrences of index files given as (path, content); a corrupt one is an error."""
+    kinds = {"string": "string", "int": "int32", "boolean": "bool"}
 
     def run(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame([(name, *row) for row in occurrences(bytes(content))], columns=names)
+        import pyarrow as pa
+
+        schema = pa.schema([(c.split()[0], pa.type_for_alias(kinds[c.split()[1]])) for c in SCHEMA.split(", ")])
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(name, *row) for row in occurrences(content)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.scip").load(path)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return arrow_map(files.select("path", "content"), run, SCHEMA)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Occurrences of every index file below a path; a missing path or a corrupt file is an error."""
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.scip").load(path))

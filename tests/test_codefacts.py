@@ -2,7 +2,7 @@
 
 import pytest
 
-from quarry.functions.codefacts import literals, mapped_columns, migrated_columns, routes
+from quarry.functions.codefacts import endpoints, literals, mapped_columns, migrated_columns, routes, yaml_mappings
 
 FLASK = '''from flask import Flask
 app = Flask(__name__)
@@ -138,3 +138,38 @@ def test_literals():
     assert literals("a.py", python) == [(2, 4, "select {} from t where a = {}"), (5, 17, "xyz"), (5, 34, "éjoined")]
     script = "const a = 'one' + \"two\"; // 'no'\nconst b = `three ${f('four')} end`;\n/* `no` */ const c = /'no'/;\n"
     assert literals("a.js", script) == [(1, 10, "one"), (1, 18, "two"), (2, 10, "three {} end")]
+
+
+SPEC = """swagger: "2.0"  # version
+info:
+  description: |
+    paths:
+      /not-here:
+        get: {}
+paths:
+  /users/{id}:
+    parameters:
+      - name: id
+        get: no
+    get:
+      operationId: getUser
+      summary: 'One user: by id'
+      tags: [a, b]
+      responses:
+        200:
+          description: ok
+    delete:
+      summary: gone # soon
+  "/plain":
+    POST:
+      operationId: make
+    x-note: text
+"""
+
+
+def test_endpoints():
+    want = [("/users/{id}", "GET", "getUser", "One user: by id"), ("/users/{id}", "DELETE", None, "gone"), ("/plain", "POST", "make", "")]
+    assert endpoints("api.yaml", SPEC) == want == endpoints("api.yml", SPEC.replace("\n", "\r\n"))
+    assert endpoints("a.json", '{"paths": {"/x": {"get": {"operationId": "o"}, "parameters": [], "put": null}}}') == [("/x", "GET", "o", "")]
+    assert endpoints("a.json", "{") == endpoints("a.json", "[]") == endpoints("a.yaml", "- a") == endpoints("a.yaml", None) == []
+    assert yaml_mappings("a: 1\nb:\n    c: 'x'\n    d:\ne: [1]\n") == {"a": "1", "b": {"c": "x", "d": {}}, "e": "[1]"}

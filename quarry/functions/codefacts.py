@@ -159,6 +159,124 @@ def _akka_routes(text: str) -> Iterator[tuple[int, str, str]]:
         yield text.count("\n", 0, at) + 1, method, "/" + "/".join(names)
 
 
+# --- calls that leave the process -----------------------------------------------------------------------------
+
+#: Modules and client classes whose verbs are HTTP requests, and calls that start a process.
+_HTTP_MODULES, _HTTP_CLIENTS = {"requests", "httpx", "aiohttp"}, {"Session", "Client", "AsyncClient", "ClientSession"}
+_PROCESS = {"subprocess": {"run", "Popen", "call", "check_call", "check_output"}, "os": {"system", "popen"}}
+
+
+def _written(node: ast.AST | None) -> str | None:
+    """A literal, or an interpolated one with {} for its holes."""
+    if isinstance(node, ast.JoinedStr):
+        return "".join(_text(v) if _text(v) is not None else _HOLE for v in node.values)
+    return _text(node)
+
+
+def _names(tree: ast.AST) -> dict[str, str]:
+    """Local names of imported modules and of what is imported from them, as dotted names."""
+    out = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            for a in node.names:
+                out[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            for a in node.names:
+                out[a.asname or a.name] = f"{node.module}.{a.name}"
+    return out
+
+
+def _called(call: ast.Call, names: dict[str, str]) -> str:
+    """The dotted name of what is called, by what its first part was imported as."""
+    parts, node = [], call.func
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    first = node.id if isinstance(node, ast.Name) else _last(node) or ""
+    return ".".join([names.get(first, first), *reversed(parts)])
+
+
+def clients(file: str, text: str | None) -> list[tuple[int, str, str, str]]:
+    """(line, sink, method, URL with {} for holes) of HTTP requests in Python and JavaScript."""
+    if not text:
+        return []
+    if file.endswith((".js", ".ts", ".mjs", ".jsx", ".tsx")):
+        return list(_script_clients(text))
+    tree = _tree(text) if file.endswith(".py") else None
+    if tree is None:
+        return []
+    names = _names(tree)
+    for node in ast.walk(tree):  # variables that hold a client are as good as its module
+        pairs = [(node.targets[0], node.value)] if isinstance(node, ast.Assign) else [(i.optional_vars, i.context_expr) for i in node.items] if isinstance(node, ast.With | ast.AsyncWith) else []
+        for target, value in pairs:
+            made = _called(value, names).split(".") if isinstance(value, ast.Call) else []
+            if isinstance(target, ast.Name) and len(made) > 1 and made[0] in _HTTP_MODULES and made[-1] in _HTTP_CLIENTS:
+                names[target.id] = made[0]
+    out = []
+    for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call)):
+        parts = _called(call, names).split(".")
+        named, args = _keywords(call), list(call.args)
+        if parts[0] in _HTTP_MODULES and len(parts) == 2 and parts[1] in (*VERBS, "request"):
+            method = parts[1].upper() if parts[1] != "request" else (_text(args.pop(0) if args else named.get("method")) or "").upper()
+            sink = parts[0]
+        elif parts[-2:] == ["request", "urlopen"]:
+            method, sink = "POST" if "data" in named else "GET", "urllib"
+        else:
+            continue
+        url = _written(args[0] if args else named.get("url"))
+        if url is not None and method:
+            out.append((call.lineno, sink, method, url))
+    return sorted(out)
+
+
+def _script_value(text: str, code: str, at: int) -> str | None:
+    """The literal or template at a place, {} for its holes."""
+    if code[at : at + 1] not in ("'", '"', "`"):
+        return None
+    return next((v for _, _, v in _scanned_literals(text[at:])), None)
+
+
+def _script_clients(text: str) -> Iterator[tuple[int, str, str, str]]:
+    code = blanked(text)
+    for m in re.finditer(r"(?<![\w$.])(fetch|axios)\s*(?:\.\s*(get|post|put|delete|patch|head|options))?\s*\(\s*", code):
+        if m.group(1) == "fetch" and m.group(2):
+            continue
+        url = _script_value(text, code, m.end())
+        if url is None:
+            continue
+        end = _closing(code, m.start(), "()")
+        given = re.search(r"\bmethod\s*:\s*['\"](\w+)['\"]", text[m.end() : end]) if not m.group(2) else None
+        yield text.count("\n", 0, m.start()) + 1, m.group(1), (m.group(2) or (given.group(1) if given else "get")).upper(), url
+
+
+def processes(file: str, text: str | None) -> list[tuple[int, str]]:
+    """(line, program) of processes that Python, JavaScript and Go files start by a literal name."""
+    if not text:
+        return []
+    out = []
+    if file.endswith(".py"):
+        tree = _tree(text)
+        names = _names(tree) if tree is not None else {}
+        for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call)) if tree is not None else ():
+            parts = _called(call, names).split(".")
+            if len(parts) != 2 or parts[1] not in _PROCESS.get(parts[0], ()) or not (call.args or call.keywords):
+                continue
+            given = call.args[0] if call.args else _keywords(call).get("args")
+            word = _written(given.elts[0]) if isinstance(given, ast.List | ast.Tuple) and given.elts else (_written(given) or "").split(" ")[0]
+            if word:
+                out.append((call.lineno, word))
+    elif file.endswith((".js", ".ts", ".mjs", ".go")):
+        code = blanked(text)
+        rx = r"\bexec\s*\.\s*Command(?:Context)?\s*\(\s*(?:\w+\s*,\s*)?(?=[\"`])" if file.endswith(".go") else r"(?<![\w$])(?:child_process\s*\.\s*)?(?:exec|execSync|execFile|spawn|spawnSync|fork)\s*\(\s*(?=['\"`])"
+        for m in re.finditer(rx, code):
+            if code[: m.start()].rstrip().endswith("."):
+                continue  # a method of something else
+            word = (_script_value(text, code, m.end()) or "").split(" ")[0]
+            if word:
+                out.append((text.count("\n", 0, m.start()) + 1, word))
+    return sorted(out)
+
+
 # --- tables of object mappers ---------------------------------------------------------------------------------
 
 

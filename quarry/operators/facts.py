@@ -135,14 +135,13 @@ def http_routes(code: DataFrame) -> DataFrame:
 
 
 def http_clients(code: DataFrame) -> DataFrame:
-    """Client calls with a literal URL."""
-    rx = r"""(requests|httpx|axios|session|client)[.](get|post|put|delete|patch)\(\s*[fr]?["']([^"']+)["']"""
-    return _found(code, rx, ["sink", "method", "url"]).withColumn("method", F.upper("method"))
+    """HTTP requests of Python and JavaScript files with a literal URL, {} for its holes."""
+    return _each_file(code, codefacts.clients, "line int, sink string, method string, url string")
 
 
 def processes(code: DataFrame) -> DataFrame:
-    """Process invocations with a literal target."""
-    return _found(code, r"""(?:subprocess[.](?:run|Popen|call|check_output)|os[.]system)\(\s*\[?\s*["']([^"' ]+)""", ["target"])
+    """Processes that a file starts by a literal name."""
+    return _each_file(code, codefacts.processes, "line int, target string")
 
 
 def string_literals(code: DataFrame, least: int = 3) -> DataFrame:

@@ -297,14 +297,28 @@ def l11(spark, d):
     return L.http_routes(_files(spark, d, _ROUTES))
 
 
-@query("l12_http_clients", "SELECT id AS file, 2 AS line, 'requests' AS sink, 'POST' AS method, 'http://h/' || n AS url FROM docs")
+_CALLS = [
+    ("c¤.py", 'import requests as rq\ns = rq.Session()\nrq.post(f"http://h/¤/{x}", json={})\ns.get("http://s¤")\ncache.get("no")\n# rq.get("http://no")\n', [(3, "requests", "POST", "http://h/¤/{}"), (4, "requests", "GET", "http://s¤")]),
+    ("c¤.ts", "fetch(`/b¤/${id}`, { method: 'PUT' });\r\n/* fetch('/no') */ axios.get('/c');\r\nthis.fetch('/no');\r\n", [(1, "fetch", "PUT", "/b¤/{}"), (2, "axios", "GET", "/c")]),
+    ("c¤.md", "requests.get('http://no')", []),
+]
+
+
+@query("l12_http_clients", _expect(_CALLS, ["line", "sink", "method", "url"]))
 def l12(spark, d):
-    return L.http_clients(_code(spark, d, F.lit('import requests\nr = requests.post("http://h/'), _n(), F.lit('", json=x)')))
+    return L.http_clients(_files(spark, d, _CALLS))
+
+
+_RUNS = [
+    ("p¤.py", 'import subprocess, os\nsubprocess.run(["tool¤", "-x"])\nos.system("ls -l")  # os.system("no")\nself.run(["no"])\n', [(2, "tool¤"), (3, "ls")]),
+    ("p¤.js", "spawn('node¤', ['a']);\n/x/.exec('no'); child_process.exec(`make ${t}`);\n", [(1, "node¤"), (2, "make")]),
+    ("p¤.go", 'func main() {\n\texec.Command("tar¤", "x") // exec.Command("no")\n}\n', [(2, "tar¤")]),
+]
 
 
-@query("l13_processes", "SELECT id AS file, 1 AS line, 'tool' || n AS target FROM docs UNION ALL SELECT id, 2, 'ls' FROM docs")
+@query("l13_processes", _expect(_RUNS, ["line", "target"]))
 def l13(spark, d):
-    return L.processes(_code(spark, d, F.lit('subprocess.run(["tool'), _n(), F.lit('", "-x"])\nos.system("ls -l")')))
+    return L.processes(_files(spark, d, _RUNS))
 
 
 _TEXTS = [

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quarry.functions.codefacts import endpoints, literals, mapped_columns, migrated_columns, routes, yaml_mappings
+from quarry.functions.codefacts import clients, endpoints, literals, mapped_columns, migrated_columns, processes, routes, yaml_mappings
 
 FLASK = '''from flask import Flask
 app = Flask(__name__)
@@ -173,3 +173,31 @@ def test_endpoints():
     assert endpoints("a.json", '{"paths": {"/x": {"get": {"operationId": "o"}, "parameters": [], "put": null}}}') == [("/x", "GET", "o", "")]
     assert endpoints("a.json", "{") == endpoints("a.json", "[]") == endpoints("a.yaml", "- a") == endpoints("a.yaml", None) == []
     assert yaml_mappings("a: 1\nb:\n    c: 'x'\n    d:\ne: [1]\n") == {"a": "1", "b": {"c": "x", "d": {}}, "e": "[1]"}
+
+
+def test_clients():
+    python = '''import requests as rq, httpx
+from requests import get
+from urllib.request import urlopen
+s = rq.Session()
+rq.post(f"http://h/{x}/y", json={})
+get("http://g")
+s.put(url="http://p")
+with httpx.Client() as c:
+    c.get("http://c")
+rq.request("delete", "http://d")
+urlopen("http://u", data=b"")
+other.get("http://no"); cache.get("k"); rq.get(url)
+"""requests.get('http://text')"""
+'''
+    assert clients("a.py", python) == [(5, "requests", "POST", "http://h/{}/y"), (6, "requests", "GET", "http://g"), (7, "requests", "PUT", "http://p"), (9, "httpx", "GET", "http://c"), (10, "requests", "DELETE", "http://d"), (11, "urllib", "POST", "http://u")]
+    script = "fetch('/a');\nfetch(`/b/${id}`, { method: 'POST' });\naxios.put('/c', x); axios('/d');\n// fetch('/no')\nthis.fetch('/no'); fetch(url);\n"
+    assert clients("a.ts", script) == [(1, "fetch", "GET", "/a"), (2, "fetch", "POST", "/b/{}"), (3, "axios", "PUT", "/c"), (3, "axios", "GET", "/d")]
+    assert clients("a.rb", python) == clients("a.py", "import (") == clients("a.py", None) == []
+
+
+def test_processes():
+    python = "import subprocess as sp, os\nfrom subprocess import check_output\nsp.run(['git', x])\nos.system('ls -l | wc')\ncheck_output(f'{tool} -v'); sp.run(cmd); self.run(['no'])\nsp.Popen(args=('a', 'b'))\n"
+    assert processes("a.py", python) == [(3, "git"), (4, "ls"), (5, "{}"), (6, "a")]
+    assert processes("a.js", "const { spawn } = require('child_process');\nspawn('node', ['x']); child_process.exec(`make ${t}`);\n/x/.exec('no'); re.exec('no'); // exec('no')\n") == [(2, "make"), (2, "node")]
+    assert processes("a.go", 'cmd := exec.Command("tar", "x")\nexec.CommandContext(ctx, "zip")\nc.Command("no")\n') == [(1, "tar"), (2, "zip")]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import basename
 from quarry.operators.components import connected_components
-from quarry.session import cut
+from quarry.session import cut, ship_package
 
 
 def frontier_loop(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int, key: list[str]) -> DataFrame:
@@ -264,6 +264,101 @@ def chain(edges: DataFrame, seeds: DataFrame, depth: int = 3, max_fan_in: int =
     return flags.select("id", "hop", why.alias("reason"))
 
 
+WALK_EDGES = 200_000
+WALK = "seq long, parent string, id string, relation string, hop int, file string, line long, reason string, implementations long"
+
+
+def chain_walk(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int = 3, max_fan_in: int = 16, disclose: int = 10) -> DataFrame:
+    """G28 in the order of execution: roots by (file, line), the edges of a body by line, depth first.
+
+    A callee is cited with the reason for which the walk stops there or goes on: ``reference`` (a type is touched, not run),
+    ``plumbing`` (``max_fan_in`` callers or more), ``revisit``, ``depth``, ``leaf`` or ``descended``. From leaves and
+    descended callees the walk goes on to what implements them, cited as ``implemented_by``; an interface with more than
+    ``disclose`` implementations is not walked but reported in one row with their number (``fan_out``).
+
+    What can be reached is gathered level by level in Spark; only that neighbourhood, of ``WALK_EDGES`` edges at most (more
+    is an error, not a cut), meets in the one task that orders it. Symbols that are not in ``symbols`` are left out; ties of
+    line go to the smaller id and type.
+    """
+    known = cut(symbols.select("id", "file", F.col("line_start").alias("line")).dropDuplicates(["id"]))
+    body = edges.where("edge_type in ('call', 'type_ref')").join(known.select(F.col("id").alias("callee")), "callee", "left_semi")
+    body = body.groupBy("caller", "callee", "edge_type").agg(F.min(F.struct("line", "file")).alias("site")).select("caller", "callee", "edge_type", "site.line", "site.file")
+    made = edges.where("edge_type = 'implements'").join(known.select(F.col("id").alias("caller")), "caller", "left_semi").groupBy("callee", "caller").agg(F.min(F.struct("line", "file")).alias("site"))
+    made = made.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"), F.lit("implemented_by").alias("edge_type"), "site.line", "site.file")
+    fan_in = cut(edges.where("edge_type = 'call'").groupBy(F.col("callee").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    wide = fan_in.where(F.col("n") >= max_fan_in).select("id")
+    forks = cut(made.groupBy(F.col("caller").alias("id")).agg(F.count(F.lit(1)).alias("implementations")))
+    every = cut(body.unionByName(made.join(forks.where(F.col("implementations") <= disclose).select(F.col("id").alias("caller")), "caller", "left_semi")))
+    go = cut(every.where("edge_type <> 'type_ref'").select("caller", "callee").join(wide, F.col("callee") == wide["id"], "left_anti"))
+    roots = seeds.select("id").join(known, "id", "left_semi").distinct()
+    got = frontier_loop(roots, lambda f: f.join(go, f["id"] == go["caller"]).select(F.col("callee").alias("id")), depth + 1, ["id"])
+    near = cut(every.join(got.select(F.col("id").alias("caller")), "caller", "left_semi"))
+    if near.count() > WALK_EDGES:
+        raise ValueError(f"more than {WALK_EDGES} edges within {depth} hops: fewer seeds or a smaller depth")
+    ends = near.select(F.col("callee").alias("id")).union(got.select("id")).distinct()
+    facts = known.join(ends, "id", "left_semi").join(fan_in, "id", "left").join(forks, "id", "left").join(roots.withColumn("root", F.lit(True)), "id", "left")
+    rows = near.select(F.lit(0).alias("one"), F.lit("edge").alias("what"), "caller", "callee", "edge_type", "file", F.col("line").cast("long").alias("line"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("forks"), F.lit(False).alias("root"))
+    rows = rows.unionByName(facts.select(F.lit(0).alias("one"), F.lit("node").alias("what"), F.col("id").alias("caller"), F.lit("").alias("callee"), F.lit("").alias("edge_type"), "file", F.col("line").cast("long").alias("line"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("implementations", F.lit(0)).alias("forks"), F.coalesce("root", F.lit(False)).alias("root")))
+
+    def run(pdf):
+        import pandas as pd
+
+        return pd.DataFrame(_walked(pdf.to_dict("records"), depth, max_fan_in, disclose), columns=[c.split()[0] for c in WALK.split(", ")])
+
+    ship_package(edges.sparkSession)
+    return rows.groupBy("one").applyInPandas(run, WALK)
+
+
+def _walked(rows: list[dict], depth: int, max_fan_in: int, disclose: int) -> list[tuple]:
+    nodes = {r["caller"]: r for r in rows if r["what"] == "node"}
+    after: dict[str, list[dict]] = {}
+    for r in sorted((r for r in rows if r["what"] == "edge"), key=lambda r: (r["line"], r["callee"], r["edge_type"])):
+        after.setdefault(r["caller"], []).append(r)
+    calls = {k: [r for r in v if r["edge_type"] != "implemented_by"] for k, v in after.items()}
+    roots = sorted((n for n in nodes.values() if n["root"]), key=lambda n: (n["file"], n["line"], n["caller"]))
+    expanded = {n["caller"] for n in roots}
+    out: list[tuple] = []
+    # a stack of pending work, last first: (edge, hop of its target)
+    todo = [(r, 1) for n in reversed(roots) for r in reversed(calls.get(n["caller"], []))]
+    while todo:
+        r, hop = todo.pop()
+        to, kind = r["callee"], r["edge_type"]
+        if kind == "fan_out":
+            out.append((len(out), to, to, "implemented_by", hop, r["file"], r["line"], "fan_out", nodes[to]["forks"]))
+            continue
+        made = kind == "implemented_by"
+        if made and to in expanded:
+            continue
+        onward = calls.get(to, [])
+        if kind == "type_ref":
+            reason = "reference"
+        elif not made and nodes[to]["n"] >= max_fan_in:
+            reason = "plumbing"
+        elif to in expanded:
+            reason = "revisit"
+        elif hop - made >= depth:
+            reason = "depth"
+        else:
+            reason = "descended" if onward else "leaf"
+        out.append((len(out), r["caller"], to, kind, hop, r["file"], r["line"], reason, None))
+        if made:
+            if reason == "descended":
+                expanded.add(to)
+                todo += [(x, hop + 1) for x in reversed(onward)]
+            continue
+        if reason not in ("descended", "leaf"):
+            continue
+        # what implements it comes after its own body
+        if nodes[to]["forks"] > disclose:
+            todo.append(({"caller": to, "callee": to, "edge_type": "fan_out", "file": nodes[to]["file"], "line": nodes[to]["line"]}, hop))
+        else:
+            todo += [(x, hop + 1) for x in reversed(after.get(to, [])) if x["edge_type"] == "implemented_by"]
+        if reason == "descended":
+            expanded.add(to)
+            todo += [(x, hop + 1) for x in reversed(onward)]
+    return out
+
+
 def fan_out_by_package(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Implementers by package of the implementing file, tests counted apart."""
     s = symbols.select(F.col("id").alias("caller"), F.element_at(F.split("file", "/"), 1).alias("package"), F.col("file").rlike("test").alias("is_test"))

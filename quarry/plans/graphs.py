@@ -215,6 +215,11 @@ def g28(spark, d):
     return G.chain(kb(spark, d, "sym_edges"), spark.createDataFrame([("o5",), ("o9",)], "id string"), 3)
 
 
+@query("g28_walk")
+def g28w(spark, d):
+    return G.chain_walk(kb(spark, d, "sym_edges"), kb(spark, d, "symbols"), spark.createDataFrame([("o5",), ("o9",)], "id string"), 3)
+
+
 @query("g29_fan_out_packages", """SELECT callee, split_part(s.file, '/', 1) AS package, count(DISTINCT caller) AS n, count(*) FILTER (s.file LIKE '%test%') AS tests FROM sym_edges e JOIN symbols s ON s.id = caller WHERE edge_type = 'implements' GROUP BY 1, 2""")
 def g29(spark, d):
     return G.fan_out_by_package(kb(spark, d, "sym_edges"), kb(spark, d, "symbols"))

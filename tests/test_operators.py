@@ -107,6 +107,21 @@ def test_containing_files_by_grams(spark):
     assert got == {(a, n) for a, t in [("a", "src/main.py"), ("b", "lib/Fa.py"), ("d", "x"), ("e", "")] for (n,) in names if n is not None and n in t}
 
 
+def test_chain_walk_goes_depth_first(spark):
+    e = [("r", "b", "call", 2), ("r", "T", "type_ref", 1), ("r", "a", "call", 3), ("b", "c", "call", 1), ("c", "d", "call", 1), ("d", "x", "call", 1), ("a", "b", "call", 1), ("a", "busy", "call", 2), ("a", "I", "call", 3), ("a", "W", "call", 4), ("a", "gone", "call", 5)]
+    e += [("i2", "I", "implements", 9), ("i1", "I", "implements", 8), ("i1", "leaf", "call", 1)] + [(f"w{k}", "W", "implements", k) for k in range(4)] + [(f"k{i}", "busy", "call", i) for i in range(3)]
+    edges = df(spark, [(a, b, t, "f", n, "exact") for a, b, t, n in e], "caller string, callee string, edge_type string, file string, line long, confidence string")
+    names = sorted({x for a, b, _, _ in e for x in (a, b)} - {"gone"})
+    symbols = df(spark, [(n, "f", i) for i, n in enumerate(names)], "id string, file string, line_start long")
+    rows = graph.chain_walk(edges, symbols, df(spark, [("r",), ("unknown",)], "id string"), 3, 4, 3).orderBy("seq").collect()
+    assert [(r["parent"], r["id"], r["relation"], r["hop"], r["reason"], r["implementations"]) for r in rows] == [
+        ("r", "T", "type_ref", 1, "reference", None), ("r", "b", "call", 1, "descended", None), ("b", "c", "call", 2, "descended", None), ("c", "d", "call", 3, "depth", None), ("r", "a", "call", 1, "descended", None),
+        ("a", "b", "call", 2, "revisit", None), ("a", "busy", "call", 2, "plumbing", None), ("a", "I", "call", 2, "leaf", None), ("I", "i1", "implemented_by", 3, "descended", None), ("i1", "leaf", "call", 4, "depth", None),
+        ("I", "i2", "implemented_by", 3, "leaf", None), ("a", "W", "call", 2, "leaf", None), ("W", "W", "implemented_by", 2, "fan_out", 4),
+    ]
+    assert graph.chain_walk(edges, symbols, df(spark, [], "id string"), 3).count() == 0
+
+
 def test_gate_with_many_anchors(spark, monkeypatch):
     v = spark.range(50).select("id", F.array(*(F.sin(F.col("id") * k + k) for k in range(1, 6))).alias("v"))
     one = {tuple(r)[::2] for r in vector.gate_candidates(v.where("id > 9"), v.where("id < 10"), [1.0, 0, 0, 0, 0], 0.5, 0.5, -9.0).select("id", F.lit(0), F.round("score", 6)).collect()}

@@ -204,15 +204,11 @@ def hybrid_graph(edges: DataFrame, nodes: DataFrame, scale: float = 0.5) -> Data
     return e.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum("w").alias("weight"))
 
 
-def communities(graph: DataFrame, rounds: int = 10) -> DataFrame:
-    """Modularity communities by synchronous local moves (weighted label propagation with a degree penalty).
+def _local_moves(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(a, deg, label) after synchronous moves of nodes to the neighbouring community of the largest modularity gain.
 
-    A distributed stand-in for a sequential optimiser: in even rounds only nodes with an even hash move, in odd rounds
-    the others, so that two neighbours seldom swap labels. Isolated nodes are singletons.
+    In even rounds only nodes with an even hash move, in odd rounds the others, so that two neighbours seldom swap labels.
     """
-    both = cut(graph.select("a", "b", "weight").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    degree = both.groupBy("a").agg(F.sum("weight").alias("deg"))
-    total = degree.agg(F.sum("deg")).first()[0] or 1.0
     label = cut(degree.select("a", "deg", F.col("a").alias("label")))
     for i in range(rounds):
         mass = label.groupBy("label").agg(F.sum("deg").alias("mass"))
@@ -228,7 +224,43 @@ def communities(graph: DataFrame, rounds: int = 10) -> DataFrame:
         label = changed
         if not moved and i % 2:
             break
-    return label.select(F.col("a").alias("id"), F.col("label").alias("cluster"))
+    return label
+
+
+def communities(graph: DataFrame, rounds: int = 10, levels: int = 1) -> DataFrame:
+    """Modularity communities: local moves, then (``levels``) the same on the graph of communities while that merges any.
+
+    Last, a community that is not connected inside is split into its connected parts, each named by its smallest node. A
+    distributed stand-in for a sequential optimiser; isolated nodes are singletons.
+    """
+    flat = cut(graph.select("a", "b", "weight").where("a <> b"))
+    both = cut(flat.unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    degree = cut(both.groupBy("a").agg(F.sum("weight").alias("deg")))
+    total = degree.agg(F.sum("deg")).first()[0] or 1.0
+    member = degree.select(F.col("a").alias("id"), F.col("a").alias("label"))
+    for _ in range(levels):
+        moved = _local_moves(both, degree, total, rounds)
+        member = cut(member.join(moved.select(F.col("a").alias("label"), F.col("label").alias("top")), "label").select("id", F.col("top").alias("label")))
+        merged = cut(moved.groupBy(F.col("label").alias("a")).agg(F.sum("deg").alias("deg")))
+        if merged.count() == degree.count():
+            break
+        names = moved.select("a", "label")
+        ends = both.join(names.withColumnsRenamed({"label": "x"}), "a").join(names.withColumnsRenamed({"a": "b", "label": "y"}), "b")
+        both = cut(ends.where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
+        degree = merged
+    inside = flat.join(member.withColumnsRenamed({"id": "a", "label": "x"}), "a").join(member.withColumnsRenamed({"id": "b", "label": "y"}), "b").where("x = y")
+    parts = connected_components(inside.select("a", "b")).withColumnsRenamed({"node": "id"})
+    loops = graph.select(F.col("a").alias("id")).union(graph.select("b")).distinct()
+    return loops.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
+def modularity(graph: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: the modularity of a partition (id, cluster) of a weighted graph (a, b, weight) without loops."""
+    e = graph.select("a", "b", "weight").where("a <> b")
+    m = members.select("id", "cluster")
+    inner = e.join(m.withColumnsRenamed({"id": "a", "cluster": "x"}), "a").join(m.withColumnsRenamed({"id": "b", "cluster": "y"}), "b").agg(F.sum(F.when(F.col("x") == F.col("y"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("total"))
+    ends = e.select(F.col("a").alias("id"), "weight").union(e.select("b", "weight")).join(m, "id").groupBy("cluster").agg(F.sum("weight").alias("deg")).agg(F.sum(F.col("deg") * F.col("deg")).alias("squares"))
+    return inner.crossJoin(F.broadcast(ends)).select((F.col("inside") / F.col("total") - F.col("squares") / (4 * F.col("total") * F.col("total"))).alias("modularity"))
 
 
 def reassign_tiny(members: DataFrame, graph: DataFrame, least: int) -> DataFrame:

@@ -330,15 +330,41 @@ def text_search(docs: DataFrame, question: str, limit: int) -> DataFrame:
     return top_k(docs.select("id", s.alias("score")).where("score > 0"), limit)
 
 
-def rank_symbols(symbols: DataFrame, name: str, floor: float = 0.7) -> DataFrame:
-    """Tiers 1 / .95 / .9 / .8 / .7, else 0.69 x edit similarity (Levenshtein in place of a Python sequence matcher)."""
-    q, ql = F.lit(name), name.lower()
-    n, last = F.col("name"), F.element_at(F.split("name", "[.]"), -1)
-    ratio = 1 - F.levenshtein(F.lower(n), F.lit(ql)) / F.greatest(F.length(n), F.lit(len(name)))
-    s = (
-        F.when(n == q, 1.0).when(F.lower(n) == ql, 0.95).when(F.lower(last) == ql, 0.9).when(F.lower(n).startswith(ql), 0.8).when(F.lower(n).contains(ql), 0.7).otherwise(0.69 * ratio)
-    )
-    return symbols.select("name", F.round(s, 6).alias("score")).where(F.col("score") >= 0.69 * floor).distinct()
+def _tier(n: Column, name: str) -> Column:
+    """1 / .95 / .9 / .8 / .7: equal, equal without case, last part equal, prefix, inside; null for other names."""
+    low, last = name.lower(), F.element_at(F.split(n, "[.]"), -1)
+    return F.when(n == name, 1.0).when(F.lower(n) == low, 0.95).when(F.lower(last) == low, 0.9).when(F.lower(n).startswith(low), 0.8).when(F.lower(n).contains(low), 0.7)
+
+
+def rank_symbols(symbols: DataFrame, name: str) -> DataFrame:
+    """V34, by tiers: distinct names that hold the searched one in some way."""
+    return symbols.select("name").distinct().select("name", _tier(F.col("name"), name).alias("score")).where("score is not null")
+
+
+def fuzzy_symbols(symbols: DataFrame, name: str, limit: int = 10, floor: float = 0.7) -> DataFrame:
+    """The best names by tier, then by 0.69 times the matching ratio of the lower-cased names, from ``floor`` on; ties
+    by length, then by name.
+
+    The ratio (twice the characters in matching blocks by all characters) is worked out only for names whose lengths allow
+    it, in Arrow batches.
+    """
+    import pyarrow as pa
+
+    low = name.lower()
+    distinct = symbols.select("name").where("name is not null").distinct().withColumn("score", _tier(F.col("name"), name))
+    possible = 2 * F.least(F.length("name"), F.lit(len(low))) >= floor * (F.length("name") + len(low))
+
+    def run(batches):
+        from difflib import SequenceMatcher
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            ratios = [SequenceMatcher(None, low, n.lower()).ratio() for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0.69 * r if r >= floor else None for r in ratios], pa.float64())], ["name", "score"])
+
+    near = distinct.where(F.col("score").isNull() & possible).select("name").mapInArrow(run, "name string, score double")
+    found = distinct.where("score is not null").unionByName(near.where("score is not null"))
+    return found.orderBy(F.desc("score"), F.length("name"), "name").limit(limit).select("name", F.round("score", 6).alias("score"))
 
 
 def resolve_symbol(symbols: DataFrame, name: str) -> DataFrame:

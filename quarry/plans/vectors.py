@@ -269,12 +269,17 @@ def v33(spark, d):
     return V.text_search(kb(spark, d, "docs"), "ing station", 25)
 
 
-@query("v34_rank_symbols", """WITH s AS (SELECT DISTINCT name, round(CASE WHEN name = 'Order12' THEN 1.0 WHEN lower(name) = 'order12' THEN 0.95 WHEN lower(string_split(name, '.')[-1]) = 'order12' THEN 0.9 WHEN starts_with(lower(name), 'order12') THEN 0.8
-WHEN contains(lower(name), 'order12') THEN 0.7 ELSE 0.69::DOUBLE * (1 - levenshtein(lower(name), 'order12') / greatest(length(name), 7)) END, 6)::DOUBLE AS score FROM symbols) SELECT * FROM s WHERE score >= 0.69::DOUBLE * 0.7::DOUBLE""")
+@query("v34_rank_symbols", """SELECT * FROM (SELECT DISTINCT name, (CASE WHEN name = 'Order12' THEN 1.0 WHEN lower(name) = 'order12' THEN 0.95 WHEN lower(string_split(name, '.')[-1]) = 'order12' THEN 0.9
+WHEN starts_with(lower(name), 'order12') THEN 0.8 WHEN contains(lower(name), 'order12') THEN 0.7 END)::DOUBLE AS score FROM symbols) WHERE score IS NOT NULL""")
 def v34(spark, d):
     return V.rank_symbols(kb(spark, d, "symbols").select("name"), "Order12")
 
 
+@query("v34_fuzzy_symbols")
+def v34f(spark, d):
+    return V.fuzzy_symbols(kb(spark, d, "symbols").select("name"), "Ordr12", 25)
+
+
 @query("v35_resolve_symbol", """WITH t AS (SELECT id, qname, CASE WHEN qname = 'Order7.line1' THEN 0 WHEN ends_with(qname, '.Order7.line1') THEN 1 WHEN contains(qname, 'Order7.line1') THEN 2 END AS tier FROM symbols),
 b AS (SELECT * FROM t WHERE tier = (SELECT min(tier) FROM t)) SELECT *, count(*) OVER () = 1 AS is_unique FROM b""")
 def v35(spark, d):

@@ -60,6 +60,39 @@ def test_communities_find_two_cliques(spark):
     assert len({got[i] for i in range(4)}) == 1 and len({got[i] for i in range(10, 14)}) == 1 and got[0] != got[10]
 
 
+def test_communities_merge_levels_and_stay_connected(spark):
+    """Rings of cliques: no worse than the planted partition, and every community is connected inside."""
+    clique = [(a, b, 1.0) for base in range(0, 60, 5) for a in range(base, base + 5) for b in range(a + 1, base + 5)]
+    ring = [(base, (base + 5) % 60, 0.5) for base in range(0, 60, 5)]
+    g = df(spark, [*clique, *ring, (99, 99, 1.0)], "a long, b long, weight double")
+    got = cluster.communities(g, 6, 2)
+    planted = df(spark, [(i, i // 5) for i in range(60)], "id long, cluster long")
+    value = lambda m: cluster.modularity(g, m).first()["modularity"]
+    assert value(got) >= value(planted) - 1e-9 > 0.8
+    members = {r["id"]: r["cluster"] for r in got.collect()}
+    assert len(members) == 61 and members[99] == 99 and all(c <= i for i, c in members.items())
+    inside = df(spark, [(a, b) for a, b, _ in [*clique, *ring] if members[a] == members[b]], "a long, b long")
+    parts = {r["node"]: r["component"] for r in components.connected_components(inside).collect()}
+    assert all(parts[i] == c for i, c in members.items() if i in parts)
+
+
+def test_fuzzy_symbols_by_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    names = ["Order12", "order12", "m.Order12", "Order123", "PreOrder12", "Ordr12", "Odrer21", "Order", "zzz", "Border12x", "order-12-and-much-more", None, "Order12"]
+
+    def score(n):
+        q, low = "Order12", n.lower()
+        tier = 1.0 if n == q else 0.95 if low == q.lower() else 0.9 if low.split(".")[-1] == q.lower() else 0.8 if low.startswith(q.lower()) else 0.7 if q.lower() in low else None
+        ratio = SequenceMatcher(None, q.lower(), low).ratio()
+        return tier if tier is not None else 0.69 * ratio if ratio >= 0.7 else None
+
+    want = sorted(((-score(n), len(n), n) for n in set(names) - {None} if score(n) is not None))
+    got = vector.fuzzy_symbols(df(spark, [(n,) for n in names], "name string"), "Order12", 100).collect()
+    assert [(r["name"], r["score"]) for r in got] == [(n, round(-s, 6)) for s, _, n in want]
+    assert len(vector.fuzzy_symbols(df(spark, [(n,) for n in names], "name string"), "Order12", 3).collect()) == 3
+
+
 def test_knn_blocks_equal_one_block(spark):
     v = spark.range(60).select("id", F.array(*(F.sin(F.col("id") * k + k) for k in range(1, 6))).alias("v"))
     one = {(r["a"], r["b"]) for r in cluster.blocked_pairs(v, v, 0.5, block=1000).collect()}

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import textbytes as tb
-from quarry.llm.sampling import row_keys
+from quarry.llm.sampling import row_keys, under_cover, uncovered
 from quarry.llm.suffix_dedup import release
 from quarry.operators.components import connected_components
 from quarry.session import arrow_map, cut
@@ -53,6 +53,8 @@ OPEN_THRESHOLD = 80  # per cent, where no contract names one
 BLOCK_DOCS = 64
 FINE = 8  # at least so many of them in a block of sketches
 STAR_ROUNDS, HUBS = 2, 3
+#: Up to so many bytes of keys go to the documents; beyond, documents and keys meet in a shuffle.
+BROADCAST_BYTES = 16 << 20
 BLOCK_SHINGLES = 400_000
 
 _rng = np.random.Generator(np.random.PCG64(0x0DD))
@@ -178,11 +180,11 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
 
 
 def star_candidates(known: DataFrame, shared: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """(cid, hub, label, hub_label): each class with hubs of other labels, where the sketches allow a link.
+    """(cid, hub, label, hub_label, n): each class with hubs of other labels, where the sketches allow a link.
 
-    A bucket's hub is its first class in the order of the turn (of cid in the first).
+    A bucket's hub is its first class in the order of the turn (of cid in the first, where each class is its own label).
     """
-    rows = shared.join(known.select("cid", "label"), "cid")
+    rows = shared.join(known.select("cid", "label"), "cid") if turn else shared.withColumn("label", F.col("cid"))
     order = F.struct((F.col("cid") if turn == 0 else F.xxhash64("cid", F.lit(turn))).alias("o"), "cid", "label")
     hubs = cut(rows.groupBy("g").agg(F.min(order).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g", F.col("h.cid").alias("hub"), F.col("h.label").alias("hub_label")))
     met = rows.join(hubs, "g").where("label <> hub_label").groupBy("cid", "label", "hub", "hub_label").agg(F.count(F.lit(1)).alias("n"))
@@ -195,18 +197,17 @@ def star_candidates(known: DataFrame, shared: DataFrame, turn: int, threshold: i
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDTH // 8) for c in (6, 7))
             n1, n2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(may_link(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), n1, n2, threshold)))
+            yield batch.select([0, 1, 2, 3, 4]).rename_columns(["cid", "hub", "label", "hub_label", "n"]).filter(pa.array(may_link(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), n1, n2, threshold)))
 
-    return arrow_map(both, run, "cid long, hub long, label long, hub_label long")
+    return arrow_map(both, run, "cid long, hub long, label long, hub_label long, n long")
 
 
-def star_groups(stars: DataFrame, known: DataFrame) -> DataFrame:
+def star_groups(stars: DataFrame) -> DataFrame:
     """(g, p, q, side, cid, label): the work of ``confirmed``: a hub (side -1) meets its members, dealt into blocks."""
-    sized = stars.join(known.select("cid", "n_shingles"), "cid")
-    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    blocks = cut(sized.groupBy("hub").agg(n_blocks.alias("n_blocks"), F.first("hub_label").alias("hub_label")))
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = cut(stars.groupBy("hub").agg(n_blocks.alias("n_blocks"), F.first("hub_label").alias("hub_label")))
     q = F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")
-    members = stars.drop("hub_label").join(blocks, "hub").select(F.col("hub").alias("g"), F.lit(-1).alias("p"), q.alias("q"), q.alias("side"), "cid", "label")
+    members = stars.select("hub", "cid", "label").join(blocks.select("hub", "n_blocks"), "hub").select(F.col("hub").alias("g"), F.lit(-1).alias("p"), q.alias("q"), q.alias("side"), "cid", "label")
     hubs = blocks.select(F.col("hub").alias("g"), F.lit(-1).alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("q"), F.lit(-1).alias("side"), F.col("hub").alias("cid"), F.col("hub_label").alias("label"))
     return members.unionByName(hubs)
 
@@ -357,12 +358,17 @@ def link_blocks(cids: list[int], sides: np.ndarray, labels: list[int], sketches:
     return found
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """(cid, u1, u2, sketch, text): one text of every class that shares a bucket with another."""
-    wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
+def _to_rows(keys: DataFrame, row_bytes: int) -> DataFrame:
+    """A table of its own, with a hint to broadcast it if its rows are few enough for that."""
+    return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, u1, u2, sketch, text): one text of every wanted class."""
     texts = docs.select(*row_keys(), "text").select(F.col("k1").alias("text_row"), "text")
     # rows equal in id and text all come
-    return texts.join(wanted.select("text_row", "cid", "u1", "u2", "sketch"), "text_row").select("cid", "u1", "u2", "sketch", "text").dropDuplicates(["cid"])
+    keys = _to_rows(wanted.select("text_row", "cid", "u1", "u2", "sketch"), 64 + WIDTH)
+    return texts.join(keys, "text_row").select("cid", "u1", "u2", "sketch", "text").dropDuplicates(["cid"])
 
 
 def confirmed(work: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -429,12 +435,13 @@ def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
     )
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     shared = cut(shared_buckets(classes))
-    texts = cut(texts_of(docs, classes, shared))
+    wanted = cut(classes.join(shared, "cid", "left_semi"))  # the classes with a partner in some bucket
+    texts = cut(texts_of(docs, wanted))
     release(spark)
-    known = cut(classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("cid").alias("label"), "n_shingles", "sketch", "bands"))
+    known = wanted.select("cid", F.col("cid").alias("label"), "n_shingles", "sketch", "bands")
     for turn in range(STAR_ROUNDS):
         stars = cut(star_candidates(known, shared, turn, threshold))
-        known = relabelled(known, confirmed(star_groups(stars, known), texts, threshold))
+        known = relabelled(known, confirmed(star_groups(stars), texts, threshold))
     release(spark)
     known = relabelled(known, confirmed(cut(rest_groups(known, shared, threshold)), texts, threshold))
     release(spark)
@@ -449,6 +456,12 @@ def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
     """The documents that stay, one of each group, with the columns of ``docs``."""
-    kept = near_dedup(docs, threshold).where("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    keyed = docs.select(*docs.columns, *(k.alias(f"_k{i}") for i, k in enumerate(row_keys(), 1)))
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    kept = near_dedup(docs.select("doc_id", "text"), threshold).where("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(kept)
+    covered, names = under_cover(docs)
+    keyed = covered.withColumn("doc_id", F.col(names[docs.columns.index("doc_id")])).select(*names, *row_keys())
+    held = keyed.join(_to_rows(kept, 64), ["k1", "k2"])
+    once = uncovered(held.where("n = 1"), docs, names)
+    if kept.where("n > 1").isEmpty():
+        return once
+    return once.unionByName(uncovered(held.where("n > 1").dropDuplicates(["k1", "k2"]), docs, names))

@@ -6,7 +6,7 @@ digits or written with dots, a phone number without its plus sign, an obfuscated
 score each proposal from its format and its context, and a proposal is added when its score reaches the calibrated
 threshold of its kind and it overlaps no base span and no added span of a higher score.
 
-The trees are trained on the driver, from at most ``SAMPLE_PROPOSALS`` proposals, ``TEXT_PROPOSALS`` of a text, in
+The trees are trained on the driver, from about ``SAMPLE_PROPOSALS`` proposals at most, ``TEXT_PROPOSALS`` of a text, in
 about ``SAMPLE_DOCS`` documents (smallest hash of the id). Nobody has labelled spans here, and labels from the base rules alone would only teach the
 rules again. So every sampled text gets some made-up items planted between its words: personal data in forms that the
 base rules miss, and look-alikes (order numbers, versions, dates, decimals, failed checksums) that are none. A proposal
@@ -35,10 +35,11 @@ from quarry.llm.arrays import empty, running
 from quarry.llm.boosting import Boosted, boost
 from quarry.llm.decontaminate import _settle
 from quarry.llm.sampling import under_cover, uncovered
+from quarry.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 4000
-SAMPLE_PROPOSALS = 20_000
+SAMPLE_DOCS = 2000
+SAMPLE_PROPOSALS = 10_000
 TEXT_PROPOSALS = 50  # of one sampled text
 PRECISION = 0.99
 PLANTED_ITEMS = 600  # made-up items to draw from, of either class
@@ -286,13 +287,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PR
     # where nothing is planted, a proposal whose check holds but that no base span confirms teaches nothing
     y = F.when(touches, exact | ((F.col("kind") >= 0) & same)).when(same, True).when(~ok, False)
     found = each.select("doc_id", "p.s", F.col("p.k").alias("k"), F.col("p.x").alias("x"), y.alias("y"), "kind").where("y is not null")
-    found = found.orderBy(F.xxhash64("doc_id", "s", "k", "kind"), "doc_id", "s", "k", "kind", "y", "x").limit(most).collect()
-    if len({r["y"] for r in found}) < 2:
+    found = cut(found.withColumn("h", F.pmod(F.xxhash64("doc_id", "s", "k", "kind", "x"), F.lit(1 << 40))))
+    held = found.count()
+    rows = found.where(F.col("h") < min(1 << 40, (1 << 40) * most // max(1, held))).select("h", F.col("doc_id").cast("string").alias("id"), "x", "y").toArrow()
+    if not rows.num_rows:
         return None
-    x = np.array([r["x"] for r in found], float)
-    y = np.array([float(r["y"]) for r in found])
-    fit = np.array([zlib.crc32(f"half{r['doc_id']}".encode()) % 2 == 0 for r in found])
-    if len(set(y[fit])) < 2:
+    x, y = np.array(rows["x"].to_pylist(), float), rows["y"].to_numpy().astype(float)
+    ids = rows["id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (rows["h"][i].as_py(), ids[i], tuple(x[i]), y[i]))
+    x, y, ids = x[order], y[order], [ids[i] for i in order]
+    fit = np.array([zlib.crc32(f"half{i}".encode()) % 2 == 0 for i in ids])
+    if len(set(y)) < 2 or len(set(y[fit])) < 2:
         return None
     model = boost(x[fit], y[fit])
     p, held = 1 / (1 + np.exp(-model.raw(x))), ~fit

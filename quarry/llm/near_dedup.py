@@ -425,15 +425,16 @@ def relabelled(known: DataFrame, links: DataFrame) -> DataFrame:
     return cut(known.join(found, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top"))
 
 
-def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, k1, k2; pairs of at least ``threshold`` per cent are linked."""
+def grouped(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the documents, and classes (u1, u2, n_shingles, keeper, component) of all but empty sets.
+
+    ``keeper`` is the first row of a class, as (id is null, doc_id, k1, k2).
+    """
     spark = docs.sparkSession
     sig = cut(signatures(docs, n_bands(threshold)))
-    some = sig.where("n_shingles > 0")
-    classes = some.groupBy("u1", "u2", "n_shingles").agg(
-        F.min("doc_id").alias("first_doc"), F.min("k1").alias("text_row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
-    )
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    keeper = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    classes = sig.where("n_shingles > 0").groupBy("u1", "u2", "n_shingles").agg(F.min(keeper).alias("keeper"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumns({"cid": F.monotonically_increasing_id(), "text_row": F.col("keeper.k1")}))
     shared = cut(shared_buckets(classes))
     wanted = cut(classes.join(shared, "cid", "left_semi"))  # the classes with a partner in some bucket
     texts = cut(texts_of(docs, wanted))
@@ -444,24 +445,34 @@ def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
         known = relabelled(known, confirmed(star_groups(stars), texts, threshold))
     release(spark)
     known = relabelled(known, confirmed(cut(rest_groups(known, shared, threshold)), texts, threshold))
+    linked = classes.select("cid", "u1", "u2", "n_shingles", "keeper").join(known.select("cid", "label"), "cid", "left")
+    linked = cut(linked.select("u1", "u2", "n_shingles", "keeper", F.coalesce("label", "cid").alias("component")))
     release(spark)
-    linked = classes.select("cid", "u1", "u2", "n_shingles", "first_doc").join(known.select("cid", "label"), "cid", "left")
-    linked = cut(linked.select("u1", "u2", "n_shingles", "first_doc", F.coalesce("label", "cid").alias("component")))
-    firsts = cut(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")))
+    return sig, linked
+
+
+def near_dedup(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; pairs of at least ``threshold`` per cent are linked."""
+    sig, linked = grouped(docs, threshold)
+    firsts = cut(linked.groupBy("component").agg(F.min("keeper.doc_id").alias("component_id")))
     named = linked.join(firsts, "component").select("u1", "u2", "n_shingles", "component_id")
-    placed = some.select("doc_id", "n_shingles", "u1", "u2", "k1", "k2").join(named, ["u1", "u2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "k1", "k2")
-    alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k1", "k2")
-    return placed.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "k1", "k2")
+    placed = sig.where("n_shingles > 0").select("doc_id", "n_shingles", "u1", "u2").join(named, ["u1", "u2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: int = OPEN_THRESHOLD) -> DataFrame:
-    """The documents that stay, one of each group, with the columns of ``docs``."""
-    kept = near_dedup(docs.select("doc_id", "text"), threshold).where("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    kept = cut(kept)
+    """The documents that stay, one of each group, with the columns of ``docs``: the first by id (nulls last)."""
+    sig, linked = grouped(docs.select("doc_id", "text"), threshold)
+    first = linked.groupBy("component").agg(F.min("keeper").alias("keeper")).select("keeper.k1", "keeper.k2")
+    kept = cut(first.unionByName(sig.where("n_shingles = 0").select("k1", "k2").distinct()))
+    copies = cut(sig.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"))
+    release(docs.sparkSession)
     covered, names = under_cover(docs)
     keyed = covered.withColumn("doc_id", F.col(names[docs.columns.index("doc_id")])).select(*names, *row_keys())
-    held = keyed.join(_to_rows(kept, 64), ["k1", "k2"])
-    once = uncovered(held.where("n = 1"), docs, names)
-    if kept.where("n > 1").isEmpty():
-        return once
-    return once.unionByName(uncovered(held.where("n > 1").dropDuplicates(["k1", "k2"]), docs, names))
+    held = keyed.join(_to_rows(kept, 64), ["k1", "k2"], "left_semi")
+    if copies.isEmpty():  # else rows equal in id and text have to be told apart from the others
+        return uncovered(held, docs, names)
+    copies = _to_rows(copies, 64)
+    once = uncovered(held.join(copies, ["k1", "k2"], "left_anti"), docs, names)
+    return once.unionByName(uncovered(held.join(copies, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs, names))

@@ -14,7 +14,7 @@ TOKENIZER = os.environ.get("QUARRY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.mo
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), near_dedup.THRESHOLD).drop("k1", "k2")
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), near_dedup.THRESHOLD)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

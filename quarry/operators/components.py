@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish_ed
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     found = _finish(now, kind)
     for first in reversed(maps):
-        up = cut(found).withColumnsRenamed({"v": "rep", "rep": "top"})
+        up = cut(found).select(F.col("v").alias("rep"), F.col("rep").alias("top"))
         found = first.join(up, "rep", "left").select("v", F.coalesce("top", "rep").alias("rep"))
     found = cut(found)
     if not maps:  # union-find names a group by its smallest node

@@ -53,6 +53,23 @@ def test_components_of_a_long_path(spark):
     assert tuple(got) == (201, 0)
 
 
+def test_components_by_rounds(spark):
+    """Graphs of more edges than one task joins up: a random one over several rounds, and one beyond the default."""
+    pairs = [(i * 7919 % 601, i * 104729 % 601) for i in range(350)]
+    low = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in low:
+        for a, b in pairs:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    assert 5 < len(set(low.values())) < len(low) / 2
+    for finish in (0, 20):
+        got = components.connected_components(df(spark, pairs, "a long, b long"), finish_edges=finish).collect()
+        assert len(got) == len(low) and {r["node"]: r["component"] for r in got} == low
+    n = components.FINISH_EDGES + 16
+    e = spark.range(n).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
+    assert components.connected_components(e).where("component = node - node % 2").count() == 2 * n
+
+
 def test_communities_find_two_cliques(spark):
     clique = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 4) for b in range(a + 1, base + 4)]
     g = df(spark, [*clique, (3, 10, 0.1)], "a long, b long, weight double")

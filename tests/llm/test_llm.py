@@ -25,6 +25,7 @@ from quarry.llm import (
     suffix_dedup,
     token_counts,
 )
+from quarry.operators import components
 from tests.compare import connect, rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
@@ -141,6 +142,20 @@ def test_hot_buckets_are_dealt_into_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(some))] == _groups(len(some), exact)
 
 
+@pytest.mark.parametrize("form", ["near_dedup", "keep_one"])
+def test_components_of_many_links(spark, monkeypatch, form):
+    """More links than one task joins up: groups come together over rounds, for op1 and the pipeline's stage alike."""
+    monkeypatch.setattr(near_dedup, "connected_components", lambda links: components.connected_components(links, finish_edges=2))
+    some = [f"t{k // 6} " + " ".join(f"t{k // 6}w{i}" for i in range(80)) + f" end{k}" for k in range(240)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id int, text string")
+    out = getattr(near_dedup, form)(docs, 85)
+    got = out.collect()
+    if form == "keep_one":
+        assert sorted(r["doc_id"] for r in got) == list(range(0, 240, 6))
+    else:
+        assert {r["doc_id"]: r["component_id"] for r in got} == {k: k // 6 * 6 for k in range(240)}
+
+
 def test_bands_lose_no_link(spark):
     """Recall of the candidate search: pairs just over the threshold, measured against the exact answer."""
     rng = np.random.default_rng(11)

@@ -131,3 +131,62 @@ c AS (SELECT doc_id, min(x) AS component_id FROM reach GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term),
+q AS (SELECT item_id, term, count(*)::BIGINT AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+   FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+x AS (
+  SELECT item_id, d.r, d.doc_id, sum(qtf * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+         * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN d USING (r) CROSS JOIN s GROUP BY item_id, d.r, d.doc_id)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+FROM x WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def merkle(depth: int = 7) -> str:
+    """OP12 for at most ``8 ** depth`` rows a language, one step a level."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    other = leaf.replace(field.format("text"), field.format(lower))
+    steps = [
+        # crc32 by its table of 256 remainders
+        "bits AS (SELECT i AS k, i AS v, 0 AS step FROM range(256) t(i) UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8)",
+        "tab AS (SELECT list(v ORDER BY k) AS t FROM bits WHERE step = 8)",
+        "c AS (SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),"
+        " lambda a, b: xor(a >> 8, t[xor(a, b) & 255 + 1])), 4294967295) % 3 END AS m FROM documents, tab)".replace("xor(a, b) & 255 + 1", "(xor(a, b) & 255) + 1"),
+        f"v AS (SELECT lang, doc_id, {leaf} AS leaf, CASE WHEN m = 0 THEN {other} ELSE {leaf} END AS folded FROM c)",
+        "l AS (SELECT lang, doc_id, leaf, folded, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM v)",
+        "n0 AS (SELECT lang AS g, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM l)",
+        "p0 AS (SELECT row_number() OVER () AS id, lang AS g, doc_id, leaf, i, folded AS f, '' AS proof FROM l)",
+    ]
+
+    def climb(node: str, way: str, depth: int) -> None:
+        for k in range(depth):
+            a, b = f"{node}{k}", f"{way}{k}"
+            steps.append(
+                f"{node}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (max(n) + 7) // 8 AS n FROM {a} GROUP BY g, i // 8)"
+            )
+            steps.append(
+                f"{way}x{k} AS (SELECT p.id, max(s.n) AS n, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < p.i), '') AS lo, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > p.i), '') AS hi"
+                f" FROM {b} p JOIN {a} s ON s.g IS NOT DISTINCT FROM p.g AND s.i // 8 = p.i // 8 GROUP BY p.id)"
+            )
+            steps.append(
+                f"{way}{k + 1} AS (SELECT p.* REPLACE (i // 8 AS i, CASE WHEN x.n = 1 THEN f ELSE sha256(x.lo || f || x.hi) END AS f, proof || x.lo || x.hi AS proof) FROM {b} p JOIN {way}x{k} x USING (id))"
+            )
+
+    climb("n", "p", depth)
+    steps.append(f"m0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, g AS lang FROM n{depth})")
+    steps.append(f"q0 AS (SELECT p.id, 0 AS g, p.doc_id, p.leaf, m.i, p.f, p.proof, m.h AS subroot FROM p{depth} p JOIN m0 m ON m.lang IS NOT DISTINCT FROM p.g)")
+    climb("m", "q", 4)
+    return "WITH RECURSIVE " + ",\n".join(steps) + "\nSELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM q4, m4 r"
+
+
+OP12 = merkle()

@@ -7,7 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language_id, line_dedup, near_dedup, oracles, pii, quality_model, quality_rules, source_mix, suffix_dedup, token_counts
+from quarry.llm import (
+    decontaminate,
+    language_id,
+    lexical,
+    line_dedup,
+    merkle,
+    near_dedup,
+    oracles,
+    pii,
+    quality_model,
+    quality_rules,
+    source_mix,
+    suffix_dedup,
+    token_counts,
+)
 from quarry.session import table
 
 TOKENIZER = os.environ.get("QUARRY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
@@ -56,6 +70,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_digest(table(spark, sf_dir, "documents"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the production policy keeps out, and what only it does, from op2's ledger."""
     led = quality_rules.ledger(quality_rules.measurements(table(spark, sf_dir, "documents")))
@@ -74,5 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": oracles.OP3,
         "op7_decontaminate": oracles.OP7,
         "op8_source_mix": oracles.OP8,
+        "op11_lexical_search": oracles.OP11,
+        "op12_merkle_manifest": oracles.OP12,
         "quality_ablation": oracles.ABLATION,
     }

@@ -96,10 +96,10 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return runs(~_WS[data], offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     """64-bit hash of data[start:end] for every span; equal bytes give equal hashes."""
     pref = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers("up", len(data)), out=pref[1:])
+    np.cumsum(code[data] * powers("up", len(data)), out=pref[1:])
     return mix((pref[ends] - pref[starts]) * powers("down", len(data) + 1)[starts])
 
 

@@ -21,6 +21,7 @@ from quarry.llm import (
     source_mix,
     suffix_dedup,
     token_counts,
+    toxicity,
 )
 from quarry.session import table
 
@@ -78,6 +79,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the production policy keeps out, and what only it does, from op2's ledger."""
     led = quality_rules.ledger(quality_rules.measurements(table(spark, sf_dir, "documents")))

@@ -44,7 +44,7 @@ MAX_TOXIC, MAX_CLEAN = 3000, 6000
 TRAIN_BYTES, TRAIN_SLICES = 1 << 16, 16
 MIN_SUPPORT, MAX_CANDIDATES, MAX_FEATURES, LEAST_Z = 3, 200_000, 4096, 2.0
 MAX_SWAPS = 8
-FAIRNESS, STEPS, RATE, DECAY = 1.0, 400, 0.05, 1e-4
+FAIRNESS, STEPS, RATE, DECAY = 1.0, 600, 0.05, 1e-5
 SAMPLE_PARTITIONS = 16
 
 #: Names that may stand for each other, those of people in general first; one list a language and kind.

@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-from quarry.plans import composites, facts, graphs, joins, stores, texts, usage, vectors  # noqa: E402, F401
+from quarry.plans import composites, facts, graphs, joins, stores, structure, texts, usage, vectors  # noqa: E402, F401

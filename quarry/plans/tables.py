@@ -99,6 +99,38 @@ SELECT DISTINCT 'o' || CAST(l_orderkey AS VARCHAR) AS consumer, 'col' || CAST(l_
        CASE l_suppkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'resolved' WHEN 2 THEN 'derived' ELSE 'recovered' END AS confidence,
        l_orderkey AS line
 FROM lineitem WHERE l_partkey % 3 <> 0""",
+    "path_targets": """
+SELECT o_orderkey AS grp, 's' || CAST(o_custkey % 3 AS VARCHAR) AS source_name, CASE WHEN o_orderkey % 40 = 0 THEN 0 ELSE 99 END AS pos, 'm.Order' || CAST(o_orderkey AS VARCHAR) AS qname
+FROM orders WHERE o_orderkey % 20 = 0
+UNION ALL
+SELECT l_orderkey, 's' || CAST(o_custkey % 3 AS VARCHAR), l_linenumber, 'm.Order' || CAST(l_partkey * 4 + 1 AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 20 = 0
+UNION ALL
+SELECT l_orderkey, 's' || CAST(o_custkey % 3 AS VARCHAR), 10 + l_linenumber, 'm.Order' || CAST(l_suppkey * 4 + 1 AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 20 = 0""",
+    "fan_requests": """
+SELECT o_orderkey AS q, 's' || CAST(o_custkey % 3 AS VARCHAR) AS source_name, 'm.Order' || CAST(o_orderkey AS VARCHAR) AS name FROM orders WHERE o_orderkey % 20 = 0
+UNION ALL
+SELECT l_orderkey, 's' || CAST(o_custkey % 3 AS VARCHAR), 'm.Order' || CAST(l_partkey * 4 + 1 AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 20 = 0""",
+    "fan_questions": """
+SELECT o_orderkey AS q, 'Where does Order ' || CAST(o_orderkey AS VARCHAR) || ' use line ' || CAST(o_orderkey % 7 + 1 AS VARCHAR) || ' of m.Order' || CAST(o_orderkey AS VARCHAR) AS question FROM orders WHERE o_orderkey % 20 = 0""",
+    "doc_names": """
+SELECT o_orderkey AS q, 's' || CAST(o_custkey % 3 AS VARCHAR) AS source_name, 0 AS rank, list_value('A title', 'm.Order' || CAST(o_orderkey AS VARCHAR)) AS names, list_value('line3', 'Line1') AS mentions
+FROM orders WHERE o_orderkey % 20 = 0
+UNION ALL
+SELECT l_orderkey, 's' || CAST(o_custkey % 3 AS VARCHAR), l_linenumber, list_value('m.Order' || CAST(l_partkey * 4 + 1 AS VARCHAR), 'm.Order' || CAST(l_partkey * 4 + 1 AS VARCHAR) || '.line2'), list_value('line2')
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 20 = 0""",
+    "member_refs": """
+SELECT DISTINCT 'l' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS caller, 'o' || CAST(l_partkey * 4 + 1 AS VARCHAR) AS callee,
+       CASE l_linenumber % 3 WHEN 0 THEN 'call' ELSE 'type_ref' END AS edge_type, 'pkg' || CAST(o_custkey % 7 AS VARCHAR) || '/f' || CAST(o_custkey % 100 AS VARCHAR) || '.py' AS file, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS line
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey * 4 + 1 <> l_orderkey
+UNION ALL
+SELECT DISTINCT 'l' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR), 'o' || CAST(l_orderkey - l_orderkey % 4 + 1 AS VARCHAR), 'type_ref',
+       'pkg' || CAST(o_custkey % 7 AS VARCHAR) || '/f' || CAST(o_custkey % 100 AS VARCHAR) || '.py', CAST(l_orderkey * 10 + l_linenumber + 5 AS BIGINT) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 4 <> 1""",
+    "families": """
+SELECT CAST(floor(o_custkey / 10) AS BIGINT) AS q, 'w' || CAST(l_suppkey % 8 AS VARCHAR) AS obligation, 'pkg' || CAST(o_custkey % 7 AS VARCHAR) AS module, 'm.Order' || CAST(l_orderkey % 50 AS VARCHAR) || '.line' || CAST(l_linenumber AS VARCHAR) AS entry,
+       'm.Order' || CAST(l_partkey % 40 AS VARCHAR) AS terminal, list_value(CASE l_linenumber % 3 WHEN 0 THEN 'type_ref' WHEN 1 THEN 'call' ELSE 'implements' END) AS relations, list_value(CAST(l_orderkey % 50 AS VARCHAR), CAST(l_partkey % 40 AS VARCHAR)) AS nodes,
+       CASE l_linenumber WHEN 1 THEN 0 ELSE 1 END AS identity, CAST(l_quantity AS INTEGER) % 5 AS overlap, l_partkey % 10 AS relevance, l_linenumber % 2 + 1 AS direction, 'pkg' || CAST(o_custkey % 7 AS VARCHAR) || '/f' || CAST(o_custkey % 100 AS VARCHAR) || '.py' AS file,
+       CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS line
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
 }
 #: Fragments that read other fragments come with them.
 _ANSI = (("list_value(", "array("), ("TIMESTAMP '", "TIMESTAMP_NTZ '"), ("VARCHAR", "STRING"))

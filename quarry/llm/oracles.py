@@ -42,21 +42,42 @@ WITH d AS (  -- pieces of a text: a unit and the separator after it (a blank tha
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(regexp_replace(coalesce(text, ''), '([.!?]) ', '\1' || chr(57344), 'g'), '[^\n' || chr(57344) || ']*[\n' || chr(57344) || ']?') AS ls FROM documents),
 u AS (
-  SELECT doc_id, i, ls[i] AS p, rtrim(ls[i], chr(10) || chr(57344)) AS l, regexp_extract_all(translate(rtrim(ls[i], chr(10) || chr(57344)),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
-         (sum(length(ls[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(ls[i])) AS s
+  SELECT doc_id, i, ls[i] AS p, rtrim(ls[i], chr(10) || chr(57344)) AS l, (sum(length(ls[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(ls[i])) AS s,
+         regexp_extract_all(rtrim(ls[i], chr(10) || chr(57344)), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS w
   FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
-k AS (SELECT *, list_aggregate(w, 'string_agg', ' ') AS norm FROM u WHERE len(w) > 0),
-r AS (SELECT *, len(w) >= 14 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM k),
-x AS (
-  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-         string_agg(CASE WHEN gone THEN s || ':' || (s + length(l)) END, ',' ORDER BY s) AS spans FROM r GROUP BY doc_id),
-z AS (
-  SELECT u.doc_id, string_agg(replace(u.p, chr(57344), ' '), '' ORDER BY u.i) AS kept
-  FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.i = u.i AND r.gone WHERE r.i IS NULL GROUP BY u.doc_id)
-SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)
+k AS (SELECT *, len(w) AS n FROM u WHERE len(w) > 0),
+v AS (  -- words with the blanks after them; the blanks before the first one go with it
+  SELECT doc_id, i, n, j, CASE WHEN j = 1 THEN length(l) - list_sum(list_transform(w, lambda x: length(x))) ELSE 0 END + length(w[j]) AS size,
+         translate(rtrim(w[j], chr(9) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word
+  FROM (SELECT *, unnest(generate_series(1, len(w))) AS j FROM k)),
+m AS (SELECT *, n > 25 AND lag(list_sum(list_transform(string_split(word, ''), lambda x: unicode(x))) % 32 = 0) OVER (PARTITION BY doc_id, i ORDER BY j) AS marked FROM v),
+g AS (SELECT *, sum((j = 1 OR marked)::INT) OVER (PARTITION BY doc_id, i ORDER BY j) AS part FROM m),
+h AS (SELECT *, j = 1 OR marked OR (n > 25 AND (row_number() OVER (PARTITION BY doc_id, i, part ORDER BY j) - 1) % 24 = 0) AS begins FROM g),
+y AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, i ORDER BY j) AS t FROM h),
+tile AS (SELECT doc_id, i, t, sum(size) AS size, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS norm, max(t) OVER (PARTITION BY doc_id, i) AS tiles FROM y GROUP BY doc_id, i, t),
+unit AS (SELECT doc_id, i, sum(n) AS n, string_agg(norm, ' ' ORDER BY t) AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o,
+                sum(sum(n)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM tile GROUP BY doc_id, i),
+item AS (SELECT doc_id, i, 0 AS t, norm FROM unit WHERE n >= 14 UNION ALL SELECT doc_id, i, t, norm FROM tile WHERE n >= 14 AND tiles > 1),
+twice AS (SELECT * FROM item QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, t) > 1),
+block AS (
+  SELECT a.doc_id, a.i, max(b.i) AS last, string_agg(b.norm, ' ' ORDER BY b.i) AS norm FROM unit a JOIN unit b ON b.doc_id = a.doc_id AND b.o >= a.o AND b.upto - b.n - (a.upto - a.n) < 40
+  GROUP BY a.doc_id, a.i HAVING sum(b.n) >= 40 AND count(*) > 1 AND min(b.n) < 14),
+later AS (SELECT * FROM block QUALIFY min(doc_id) OVER (PARTITION BY norm) < doc_id),
+cover AS (SELECT DISTINCT u.doc_id, u.i FROM unit u JOIN later b ON b.doc_id = u.doc_id AND u.i BETWEEN b.i AND b.last),
+state AS (
+  SELECT tile.*, c.i IS NOT NULL OR w.i IS NOT NULL OR p.i IS NOT NULL AS gone FROM tile LEFT JOIN cover c ON c.doc_id = tile.doc_id AND c.i = tile.i
+  LEFT JOIN twice w ON w.doc_id = tile.doc_id AND w.i = tile.i AND w.t = 0 LEFT JOIN twice p ON p.doc_id = tile.doc_id AND p.i = tile.i AND p.t = tile.t AND p.t > 0),
+spot AS (SELECT *, sum(size) OVER (PARTITION BY doc_id, i ORDER BY t) - size AS a, t - sum(gone::INT) OVER (PARTITION BY doc_id, i ORDER BY t) AS run, bool_and(gone) OVER (PARTITION BY doc_id, i) AS whole FROM state),
+span AS (SELECT spot.doc_id, spot.i, min(u.s + a) AS s, max(u.s + a + size) AS e FROM spot JOIN u ON u.doc_id = spot.doc_id AND u.i = spot.i WHERE gone GROUP BY spot.doc_id, spot.i, run),
+x AS (SELECT doc_id, count(*) AS n_removed, string_agg(s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s) AS spans FROM span GROUP BY doc_id),
+part AS (
+  SELECT u.doc_id, u.i, CASE WHEN bool_or(spot.whole) THEN '' WHEN bool_or(spot.gone) THEN
+         string_agg(substr(u.l, (a + 1)::BIGINT, size::BIGINT), '' ORDER BY t) FILTER (NOT gone) || substr(any_value(u.p), length(any_value(u.l)) + 1) ELSE any_value(u.p) END AS kept
+  FROM u LEFT JOIN spot ON spot.doc_id = u.doc_id AND spot.i = u.i GROUP BY u.doc_id, u.i),
+z AS (SELECT doc_id, string_agg(replace(kept, chr(57344), ' '), '' ORDER BY i) AS kept FROM part GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_units FROM unit GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
 OP7 = r"""

@@ -220,25 +220,127 @@ def test_ablation_counts(docs):
 # --- op3 ------------------------------------------------------------------------------------------------------
 
 
+def line_units(text, kind):
+    """(start, end) of the units with a word."""
+    if kind == "line":
+        bounds = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
+    elif kind == "paragraph":
+        bounds = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+(\n[^\n]+)*", text)]
+    else:
+        edges = [0, *(m.end() for m in re.finditer(r"\n|(?<=[.!?]) ", text)), len(text) + 1]
+        bounds = [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(a, b) for a, b in bounds if WORD.search(text[a:b])]
+
+
+def line_layout(text, kind):
+    """Units as lists of tiles (start, end, words)."""
+    out = []
+    for a, b in line_units(text, kind):
+        words = list(WORD.finditer(text, a, b))
+        said = [m.group().translate(LOWER) for m in words]
+        cuts, since = [0], 0
+        for k in range(1, len(words) if len(words) > 25 else 0):
+            since += 1
+            if sum(map(ord, said[k - 1])) % 32 == 0:
+                since = 0
+            if since % 24 == 0:
+                cuts.append(k)
+        edges = [a, *(words[k].start() for k in cuts[1:]), b]
+        out.append([(s, e, tuple(said[i:j])) for s, e, i, j in zip(edges, edges[1:], cuts, [*cuts[1:], len(words)], strict=False)])
+    return out
+
+
+def line_brute(rows, kind, least=14, block=40):
+    """{(id, text): removed spans} by the rule: units and pieces seen before, blocks of earlier documents."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    laid = [(k, line_layout(t, kind)) for k, (_, t) in enumerate(rows)]
+    seen, blocks, gone = set(), {}, [set() for _ in rows]
+    for k, units in laid:
+        said = [sum((t[2] for t in u), ()) for u in units]
+        for i, u in enumerate(units):
+            if len(said[i]) >= least:
+                if said[i] in seen:
+                    gone[k] |= {(i, t) for t in range(len(u))}
+                seen.add(said[i])
+            for t, tile in enumerate(u if len(u) > 1 else []):
+                if len(tile[2]) >= least:
+                    if tile[2] in seen:
+                        gone[k].add((i, t))
+                    seen.add(tile[2])
+        for i in range(len(units)):
+            j = next((j for j in range(i, len(units)) if sum(map(len, said[i : j + 1])) >= block), None)
+            if j is not None and j > i:
+                words = sum(said[i : j + 1], ())
+                if blocks.setdefault(words, k) != k:
+                    gone[k] |= {(x, t) for x in range(i, j + 1) for t in range(len(units[x]))}
+    out = {}
+    for (k, units), (i, t) in zip(laid, rows, strict=True):
+        spans = []
+        for u, tiles in enumerate(units):
+            for n, (s, e, _) in enumerate(tiles):
+                if (u, n) in gone[k]:
+                    if (u, n - 1) in gone[k]:
+                        spans[-1] = (spans[-1][0], e)
+                    else:
+                        spans.append((s, e))
+        out[i, t] = spans
+    return out
+
+
+def line_kept(text, spans, kind):
+    whole, out, at = set(line_units(text, kind)), [], 0
+    for s, e in spans:
+        out.append(text[at:s])
+        at = e + 1 if (s, e) in whole else e
+    return "".join([*out, text[at:]])
+
+
 @pytest.mark.parametrize("kind", ["sentence", "line", "paragraph"])
 def test_line_dedup(docs, kind):
-    rows = sorted({(i is None, i or 0, t) for i, t in texts(docs) if t}, key=lambda r: r[:2])
-    seen, want = set(), {}
-    for last, i, t in rows:
-        spans, at = [], 0
-        units = {"sentence": lambda t=t: re.split(r"\n|(?<=[.!?]) ", t), "line": lambda t=t: t.split("\n"), "paragraph": lambda t=t: re.split(r"(\n\n+)", t)}[kind]()
-        for u in units:
-            w = tuple(WORD.findall(u.translate(LOWER)))
-            body = u.strip("\n")
-            if w and len(w) >= line_dedup.MIN_WORDS:
-                if w in seen:
-                    start = at + (len(u) - len(u.lstrip("\n")))
-                    spans.append((start, start + len(body)))
-                seen.add(w)
-            at += len(u) + (0 if kind == "paragraph" else 1)
-        want[(None if last else i, t)] = spans
-    got = {(r["doc_id"], r["text"]): [(s["start"], s["end"]) for s in r["removed"]] for r in line_dedup.line_dedup(docs, kind).where("text <> ''").collect()}
-    assert got == want
+    want = line_brute({(i, t) for i, t in texts(docs) if t}, kind)
+    rows = line_dedup.line_dedup(docs, kind).where("text <> ''").collect()
+    assert {(r["doc_id"], r["text"]): [(s["start"], s["end"]) for s in r["removed"]] for r in rows} == want
+    assert all(r["kept_text"] == line_kept(r["text"], want[r["doc_id"], r["text"]], kind) for r in rows)
+    assert all(r["n_units"] == len(line_units(r["text"], kind)) for r in rows)
+
+
+def made_up_lines(n, seed):
+    """Texts of sentences of many lengths, with passages of others pasted into them, at line ends and inside lines."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdeéß漢Z"), int(rng.integers(1, 5))))
+    out = []
+    for k in range(n):
+        parts = []
+        for _ in range(int(rng.integers(1, 14))):
+            if out and rng.random() < 0.3:
+                other = out[int(rng.integers(0, len(out)))]
+                a = int(rng.integers(0, len(other)))
+                parts.append(other[a : a + int(rng.integers(50, 500))])
+            else:
+                parts.append(" ".join(word() for _ in range(int(rng.choice([3, 8, 15, 60])))))
+            parts.append(str(rng.choice([". ", "\n", " ", "? ", "\n\n", " \t"])))
+        out.append("".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["sentence", "line", "paragraph"])
+def test_line_dedup_of_pasted_passages(spark, kind):
+    made = [(i, t) for i, t in enumerate(made_up_lines(150, 5)) if t]
+    want = line_brute(made, kind)
+    rows = line_dedup.line_dedup(spark.createDataFrame(made, "doc_id int, text string").repartition(3), kind).collect()
+    assert {(r["doc_id"], r["text"]): [(s["start"], s["end"]) for s in r["removed"]] for r in rows} == want
+    assert all(r["kept_text"] == line_kept(r["text"], want[r["doc_id"], r["text"]], kind) for r in rows)
+    assert sum(map(bool, want.values())) > 50
+
+
+def test_short_lines_in_a_row_and_long_lines_around(spark):
+    poem = "\n".join(f"line {i} of a poem that stands in two texts" for i in range(8))
+    run = " ".join(f"word{i * 7919 % 1000}" for i in range(90))
+    rows = [(1, f"Before it.\n{poem}\nAfter it."), (2, f"Other words.\n{poem}\nAnd an end."), (3, f"{run} a first end"), (4, f"quite another beginning than {run}")]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert not got[1]["removed"] and not got[3]["removed"]
+    assert got[2]["kept_text"] == "Other words.\nAnd an end."
+    assert 0 < len(got[4]["kept_text"]) < 0.6 * len(rows[3][1])
 
 
 def test_a_passage_inside_longer_lines_goes(spark):

@@ -365,10 +365,10 @@ def _to_rows(keys: DataFrame, row_bytes: int) -> DataFrame:
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, u1, u2, sketch, text): one text of every wanted class."""
-    texts = docs.select(*row_keys(), "text").select(F.col("k1").alias("text_row"), "text")
+    texts = docs.select(*row_keys(), "text")
     # rows equal in id and text all come
-    keys = _to_rows(wanted.select("text_row", "cid", "u1", "u2", "sketch"), 64 + WIDTH)
-    return texts.join(keys, "text_row").select("cid", "u1", "u2", "sketch", "text").dropDuplicates(["cid"])
+    keys = _to_rows(wanted.select("k1", "k2", "cid", "u1", "u2", "sketch"), 72 + WIDTH)
+    return texts.join(keys, ["k1", "k2"]).select("cid", "u1", "u2", "sketch", "text").dropDuplicates(["cid"])
 
 
 def confirmed(work: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -408,7 +408,7 @@ def confirmed(work: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                 if key != now:
                     flush()
                     now = key
-                # a row that only shares the key of the wanted text has another set
+                # a text whose set is not the class's own would be no witness of its links
                 if at[k + 1] > at[k] and int(u1[k].view(np.int64)) == w1[k] and int(u2[k].view(np.int64)) == w2[k]:
                     rows.append((cids[k], sides[k], labels[k], sketches[k], h[at[k] : at[k + 1]].copy(), raw[offs[k] : offs[k + 1]]))
             if len(out) > 10_000:
@@ -434,7 +434,7 @@ def grouped(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     sig = cut(signatures(docs, n_bands(threshold)))
     keeper = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
     classes = sig.where("n_shingles > 0").groupBy("u1", "u2", "n_shingles").agg(F.min(keeper).alias("keeper"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.withColumns({"cid": F.monotonically_increasing_id(), "text_row": F.col("keeper.k1")}))
+    classes = cut(classes.withColumns({"cid": F.monotonically_increasing_id(), "k1": F.col("keeper.k1"), "k2": F.col("keeper.k2")}))
     shared = cut(shared_buckets(classes))
     wanted = cut(classes.join(shared, "cid", "left_semi"))  # the classes with a partner in some bucket
     texts = cut(texts_of(docs, wanted))

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textbytes as tb
@@ -44,8 +44,25 @@ BAND = 25  # starts that share a core, where a minimizer is hot
 GROUP_LIMIT = 256
 
 
-def doc_key():
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def doc_keys() -> tuple[Column, Column]:
+    """Two numbers, together the same only for rows equal in id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64("doc_id", text), F.xxhash64(F.lit("row"), "doc_id", text)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the key ``dk``, the same only for rows equal in id and text.
+
+    One number goes through all shuffles. Where different rows share it, which both numbers tell beforehand, theirs is
+    made from both; there are next to none of them.
+    """
+    k1, k2 = doc_keys()
+    both = docs.select(k1.alias("dk"), k2.alias("k2"))
+    clash = cut(both.groupBy("dk").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo <> hi").select("dk"))
+    if clash.isEmpty():
+        return docs.select("doc_id", "text", k1.alias("dk"))
+    marked = docs.select("doc_id", "text", k1.alias("dk"), k2.alias("k2")).join(clash.withColumn("_shared", F.lit(True)), "dk", "left")
+    return marked.select("doc_id", "text", F.when(F.col("_shared"), F.xxhash64("dk", "k2")).otherwise(F.col("dk")).alias("dk"))
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -103,7 +120,7 @@ def runs(docs: DataFrame) -> DataFrame:
                 ["dk", "mh", "sh", "at", "reps"],
             )
 
-    return arrow_map(docs.select(doc_key().alias("dk"), "text"), run, "dk long, mh long, sh long, at long, reps long")
+    return arrow_map(docs.select("dk", "text"), run, "dk long, mh long, sh long, at long, reps long")
 
 
 def _spans_of(flags: np.ndarray) -> list[dict]:
@@ -132,7 +149,7 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["mh", "sh", "weight", "far", "hot", "seg"],
             )
 
-    joined = docs.select(doc_key().alias("dk"), "text").join(lists, "dk").select("text", "segs")
+    joined = docs.select("dk", "text").join(lists, "dk").select("text", "segs")
     return arrow_map(joined, run, "mh long, sh long, weight long, far int, hot boolean, seg binary")
 
 
@@ -196,7 +213,7 @@ def count_windows(segments: DataFrame) -> DataFrame:
 
     each = arrow_map(segments.select("mh", "sh", "weight", "seg"), run, "mh long, sh long, weight long, k int, wh long")
     # equal windows have equal minimizers, so both hashes have to agree
-    twice = each.groupBy("mh", "wh").agg(F.sum("weight").alias("n")).where("n > 1").select("mh", "wh")
+    twice = cut(each.groupBy("mh", "wh").agg(F.sum("weight").alias("n")).where("n > 1").select("mh", "wh"))
     return each.join(twice, ["mh", "wh"]).groupBy("mh", "sh").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
 
 
@@ -241,9 +258,10 @@ def split_hot(segments: DataFrame) -> DataFrame:
     """Repeated starts of the segments of hot minimizers: bands of equal cores go through the expansion; only where
     even one core has too many distinct sub-segments are its windows counted one by one."""
     parts = cut(bands(segments))
-    distinct = parts.groupBy("ch", "wh").agg(F.sum("weight").alias("weight"), F.first("seg").alias("seg"))
+    # aggregates that are joined back are made tables first: AQE can then split the joins where a core is hot
+    distinct = cut(parts.groupBy("ch", "wh").agg(F.sum("weight").alias("weight"), F.first("seg").alias("seg")))
     kinds = parts.groupBy("ch", "wh").agg(F.sum("weight").alias("w")).groupBy("ch").agg(F.count(F.lit(1)).alias("kinds"), F.sum("w").alias("all"))
-    cores = distinct.join(kinds.where(F.col("all") > 1), "ch").select(F.col("ch").alias("mh"), F.col("wh").alias("sh"), "weight", "seg", "kinds")
+    cores = distinct.join(cut(kinds.where(F.col("all") > 1)), "ch").select(F.col("ch").alias("mh"), F.col("wh").alias("sh"), "weight", "seg", "kinds")
     cores = cut(cores)
     hits = expand(cores.where(F.col("kinds") <= GROUP_LIMIT)).unionByName(count_windows(cores.where(F.col("kinds") > GROUP_LIMIT)))
     hits = hits.where(F.size("spans") > 0).select(F.col("mh").alias("ch"), F.col("sh").alias("wh"), F.explode("spans").alias("x"))
@@ -266,8 +284,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     often = cut(found.groupBy("mh").agg(F.sum("reps").alias("n")).where("n > 1").select("mh"))
     again = cut(found.join(often, "mh"))
     release(spark)
-    distinct = again.groupBy("mh", "sh").agg(F.sum("reps").alias("weight"), F.min(F.struct("dk", "at")).alias("rep"))
-    groups = distinct.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds"))
+    distinct = cut(again.groupBy("mh", "sh").agg(F.sum("reps").alias("weight"), F.min(F.struct("dk", "at")).alias("rep")))
+    groups = cut(distinct.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")))
     segs = cut(distinct.join(groups, "mh").select("mh", "sh", "weight", "rep.dk", "rep.at", "kinds", (F.col("kinds") > GROUP_LIMIT).alias("hot")))
     settled = segs.where("kinds = 1").select(
         "mh", "sh", F.array(F.struct(F.lit(0).alias("a"), F.col("at").bitwiseAND(127).cast("int").alias("b"))).alias("spans")
@@ -282,6 +300,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_bytes, removed (byte ranges, merged), kept (the remaining bytes)."""
+    docs = keyed(docs)
     ranges = cut(repeated_windows(docs).groupBy("dk").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
     release(docs.sparkSession)
 
@@ -302,7 +321,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text", "n_bytes", "removed", "kept"],
             )
 
-    joined = docs.select("doc_id", "text", doc_key().alias("dk")).join(ranges, "dk", "left").select("doc_id", "text", "ranges")
+    joined = docs.select("doc_id", "text", "dk").join(ranges, "dk", "left").select("doc_id", "text", "ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_map(joined, run, f"doc_id {kind}, text string, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 

@@ -87,6 +87,18 @@ def test_keep_one(docs):
     assert got[1] == 1 and got[2] == got[3] == got[8] == 0 and got[4] == got[5] == got[6] == got[7] == 1
 
 
+def test_documents_that_share_a_key_keep_their_links(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    made = []
+    for i in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+        made += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:50] + ["other"] + words[51:]))]
+    real = near_dedup.row_keys
+    monkeypatch.setattr(near_dedup, "row_keys", lambda: [F.pmod(real()[0], F.lit(97)).alias("k1"), real()[1]])
+    got = near_dedup.near_dedup(spark.createDataFrame(made, "doc_id int, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
 def _groups(n, pairs):
     p = list(range(n))
 
@@ -177,7 +189,7 @@ def test_one_coarse_component_stays_linear(spark):
     some = [" ".join(f"c{i}" for i in range(k, k + 60)) for k in range(0, 120_000, 12)]
     docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(8)
     sig = near_dedup.cut(near_dedup.signatures(docs, near_dedup.n_bands(85)))
-    classes = sig.select("n_shingles", "u1", "u2", F.col("k1").alias("text_row"), "bands", "sketch", F.monotonically_increasing_id().alias("cid"))
+    classes = sig.select("n_shingles", "u1", "u2", "k1", "k2", "bands", "sketch", F.monotonically_increasing_id().alias("cid"))
     classes = near_dedup.cut(classes)
     shared = near_dedup.cut(near_dedup.shared_buckets(classes))
     texts = near_dedup.cut(near_dedup.texts_of(docs, classes.join(shared, "cid", "left_semi")))
@@ -379,6 +391,19 @@ def test_suffix_dedup(docs, monkeypatch, limit):
     assert bag((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
 
+def test_documents_that_share_a_key_lose_only_their_own_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    shared = [word(60) for _ in range(5)]
+    made = [(i, word(int(rng.integers(10, 120))) + (" " + shared[i % 5] + " " if i % 4 == 0 else " ") + word(20)) for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id int, text string")
+    want = bag((i, *c) for (i, _), c in zip(made, covered([t.encode() for _, t in made]), strict=True))
+    real = suffix_dedup.doc_keys
+    monkeypatch.setattr(suffix_dedup, "doc_keys", lambda: (F.pmod(real()[0], F.lit(53)), real()[1]))
+    got = suffix_dedup.suffix_dedup_digest(docs).collect()
+    assert bag((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_interval_expansion(seed):
     rng = np.random.default_rng(seed)

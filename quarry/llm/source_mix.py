@@ -29,10 +29,16 @@ CAP = 3
 SEED = "mix-1"
 WORD = "[^\\x20\\x09-\\x0D]+"
 PUNCTUATION = "#*$%&|<>{}[]"
+LEAST_WEIGHT = 1e-3
 
 
-def sized(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, source, size in words, quality weight in (0.5, 1] and the uniform draw u in (0, 1)."""
+def sized(docs: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """keys, source, size in words, quality weight and the uniform draw u in (0, 1).
+
+    The weight is the column of that name (say a classifier's score), at least ``LEAST_WEIGHT``; without one, or where it is
+    null or no number, it is (0.5, 1] by punctuation clutter.
+    """
+    given = F.lit(None).cast("double") if weight is None else F.col(f"`{weight}`").cast("double")
     text = F.coalesce("text", F.lit(""))
     clutter = F.length(text) - F.length(F.translate(text, PUNCTUATION, ""))
     hexed = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.md5(text))))
@@ -42,7 +48,8 @@ def sized(docs: DataFrame, keys: list[str]) -> DataFrame:
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         clutter.cast("long").alias("clutter"),
         ((F.conv(F.substring(hexed, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))).alias("u"),
-    ).select(*keys, "source", "size", quality().alias("quality"), "u")
+        F.when(~F.isnan(given), F.greatest(given, F.lit(LEAST_WEIGHT))).alias("given"),
+    ).select(*keys, "source", "size", F.coalesce("given", quality()).alias("quality"), "u")
 
 
 def quality() -> Column:
@@ -77,13 +84,14 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     return per.select("source", "source_size", target.alias("target"))
 
 
-def source_mix(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def source_mix(docs: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """keys (doc_id), source, size, source_size, target, taken (words taken, repeats counted).
 
-    The draws always come from doc_id; ``keys`` are the columns that name a row in the result.
+    The draws always come from doc_id; ``keys`` are the columns that name a row in the result, ``weight`` the one that
+    holds the documents' quality weights, if any does.
     """
     keys = keys or ["doc_id"]
-    rows = cut(sized(docs, keys))  # a few numbers a document; the texts are read once
+    rows = cut(sized(docs, keys, weight))  # a few numbers a document; the texts are read once
     # one small row per source, joined by a hash on the source; AQE splits a hot source
     goal = targets(rows).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -105,17 +113,21 @@ def source_mix(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def take(docs: DataFrame) -> DataFrame:
+def take(docs: DataFrame, weight: str | None = None) -> DataFrame:
     """The documents of the mix: every column of ``docs`` and ``copies``, how often the document is taken.
 
+    ``weight`` names the column of quality weights, if any.
+
     An input column of that name stays as it is, and the number is then called ``mix_copies``.
     """
     covered, names = under_cover(docs)
     by_name = dict(zip(docs.columns, names, strict=True))
     keyed = covered.withColumn("doc_id", F.col(by_name["doc_id"])).withColumn("source", F.col(by_name["source"]))
     keyed = keyed.select(*names, "doc_id", "source", *row_keys())
-    keyed = keyed.withColumns({k: F.xxhash64(k, "source") for k in ("k1", "k2")})
-    mix = source_mix(keyed.select("doc_id", "text", "source", "k1", "k2"), ["k1", "k2"])
+    told = ["source"] if weight is None else ["source", by_name[weight]]
+    keyed = keyed.withColumns({k: F.xxhash64(k, *told) for k in ("k1", "k2")})
+    given = [] if weight is None else [F.col(by_name[weight]).alias("_weight")]
+    mix = source_mix(keyed.select("doc_id", "text", "source", "k1", "k2", *given), ["k1", "k2"], "_weight" if given else None)
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
     groups = mix.select("k1", "k2", copies.alias("c")).groupBy("k1", "k2").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("n"))
     groups = cut(groups.where("high > 0"))

@@ -690,6 +690,19 @@ def test_source_mix_takes_some_of_many_equal_rows(spark):
     assert bag(map(tuple, again.collect())) == bag(map(tuple, mix.collect()))
 
 
+def test_mix_by_given_weights(spark):
+    """Documents of a large weight are drawn first; what is no weight counts as none given."""
+    rows = [(i, " ".join(["w"] * 20), "a" if i < 300 else "b", 100.0 if i % 3 == 0 else 0.001 if i % 3 == 1 else None if i % 2 else float("nan")) for i in range(330)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, score double")
+    plain = source_mix.source_mix(docs).groupBy("source").agg(F.sum("taken")).orderBy("source").collect()
+    mixed = source_mix.source_mix(docs, weight="score")
+    assert mixed.groupBy("source").agg(F.sum("taken")).orderBy("source").collect() == plain
+    share = {r[0]: r[1] for r in mixed.where("source = 'a'").groupBy(F.col("doc_id") % 3).agg(F.avg((F.col("taken") > 0).cast("int"))).collect()}
+    assert share[0] == 1 and share[1] < 0.5 < 0.95 < share[2]
+    taken = source_mix.take(docs, "score")
+    assert taken.columns == [*docs.columns, "copies"] and taken.where("source = 'a' and doc_id % 3 = 0").count() == 100
+
+
 # --- op9 ------------------------------------------------------------------------------------------------------
 
 

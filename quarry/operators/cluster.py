@@ -204,54 +204,97 @@ def hybrid_graph(edges: DataFrame, nodes: DataFrame, scale: float = 0.5) -> Data
     return e.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum("w").alias("weight"))
 
 
-def _local_moves(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> DataFrame:
+def _turn(round_: int) -> Column:
+    """Half of the nodes, the other half in the next round; every two rounds other halves, so that neighbours part."""
+    return F.pmod(F.xxhash64("a", F.lit(7), F.lit(round_ // 2)), F.lit(2)) == round_ % 2
+
+
+def _local_moves(both: DataFrame, start: DataFrame, total: float, rounds: int, resolution: float) -> DataFrame:
     """(a, deg, label) after synchronous moves of nodes to the neighbouring community of the largest modularity gain.
 
-    In even rounds only nodes with an even hash move, in odd rounds the others, so that two neighbours seldom swap labels.
+    ``start`` has the same columns. Half of the nodes move in a round, so that two neighbours seldom swap labels.
     """
-    label = cut(degree.select("a", "deg", F.col("a").alias("label")))
+    label = start
     for i in range(rounds):
         mass = label.groupBy("label").agg(F.sum("deg").alias("mass"))
-        near = both.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        scored = near.join(mass, "label").join(label.select("a", "deg", F.col("label").alias("own")), "a")
+        near = both.where("a <> b").join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
+        own = label.select("a", "deg", F.col("label").alias("own"))
+        # a node none of whose neighbours is in its community may stay there, with nothing to hold it
+        near = near.unionByName(own.select("a", F.col("own").alias("label"), F.lit(0.0).alias("w"))).groupBy("a", "label").agg(F.sum("w").alias("w"))
+        scored = near.join(mass, "label").join(own, "a")
         rest = F.col("mass") - F.when(F.col("label") == F.col("own"), F.col("deg")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("deg") * rest / F.lit(float(total)), 9)
+        gain = F.round(F.col("w") - resolution * F.col("deg") * rest / F.lit(float(total)), 9)
         best = scored.groupBy("a").agg(F.max(F.struct(gain.alias("gain"), (F.col("label") == F.col("own")).alias("stay"), "label")).alias("m"))
-        moves = F.pmod(F.xxhash64("a", F.lit(7)), F.lit(2)) == i % 2
-        new = label.join(best, "a", "left").select("a", "deg", F.when(moves & (F.col("m.gain") > 0), F.col("m.label")).otherwise(F.col("label")).alias("label"))
-        changed = cut(new)
-        moved = changed.join(label.select("a", F.col("label").alias("old")), "a").where("label <> old").limit(1).count()
-        label = changed
+        new = label.join(best, "a").select("a", "deg", F.when(_turn(i), F.col("m.label")).otherwise(F.col("label")).alias("label"), F.col("label").alias("_old"))
+        new = cut(new)
+        moved = not new.where("label <> _old").isEmpty()
+        label = new.drop("_old")
         if not moved and i % 2:
             break
     return label
 
 
-def communities(graph: DataFrame, rounds: int = 10, levels: int = 1) -> DataFrame:
-    """Modularity communities: local moves, then (``levels``) the same on the graph of communities while that merges any.
+def _refined(both: DataFrame, moved: DataFrame, total: float, rounds: int, resolution: float) -> DataFrame:
+    """(a, deg, label, sub): every community parted into well-connected pieces, from single nodes up.
 
-    Last, a community that is not connected inside is split into its connected parts, each named by its smallest node. A
-    distributed stand-in for a sequential optimiser; isolated nodes are singletons.
+    In its turn, a node that is still alone and well connected to the rest of its community joins the piece of the
+    largest gain, if it gains and that piece is well connected too; pieces whose only node may itself move in this
+    round are not joined. A node joins a piece by an edge and never leaves, so pieces are connected.
+    """
+    end = moved.select(F.col("a").alias("b"), F.col("label").alias("other"))
+    inner = cut(both.where("a <> b").join(moved.select("a", "label"), "a").join(end, "b").where("label = other").select("a", "b", "weight"))
+    mass = moved.groupBy("label").agg(F.sum("deg").alias("whole"))
+    held = inner.groupBy("a").agg(F.sum("weight").alias("w"))
+    sub = cut(moved.join(mass, "label").join(held, "a").select("a", "deg", "label", "whole", F.col("a").alias("sub"), F.col("w").alias("_in")))
+    # with the rest of the community: weight against what the degrees make one expect
+    loose = lambda w, deg: F.round(w - resolution * deg * (F.col("whole") - deg) / F.lit(float(total)), 9)
+    sub = sub.withColumn("_well", loose(F.col("_in"), F.col("deg")) >= 0).drop("_in")
+    for i in range(rounds):
+        ends = inner.join(sub.select("a", "sub"), "a").join(sub.select(F.col("a").alias("b"), F.col("sub").alias("to")), "b")
+        out = ends.where("sub <> to").groupBy("sub").agg(F.sum("weight").alias("w"))
+        piece = sub.groupBy("sub").agg(F.sum("deg").alias("mass"), F.count(F.lit(1)).alias("size"), F.max("whole").alias("whole"), F.max("_well").alias("_well"))
+        piece = piece.join(out, "sub").withColumn("moves", (F.col("size") == 1) & F.col("_well") & F.pmod(F.xxhash64("sub", F.lit(11), F.lit(i)), F.lit(2)).cast("boolean"))
+        piece = cut(piece.withColumn("firm", loose(F.col("w"), F.col("mass")) >= 0).select("sub", "mass", "moves", "firm"))
+        movers = sub.join(piece.where("moves").select("sub"), "sub", "left_semi").select("a", "deg")
+        # edges of movers to pieces that stay
+        to = ends.join(movers, "a").groupBy("a", "deg", F.col("to").alias("sub")).agg(F.sum("weight").alias("w"))
+        to = to.join(piece.where("firm and not moves").select("sub", "mass"), "sub")
+        gain = F.round(F.col("w") - resolution * F.col("deg") * F.col("mass") / F.lit(float(total)), 9)
+        best = to.withColumn("gain", gain).where("gain > 0").groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("g"), "sub")).alias("m"))
+        sub = cut(sub.join(best, "a", "left").select("a", "deg", "label", "whole", F.coalesce("m.sub", "sub").alias("sub"), "_well"))
+    return moved.join(sub.select("a", "sub"), "a", "left").select("a", "deg", "label", F.coalesce("sub", "a").alias("sub"))
+
+
+def communities(graph: DataFrame, rounds: int = 8, levels: int = 6, refine_rounds: int = 6, resolution: float = 1.0) -> DataFrame:
+    """Modularity communities by local moves, refinement and aggregation, level by level.
+
+    Nodes move between communities; each community is then refined into well-connected pieces, the pieces are the nodes
+    of the next level, and that starts from the communities, not from the pieces. It ends when every community is one
+    node, after ``levels`` levels with the pieces of the last one: either way communities are connected. A larger
+    ``resolution`` gives smaller ones. Sums are rounded before they are compared, and ties go by id, so reruns agree.
+    Communities are named by their smallest node; isolated nodes are alone.
     """
     flat = cut(graph.select("a", "b", "weight").where("a <> b"))
-    both = cut(flat.unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    degree = cut(both.groupBy("a").agg(F.sum("weight").alias("deg")))
-    total = degree.agg(F.sum("deg")).first()[0] or 1.0
-    member = degree.select(F.col("a").alias("id"), F.col("a").alias("label"))
+    both = cut(flat.unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    label = cut(both.groupBy("a").agg(F.sum("weight").alias("deg")).withColumn("label", F.col("a")))
+    total = label.agg(F.sum("deg")).first()[0] or 1.0
+    member = label.select(F.col("a").alias("id"), F.col("a").alias("node"))
+    nodes = label.count()
     for _ in range(levels):
-        moved = _local_moves(both, degree, total, rounds)
-        member = cut(member.join(moved.select(F.col("a").alias("label"), F.col("label").alias("top")), "label").select("id", F.col("top").alias("label")))
-        merged = cut(moved.groupBy(F.col("label").alias("a")).agg(F.sum("deg").alias("deg")))
-        if merged.count() == degree.count():
+        moved = _local_moves(both, label, total, rounds, resolution)
+        if moved.select("label").distinct().count() == nodes:
+            break
+        parts = cut(_refined(both, moved, total, refine_rounds, resolution))
+        member = cut(member.join(parts.select(F.col("a").alias("node"), "sub"), "node").select("id", F.col("sub").alias("node")))
+        label = cut(parts.groupBy(F.col("sub").alias("a")).agg(F.sum("deg").alias("deg"), F.min("label").alias("label")))
+        before, nodes = nodes, label.count()
+        if nodes == before:
             break
-        names = moved.select("a", "label")
-        ends = both.join(names.withColumnsRenamed({"label": "x"}), "a").join(names.withColumnsRenamed({"a": "b", "label": "y"}), "b")
-        both = cut(ends.where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
-        degree = merged
-    inside = flat.join(member.withColumnsRenamed({"id": "a", "label": "x"}), "a").join(member.withColumnsRenamed({"id": "b", "label": "y"}), "b").where("x = y")
-    parts = connected_components(inside.select("a", "b")).withColumnsRenamed({"node": "id"})
-    loops = graph.select(F.col("a").alias("id")).union(graph.select("b")).distinct()
-    return loops.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+        ends = both.join(parts.select("a", F.col("sub").alias("x")), "a").join(parts.select(F.col("a").alias("b"), F.col("sub").alias("y")), "b")
+        both = cut(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
+    names = member.groupBy("node").agg(F.min("id").alias("cluster"))
+    alone = graph.select(F.col("a").alias("id")).union(graph.select("b")).distinct()
+    return alone.join(member.join(names, "node").select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def modularity(graph: DataFrame, members: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import confidence_rank, glob_column
+from quarry.operators.graph import frontier_loop
 from quarry.operators.ranking import positions
+from quarry.session import cut
 
 
 def for_branch(docs: DataFrame, branch: str) -> DataFrame:
@@ -43,28 +45,28 @@ def _touches(path: str) -> Column:
     return F.coalesce(F.exists("files", lambda f: F.contains(f, F.lit(path)) | F.contains(F.lit(path), f)), F.lit(False))
 
 
-def closure(relations: DataFrame, source: str) -> list[str]:
-    """forward transitive dependencies; for a leaf the reverse ones. The relation table is configuration: one row a
-    declared dependency of a source, so it is walked on the driver; a cycle on the way is an error."""
-    pairs = [(r["source_name"], r["depends_on"]) for r in relations.where("depends_on is not null").collect()]
-    forward: dict[str, set[str]] = {}
-    back: dict[str, set[str]] = {}
-    for a, b in pairs:
-        forward.setdefault(a, set()).add(b)
-        back.setdefault(b, set()).add(a)
-    graph = forward if source in forward else back
-    done: set[str] = set()
-
-    def walk(node: str, path: tuple[str, ...]) -> None:
-        if node in path:
-            raise ValueError(f"dependency cycle at {node}")
-        if node not in done:
-            for nxt in sorted(graph.get(node, ())):
-                walk(nxt, (*path, node))
-            done.add(node)
-
-    walk(source, ())
-    return sorted(done)
+def closure(relations: DataFrame, source: str) -> DataFrame:
+    """(source) the forward transitive dependencies of a source with itself; for a leaf the reverse ones.
+
+    The relation table is searched level by level and never leaves the executors. A cycle among the sources on the way is
+    an error: what is left after taking away, again and again, the dependencies that lead no further.
+    """
+    pairs = relations.where("source_name is not null and depends_on is not null").select("source_name", "depends_on").distinct()
+    if pairs.where(F.col("source_name") == source).isEmpty():
+        pairs = pairs.select(F.col("depends_on").alias("source_name"), F.col("source_name").alias("depends_on"))
+    pairs = cut(pairs)
+    start = relations.sparkSession.createDataFrame([(source,)], "source string")
+    step = lambda f: f.join(pairs, f["source"] == pairs["source_name"]).select(F.col("depends_on").alias("source"))
+    reached = frontier_loop(start, step, pairs.count(), ["source"]).select("source")
+    left = cut(pairs.join(reached.withColumnRenamed("source", "source_name"), "source_name"))
+    n = left.count()
+    while n:
+        going = left.select(F.col("source_name").alias("depends_on")).distinct()
+        left = cut(left.join(going, "depends_on", "left_semi"))
+        n, before = left.count(), n
+        if n == before:
+            raise ValueError(f"dependency cycle among {n} relations that {source} reaches")
+    return reached
 
 
 def admitted_themes(themes: DataFrame, members: DataFrame, docs: DataFrame, scope: list[str], environment: list[str] = (), floor: float = 0.10) -> DataFrame:

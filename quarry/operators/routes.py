@@ -1,4 +1,4 @@
-"""Menus of routes under quotas: route families with a drop ledger (G36), documents to symbol routes.
+"""Menus of routes under quotas: route families with a drop ledger (G36), components (G37), documents to symbol routes.
 
 Requests carry ``q`` and run at once; each cap is a ``row_number`` over what the cap before it left, so a row knows which
 cap it met. Spark cuts the groups of such windows before the shuffle where the cap is the filter above them.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.components import connected_components
 from quarry.operators.fanout import tokens
 from quarry.operators.filters import is_production
 from quarry.operators.paths import addressable
@@ -128,3 +129,31 @@ def document_matches(documents: DataFrame, questions: DataFrame, symbols: DataFr
     whole = whole.withColumn("depth", _number(["_at"], *by, "root") - 1)
     whole = whole.withColumn("_s", _number(["depth", "root"], *by, "route")).where("_s = 1").withColumn("n", _number(["depth", "root"], *by)).where(F.col("n") <= limit)
     return whole.select("q", "n", F.array_join("route", " > ").alias("route"), "file", F.col("origin").alias("origin_rank"), "depth", "structure_score")
+
+
+def component_menu(hops: DataFrame, routes: DataFrame, entries: int = 2, others: int = 4) -> DataFrame:
+    """What a reader chooses from: the connected parts of each request's hops (q, a, b, relation), one row each.
+
+    Parts are numbered by their smallest node. Entries are nodes that no hop of the request leads to, terminals those
+    that none leaves; what is neither is on the way. The first ``entries`` entries and ``others`` of the others are named,
+    by their last two parts; routes (q, route, symbol) belong where a symbol of theirs does.
+    Returns q, label, nodes, edges, entry, via, terminal, routes.
+    """
+    e = cut(hops.select("q", "a", "b", "relation").distinct())
+    key = lambda c: F.concat_ws("\u0001", F.col("q").cast("string"), c)
+    parts = connected_components(e.select(key("a").alias("a"), key("b").alias("b")), "a", "b")
+    ends = e.select("q", F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select("q", F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    nodes = ends.groupBy("q", "node").agg(F.max("out").alias("out"), F.max("in").alias("in"))
+    nodes = nodes.join(parts.select(F.col("node").alias("_k"), F.col("component").alias("_c")), key("node") == F.col("_k"))
+    role = F.when(F.col("in") == 0, F.lit("entry")).when(F.col("out") == 0, F.lit("terminal")).otherwise(F.lit("via"))
+    nodes = cut(nodes.select("q", "node", "_c", role.alias("role")).withColumn("_r", _number(["node"], "q", "_c", "role")))
+    short = F.array_join(F.slice(F.split("node", "[.]"), F.greatest(F.size(F.split("node", "[.]")) - 1, F.lit(1)), 2), ".")
+    named = nodes.where(F.col("_r") <= F.when(F.col("role") == "entry", entries).otherwise(others)).withColumn("name", short)
+    say = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == kind, F.struct("_r", "name")))), lambda x: x["name"]), ", ").alias(kind)
+    menu = named.groupBy("q", "_c").agg(say("entry"), say("via"), say("terminal"))
+    size = nodes.groupBy("q", "_c").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("_first"))
+    place = nodes.select("q", "node", "_c")
+    edges = e.join(place.withColumnRenamed("node", "a"), ["q", "a"]).groupBy("q", "_c").agg(F.count(F.lit(1)).alias("edges"))
+    held = routes.select("q", "route", F.col("symbol").alias("node")).join(place, ["q", "node"]).groupBy("q", "_c").agg(F.array_join(F.array_sort(F.collect_set("route")), ",").alias("routes"))
+    whole = size.join(edges, ["q", "_c"]).join(menu, ["q", "_c"]).join(held, ["q", "_c"], "left")
+    return whole.withColumn("label", _number(["_first"], "q")).select("q", "label", "nodes", "edges", "entry", "via", "terminal", F.coalesce("routes", F.lit("")).alias("routes"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,46 +11,38 @@ from pyspark.sql import functions as F
 from quarry.session import ship_package
 
 
+#: Where a long paragraph is best cut, in this order.
+BREAKS = (". ", "! ", "? ", "\n", " ")
+
+
 def cut_long(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of a long paragraph: end at a sentence, else at a space, past the middle of the window; then step back by the overlap."""
-    out, at = [], 0
+    """Windows of a long paragraph. A window ends after its last mark of the first kind that stands past its middle, and the
+    next one begins ``overlap`` characters before that end."""
+    out, at, back = [], 0, min(overlap, size - 1)
     while at < len(text):
-        end = min(at + size, len(text))
+        end = at + size
         if end < len(text):
-            for mark in (". ", " "):
-                k = text.rfind(mark, at + size // 2, end)
-                if k > at:
-                    end = k + (1 if mark == ". " else 0)
-                    break
-        piece = text[at:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            break
-        at = max(end - overlap, at + 1)
-    return out
+            ends = (text.rfind(mark, at, end) + len(mark) for mark in BREAKS if text.rfind(mark, at, end) > at + size // 2)
+            end = next(ends, end)
+        out.append(text[at:end].strip())
+        at = max(end - back, at + 1) if end < len(text) else len(text)
+    return [piece for piece in out if piece]
 
 
 def chunk_text(text: str | None, size: int = 500, overlap: int = 50) -> list[str]:
-    """Greedy packing of paragraphs up to ``size`` characters joined by blank lines; longer paragraphs are cut."""
-    out: list[str] = []
-    held = ""
-    for para in (p.strip() for p in (text or "").split("\n\n")):
-        if not para:
-            continue
-        if len(para) > size:
-            if held:
-                out.append(held)
-                held = ""
-            out.extend(cut_long(para, size, overlap))
-        elif held and len(held) + 2 + len(para) > size:
-            out.append(held)
-            held = para
-        else:
+    """Greedy packing of paragraphs up to ``size`` characters, two for the blank line between; a longer paragraph is cut,
+    and its last piece takes in what follows. A text that fits stays as it is."""
+    if not text or len(text) <= size:
+        return [text] if text else []
+    out, held = [], ""
+    for para in re.split(r"\n\n+", text):
+        if len(held) + len(para) + 2 <= size:
             held = f"{held}\n\n{para}" if held else para
-    if held:
-        out.append(held)
-    return out
+        else:
+            pieces = cut_long(para, size, overlap) if len(para) > size else [para]
+            out += [held, *pieces[:-1]]
+            held = pieces[-1] if pieces else ""
+    return [chunk for chunk in [*out, held] if chunk]
 
 
 def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:

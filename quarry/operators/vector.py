@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import camel_tokens, confidence_rank
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
+GATE_ANCHORS = 256
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only where the table has a proven small size; otherwise left to the optimizer."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and arrays by their length."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 8 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
+    return size
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only where the table has a proven small size, in rows and bytes; otherwise left to the optimizer."""
+    found = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= limit and found["size"] <= most else df
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -121,10 +135,10 @@ def rank_with_gate(primary: DataFrame, second: DataFrame, k: int) -> DataFrame:
 def gate_candidates(ground: DataFrame, anchors: DataFrame, q: list[float] | None, w_query: float, w_anchor: float, gate: float) -> DataFrame:
     """V14, first half: combined = (w_q q.v + w_a max anchor.v) weight, kept over the gate.
 
-    The anchors are a handful of selected rows, which are broadcast; if there should be many of them, both sides are
+    The anchors are a handful of selected rows, which are broadcast; beyond ``GATE_ANCHORS`` of them both sides are
     compared by pairs of blocks.
     """
-    if anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if anchors.limit(GATE_ANCHORS + 1).count() <= GATE_ANCHORS:
         best = ground.crossJoin(F.broadcast(anchors.select(F.col("v").alias("av")))).groupBy("id").agg(F.max(dot(F.col("v"), F.col("av"))).alias("near"))
     else:
         from quarry.operators.cluster import blocked_pairs
@@ -289,7 +303,7 @@ def idf_overlap(items: DataFrame, question: str, text: str = "text") -> DataFram
 def pseudo_semantic(spark, vecs: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Nearest to the score-weighted centroid of the lexical seeds; lexical rows first, then the others."""
     seeds = top_k(lexical, k)
-    parts = vecs.join(F.broadcast(seeds), "id").select("score", F.posexplode("v").alias("i", "x"))
+    parts = vecs.join(bounded_broadcast(seeds), "id").select("score", F.posexplode("v").alias("i", "x"))
     mean = parts.groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("score")) / F.sum("score")).alias("x")).orderBy("i").collect()
     near = nearest(vecs, [r["x"] for r in mean], 2 * k) if mean else vecs.limit(0).select("id", F.lit(0.0).alias("score"))
     parts = seeds.select("id", F.lit(0).alias("part"), "score").unionByName(near.join(seeds.select("id"), "id", "left_anti").select("id", F.lit(1).alias("part"), "score"))
@@ -299,8 +313,9 @@ def pseudo_semantic(spark, vecs: DataFrame, lexical: DataFrame, k: int) -> DataF
 def scoped_candidates(lexical: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """Lexical ids and their graph neighbours, bounded."""
     seeds = top_k(lexical, limit).select("id")
-    out = edges.join(F.broadcast(seeds), edges["source_id"] == seeds["id"], "left_semi").select(F.col("target_id").alias("id"))
-    back = edges.join(F.broadcast(seeds), edges["target_id"] == seeds["id"], "left_semi").select(F.col("source_id").alias("id"))
+    seeds = bounded_broadcast(seeds)
+    out = edges.join(seeds, edges["source_id"] == seeds["id"], "left_semi").select(F.col("target_id").alias("id"))
+    back = edges.join(seeds, edges["target_id"] == seeds["id"], "left_semi").select(F.col("source_id").alias("id"))
     return seeds.union(out).union(back).distinct().orderBy("id").limit(2 * limit)
 
 

@@ -41,12 +41,12 @@ def f04(spark, d):
 
 @query("f05_closure", "WITH RECURSIVE c(s) AS (SELECT 'n7' UNION SELECT depends_on FROM c JOIN relations ON source_name = s) SELECT s AS source FROM c")
 def f05(spark, d):
-    return spark.createDataFrame([(s,) for s in X.closure(kb(spark, d, "relations"), "n7")], "source string")
+    return X.closure(kb(spark, d, "relations"), "n7")
 
 
 @query("f05_reverse_closure", "WITH RECURSIVE c(s) AS (SELECT 'root' UNION SELECT source_name FROM c JOIN relations ON depends_on = s) SELECT s AS source FROM c")
 def f05r(spark, d):
-    return spark.createDataFrame([(s,) for s in X.closure(kb(spark, d, "relations"), "root")], "source string")
+    return X.closure(kb(spark, d, "relations"), "root")
 
 
 _SCOPE = "('src1', 'src2', 'src5')"

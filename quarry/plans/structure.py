@@ -1,15 +1,19 @@
-"""Queries over the symbol graph that serve many requests at once: paths (G35) and fan-outs.
+"""Queries that serve many requests at once (paths, fan-outs, routes, seeds), causal chunks, and incremental views.
 
 Requests are the orders whose key is divisible by 20, against all symbols and edges.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.catalog import query
-from quarry.operators import fanout, paths, routes
+from quarry.operators import chunks, fanout, paths, routes, token_index, vector_index
 from quarry.plans.tables import kb
+from quarry.session import shared_folder, table
+from quarry.streaming import views
 
 _DEPTH, _MOST = 4, 200
 
@@ -221,3 +225,141 @@ SELECT q, row_number() OVER (PARTITION BY q, source_name ORDER BY depth, root)::
 def g38m(spark, d):
     t = {k: kb(spark, d, k) for k in ("doc_names", "fan_questions", "symbols", "member_refs")}
     return routes.document_matches(t["doc_names"], t["fan_questions"], t["symbols"], t["member_refs"])
+
+
+_ENT = "'\\b(?:[A-Z][A-Z0-9_]{1,}|[A-Za-z_]+[A-Z][A-Za-z0-9_]*)\\b'"
+_QTOK = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Z]+|[A-Z]?[a-z]+|[0-9]+'), lambda x: regexp_replace(lower(x), '^(.{{3,}})s$', '\\1')))"
+_QSTOP = ", ".join(f"'{w}'" for w in token_index.STOPWORDS)
+
+
+@query("g33_question_seeds", f"""WITH nt AS MATERIALIZED (SELECT *, {_TOK.format('qname')} AS held FROM symbols),
+en AS (SELECT q, source_name, question, entity, min(place) AS place FROM (SELECT q, source_name, question, unnest(regexp_extract_all(question, {_ENT})) AS entity, generate_subscripts(regexp_extract_all(question, {_ENT}), 1) AS place FROM code_questions) GROUP BY 1, 2, 3, 4),
+ep AS (SELECT *, {_QTOK.format('entity')} AS parts, list_filter({_QTOK.format('question')}, lambda x: x NOT IN ({_QSTOP})) AS asked FROM en),
+pt AS (SELECT source_name, id, unnest(held) AS token FROM nt), et AS (SELECT q, source_name, entity, place, parts, asked, unnest(parts) AS token FROM ep),
+ca AS (SELECT q, et.source_name, entity, place, parts, asked, id FROM et JOIN pt ON pt.source_name = et.source_name AND pt.token = et.token GROUP BY ALL HAVING count(*) = len(parts)),
+sc AS (SELECT ca.*, s.qname, s.file, s.line_start, coalesce(nullif(s.parent, ''), regexp_replace(s.qname, '[.][^.]*$', '')) AS owner, len(list_intersect(held, parts)) AS a, len(list_intersect(held, asked)) AS b, lower(kind) NOT IN ('method', 'function', 'constructor') AS c, len(held) AS l
+  FROM ca JOIN nt s ON s.id = ca.id AND s.source_name = ca.source_name WHERE contains(lower(s.qname), lower(entity))),
+o1 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY q, source_name, place, owner ORDER BY a DESC, b DESC, c, l, qname, file, line_start, id) = 1),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY q, source_name, place ORDER BY a DESC, b DESC, c, l, qname, file, line_start, id) AS depth FROM o1 QUALIFY depth <= 12),
+o3 AS (SELECT * FROM o2 QUALIFY row_number() OVER (PARTITION BY q, source_name, id ORDER BY depth, place) = 1)
+SELECT q, row_number() OVER (PARTITION BY q, source_name ORDER BY depth, place)::INTEGER AS n, id, entity FROM o3 QUALIFY n <= 12""")
+def g33s(spark, d):
+    return token_index.question_seeds(kb(spark, d, "code_questions"), token_index.token_index(kb(spark, d, "symbols")))
+
+
+def _bridges_sql(targets: int | None, callers: int | None) -> str:
+    telling = "asked" if targets is not None else "CASE WHEN len(code) > 0 THEN code ELSE coalesce(rare, []) END"
+    cut_targets = f"QUALIFY row_number() OVER (PARTITION BY q, source_name ORDER BY folders DESC, len(list_intersect({_TOK.format('name')}, asked)) DESC, hop DESC, name, callee) <= {targets}" if targets is not None else ""
+    own = "(c.qname = regexp_replace(r.name, '[.][^.]*$', '') OR starts_with(c.qname, regexp_replace(r.name, '[.][^.]*$', '') || '.'))"
+    cut_callers = f"QUALIFY row_number() OVER (PARTITION BY r.q, r.source_name, r.callee ORDER BY NOT {own}, len(list_intersect({_TOK.format('c.qname')}, r.asked)) DESC, r.call_file, r.call_line, r.caller) <= {callers}" if callers is not None else ""
+    return f"""WITH nm AS (SELECT q, source_name, name, max(hop) AS hop FROM cited_types GROUP BY 1, 2, 3),
+aq AS (SELECT q, source_name, {_QTOK.format('question')} AS asked, list_distinct(flatten(list_transform(regexp_extract_all(question, {_ENT}), lambda e: {_QTOK.format('e')}))) AS code FROM code_questions),
+he AS (SELECT nm.*, asked, code, {_TOK.format('name')} AS held, count(*) OVER (PARTITION BY q, source_name) AS n FROM nm JOIN aq USING (q, source_name)),
+fr AS (SELECT q, source_name, token, count(*) AS f, max(n) AS n FROM (SELECT q, source_name, n, asked, unnest(held) AS token FROM he) WHERE list_contains(asked, token) GROUP BY 1, 2, 3),
+ra AS (SELECT q, source_name, list(token) AS rare FROM fr WHERE f <= greatest(1, n // 10) GROUP BY 1, 2),
+ma AS (SELECT he.*, len(list_filter(held, lambda x: NOT list_contains(code, x))) AS extra FROM he LEFT JOIN ra USING (q, source_name) WHERE list_has_any(held, {telling})),
+ch AS (SELECT * FROM ma QUALIFY len(code) = 0 OR extra = min(extra) OVER (PARTITION BY q, source_name)),
+rf AS (SELECT caller, callee, min((file, line)) AS s FROM sym_edges WHERE edge_type = 'type_ref' GROUP BY 1, 2),
+r AS (SELECT ch.q, ch.source_name, ch.name, hop, asked, s.id AS callee, caller, struct_extract_at(rf.s, 1) AS call_file, struct_extract_at(rf.s, 2) AS call_line FROM ch JOIN symbols s ON s.qname = ch.name AND s.source_name = ch.source_name JOIN rf ON rf.callee = s.id),
+w AS (SELECT q, source_name, name, hop, asked, callee, count(*) AS callers, count(DISTINCT split_part(call_file, '/', 1)) AS folders FROM r GROUP BY ALL),
+op AS (SELECT * FROM w WHERE callers BETWEEN 2 AND 8 {cut_targets})
+SELECT DISTINCT q, name AS target, true AS gated, NULL AS caller, NULL AS file, NULL::BIGINT AS line_start, NULL::BIGINT AS line_end, NULL AS call_file, NULL::BIGINT AS call_line FROM w WHERE callers > 8
+UNION ALL SELECT * FROM (SELECT r.q, r.name, false, c.qname, c.file, c.line_start, c.line_end, r.call_file, r.call_line FROM r JOIN op USING (q, source_name, callee) JOIN symbols c ON c.id = r.caller AND c.source_name = r.source_name {cut_callers})"""
+
+
+def _bridges(spark, d, **how):
+    t = {k: kb(spark, d, k) for k in ("cited_types", "code_questions", "symbols", "sym_edges")}
+    return token_index.reference_bridges(t["cited_types"], t["code_questions"], token_index.token_index(t["symbols"]), t["symbols"], t["sym_edges"], **how)
+
+
+@query("g34_question_bridges", _bridges_sql(None, None))
+def g34q(spark, d):
+    return _bridges(spark, d)
+
+
+@query("g34_limited_bridges", _bridges_sql(2, 1))
+def g34l(spark, d):
+    return _bridges(spark, d, target_limit=2, callers_per_target=1)
+
+
+_BODIES = """bodies AS (SELECT page_id AS body, page_id % 90 AS line_start, regexp_replace(regexp_replace(regexp_replace(html, '</[a-z0-9]+>', chr(10) || ')' || chr(10), 'g'), '<([a-z0-9]+)[^>]*>', chr(10) || '\\1(' || chr(10), 'g'), '[\\n]+', chr(10), 'g') AS content FROM pages),
+seeds AS (SELECT body, line_start + i AS line FROM (SELECT body, line_start, string_split(content, chr(10)) AS ls, unnest(generate_series(0, len(string_split(content, chr(10))) - 1)) AS i FROM bodies) WHERE regexp_matches(ls[i + 1], 'ñ.*,|^(b|h2)\\($'))"""
+
+
+def _chunks_sql(max_span: int, short_body: int) -> str:
+    strings = chunks.STRINGS.replace("'", "''")
+    return f"""WITH {_BODIES},
+r AS (SELECT body, i AS ln, ls[i + 1] AS text, regexp_replace(regexp_replace(ls[i + 1], '{strings}', '', 'g'), '{chunks.COMMENT}', '') AS code FROM (SELECT body, string_split(content, chr(10)) AS ls, unnest(generate_series(0, len(string_split(content, chr(10))) - 1)) AS i FROM bodies)),
+l AS MATERIALIZED (SELECT body, ln, text, sum(length(code) - length(translate(code, '([{{', '')) - length(code) + length(translate(code, ')]}}', ''))) OVER (PARTITION BY body ORDER BY ln) AS depth,
+  NOT regexp_matches(code, '{chunks.DOWN}') AND NOT coalesce(lead(regexp_matches(code, '{chunks.UP}')) OVER (PARTITION BY body ORDER BY ln), false) AS closed, regexp_matches(code, '{chunks.OPENS_BODY}') AS opens FROM r),
+a AS (SELECT l.body, l.ln, least(l.depth, coalesce(p.depth, 0)) AS base FROM (SELECT DISTINCT s.body, line - line_start AS ln FROM seeds s JOIN bodies b ON b.body = s.body) s JOIN l ON l.body = s.body AND l.ln = s.ln LEFT JOIN l p ON p.body = l.body AND p.ln = l.ln - 1),
+e AS (SELECT a.body, a.ln, e.ln AS j, e.depth AS b FROM a JOIN l e ON e.body = a.body AND e.closed AND abs(e.ln - a.ln) <= {max_span} AND e.depth <= a.base UNION ALL SELECT body, ln, -1, 0 FROM a WHERE ln <= {max_span}),
+x AS (SELECT *, min(b) OVER (PARTITION BY body, ln ORDER BY j DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM e WHERE j < ln QUALIFY low IS NULL OR b < low OR j = -1),
+y AS (SELECT *, min(b) OVER (PARTITION BY body, ln ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM e WHERE j >= ln QUALIFY low IS NULL OR b < low),
+m AS (SELECT x.body, x.ln, max((x.j, -y.j)) AS s FROM x JOIN y ON y.body = x.body AND y.ln = x.ln AND (x.b = y.b OR (x.j = -1 AND y.b <= 0)) GROUP BY 1, 2),
+f AS (SELECT a.body, a.ln, struct_extract_at(s, 1) + 1 AS first, -struct_extract_at(s, 2) AS last FROM a LEFT JOIN m ON m.body = a.body AND m.ln = a.ln AND -struct_extract_at(s, 2) - struct_extract_at(s, 1) - 1 < {max_span}),
+z AS (SELECT l.body, count(*) AS n, min(CASE WHEN opens AND l.ln < {chunks.SIGNATURE_LINES} THEN l.ln END) AS sign, max(loose) AS loose FROM l LEFT JOIN (SELECT body, bool_or(first IS NULL) AS loose FROM f GROUP BY body) g ON g.body = l.body GROUP BY l.body),
+k AS (SELECT l.body, l.ln, CASE WHEN loose THEN 'unisolatable' ELSE 'short_body' END AS reason FROM l JOIN z USING (body) WHERE loose OR (loose IS NULL AND n <= {short_body})
+  UNION SELECT body, unnest(generate_series(0, CASE WHEN loose IS NULL THEN 0 ELSE coalesce(sign, 0) END)), 'signature' FROM z WHERE (loose IS NULL AND n > {short_body}) OR NOT loose
+  UNION SELECT f.body, unnest(generate_series(first, last)), 'call_site' FROM f JOIN z USING (body) WHERE NOT loose),
+w AS (SELECT body, ln, list(DISTINCT reason) AS why FROM k GROUP BY 1, 2), i AS (SELECT w.*, text, ln - row_number() OVER (PARTITION BY body ORDER BY ln) AS run FROM w JOIN l USING (body, ln))
+SELECT i.body, any_value(line_start) + min(ln) AS line_start, any_value(line_start) + max(ln) AS line_end, array_to_string(list_sort(list_distinct(flatten(list(why)))), ',') AS reason, string_agg(text, chr(10) ORDER BY ln) AS text FROM i JOIN bodies b ON b.body = i.body GROUP BY i.body, run"""
+
+
+@query("t17_causal_chunks", _chunks_sql(chunks.MAX_SPAN, 90))
+def t17c(spark, d):
+    """The nesting of each page's elements as brackets; some texts with a comma and the heads of bold texts are seeds."""
+    pages = table(spark, d, "pages")
+    nested = F.regexp_replace(F.regexp_replace("html", "</[a-z0-9]+>", "\n)\n"), "<([a-z0-9]+)[^>]*>", "\n$1(\n")
+    bodies = pages.select(F.col("page_id").alias("body"), (F.col("page_id") % 90).alias("line_start"), F.regexp_replace(nested, "[\n]+", "\n").alias("content"))
+    seeds = bodies.select("body", "line_start", F.posexplode(F.split("content", "\n")).alias("i", "_t")).where(F.col("_t").rlike(r"ñ.*,|^(b|h2)\($")).select("body", (F.col("line_start") + F.col("i")).alias("line"))
+    return chunks.causal_chunks(bodies, seeds, short_body=90)
+
+
+@query("st_incremental_usage", """SELECT strftime(ts, '%Y-%m-%d') AS day, tool_name, outcome, count(*) AS n, count(score) AS scored, coalesce(sum(score), 0)::BIGINT AS total FROM usage GROUP BY 1, 2, 3""")
+def st_inc(spark, d):
+    """The event log as micro-batches by a hash of the id, some of them repeated, merged into a view day by day."""
+    events = kb(spark, d, "usage").select("id", F.col("ts").cast("timestamp").alias("ts"), "tool_name", "outcome", F.col("score").cast("int").alias("score"))
+    view = views.DailyUsage(spark, f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    for k in range(3):
+        view.apply(events.where(part == k).unionByName(events.where((part == k - 1) & (F.col("id") % 5 == 0))), k)
+    view.apply(events, 2)  # merged before
+    return view.read()
+
+
+@query("k13_dirty_themes", """WITH ch AS (SELECT id FROM docs WHERE n % 20 = 0), m AS (SELECT id, 'k' || (n % 60) AS cluster FROM docs), own AS (SELECT DISTINCT cluster FROM m WHERE id IN (SELECT id FROM ch)),
+e AS (SELECT source_id AS a, target_id AS b FROM doc_graph UNION SELECT target_id, source_id FROM doc_graph), near AS (SELECT DISTINCT y.cluster FROM e JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.cluster <> y.cluster AND x.cluster IN (SELECT cluster FROM own))
+SELECT cluster, 'changed' AS reason FROM own UNION ALL SELECT cluster, 'neighbour' FROM near WHERE cluster NOT IN (SELECT cluster FROM own)""")
+def k13d(spark, d):
+    docs = kb(spark, d, "docs")
+    graph = kb(spark, d, "doc_graph").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    return views.dirty_themes(docs.where("n % 20 = 0").select("id"), docs.select("id", F.concat(F.lit("k"), F.col("n") % 60).alias("cluster")), graph)
+
+
+@query("k04_kept_index")
+def k04k(spark, d):
+    """Built from the rows of all ids but those divisible by 3, which are added after; ids divisible by 20 are the queries."""
+    vecs = kb(spark, d, "vecs").select("id", "v", F.lit("2024-01-01").alias("updated_at"))
+    index = vector_index.VectorIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.build(vecs.where("id % 3 <> 0"))
+    index.add(vecs.where("id % 3 = 0"))
+    return index.search(vecs.where("id % 20 = 0").select("id", "v"), vecs)
+
+
+_SHORT = "regexp_extract(node, '([^.]*[.])?[^.]*$')"
+
+
+@query("g37_component_menu", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT q, a, b, relation FROM evidence), u AS MATERIALIZED (SELECT DISTINCT q, a, b FROM (SELECT q, a, b FROM e UNION ALL SELECT q, b, a FROM e)),
+c(q, node, x) AS (SELECT q, a, a FROM u UNION SELECT c.q, c.node, u.b FROM c JOIN u ON u.q = c.q AND u.a = c.x),
+p AS (SELECT q, node, min(x) AS part FROM c GROUP BY 1, 2),
+n AS (SELECT p.*, CASE WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.q = p.q AND e.b = p.node) THEN 'entry' WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.q = p.q AND e.a = p.node) THEN 'terminal' ELSE 'via' END AS role FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY q, part, role ORDER BY node) AS k FROM n),
+m AS (SELECT q, part, count(*) AS nodes, coalesce(string_agg({_SHORT}, ', ' ORDER BY k) FILTER (role = 'entry' AND k <= 2), '') AS entry, coalesce(string_agg({_SHORT}, ', ' ORDER BY k) FILTER (role = 'via' AND k <= 4), '') AS via,
+  coalesce(string_agg({_SHORT}, ', ' ORDER BY k) FILTER (role = 'terminal' AND k <= 4), '') AS terminal FROM r GROUP BY 1, 2),
+d AS (SELECT e.q, part, count(*) AS edges FROM e JOIN p ON p.q = e.q AND p.node = e.a GROUP BY 1, 2),
+h AS (SELECT q, part, string_agg(route, ',' ORDER BY route) AS routes FROM (SELECT DISTINCT v.q, part, route FROM evidence v JOIN p ON p.q = v.q AND p.node = v.a) GROUP BY 1, 2)
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY part)::INTEGER AS label, nodes, edges, entry, via, terminal, coalesce(routes, '') AS routes FROM m JOIN d USING (q, part) LEFT JOIN h USING (q, part)""")
+def g37m(spark, d):
+    hops = kb(spark, d, "evidence")
+    return routes.component_menu(hops, hops.select("q", "route", F.col("a").alias("symbol")))

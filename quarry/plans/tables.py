@@ -131,6 +131,18 @@ SELECT CAST(floor(o_custkey / 10) AS BIGINT) AS q, 'w' || CAST(l_suppkey % 8 AS
        CASE l_linenumber WHEN 1 THEN 0 ELSE 1 END AS identity, CAST(l_quantity AS INTEGER) % 5 AS overlap, l_partkey % 10 AS relevance, l_linenumber % 2 + 1 AS direction, 'pkg' || CAST(o_custkey % 7 AS VARCHAR) || '/f' || CAST(o_custkey % 100 AS VARCHAR) || '.py' AS file,
        CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS line
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "code_questions": """
+SELECT o_orderkey AS q, 's' || CAST(o_custkey % 3 AS VARCHAR) AS source_name, CASE WHEN o_orderkey % 40 = 0 THEN 'How does ORDER' || CAST(k AS VARCHAR) || ' reach ORDER' || CAST(o_orderkey AS VARCHAR) || ' and its lines'
+       ELSE 'how does the order ' || CAST(k AS VARCHAR) || ' get its lines' END AS question
+FROM orders JOIN (SELECT l_orderkey, max(l_partkey * 4 + 1) AS k FROM lineitem GROUP BY l_orderkey) x ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0""",
+    "cited_types": """
+SELECT l_orderkey AS q, 's' || CAST(o_custkey % 3 AS VARCHAR) AS source_name, 'm.Order' || CAST(l_partkey * 4 + 1 AS VARCHAR) AS name, l_linenumber % 3 AS hop FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 20 = 0""",
+    "evidence": """
+SELECT o_custkey AS q, 'm.Order' || CAST(l_orderkey AS VARCHAR) AS a, 'm.Order' || CAST(l_partkey * 4 + 1 AS VARCHAR) AS b, CASE l_linenumber % 2 WHEN 0 THEN 'call' ELSE 'type_ref' END AS relation, 'R' || CAST(l_orderkey AS VARCHAR) AS route
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey * 4 + 1 <> l_orderkey
+UNION ALL
+SELECT o_custkey, 'm.Order' || CAST(l_partkey * 4 + 1 AS VARCHAR), 'm.Part' || CAST(l_suppkey % 10 AS VARCHAR) || '.line', 'call', 'P' || CAST(l_suppkey % 10 AS VARCHAR)
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber % 3 = 1""",
 }
 #: Fragments that read other fragments come with them.
 _ANSI = (("list_value(", "array("), ("TIMESTAMP '", "TIMESTAMP_NTZ '"), ("VARCHAR", "STRING"))

@@ -1,5 +1,8 @@
 """Edge cases of the operators on small fixtures: empty input, nulls, ties, duplicates, cycles."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,7 +234,8 @@ def test_unique_match(spark):
 
 def test_closure_and_cycle(spark):
     r = df(spark, [("a", "b"), ("b", "c"), ("x", None)], "source_name string, depends_on string")
-    assert filters.closure(r, "a") == ["a", "b", "c"] and filters.closure(r, "c") == ["a", "b", "c"] and filters.closure(r, "x") == ["x"]
+    reached = lambda source: sorted(x["source"] for x in filters.closure(r, source).collect())
+    assert reached("a") == ["a", "b", "c"] and reached("c") == ["a", "b", "c"] and reached("x") == ["x"]
     with pytest.raises(ValueError):
         filters.closure(df(spark, [("a", "b"), ("b", "a")], "source_name string, depends_on string"), "a")
 
@@ -262,12 +266,50 @@ def test_source_partitions_are_replaced_alone(spark, tmp_path):
     assert {(r["source_name"], r["x"]) for r in spark.read.parquet(path).collect()} == {("a", 5), ("b", 2)}
 
 
-def test_chunks():
-    assert text.chunk_text(None) == [] and text.chunk_text("  \n\n ") == []
+def plain_chunks(text, size, overlap):
+    """The rule read off: paragraphs fill a chunk with two characters between; a longer one is cut, its rest going on."""
+    if not text or len(text) <= size:
+        return [text] if text else []
+
+    def pieces(para):
+        at, out = 0, []
+        while at < len(para):
+            end = at + size
+            if end < len(para):
+                for mark in (". ", "! ", "? ", "\n", " "):
+                    found = [k for k in range(at, end - len(mark) + 1) if para.startswith(mark, k)]
+                    if found and found[-1] > at + size // 2:
+                        end = found[-1] + len(mark)
+                        break
+            out.append(para[at:end].strip())
+            at = max(at + 1, end - min(overlap, size - 1) if end < len(para) else end)
+        return [x for x in out if x]
+
+    out, held = [], ""
+    for para in re.split(r"\n\n+", text):
+        if len(held) + len(para) + 2 <= size:
+            held = held + "\n\n" + para if held else para
+            continue
+        out += [held] if held else []
+        cut = pieces(para) if len(para) > size else [para]
+        out, held = out + cut[:-1], cut[-1] if cut else ""
+    return out + ([held] if held else [])
+
+
+def test_chunks(spark):
+    assert text.chunk_text(None) == [] and text.chunk_text("") == [] and text.chunk_text("  \n\n ") == ["  \n\n "]
     assert text.chunk_text("a\n\nb", 10) == ["a\n\nb"] and text.chunk_text("aaaa\n\nbbbb", 6) == ["aaaa", "bbbb"]
     long = text.chunk_text("One two three. " * 40, 100, 10)
     assert all(len(c) <= 100 for c in long) and long[0].endswith(".")
-
+    # the rest of a cut paragraph takes in the next one
+    assert text.chunk_text("x" * 12 + "\n\nyy", 10, 0) == ["x" * 10, "xx\n\nyy"]
+    rng = np.random.default_rng(7)
+    made = ["".join(rng.choice(["a", "bc ", ". ", "! ", "? ", "\n", "\n\n", "d" * 9, " "], int(rng.integers(0, 80)))) for _ in range(300)]
+    for k, t in enumerate(made):
+        size, overlap = [(20, 5), (50, 0), (7, 9), (33, 32)][k % 4]
+        assert text.chunk_text(t, size, overlap) == plain_chunks(t, size, overlap)
+    got = text.chunks(df(spark, list(enumerate(made)), "id long, content string"), 40, 8).orderBy("id", "chunk_index").collect()
+    assert [(r["id"], r["content"]) for r in got] == [(k, c) for k, t in enumerate(made) for c in plain_chunks(t, 40, 8)]
 
 
 def test_globs_and_versions(spark):

@@ -209,7 +209,7 @@ class VectorIndex:
         if state["model"] is None:
             return empty
         shared = self.spark.sparkContext.broadcast(Model.load(state["model"]))
-        rows = self.spark.read.parquet(*(f"{self.folder}/rows/gen={g}" for g in state["gens"]))
+        rows = self.spark.read.option("basePath", f"{self.folder}/rows").parquet(*(f"{self.folder}/rows/gen={g}" for g in state["gens"]))
 
         def ask(batches):
             m = shared.value

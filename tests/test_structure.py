@@ -1,4 +1,4 @@
-"""Path searches, fan-outs, the token index and communities against plain versions on small random graphs."""
+"""Path searches, fan-outs and the token index against plain versions on small random graphs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import cluster, components, fanout, paths, token_index
+from quarry.operators import fanout, paths, token_index
 
 SYMBOLS = "id string, source_name string, file string, line_start long, line_end long, kind string, name string, qname string, parent string"
 EDGES = "caller string, callee string, edge_type string, file string, line long, confidence string"
@@ -140,59 +140,3 @@ def test_a_common_token_is_split_and_found_whole(spark):
         seeds[r["q"]].append(r["id"])
     # a name with capitals inside names code; of runAll's many owners those that share most with the question come first
     assert seeds[1][:2] == ["i42", "i43"] and len(seeds[1]) == 3 and 2 not in seeds and seeds[3][0] == "i7"
-
-
-def louvain(n, edges):
-    """Plain sequential Louvain: labels of the nodes."""
-    nbr = collections.defaultdict(dict)
-    for a, b, w in edges:
-        nbr[a][b] = nbr[a].get(b, 0) + w
-        nbr[b][a] = nbr[b].get(a, 0) + w
-    member = {i: i for i in range(n)}
-    total = sum(sum(x.values()) for x in nbr.values())
-    while True:
-        deg = {v: sum(nbr[v].values()) for v in nbr}
-        label, mass = {v: v for v in nbr}, dict(deg)
-        moved = True
-        while moved:
-            moved = False
-            for v in sorted(nbr):
-                w = collections.Counter()
-                for u, x in nbr[v].items():
-                    if u != v:
-                        w[label[u]] += x
-                mass[label[v]] -= deg[v]
-                best = max([(w[label[v]] - deg[v] * mass[label[v]] / total, 1, label[v]), *((w[c] - deg[v] * mass[c] / total, 0, c) for c in w)], key=lambda t: (round(t[0], 9), t[1], -t[2]))[2]
-                moved |= best != label[v]
-                label[v] = best
-                mass[best] = mass.get(best, 0) + deg[v]
-        if len(set(label.values())) == len(nbr):
-            return member
-        member = {i: label.get(c, c) for i, c in member.items()}
-        merged = collections.defaultdict(dict)
-        for v in nbr:
-            for u, x in nbr[v].items():
-                merged[label[v]][label[u]] = merged[label[v]].get(label[u], 0) + x
-        nbr = merged
-
-
-def graphs():
-    rng = np.random.default_rng(4)
-    planted = [(i, j, 1.0) for i in range(60) for j in range(i) if rng.random() < (0.5 if i // 12 == j // 12 else 0.03)]
-    uniform = [(i, j, float(rng.integers(1, 4))) for i in range(60) for j in range(i) if rng.random() < 0.08]
-    return {"planted": planted, "random": uniform}
-
-
-@pytest.mark.parametrize("kind", ["planted", "random"])
-def test_communities_are_as_good_as_sequential_ones(spark, kind):
-    edges = graphs()[kind]
-    g = spark.createDataFrame(edges, "a int, b int, weight double")
-    got = cluster.communities(g)
-    rows = {r["id"]: r["cluster"] for r in got.collect()}
-    value = lambda m: cluster.modularity(g, spark.createDataFrame(sorted(m.items()), "id int, cluster int")).first()["modularity"]
-    plain = {i: c for i, c in louvain(60, edges).items() if i in rows}
-    assert value(rows) >= value(plain) - (1e-9 if kind == "planted" else 0.01)
-    inside = [(a, b) for a, b, _ in edges if rows[a] == rows[b]]
-    parts = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(inside, "a int, b int")).collect()}
-    assert all(parts.get(i, i) == c for i, c in rows.items())
-    assert {r["id"]: r["cluster"] for r in cluster.communities(g.repartition(3)).collect()} == rows

@@ -48,7 +48,7 @@ def sized(docs: DataFrame, keys: list[str], weight: str | None = None) -> DataFr
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         clutter.cast("long").alias("clutter"),
         ((F.conv(F.substring(hexed, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))).alias("u"),
-        F.when(~F.isnan(given), F.greatest(given, F.lit(LEAST_WEIGHT))).alias("given"),
+        F.when(given.isNotNull() & ~F.isnan(given), F.greatest(given, F.lit(LEAST_WEIGHT))).alias("given"),
     ).select(*keys, "source", "size", F.coalesce("given", quality()).alias("quality"), "u")
 
 

@@ -8,6 +8,7 @@ import threading
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
+from quarry.plans import tables
 
 
 @contextlib.contextmanager
@@ -52,3 +53,22 @@ def test_lineage_is_whole_beyond_a_million_edges(spark):
     edges = spark.createDataFrame([("a", "b", "call")], "caller string, callee string, edge_type string")
     assert G.data_layer(edges, access, F.lit(True)).count() == 1_000_101
     assert G.data_layer(edges, access, F.lit(True), 5).count() == 6
+
+
+def test_tables_of_distinct_keys_have_the_rows_of_their_fragments(spark, tmp_path, monkeypatch):
+    lines = [(k, p, s, n) for k in (1, 5, 8, 20, 21, None) for p in (0, 3, 5, None) for s in (0, 2, 3, -1, None) for n in (1, 2, 3, None)]
+    spark.createDataFrame(lines + lines[::2], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").withColumn("l_quantity", F.lit(3.0)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, 7), (5, 123), (5, 223), (8, None), (8, 3), (20, 3), (20, 703), (21, 9)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {t: sorted(map(tuple, tables.kb(spark, str(tmp_path), t).collect()), key=repr) for t in tables.KEYED}
+    monkeypatch.setattr(tables, "KEYED", {})
+    for t, rows in got.items():
+        assert rows == sorted(map(tuple, tables.kb(spark, str(tmp_path), t).collect()), key=repr), t
+        assert len(rows) > 20
+
+
+def test_edges_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LINES_A_TASK", 1000)
+    edges = tables.kb(spark, "/root/testdata/sf0.01", "sym_edges")
+    most = edges.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert edges.count() > 100_000 and most < 4 * 1000

@@ -269,7 +269,7 @@ UNION ALL SELECT * FROM (SELECT r.q, r.name, false, c.qname, c.file, c.line_star
 
 def _bridges(spark, d, **how):
     t = {k: kb(spark, d, k) for k in ("cited_types", "code_questions", "symbols", "sym_edges")}
-    return token_index.reference_bridges(t["cited_types"], t["code_questions"], token_index.token_index(t["symbols"]), t["symbols"], t["sym_edges"], **how)
+    return token_index.reference_bridges(t["cited_types"], t["code_questions"], t["symbols"], t["sym_edges"], **how)
 
 
 @query("g34_question_bridges", _bridges_sql(None, None))

@@ -8,6 +8,7 @@ import threading
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
+from quarry.operators import token_index
 from quarry.plans import tables
 
 
@@ -72,3 +73,19 @@ def test_edges_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
     edges = tables.kb(spark, "/root/testdata/sf0.01", "sym_edges")
     most = edges.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert edges.count() > 100_000 and most < 4 * 1000
+
+
+def test_callers_of_a_common_type_are_counted_once_for_all_requests(spark):
+    n = 15_000
+    i = spark.range(n)
+    cols = [F.lit("s").alias("source_name"), F.lit("a/f.py").alias("file"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end")]
+    symbols = i.select(F.concat(F.lit("c"), "id").alias("id"), *cols, F.concat(F.lit("m.Caller"), "id").alias("qname"))
+    symbols = symbols.unionByName(spark.createDataFrame([("wide", "m.Wide"), ("few", "m.Few"), ("one", "m.One")], "id string, qname string").select("id", *cols, "qname"))
+    refs = [i.select(F.concat(F.lit("c"), "id").alias("caller"), F.lit("wide").alias("callee")), i.where("id < 3").select(F.concat(F.lit("c"), "id").alias("caller"), F.lit("few").alias("callee")), i.where("id = 1").select(F.lit("c1").alias("caller"), F.lit("one").alias("callee"))]
+    edges = refs[0].unionByName(refs[1]).unionByName(refs[2]).select("caller", "callee", F.lit("type_ref").alias("edge_type"), F.lit("a/f.py").alias("file"), F.lit(5).alias("line"))
+    cited = i.select(F.col("id").alias("q"), F.lit("s").alias("source_name"), F.explode(F.array(*map(F.lit, ["m.Wide", "m.Few", "m.One", "m.Gone"]))).alias("name"), F.lit(0).alias("hop"))
+    questions = i.select(F.col("id").alias("q"), F.lit("s").alias("source_name"), F.lit("what of wide few one gone").alias("question"))
+    with within(spark, 90):
+        got = token_index.reference_bridges(cited, questions, symbols, edges, target_limit=5)
+        counts = {(r["target"], r["gated"], r["caller"]): r["count"] for r in got.groupBy("target", "gated", "caller").count().collect()}
+    assert counts == {("m.Wide", True, None): n} | {("m.Few", False, f"m.Caller{k}"): n for k in range(3)}

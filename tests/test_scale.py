@@ -8,7 +8,7 @@ import threading
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
-from quarry.operators import token_index
+from quarry.operators import components, routes, token_index
 from quarry.plans import tables
 
 
@@ -99,3 +99,23 @@ def test_postings_are_not_dealt_out_before_they_are_looked_up(spark, capsys):
     plan = capsys.readouterr().out
     assert "Exchange hashpartitioning" not in plan and "Generate explode" in plan
     assert postings.groupBy("token").count().where("token in ('thing', 'm') and count = 500").count() == 2
+
+
+def test_menus_of_requests_need_no_rounds_and_are_the_same_by_rounds(spark, monkeypatch):
+    hops = [(q, f"m.n{(q * 7 + k * k) % 23}", f"m.n{(q + 3 * k) % 23}.x", "call") for q in range(40) for k in range(q % 9 + 1)] * 2
+    hops += [(90, "m.a", "m.a", "call"), (91, "m.a", None, "call"), (91, None, "m.b", "call"), (92, "é", "z", "x"), (92, "z", "\U0001f600", "x"), (92, "z", "\uffee", None), (None, "m.a", "m.b", "call")]
+    hops += [(95, f"m.c{k:02}", f"m.c{k + 1:02}", "call") for k in range(60)]
+    table = spark.createDataFrame(hops, "q long, a string, b string, relation string")
+    told = spark.createDataFrame([(q, f"R{k}", a) for k, (q, a, _, _) in enumerate(hops)] + [(95, "R", "m.none"), (97, "R", "m.a")], "q long, route string, symbol string")
+    menu = lambda: sorted(map(tuple, routes.component_menu(table, told).collect()))
+    by_rounds = components.connected_components
+
+    def never(*_):
+        raise AssertionError("rounds over all requests")
+
+    monkeypatch.setattr(components, "connected_components", never)
+    whole = menu()
+    assert [r[:7] for r in whole if r[0] > 89] == [(90, 1, 1, 1, "", "m.a", ""), (91, 1, 1, 1, "m.a", "", ""), (92, 1, 4, 3, "é", "z", "\uffee, \U0001f600"), (95, 1, 61, 60, "m.c00", "m.c01, m.c02, m.c03, m.c04", "m.c60")]
+    monkeypatch.setattr(components, "connected_components", by_rounds)
+    monkeypatch.setattr(components, "CHUNK_ROWS", 24)
+    assert menu() == whole

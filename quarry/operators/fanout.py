@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import camel_tokens
 from quarry.operators.filters import is_production
 from quarry.operators.paths import addressable
-from quarry.session import cut
+from quarry.session import cut, stored
 
 REQUEST = ["q", "source_name"]
+CALLS = ["call", "implements"]
 #: Words of a question that name nothing.
 STOPWORDS = ["a", "an", "and", "as", "at", "by", "does", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "that", "the", "to", "what", "when", "where", "which", "why", "with"]
 
@@ -30,6 +31,17 @@ def _located(symbols: DataFrame, prefix: str) -> DataFrame:
     return some.select(F.col("source_name").alias(f"{prefix}_source"), *(F.col(c).alias(f"{prefix}_{c}") for c in ("id", "qname", "file", "line_start", "line_end", "parent")))
 
 
+def _links(symbols: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """Edges between symbols of one source that may be cited, with the places of both ends.
+
+    They do not depend on the requests: the tables are joined once, and levels and rounds look up names in what comes of it.
+    """
+    e = edges.where(F.col("edge_type").isin(kinds)).where(is_production(F.col("file")))
+    e = e.select("caller", "callee", "edge_type", F.col("file").alias("call_file"), F.col("line").alias("call_line"))
+    both = e.join(_located(symbols, "c"), F.col("caller") == F.col("c_id")).join(_located(symbols, "t"), (F.col("callee") == F.col("t_id")) & (F.col("c_source") == F.col("t_source")))
+    return both.drop("caller", "callee", "t_source").withColumnRenamed("c_source", "source_name")
+
+
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
@@ -57,27 +69,26 @@ def _claimed(most: int) -> Column:
     )
 
 
-def call_fanout(requests: DataFrame, symbols: DataFrame, edges: DataFrame, per_root: int = 4, depth: int = 1, recursive_per_root: int = 8, recursive_total: int = 48) -> DataFrame:
+def call_fanout(requests: DataFrame, symbols: DataFrame, edges: DataFrame, per_root: int = 4, depth: int = 1, recursive_per_root: int = 8, recursive_total: int = 48, links: DataFrame | None = None) -> DataFrame:
     """Calls out of the names of each request (q, source_name, name), level by level.
 
     On a level, rows go by (parent, calls before implementations, call site, target), one a (parent, target, kind), and
     ``per_root`` a parent. Deeper levels share ``recursive_total`` rows a request; a target in the folder of its call site
-    is expanded next, once a request, ``recursive_per_root`` a parent.
+    is expanded next, once a request, ``recursive_per_root`` a parent. ``links`` are the edges as ``_links`` has them, if they are known.
     Returns q, source_name, parent, target, edge_type, hop, call_file, call_line, file, line_start, line_end.
     """
-    caller, callee = _located(symbols, "c"), _located(symbols, "t")
-    e = edges.where("edge_type in ('call', 'implements')").select("caller", "callee", "edge_type", F.col("file").alias("call_file"), F.col("line").alias("call_line"))
-    e = e.where(is_production(F.col("call_file")))
+    order = ["parent", "kind", "call_file", "call_line", "target"]
+    links = _links(symbols, edges, CALLS) if links is None else links
+    site = F.min(F.struct("call_file", "call_line", "t_file", "t_line_start", "t_line_end")).alias("s")
+    best = links.groupBy("source_name", F.col("c_qname").alias("parent"), F.col("t_qname").alias("target"), "edge_type").agg(site)
+    best = best.select("source_name", "parent", "target", "edge_type", "s.*", F.when(F.col("edge_type") == "call", 0).otherwise(1).alias("kind"))
+    # the first of a parent are the same for whoever asks
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("source_name", "parent").orderBy(*order[1:])))
+    best = stored(best.where(F.col("_r") <= per_root).drop("_r"))
     front = cut(requests.where("name <> ''").select(*REQUEST, "name").distinct())
     expanded, used, out = front, None, None
-    order = ["parent", "kind", "call_file", "call_line", "target"]
     for level in range(depth):
-        at = front.join(caller.select("c_source", "c_id", "c_qname"), (F.col("name") == F.col("c_qname")) & (F.col("source_name") == F.col("c_source")))
-        rows = at.join(e, F.col("c_id") == F.col("caller")).join(callee, (F.col("callee") == F.col("t_id")) & (F.col("source_name") == F.col("t_source")))
-        site = F.min(F.struct("call_file", "call_line", "t_file", "t_line_start", "t_line_end")).alias("s")
-        rows = rows.groupBy(*REQUEST, F.col("name").alias("parent"), F.col("t_qname").alias("target"), "edge_type").agg(site)
-        rows = rows.select(*REQUEST, "parent", "target", "edge_type", "s.*", F.when(F.col("edge_type") == "call", 0).otherwise(1).alias("kind"))
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*REQUEST, "parent").orderBy(*order[1:]))).where(F.col("_r") <= per_root).drop("_r")
+        rows = front.withColumnRenamed("name", "parent").join(best, ["source_name", "parent"])
         if level:
             rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*REQUEST).orderBy(*order))).where(F.col("_r") <= recursive_total)
             rows = rows.join(used, REQUEST, "left").where(F.col("_r") + F.coalesce("used", F.lit(0)) <= recursive_total).drop("_r", "used")
@@ -105,11 +116,8 @@ def caller_fanout(requests: DataFrame, symbols: DataFrame, edges: DataFrame, cal
     Rows like ``call_fanout``'s; those of hop 0 have the caller as parent, and as place the caller's.
     """
     chosen = requests.where("name <> ''").select(*REQUEST, "name").distinct()
-    target, caller = _located(symbols, "t"), _located(symbols, "c")
-    at = chosen.join(target, (F.col("name") == F.col("t_qname")) & (F.col("source_name") == F.col("t_source")))
-    e = edges.where("edge_type in ('call', 'implements')").where(is_production(F.col("file")))
-    e = e.select("caller", "callee", "edge_type", F.col("file").alias("call_file"), F.col("line").alias("call_line"))
-    one = cut(at.join(e, F.col("t_id") == F.col("callee")).join(caller, (F.col("caller") == F.col("c_id")) & (F.col("source_name") == F.col("c_source"))))
+    links = stored(_links(symbols, edges, CALLS))
+    one = stored(chosen.withColumnRenamed("name", "t_qname").join(links, ["source_name", "t_qname"]))
     wide = one.groupBy(*REQUEST, "t_id").agg(F.countDistinct("c_id").alias("n")).where(F.col("n") > fan_in_max).select(*REQUEST, "t_id")
     owner = F.coalesce(F.when(F.col("t_parent") != "", F.col("t_parent")), _owner_of(F.col("t_qname")))
     rank = [
@@ -131,7 +139,7 @@ def caller_fanout(requests: DataFrame, symbols: DataFrame, edges: DataFrame, cal
         "call_file", "call_line", F.col("c_file").alias("file"), F.col("c_line_start").alias("line_start"), F.col("c_line_end").alias("line_end"),
     )
     roots = best.select(*REQUEST, F.col("c_qname").alias("name"))
-    return up.unionByName(call_fanout(roots, symbols, edges, child_per_caller, 2, 4, 24))
+    return up.unionByName(call_fanout(roots, symbols, edges, child_per_caller, 2, 4, 24, links))
 
 
 def reverse_references(
@@ -147,15 +155,15 @@ def reverse_references(
     Returns q, source_name, round, target, caller, file, line_start, line_end, call_file, call_line.
     """
     asked = question_tokens(questions).where(F.size("asked") > 0)
-    refs = edges.where("edge_type = 'type_ref'").where(is_production(F.col("file"))).select("caller", "callee", F.col("file").alias("call_file"), F.col("line").alias("call_line"))
-    target, caller = _located(symbols, "t"), _located(symbols, "c")
+    refs = stored(_links(symbols, edges, ["type_ref"]).drop("edge_type"))
+    target = _located(symbols, "t")
 
     def located(names: DataFrame) -> DataFrame:
         return names.join(target, (F.col("name") == F.col("t_qname")) & (F.col("source_name") == F.col("t_source")))
 
     def incoming(names: DataFrame, limit: int, not_names: DataFrame, not_owners: DataFrame, left: DataFrame) -> DataFrame:
         """Chosen rows; ``left`` (q, source_name, room) is what each request may still take."""
-        rows = located(names).join(refs, F.col("t_id") == F.col("callee")).join(caller, (F.col("caller") == F.col("c_id")) & (F.col("source_name") == F.col("c_source")))
+        rows = names.withColumnRenamed("name", "t_qname").join(refs, ["source_name", "t_qname"])
         rows = rows.join(asked, "q")
         beside = (F.coalesce("t_parent", F.lit("")) != "") & F.col("t_qname").startswith(F.concat("t_parent", F.lit("."))) & (F.coalesce("c_parent", F.lit("")) == F.col("t_parent"))
         top = lambda c: F.split(c, "/", 2)[0]
@@ -178,7 +186,7 @@ def reverse_references(
         )
         # one row a caller of a target, the first by rank
         one = rows.groupBy(*REQUEST, F.col("t_qname").alias("target"), F.col("c_qname").alias("caller"), "t_shared").agg(F.min(rank).alias("s"))
-        one = cut(one)
+        one = stored(one)
         group = Window.partitionBy(*REQUEST, "target")
         order = [F.col("s.col1"), F.col("s.col2"), F.col("s.col3"), F.col("s.col4"), F.col("caller"), F.col("s.file"), F.col("s.line_start")]
         wide = one.groupBy(*REQUEST, "target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fan_in_max).select(*REQUEST, "target")

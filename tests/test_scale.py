@@ -8,7 +8,7 @@ import threading
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
-from quarry.operators import components, routes, token_index
+from quarry.operators import components, fanout, routes, token_index
 from quarry.plans import tables
 
 
@@ -128,3 +128,16 @@ def test_families_are_dealt_once(spark, capsys):
     got.explain()
     assert capsys.readouterr().out.count("Exchange ") == 1
     assert {r["status"]: r["count"] for r in got.groupBy("status").count().collect()} == {"kept": 120, "origin-cap": 60, "owner-cap": 820}
+
+
+def test_levels_and_rounds_of_fanouts_do_not_join_the_symbols_again(spark, monkeypatch):
+    i = spark.range(777)
+    symbols = i.select(F.concat(F.lit("i"), "id").alias("id"), F.lit("s").alias("source_name"), F.lit("a/f.py").alias("file"), F.col("id").alias("line_start"), F.col("id").alias("line_end"), F.concat(F.lit("m.Thing"), "id").alias("qname"), F.lit("m").alias("parent"))
+    edges = i.select(F.concat(F.lit("i"), "id").alias("caller"), F.concat(F.lit("i"), F.col("id") + 1).alias("callee"), F.lit("call").alias("edge_type"), F.lit("a/f.py").alias("file"), F.col("id").alias("line"))
+    requests = spark.createDataFrame([(1, "s", "m.Thing7"), (2, "s", "m.Thing775")], "q long, source_name string, name string")
+    plans = []
+    cut = fanout.cut
+    monkeypatch.setattr(fanout, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    got = fanout.call_fanout(requests, symbols, edges, 4, 3, 3, 12)
+    assert sorted((r["q"], r["hop"], r["target"]) for r in got.collect()) == [(1, 1, "m.Thing8"), (1, 2, "m.Thing9"), (1, 3, "m.Thing10"), (2, 1, "m.Thing776")]
+    assert plans and not any("Range (0, 777" in p for p in plans)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.filters import is_production
-from quarry.session import cut
+from quarry.session import cut, stored
 
 
 def addressable(symbols: DataFrame) -> DataFrame:
@@ -18,21 +18,25 @@ def addressable(symbols: DataFrame) -> DataFrame:
     return symbols.where(~F.col("id").startswith("local "))
 
 
-def predecessors(edges: DataFrame, starts: DataFrame, depth: int, most: int) -> DataFrame:
+def predecessors(edges: DataFrame, starts: DataFrame, depth: int, most: int, ends: DataFrame) -> DataFrame:
     """Breadth-first levels from many starts at once: (start columns, id, parent, level).
 
     ``edges`` (caller, callee) are distinct; ``starts`` has the columns that name a search and ``id``. Of each level of a
-    search only the ``most`` smallest ids go on; a node keeps the smallest parent of its first level.
+    search only the ``most`` smallest ids go on; a node keeps the smallest parent of its first level. From the last level
+    nothing goes on, so of its nodes only those in ``ends`` (``starts``' columns) are kept.
     """
     key = [c for c in starts.columns if c != "id"]
-    front = cut(starts.distinct().select(*key, "id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
+    front = stored(starts.distinct().select(*key, "id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
     seen = front
     for level in range(1, depth + 1):
         rank = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
         going = front.withColumn("_r", rank).where(F.col("_r") <= most).select(*key, F.col("id").alias("caller"))
-        new = going.join(edges, "caller").groupBy(*key, F.col("callee").alias("id")).agg(F.min("caller").alias("parent"))
+        met = going.join(edges, "caller")
+        if level == depth:
+            met = met.join(ends.select(*key, F.col("id").alias("callee")), [*key, "callee"], "left_semi")
+        new = met.groupBy(*key, F.col("callee").alias("id")).agg(F.min("caller").alias("parent"))
         # every level is a table of its own, so the levels before are read and never worked out again
-        front = cut(new.join(seen.select(*key, "id"), [*key, "id"], "left_anti").select(*key, "id", "parent", F.lit(level).alias("level")))
+        front = stored(new.join(seen.select(*key, "id"), [*key, "id"], "left_anti").select(*key, "id", "parent", F.lit(level).alias("level")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -40,14 +44,15 @@ def predecessors(edges: DataFrame, starts: DataFrame, depth: int, most: int) ->
 
 
 def walk_back(seen: DataFrame, hits: DataFrame, key: list[str], depth: int) -> DataFrame:
-    """The steps of the paths that end in ``hits`` (own columns, key, id): hits' columns with level, from the start on."""
-    own = hits.columns
-    at = cut(hits.join(seen, [*key, "id"]))
-    steps = at.select(*own, "level")
-    for _ in range(depth):
-        at = at.where(F.col("parent").isNotNull()).withColumn("id", F.col("parent")).drop("parent", "level").join(seen, [*key, "id"])
-        steps = steps.unionByName(at.select(*own, "level"))
-    return steps
+    """The steps of the paths that end in ``hits`` (own columns, key, id, level, parent): own columns, key and id with level, from the start on."""
+    own = [c for c in hits.columns if c not in ("level", "parent")]
+    at = steps = hits.where(F.col("level") == depth)
+    for level in range(depth - 1, -1, -1):
+        # a parent stands on the level before, so every level is read once
+        before = at.select(*(F.col("parent").alias("id") if c == "id" else c for c in own)).join(seen.where(F.col("level") == level), [*key, "id"])
+        at = stored(before.select(*hits.columns).unionByName(hits.where(F.col("level") == level)))
+        steps = steps.unionByName(at)
+    return steps.select(*own, "level")
 
 
 def connect_targets(edges: DataFrame, symbols: DataFrame, targets: DataFrame, depth: int = 4, most: int = 200) -> DataFrame:
@@ -63,21 +68,26 @@ def connect_targets(edges: DataFrame, symbols: DataFrame, targets: DataFrame, de
     named = targets.groupBy("grp", "source_name", "qname").agg(F.min("pos").alias("pos"))
     named = named.withColumn("root", F.first("qname").over(first))
     pairs = cut(named.where(F.col("qname") != F.col("root")).select("grp", "source_name", "root", F.col("qname").alias("target")))
-    ids = addressable(symbols).select("source_name", F.col("qname").alias("start"), "id")
-    edges = cut(edges.where("edge_type in ('call', 'type_ref')").select("caller", "callee").distinct())
+    edges = stored(edges.where("edge_type in ('call', 'type_ref')").select("caller", "callee").distinct())
     key = ["source_name", "start"]
+    ahead = pairs.select("grp", "source_name", F.col("root").alias("start"), F.col("target").alias("finish"))
+    # either way, as a search forward also serves pairs that are searched backward from its start
+    ways = ahead.select(*key, "finish").unionByName(ahead.select("source_name", F.col("finish").alias("start"), F.col("start").alias("finish"))).distinct()
+    # the symbols of all names are looked up once
+    called = addressable(symbols).select("source_name", F.col("qname").alias("start"), "id")
+    ids = stored(called.join(ways.select(*key).distinct(), key, "left_semi"))
+    ends = stored(ways.join(ids.withColumnRenamed("start", "finish"), ["source_name", "finish"]).select(*key, "id").distinct())
 
     def searched(asked: DataFrame) -> DataFrame:
-        return predecessors(edges, asked.join(ids, key, "left_semi").distinct().join(ids, key).select(*key, "id"), depth, most)
+        return predecessors(edges, asked.join(ids, key).select(*key, "id"), depth, most, ends)
 
     def reached(asked: DataFrame, seen: DataFrame) -> DataFrame:
         """The first hit of each (grp, start, finish)."""
         ends = asked.join(ids.withColumnRenamed("start", "finish"), ["source_name", "finish"])
         met = ends.join(seen.where("level > 0"), [*key, "id"])
-        best = met.groupBy("grp", *key, "finish").agg(F.min(F.struct("level", "id")).alias("hit"))
-        return best.select("grp", *key, "finish", F.col("hit.id").alias("id"))
+        best = met.groupBy("grp", *key, "finish").agg(F.min(F.struct("level", "id", "parent")).alias("hit"))
+        return best.select("grp", *key, "finish", "hit.id", "hit.level", "hit.parent")
 
-    ahead = pairs.select("grp", "source_name", F.col("root").alias("start"), F.col("target").alias("finish"))
     forward = searched(ahead.select(*key).distinct())
     hits = cut(reached(ahead, forward).withColumn("backward", F.lit(False)))
     rest = ahead.join(hits, ["grp", "start", "finish"], "left_anti")
@@ -86,7 +96,7 @@ def connect_targets(edges: DataFrame, symbols: DataFrame, targets: DataFrame, de
     known = ahead.select(*key).distinct()
     fresh = searched(back.select(*key).distinct().join(known, key, "left_anti"))
     seen = forward.unionByName(fresh)
-    hits = hits.unionByName(reached(back, seen).withColumn("backward", F.lit(True)))
+    hits = stored(hits.unionByName(reached(back, seen).withColumn("backward", F.lit(True))))
 
     steps = walk_back(seen, hits, key, depth)
     place = symbols.select("source_name", "id", "qname", is_production(F.col("file")).alias("_p"))

@@ -8,7 +8,7 @@ import threading
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
-from quarry.operators import components, fanout, routes, token_index
+from quarry.operators import components, fanout, paths, routes, token_index
 from quarry.plans import tables
 
 
@@ -141,3 +141,14 @@ def test_levels_and_rounds_of_fanouts_do_not_join_the_symbols_again(spark, monke
     got = fanout.call_fanout(requests, symbols, edges, 4, 3, 3, 12)
     assert sorted((r["q"], r["hop"], r["target"]) for r in got.collect()) == [(1, 1, "m.Thing8"), (1, 2, "m.Thing9"), (1, 3, "m.Thing10"), (2, 1, "m.Thing776")]
     assert plans and not any("Range (0, 777" in p for p in plans)
+
+
+def test_of_the_last_level_of_a_search_only_ends_are_kept(spark):
+    edges = spark.range(500).select(F.lit("a").alias("caller"), F.concat(F.lit("b"), "id").alias("callee")).unionByName(spark.range(500).select(F.concat(F.lit("b"), "id").alias("caller"), F.concat(F.lit("c"), "id").alias("callee")))
+    starts = spark.createDataFrame([("k", "a")], "start string, id string")
+    ends = spark.createDataFrame([("k", "c7"), ("k", "b3"), ("other", "c8"), ("k", "none")], "start string, id string")
+    seen = paths.predecessors(edges, starts, 2, 200, ends)
+    assert sorted((r["id"], r["parent"]) for r in seen.where("level = 2").collect()) == []  # c7 comes after b7, which is not of the 200 smallest ids
+    seen = paths.predecessors(edges, starts, 2, 500, ends)
+    assert [(r["id"], r["parent"]) for r in seen.where("level = 2").collect()] == [("c7", "b7")]
+    assert seen.where("level = 1").count() == 500

@@ -120,6 +120,45 @@ def test_knn_blocks_equal_one_block(spark):
     assert one == many and one
 
 
+def test_self_pairs_come_once(spark):
+    v = spark.range(60).select("id", F.array(*(F.sin(F.col("id") * k + k) for k in range(1, 6))).alias("v"))
+    want = sorted((r["a"], r["b"]) for r in cluster.blocked_pairs(v, v, 0.5).where("a < b").collect())
+    assert want
+    for block in (1000, 7):
+        assert sorted((r["a"], r["b"]) for r in cluster.self_pairs(v, 0.5, block=block).collect()) == want
+    # of the 36 pairs of six blocks, 21 are dealt
+    assert {(r["a"], r["b"]) for r in cluster.theta_pairs(v, 0.5).collect()} == set(want)
+    rows = [x for i in range(3) for x in cluster.block_pairs(_batches([(i, j, s, 10 * (i if s == 0 else j) + n, [1.0, n]) for j in range(i, 3) for s in (0, 1) for n in range(4)]), -9.0, None, True)]
+    assert sum(r.num_rows for r in rows) == 12 * 11 // 2
+
+
+def _batches(rows, n=5):
+    import pyarrow as pa
+
+    names = pa.schema([("qb", pa.int32()), ("vb", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    whole = pa.Table.from_pylist([dict(zip(names.names, r, strict=True)) for r in rows], names)
+    return whole.to_batches(max_chunksize=n)
+
+
+@pytest.mark.parametrize("spoilt", [0.0, float("inf"), float("nan")])
+def test_best_of_loses_no_tie_by_six_places(spoilt):
+    """Screening gives what all products give, ties of rounded values included, and ids that come more than once."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(30, 8)), rng.normal(size=(700, 8))
+    y[100:160] = y[:60] * (1 + 3e-8)  # equal by six places, the larger id a little nearer
+    y[5, 3] += spoilt
+    ids = np.arange(700)
+    ids[600:640] = 3
+    with np.errstate(invalid="ignore"):
+        sims = np.round(x @ y.T, 6)
+    got = {(int(a), int(j)): round(float(s), 6) for i, j, t in cluster.best_of(np.arange(30), x, ids, y, 0.2, 5) for a, j, s in zip(i, j, t, strict=True)}
+    for i in range(30):
+        near = sorted((-sims[i, j], int(ids[j])) for j in range(700) if ids[j] != i and sims[i, j] >= 0.2)[:5]
+        assert len(near) == 5 and all((i, b) in got for _, b in near)
+
+
 def _recall(got, exact):
     best = {}
     for r in exact.collect():

@@ -113,6 +113,19 @@ def test_fuzzy_symbols_by_brute_force(spark):
     assert len(vector.fuzzy_symbols(df(spark, [(n,) for n in names], "name string"), "Order12", 3).collect()) == 3
 
 
+def test_communities_read_their_graph_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    g = df(spark, [(1, 2, 1.0), (2, 3, 1.0), (4, 5, 1.0), (6, 6, 1.0)], "a long, b long, weight double").mapInArrow(count, "a long, b long, weight double")
+    assert sorted(r["id"] for r in cluster.communities(g).collect()) == [1, 2, 3, 4, 5, 6]
+    assert seen.value == 4
+
+
 def test_knn_blocks_equal_one_block(spark):
     v = spark.range(60).select("id", F.array(*(F.sin(F.col("id") * k + k) for k in range(1, 6))).alias("v"))
     one = {(r["a"], r["b"]) for r in cluster.blocked_pairs(v, v, 0.5, block=1000).collect()}

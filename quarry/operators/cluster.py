@@ -59,7 +59,7 @@ def _screened(x: np.ndarray, ri: np.ndarray, y: np.ndarray, floor: float, k: int
     return at // len(y), at % len(y)
 
 
-def _matrix(cells) -> np.ndarray:
+def matrix(cells) -> np.ndarray:
     """Vectors of an Arrow list column."""
     flat, n = cells.flatten(), len(cells)
     wide = len(flat) // max(1, n)
@@ -91,7 +91,7 @@ def block_pairs(batches, floor: float, k: int | None, half: bool = False):
 
     for batch in batches:
         *keys, ids, vecs = batch.columns
-        keys, ids, x = np.stack([np.asarray(c) for c in keys], axis=1), np.asarray(ids), _matrix(vecs)
+        keys, ids, x = np.stack([np.asarray(c) for c in keys], axis=1), np.asarray(ids), matrix(vecs)
         ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(ids)]
         for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
             if hi > lo:

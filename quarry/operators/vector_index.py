@@ -4,6 +4,7 @@ The lists are fitted in two levels on a bounded sample: about the root of their
 of the lists; their number goes with the root of the number of rows, up to ``MAX_LISTS``. A row is put into the nearest
 list of the nearest groups, and what remains of its vector is kept as one byte for each of ``PARTS`` parts. A search reads
 the bytes of the lists that it looks into, keeps the best by the bytes, and takes the vectors of those alone to rank them exactly.
+A query travels once to each folder of lists, not to each list, and a task takes ``SLICE`` rows at a time, so that its memory depends neither on the rows nor on the lists.
 
 On disk an index is a folder that driver and executors share: ``rows/gen=G`` for every generation of rows, by groups of lists, and
 ``states/G``, one line of JSON written last, which names the generations that count and holds the model and the stamp of
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.cluster import BLOCK, index_stamp
+from quarry.operators.cluster import BLOCK, index_stamp, matrix
 from quarry.session import arrow_map, cut
 
 FIT_ROWS, FIT_QUERIES, FIT_ROUNDS = 20_000, 400, 8
 MAX_LISTS, LISTS_A_FOLDER = 2048, 64
 GROUPS_ASKED = 4
 PARTS, CODES = 16, 64
+SLICE = 512  # rows that are placed, or queries that are compared, at once
 RERANK = 20  # candidates a query for each row that it wants
 RECALL = 0.96  # aimed at on the sample
 
@@ -110,11 +112,13 @@ class Model:
         rest = np.pad(x - self.lists[place], ((0, 0), (0, wide * PARTS - x.shape[1])))
         return np.stack([_nearest(rest[:, p * wide : (p + 1) * wide], self.books[p], False) for p in range(PARTS)], axis=1).astype(np.uint8)
 
-    def guess(self, q: np.ndarray, place: int, codes: np.ndarray) -> np.ndarray:
-        """Similarity of queries to the rows of one list by their bytes."""
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Similarity of queries to every code of every part."""
         wide = self.books.shape[2]
-        parts = np.pad(q, ((0, 0), (0, wide * PARTS - q.shape[1]))).reshape(len(q), PARTS, wide)
-        tables = np.einsum("qpw,pcw->qpc", parts, self.books)
+        return np.einsum("qpw,pcw->qpc", np.pad(q, ((0, 0), (0, wide * PARTS - q.shape[1]))).reshape(len(q), PARTS, wide), self.books)
+
+    def guess(self, q: np.ndarray, tables: np.ndarray, place: int, codes: np.ndarray) -> np.ndarray:
+        """Similarity of queries to the rows of one list by their bytes."""
         out = np.repeat((q @ self.lists[place])[:, None], len(codes), axis=1)
         for p in range(PARTS):
             out += tables[:, p, codes[:, p]]
@@ -128,9 +132,20 @@ class Model:
         return cls(*(_unpack(x[k]) for k in ("groups", "lists", "owner", "books")), x["probes"])
 
 
-def _vectors(batch: pa.RecordBatch, ids: int, cells: int) -> tuple[list, np.ndarray]:
-    rows = [(i, v) for i, v in zip(batch.column(ids).to_pylist(), batch.column(cells).to_pylist(), strict=True) if v]
-    return [i for i, _ in rows], np.array([v for _, v in rows], float) if rows else np.zeros((0, 1))
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(F.size("v") > 0)
+
+
+def _slices(batches):
+    """(ids, vectors) of ``SLICE`` rows at most."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            part = batch.slice(lo, SLICE)
+            yield part.column(0), matrix(part.column(1))
+
+
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1), kind))
 
 
 def _sample(vecs: DataFrame, n: int) -> np.ndarray:
@@ -162,16 +177,12 @@ class VectorIndex:
         shared = self.spark.sparkContext.broadcast(model)
 
         def run(batches):
-            for batch in batches:
-                ids, x = _vectors(batch, 0, 1)
-                if ids:
-                    place = shared.value.place(x)
-                    codes = shared.value.encode(x, place)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(place.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "list", "codes"]
-                    )
-
-        rows = arrow_map(vecs.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), run, "id long, v array<double>, list int, codes binary")
+            for ids, x in _slices(batches):
+                place = shared.value.place(x)
+                codes = shared.value.encode(x, place)
+                yield pa.RecordBatch.from_arrays([ids, _lists(x, pa.float64()), pa.array(place.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "list", "codes"])
+
+        rows = arrow_map(_usable(vecs), run, "id long, v array<double>, list int, codes binary")
         folder = F.floor(F.col("list") / LISTS_A_FOLDER).cast("int")
         dealt = rows.withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("list", "id")
         dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{self.folder}/rows/gen={gen}")
@@ -213,47 +224,65 @@ class VectorIndex:
 
         def ask(batches):
             m = shared.value
-            for batch in batches:
-                ids, x = _vectors(batch, 0, 1)
-                if ids:
-                    near = np.argsort(-(x @ m.lists.T), axis=1, kind="stable")[:, : m.probes]
-                    flat = np.repeat(np.arange(len(ids)), near.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(flat)), pa.array(x[flat].tolist(), pa.list_(pa.float64())), pa.array(near.reshape(-1).astype(np.int32))], ["id", "v", "list"])
-
-        asked = cut(arrow_map(queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), ask, "id long, v array<double>, list int"))
-        size = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-        sizes = cut(size(rows, "nv").join(size(asked, "nq"), "list"))
-        # a list longer than a block is dealt into blocks, and so are its queries
-        blocks = lambda df, own, other, side: df.join(sizes, "list").withColumns({"mine": F.pmod(F.xxhash64("id", F.lit(side)), F.col(own)).cast("int"), "theirs": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
-        q = blocks(asked, "nq", "nv", 0).select("list", F.col("mine").alias("qb"), F.col("theirs").alias("vb"), F.lit(0).alias("side"), "id", "v", F.lit(None).cast("binary").alias("codes"))
-        v = blocks(rows.select("list", "id", "codes"), "nv", "nq", 1).select("list", F.col("theirs").alias("qb"), F.col("mine").alias("vb"), F.lit(1).alias("side"), "id", F.lit(None).cast("array<double>").alias("v"), "codes")
-        dealt = q.unionByName(v).repartition("list", "qb", "vb").sortWithinPartitions("list", "qb", "vb", "side", "id")
+            for ids, x in _slices(batches):
+                near = np.argsort(-(x @ m.lists.T), axis=1, kind="stable")[:, : m.probes]
+                yield pa.RecordBatch.from_arrays([ids, _lists(x, pa.float64()), _lists(near.astype(np.int32), pa.int32())], ["id", "v", "near"])
+
+        asked = cut(arrow_map(_usable(queries), ask, "id long, v array<double>, near array<int>"))
+        of = lambda x: F.floor(x / LISTS_A_FOLDER).cast("int")
+        asked = asked.withColumn("folder", F.explode(F.array_distinct(F.transform("near", of)))).withColumn("near", F.filter("near", lambda x: of(x) == F.col("folder")))
+        size = lambda df, name: df.groupBy("folder").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+        sizes = cut(size(rows, "nv").join(size(asked, "nq"), "folder"))
+        # a folder longer than a block is dealt into blocks, and so are its queries
+        blocks = lambda df, own, other, side: df.join(sizes, "folder").withColumns({"mine": F.pmod(F.xxhash64("id", F.lit(side)), F.col(own)).cast("int"), "theirs": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+        none = lambda kind: F.lit(None).cast(kind)
+        q = blocks(asked, "nq", "nv", 0).select("folder", F.col("mine").alias("qb"), F.col("theirs").alias("vb"), F.lit(0).alias("side"), F.lit(-1).alias("list"), "id", "v", "near", none("binary").alias("codes"))
+        v = blocks(rows.select("folder", "list", "id", "codes"), "nv", "nq", 1)
+        v = v.select("folder", F.col("theirs").alias("qb"), F.col("mine").alias("vb"), F.lit(1).alias("side"), "list", "id", none("array<double>").alias("v"), none("array<int>").alias("near"), "codes")
+        dealt = q.unionByName(v).repartition("folder", "qb", "vb").sortWithinPartitions("folder", "qb", "vb", "side", "list", "id")
         keep = RERANK * k
 
         def guess(batches):
-            held, key = [], None
+            m = shared.value
+            held, key = ([], []), None
 
             def flush():
-                left, right = [x for x in held if x[0] == 0], [x for x in held if x[0] == 1]
-                held.clear()
-                if not left or not right:
-                    return
-                ids, codes = np.array([x[1] for x in right]), np.frombuffer(b"".join(x[3] for x in right), np.uint8).reshape(len(right), PARTS)
-                for lo in range(0, len(left), 256):
-                    part = left[lo : lo + 256]
-                    sims = shared.value.guess(np.array([x[2] for x in part], float), key[0], codes)
-                    best = np.argpartition(-sims, min(keep, len(ids) - 1), axis=1)[:, :keep] if len(ids) > keep else np.tile(np.arange(len(ids)), (len(part), 1))
-                    at = np.repeat(np.arange(len(part)), best.shape[1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[1] for x in part], pa.int64()).take(pa.array(at)), pa.array(ids[best.reshape(-1)]), pa.array(np.full(len(at), key[0], np.int32)), pa.array(sims[at, best.reshape(-1)])], ["a", "b", "list", "guess"]
-                    )
+                if held[0] and held[1]:
+                    (a, x, asks), (b, lists, codes) = (tuple(np.concatenate(c) for c in zip(*side, strict=True)) for side in held)
+                    at = [0, *(np.flatnonzero(lists[1:] != lists[:-1]) + 1), len(lists)]
+                    for lo in range(0, len(a), SLICE):
+                        part, want = x[lo : lo + SLICE], asks[lo : lo + SLICE]
+                        tables = m.tables(part)
+                        sims = np.full((len(part), len(b)), -np.inf)
+                        for i, j in zip(at[:-1], at[1:], strict=True):
+                            who = np.flatnonzero(want[:, lists[i] % LISTS_A_FOLDER])
+                            if len(who):
+                                sims[who, i:j] = m.guess(part[who], tables[who], lists[i], codes[i:j])
+                        best = np.argpartition(-sims, keep, axis=1)[:, :keep] if len(b) > keep else np.tile(np.arange(len(b)), (len(part), 1))
+                        row, best = np.repeat(np.arange(len(part)), best.shape[1]), best.reshape(-1)
+                        got = np.isfinite(sims[row, best])
+                        row, best = row[got], best[got]
+                        yield pa.RecordBatch.from_arrays([pa.array(a[lo + row], pa.int64()), pa.array(b[best], pa.int64()), pa.array(lists[best], pa.int32()), pa.array(sims[row, best])], ["a", "b", "list", "guess"])
+                held[0].clear()
+                held[1].clear()
 
             for batch in batches:
-                for *now, side, id_, vec, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = np.stack([np.asarray(c) for c in batch.columns[:4]], axis=1)
+                ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+                for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                    if hi == lo:
+                        continue
+                    *now, side = keys[lo].tolist()
                     if now != key:
                         yield from flush()
                         key = now
-                    held.append((side, id_, vec, codes))
+                    _, _, _, _, lists, ids, vecs, near, codes = batch.slice(lo, hi - lo).columns
+                    if side == 0:
+                        asks = np.zeros((hi - lo, LISTS_A_FOLDER), bool)
+                        asks[np.repeat(np.arange(hi - lo), np.diff(np.asarray(near.offsets))), np.asarray(near.flatten()) % LISTS_A_FOLDER] = True
+                        held[0].append((np.asarray(ids), matrix(vecs), asks))
+                    else:
+                        held[1].append((np.asarray(ids), np.asarray(lists), np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(hi - lo, PARTS)))
             yield from flush()
 
         found = arrow_map(dealt, guess, "a long, b long, list int, guess double").where("a <> b")

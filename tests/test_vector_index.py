@@ -58,6 +58,30 @@ def test_build_add_search(spark, tmp_path):
         again.search(queries, every.withColumn("updated_at", F.when(F.col("id") == 7, "new").otherwise(F.col("updated_at"))))
 
 
+def test_a_query_goes_once_to_each_folder(spark, tmp_path, monkeypatch):
+    """What a task writes for a slice of queries depends neither on the lists they look into nor on the queries."""
+    from quarry.operators import vector_index
+
+    every = clustered(spark, 1200)
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.build(every, 100)  # neighbours of several clusters
+    seen, rows, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), vector_index.arrow_map
+
+    def watched(df, fn, schema):
+        def run(batches):
+            for b in fn(batches):
+                if "guess" not in schema and "codes" not in schema:
+                    rows.add(b.num_rows)
+                    seen.add(b.num_rows > vector_index.SLICE)
+                yield b
+
+        return plain(df, run, schema)
+
+    monkeypatch.setattr(vector_index, "arrow_map", watched)
+    assert index.search(every.select("id", "v"), every).select("a").distinct().count() == 1200
+    assert index.state()["model"]["probes"] > 1 and (rows.value, seen.value) == (1200, 0)
+
+
 def test_an_interrupted_addition_counts_for_nothing(spark, tmp_path, monkeypatch):
     every = clustered(spark, 300)
     index = VectorIndex(spark, str(tmp_path / "index"))

@@ -73,13 +73,19 @@ def purge(table: DataFrame, source: str) -> DataFrame:
     return table.where(~F.coalesce(F.col("source_name") == source, F.lit(False)))
 
 
-def slice_source(symbols: DataFrame, edges: DataFrame, source: str) -> DataFrame:
-    """Edges that touch a source, with bare local ids given its name."""
+def slice_source(symbols: DataFrame, edges: DataFrame, source: str, tasks: int | None = None) -> DataFrame:
+    """Edges that touch a source, with bare local ids given its name.
+
+    Edges go once to their callers and from there to their callees, into ``tasks`` tasks where that is given, and are distinct where they lie.
+    """
     own = symbols.where(F.col("source_name") == source).select("id")
     named = lambda c: F.when(F.col(c).startswith("local "), F.concat(F.lit(f"{source}::"), c)).otherwise(F.col(c)).alias(c)
-    a = edges.join(own, edges["caller"] == own["id"], "left_semi")
-    b = edges.join(own, edges["callee"] == own["id"], "left_semi")
-    return a.union(b).distinct().select(*(named(c) if c in ("caller", "callee") else F.col(c) for c in edges.columns))
+    deal = lambda df, c: df.repartition(tasks, c) if tasks else df
+    own = deal(own, "id")
+    at = deal(edges, "caller").join(own.select(F.col("id").alias("_a")), F.col("caller") == F.col("_a"), "left")
+    at = deal(at, "callee").join(own.select(F.col("id").alias("_b")), F.col("callee") == F.col("_b"), "left")
+    rows = at.where("_a is not null or _b is not null").select(*edges.columns).distinct()
+    return rows.select(*(named(c) if c in ("caller", "callee") else F.col(c) for c in edges.columns))
 
 
 def diff_status(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

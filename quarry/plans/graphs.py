@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.catalog import query
 from quarry.functions.text import confidence_rank
 from quarry.operators import graph as G
-from quarry.plans.tables import kb
+from quarry.plans.tables import kb, line_tasks
 
 _RANK = "CASE confidence WHEN 'exact' THEN 3 WHEN 'resolved' THEN 2 WHEN 'derived' THEN 1 WHEN 'recovered' THEN 0 ELSE -1 END"
 _FILES = "(SELECT 'src/m' || CAST(n % 50 AS VARCHAR) || '.py' AS path, 'import lib.f' || CAST(n % 13 AS VARCHAR) || chr(10) || 'from src.m' || CAST(n % 7 AS VARCHAR) || '.inner import x' AS text FROM docs)"
@@ -252,7 +252,7 @@ def g31b(spark, d):
 e AS (SELECT caller AS a, callee AS b, min(edge_type) AS edge_type FROM sym_edges GROUP BY 1, 2) SELECT id, pos, a, b, edge_type FROM p JOIN e USING (a, b)""")
 def g32(spark, d):
     o, k = F.concat(F.lit("o"), F.col("n") * 4 + 1), F.concat(F.lit("l"), F.col("n") * 4 + 1, F.lit("_1"))
-    return G.route_citations(kb(spark, d, "docs").select("id", F.array(o, k, F.concat(F.lit("o"), "n")).alias("route")), kb(spark, d, "sym_edges"))
+    return G.route_citations(kb(spark, d, "docs").select("id", F.array(o, k, F.concat(F.lit("o"), "n")).alias("route")), kb(spark, d, "sym_edges"), line_tasks(spark, d))
 
 
 @query("g33_seeds_in_files", "SELECT id, file, r FROM (SELECT id, file, row_number() OVER (PARTITION BY file ORDER BY line_start, id)::INTEGER AS r FROM symbols WHERE file LIKE 'pkg1/%') WHERE r <= 3")

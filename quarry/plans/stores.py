@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.catalog import query
 from quarry.operators import filters as X
 from quarry.operators import store as S
-from quarry.plans.tables import kb
+from quarry.plans.tables import kb, line_tasks
 from quarry.session import shared_folder, table
 from quarry.sources.files import usage_log
 
@@ -184,7 +184,7 @@ def i05(spark, d):
 
 @query("i06_slice", "SELECT DISTINCT caller, callee, edge_type FROM sym_edges WHERE caller IN (SELECT id FROM symbols WHERE source_name = 's1') OR callee IN (SELECT id FROM symbols WHERE source_name = 's1')")
 def i06(spark, d):
-    return S.slice_source(kb(spark, d, "symbols"), kb(spark, d, "sym_edges").select("caller", "callee", "edge_type"), "s1")
+    return S.slice_source(kb(spark, d, "symbols"), kb(spark, d, "sym_edges").select("caller", "callee", "edge_type"), "s1", line_tasks(spark, d))
 
 
 @query("i08_diff_status", """SELECT id, CASE WHEN n % 7 = 0 THEN 'added' WHEN n % 5 = 0 THEN 'removed' WHEN n % 3 = 0 THEN 'modified' ELSE 'unchanged' END AS status FROM docs WHERE NOT (n % 7 = 0 AND n % 5 = 0)""")

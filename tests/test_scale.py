@@ -8,7 +8,7 @@ import threading
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
-from quarry.operators import components, fanout, paths, routes, token_index
+from quarry.operators import components, fanout, paths, routes, store, token_index
 from quarry.plans import tables
 
 
@@ -152,3 +152,28 @@ def test_of_the_last_level_of_a_search_only_ends_are_kept(spark):
     seen = paths.predecessors(edges, starts, 2, 500, ends)
     assert [(r["id"], r["parent"]) for r in seen.where("level = 2").collect()] == [("c7", "b7")]
     assert seen.where("level = 1").count() == 500
+
+
+def test_citations_group_only_cited_edges_in_as_many_tasks_as_asked(spark):
+    edges = spark.range(2000).select(F.concat(F.lit("a"), F.col("id") % 50).alias("caller"), F.concat(F.lit("b"), F.col("id") % 40).alias("callee"), F.when(F.col("id") < 200, "call").otherwise("implements").alias("edge_type"))
+    ways = spark.createDataFrame([(1, ["a1", "b1", "a1"]), (2, ["a1", "b1"]), (3, ["a3"]), (4, [])], "id long, route array<string>")
+    got = G.route_citations(ways, edges, 7)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "a1", "b1", "call"), (2, 0, "a1", "b1", "call")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [a") < plan.index("LeftSemi") and plan.count("RepartitionByExpression") >= 2 and ", 7" in plan
+
+
+def test_a_slice_reads_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", "b", "call"), ("a", "b", "call"), ("b", "a", "call"), ("b", "c", "call"), ("a", "local 1", "call"), (None, "a", "call"), ("c", None, "call"), ("a", None, "call")]
+    edges = spark.createDataFrame(rows, "caller string, callee string, edge_type string").mapInArrow(count, "caller string, callee string, edge_type string")
+    symbols = spark.createDataFrame([("a", "s"), ("b", "t"), ("c", "t")], "id string, source_name string")
+    got = sorted((tuple(r) for r in store.slice_source(symbols, edges, "s", 3).collect()), key=str)
+    assert got == sorted([("a", "b", "call"), ("b", "a", "call"), ("a", "s::local 1", "call"), (None, "a", "call"), ("a", None, "call")], key=str)
+    assert seen.value == len(rows)

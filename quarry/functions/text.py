@@ -53,7 +53,8 @@ def words(text: Column) -> Column:
 def camel_tokens(text: Column) -> Column:
     """Lower-cased parts of camelCase, snake_case and digits, with a plural s taken off longer words."""
     parts = F.regexp_extract_all(text, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
-    return F.transform(parts, lambda w: F.regexp_replace(F.lower(w), "^(.{3,})s$", "$1"))
+    singular = lambda w: F.when(F.endswith(w, F.lit("s")) & (F.length(w) > 3), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+    return F.transform(F.transform(parts, F.lower), singular)
 
 
 def version_key(version: Column) -> Column:

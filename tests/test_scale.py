@@ -193,3 +193,39 @@ def test_a_walk_reads_all_edges_once(spark):
     got = G.chain_walk(spark.createDataFrame(rows, kind).mapInArrow(count, kind), symbols, spark.createDataFrame([("a",)], "id string"), 2).collect()
     assert [(r["parent"], r["id"], r["relation"], r["reason"]) for r in sorted(got, key=lambda r: r["seq"])] == [("a", "b", "call", "descended"), ("b", "c", "call", "depth"), ("b", "d", "implemented_by", "leaf")]
     assert seen.value == len(rows)
+
+
+def test_matches_of_documents_read_their_tables_once_or_twice(spark):
+    """A hub with callers of one name, lines of one edge, members that are mentioned beyond the quota, and a parent that is no symbol."""
+    symbol = lambda i, q, parent=None: (i, "s", "core/f.py", q, parent)
+    rows = [symbol("hub", "m.Hub"), *(symbol(f"h{k}", f"m.Hub.part{k}", "m.Hub") for k in range(30)), symbol("u", "m.None.part", "m.None"), ("hub2", "t", "core/f.py", "m.Hub", None)]
+    rows += [symbol(f"c{k}", f"m.{('Alpha', 'Beta', 'Delta', 'Gamma')[k % 4]}.run") for k in range(400)]
+    edges = [(f"c{k}", "hub", "call", line) for k in range(400) for line in range(3)] + [("hub", "h0", "type_ref", 1), ("h1", "hub2", "call", 1), ("hub", "hub", "call", 1)]
+    read = {"symbols": spark.sparkContext.accumulator(0), "edges": spark.sparkContext.accumulator(0)}
+
+    def counted(df, name):
+        n = read[name]
+
+        def each(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(each, df.schema)
+
+    symbols = counted(spark.createDataFrame(rows, "id string, source_name string, file string, qname string, parent string").coalesce(1), "symbols")
+    refs = counted(spark.createDataFrame(edges, "caller string, callee string, edge_type string, line int").coalesce(1), "edges")
+    docs = [(q, "s", r, names, mentions) for q in (1, 2) for r, names, mentions in ((0, ["A title", "m.Hub"], [f"part{k}" for k in range(29, 9, -1)]), (3, ["m.None", "m.Hub.part29"], None))]
+    documents = spark.createDataFrame(docs, "q int, source_name string, rank int, names array<string>, mentions array<string>")
+    asked = spark.createDataFrame([(1, "who will run m.Hub"), (2, "which gamma needs m.Hub")], "q int, question string")
+    got = [tuple(r) for r in routes.document_matches(documents, asked, symbols, refs).orderBy("q", "n").collect()]
+    assert all(1 <= n.value <= most * len(t) for n, t, most in ((read["symbols"], rows, 2), (read["edges"], edges, 1)))
+    for q in (1, 2):
+        # the title's document has room for eight roots, all of them mentioned members, in the order of their mention
+        assert [r[2] for r in got if r[0] == q and r[5] == 0] == [f"m.Hub.part{k}" for k in range(29, 21, -1)]
+    routed = lambda names: routes.document_matches(spark.createDataFrame([(1, "s", 0, names, []), (2, "s", 0, names, None)], documents.schema), asked, symbols, refs).orderBy("q", "n").collect()
+    hub = [tuple(r) for r in routed(["m.Hub"])]
+    for q, callers in ((1, ["Alpha", "Beta", "Delta"]), (2, ["Gamma", "Alpha", "Beta"])):
+        assert [r[2] for r in hub if r[0] == q and r[2].endswith("> m.Hub")] == [f"m.{k}.run > m.Hub" for k in callers]
+        assert ("m.Hub > m.Hub.part0", "core/f.py", 0) in {r[2:5] for r in hub if r[0] == q}
+        assert not any("None" in r[2] for r in [*hub, *got])

@@ -227,6 +227,14 @@ def test_chain_walk_goes_depth_first(spark):
     assert graph.chain_walk(edges, symbols, df(spark, [], "id string"), 3).count() == 0
 
 
+def test_body_edges_of_some_callers_in_line_order(spark):
+    e = [("a", "y", "call", 2), ("a", "x", "type_ref", 2), ("a", "z", "call", 1), ("a", "local 1", "call", 1), ("a", "i", "implements", 1), ("b", "x", "call", 1), (None, "x", "call", 1), ("a", None, "call", 3)]
+    edges = df(spark, [(a, b, t, "f", n, "exact") for a, b, t, n in e], "caller string, callee string, edge_type string, file string, line long, confidence string")
+    ids = df(spark, [("a",), ("a",), ("c",), (None,)], "id string")
+    got = graph.body_edges(edges, ids).orderBy("caller", "pos").collect()
+    assert [tuple(r) for r in got] == [("a", "z", "call", 1, 1), ("a", "x", "type_ref", 2, 2), ("a", "y", "call", 2, 3)]
+
+
 def test_gate_with_many_anchors(spark, monkeypatch):
     v = spark.range(50).select("id", F.array(*(F.sin(F.col("id") * k + k) for k in range(1, 6))).alias("v"))
     one = {tuple(r)[::2] for r in vector.gate_candidates(v.where("id > 9"), v.where("id < 10"), [1.0, 0, 0, 0, 0], 0.5, 0.5, -9.0).select("id", F.lit(0), F.round("score", 6)).collect()}

@@ -156,6 +156,16 @@ def test_self_pairs_come_once(spark):
     assert sum(r.num_rows for r in rows) == 12 * 11 // 2
 
 
+def test_blocks_are_stored_once_and_not_dealt_to_their_pairs(spark):
+    for kind in ("array<float>", "array<double>"):
+        v = spark.range(60).select("id", F.array(*(F.sin(F.col("id") * k + k) for k in range(1, 6))).cast(kind).alias("v"))
+        for got in (cluster.self_pairs(v, 0.5, block=7), cluster.blocked_pairs(v.where("id < 20"), v, 0.5, 3, block=7)):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" in plan and "Exchange" not in plan and got.count()
+        none = v.where("id < 0")
+        assert cluster.self_pairs(none, 0.5).count() == cluster.blocked_pairs(none, v, 0.5).count() == cluster.blocked_pairs(v, none, 0.5).count() == 0
+
+
 def _batches(rows, n=5):
     import pyarrow as pa
 
